@@ -5,7 +5,7 @@ SQL (runs unchanged in DuckDB and Spark SQL).  Each oracle query is
 ``WITH <BASE>, ... SELECT ...``.
 """
 
-BASE = """
+BASE = r"""
 truth AS (
   SELECT doc_id, CASE lang WHEN 'en' THEN 10 WHEN 'fr' THEN 20 WHEN 'de' THEN 30 ELSE 40 END AS code FROM documents
   UNION ALL SELECT doc_id, 100 + CAST(substr(source, 4) AS INT) AS code FROM documents
@@ -36,13 +36,20 @@ preds AS (
     SELECT 'm2' AS method, doc_id, code, CASE WHEN y = 1 THEN u2 ELSE 6e-1 * u2 * u2 END AS score FROM g) p),
 curated AS (
   SELECT * FROM (VALUES
-   (10,'seed','the','full'),(10,'seed','and','full'),(10,'seed','that … the','full'),(10,'seed','this','title'),
-   (20,'seed','les','full'),(20,'seed','dans','full'),(20,'seed','que … des','full'),(20,'seed','une','title'),
-   (30,'seed','und','full'),(30,'seed','für','full'),(30,'seed','der … die','full'),(30,'seed','nicht','title'),
-   (40,'seed','los','full'),(40,'seed','para','full'),(40,'seed','que … las','full'),(40,'seed','del','title'),
-   (2,'seed','licensed under','full'),(2,'seed','apache license','full'),
-   (1,'seed','released under the mit license','full'),(3,'seed','cc by-nc 4.0','full')
-  ) AS t(code, source, phrase, match_zone)),
+   (1,10,'seed','the','full'),(2,10,'seed','and','full'),(3,10,'seed','that … the','full'),(4,10,'seed','this','title'),
+   (5,20,'seed','les','full'),(6,20,'seed','dans','full'),(7,20,'seed','que … des','full'),(8,20,'seed','une','title'),
+   (9,30,'seed','und','full'),(10,30,'seed','für','full'),(11,30,'seed','der … die','full'),(12,30,'seed','nicht','title'),
+   (13,40,'seed','los','full'),(14,40,'seed','para','full'),(15,40,'seed','que … las','full'),(16,40,'seed','del','title'),
+   (17,2,'seed','licensed under','full'),(18,2,'seed','apache license','full'),
+   (19,1,'seed','released under the mit license','full'),(20,3,'seed','cc by-nc 4.0','full')
+  ) AS t(ord, code, source, phrase, match_zone)),
+pat AS (
+  SELECT code, source, phrase AS source_text, match_zone, ord,
+         CAST(code AS VARCHAR) || '-' || source || '-' ||
+           lpad(CAST(row_number() OVER (PARTITION BY code, source ORDER BY ord) AS VARCHAR), 3, '0') AS pattern_id,
+         list_filter(list_transform(regexp_split_to_array(phrase, '\s*(?:…|\.{2,})\s*'), lambda x: lower(trim(x))),
+                     lambda x: x <> '') AS parts
+  FROM curated),
 chunk_vecs AS (
   SELECT CAST(floor(vec_id / 4) AS BIGINT) AS doc_id, CAST(vec_id % 4 AS INT) AS chunk_no, embedding,
          CAST(1 + vec_id % 7 AS INT) AS n_tokens FROM embeddings),

@@ -1 +1,88 @@
-"""placeholder"""
+"""Queries: text zones, phrase parsing, pattern ids and phrase matching."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from labelflow.functions import text as tx
+from labelflow.operators import matching
+from labelflow.plans.catalog import register
+from labelflow.plans.oracle_base import with_base
+from labelflow.plans.oracle_text import TEXT_CTES, esc
+from labelflow.sources.fixtures import PREFIX_RX, PREFIX_WINDOW, TITLE_LEN, Fixtures
+
+
+def stripped_docs(fx: Fixtures):
+    return fx.docs.select("doc_id", tx.strip_prefix(F.col("text"), PREFIX_RX, PREFIX_WINDOW).alias("text"))
+
+
+def fixture_hits(fx: Fixtures, kinds=None, zones=("full", "title")):
+    compiled = matching.compile_patterns(fx.patterns)
+    if kinds:
+        compiled = compiled.where(F.col("kind").isin(*kinds))
+    compiled = compiled.where(F.col("zone").isin(*zones))
+    z = matching.zone_texts(stripped_docs(fx), PREFIX_RX, PREFIX_WINDOW, TITLE_LEN, zones)
+    return matching.match(z, compiled)
+
+
+@register("strip_prefix", with_base(TEXT_CTES, """
+SELECT doc_id, length(text) AS n_chars, md5(text) AS text_md5 FROM stripped"""))
+def q_strip(spark, sf):
+    d = stripped_docs(Fixtures(spark, sf))
+    return d.select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+@register("title_zone", with_base(TEXT_CTES, "SELECT doc_id, title FROM title"))
+def q_title(spark, sf):
+    d = stripped_docs(Fixtures(spark, sf))
+    return d.select("doc_id", tx.title_zone(F.col("text"), PREFIX_RX, PREFIX_WINDOW, TITLE_LEN).alias("title"))
+
+
+@register("phrase_parts", with_base("", """
+SELECT pattern_id, CAST(len(parts) AS INT) AS n_parts, array_to_string(parts, '|') AS parts FROM pat"""))
+def q_parts(spark, sf):
+    p = Fixtures(spark, sf).patterns
+    parts = tx.phrase_parts(F.col("source_text"), F.col("fuzzy_gap"))
+    return p.select("pattern_id", F.size(parts).cast("int").alias("n_parts"),
+                    F.array_join(parts, "|").alias("parts"))
+
+
+@register("phrase_kind", with_base("", f"""
+SELECT pattern_id,
+  CASE WHEN len(parts) = 0 THEN 'empty' WHEN len(parts) >= 2 THEN 'fuzzy' ELSE 'literal' END AS kind,
+  CASE WHEN len(parts) = 1 THEN '(?i)\\b' || {esc('trim(source_text)')} || '\\b'
+       ELSE '(?is)' || array_to_string(list_transform(
+          list_filter(list_transform(regexp_split_to_array(source_text, '\\s*(?:…|\\.{{2,}})\\s*'), lambda x: trim(x)), lambda x: x <> ''),
+          lambda x: {esc('x')}), '.{{0,80}}') END AS regex
+FROM pat"""))
+def q_kind(spark, sf):
+    c = matching.compile_patterns(Fixtures(spark, sf).patterns)
+    p = Fixtures(spark, sf).patterns.select("pattern_id", "regex")
+    return (c.join(p, "pattern_id")
+            .select("pattern_id", F.when(F.col("kind").isin("literal", "edge"), "literal")
+                    .otherwise(F.col("kind")).alias("kind"), "regex"))
+
+
+@register("pattern_ids", with_base("", """
+SELECT pattern_id, code, source, source_text, match_zone FROM pat"""))
+def q_pattern_ids(spark, sf):
+    return Fixtures(spark, sf).patterns.select("pattern_id", "code", "source", "source_text", "match_zone")
+
+
+@register("match_literal", with_base(TEXT_CTES, """
+SELECT doc_id, pattern_id, code FROM lit_hits WHERE zone = 'full'"""))
+def q_match_literal(spark, sf):
+    h = fixture_hits(Fixtures(spark, sf), kinds=("literal", "edge"), zones=("full",))
+    return h.select("doc_id", "pattern_id", "code")
+
+
+@register("match_fuzzy", with_base(TEXT_CTES, """
+SELECT doc_id, pattern_id, code FROM fz_hits WHERE zone = 'full'"""))
+def q_match_fuzzy(spark, sf):
+    h = fixture_hits(Fixtures(spark, sf), kinds=("fuzzy",), zones=("full",))
+    return h.select("doc_id", "pattern_id", "code")
+
+
+@register("match_zones", with_base(TEXT_CTES, "SELECT doc_id, zone, pattern_id, code FROM hits"))
+def q_match_zones(spark, sf):
+    return fixture_hits(Fixtures(spark, sf))

@@ -116,8 +116,14 @@ class Fixtures:
 
     @property
     def curated(self) -> DataFrame:
+        rows = [(i + 1, *r) for i, r in enumerate(CURATED_ROWS)]
         return self.spark.createDataFrame(
-            CURATED_ROWS, "code INT, source STRING, phrase STRING, match_zone STRING")
+            rows, "ord INT, code INT, source STRING, phrase STRING, match_zone STRING")
+
+    @property
+    def patterns(self) -> DataFrame:
+        from labelflow.operators import patterns
+        return patterns.from_phrases(self.curated)
 
     @property
     def chunk_vecs(self) -> DataFrame:
