@@ -148,12 +148,15 @@ def mining_tokens(text, stopwords: Iterable[str] = ()) -> Column:
 
 def ngrams(tokens, n_min: int = 1, n_max: int = 3) -> Column:
     """All n-grams (space-joined) of a token array for n in [n_min, n_max]."""
+    def gram_of(t, n):
+        # a one-argument lambda: transform() passes (element, index) to two-argument ones
+        return lambda i: F.array_join(F.slice(t, i, n), " ")
+
     def body(t):
         parts = []
         for n in range(n_min, n_max + 1):
             k = F.size(t) - n + 1
-            parts.append(F.when(k >= 1, F.transform(F.sequence(F.lit(1), k),
-                                                    lambda i, n=n: F.array_join(F.slice(t, i, n), " ")))
+            parts.append(F.when(k >= 1, F.transform(F.sequence(F.lit(1), k), gram_of(t, n)))
                          .otherwise(F.array().cast("array<string>")))
         return F.concat(*parts) if len(parts) > 1 else parts[0]
     return let(_c(tokens), body)

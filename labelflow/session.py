@@ -10,7 +10,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
@@ -58,3 +59,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "labelflow", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def reuse(df: DataFrame) -> DataFrame:
+    """Keep an intermediate that several branches of one plan read (memory,
+    spilling to disk); lost blocks are recomputed from lineage."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
