@@ -207,3 +207,23 @@ def loss_by_method(scored: DataFrame, truth: DataFrame, weights: DataFrame | Non
     focal = F.pow(1 - pt, F.lit(float(gamma))) * bce
     return s.groupBy("method").agg(F.round(F.avg(bce_w), 6).alias("bce"),
                                    F.round(F.avg(focal), 6).alias("focal"))
+
+
+def counts_by_method_docs(preds: DataFrame, truth: DataFrame, space: DataFrame) -> DataFrame:
+    """tp/fp/fn/support per (method, code) where each method is evaluated on
+    the documents it has rows for (variants over different document sets)."""
+    md = preds.select("method", "doc_id").distinct()
+    t = (truth.join(F.broadcast(space.select("code")), "code", "left_semi")
+         .select("doc_id", "code", F.lit(1).alias("_y")))
+    p = (preds.where(F.col("predicted")).join(F.broadcast(space.select("code")), "code", "left_semi")
+         .select("method", "doc_id", "code"))
+    pc = (p.join(t, ["doc_id", "code"], "left").groupBy("method", "code")
+          .agg(F.count(F.lit(1)).alias("n_pred"), F.count("_y").alias("tp")))
+    sup = md.join(t, "doc_id").groupBy("method", "code").agg(F.count(F.lit(1)).alias("support"))
+    grid = F.broadcast(md.select("method").distinct()).crossJoin(F.broadcast(space.select("code")))
+    return (grid.join(pc, ["method", "code"], "left").join(sup, ["method", "code"], "left")
+            .select("method", "code",
+                    F.coalesce("tp", F.lit(0)).cast("bigint").alias("tp"),
+                    (F.coalesce("n_pred", F.lit(0)) - F.coalesce("tp", F.lit(0))).cast("bigint").alias("fp"),
+                    (F.coalesce("support", F.lit(0)) - F.coalesce("tp", F.lit(0))).cast("bigint").alias("fn"),
+                    F.coalesce("support", F.lit(0)).cast("bigint").alias("support")))

@@ -15,14 +15,14 @@ from labelflow.plans.catalog import register
 from labelflow.plans.oracle_base import with_base
 from labelflow.plans.oracle_text import TEXT_CTES, esc
 from labelflow.plans.q_text_matching import stripped_docs
-from labelflow.session import reuse
+from labelflow.session import materialize, reuse
 from labelflow.sources.fixtures import PREFIX_RX, PREFIX_WINDOW, TITLE_LEN, Fixtures
 
 
 class MinedFixture:
     def __init__(self, spark, sf):
         self.fx = Fixtures(spark, sf)
-        train = self.fx.splits.where(F.col("split") == "train").select("doc_id")
+        train = materialize(self.fx.splits.where(F.col("split") == "train").select("doc_id"))
         self.docs = reuse(stripped_docs(self.fx).join(train, "doc_id", "left_semi"))
         self.dt = reuse(mining.doc_terms(self.docs))
         self.n = mining.corpus_size(self.docs)
@@ -30,7 +30,7 @@ class MinedFixture:
 
     @cached_property
     def vocab(self):
-        return reuse(mining.vocabulary(self.dt, self.n))
+        return materialize(mining.vocabulary(self.dt, self.n))
 
     @property
     def dtv(self):
@@ -42,16 +42,16 @@ class MinedFixture:
 
     @cached_property
     def tfidf_top(self):
-        return reuse(mining.mine_tfidf(self.weights, self.fx.truth, self.docs, self.codes, self.n))
+        return materialize(mining.mine_tfidf(self.weights, self.fx.truth, self.docs, self.codes, self.n))
 
     @cached_property
     def chi2_top(self):
-        return reuse(mining.mine_chi2(self.dtv, self.vocab, self.fx.truth, self.docs, self.codes, self.n))
+        return materialize(mining.mine_chi2(self.dtv, self.vocab, self.fx.truth, self.docs, self.codes, self.n))
 
     @cached_property
     def has_hits(self):
         terms = self.chi2_top.select("term").unionByName(self.tfidf_top.select("term"))
-        return reuse(mining.terms_with_hits(terms, self.docs))
+        return materialize(mining.terms_with_hits(terms, self.docs))
 
     @property
     def merged(self):

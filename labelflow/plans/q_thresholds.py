@@ -10,7 +10,7 @@ from labelflow.plans.catalog import register
 from labelflow.plans.oracle_base import with_base
 from labelflow.plans.oracle_text import TEXT_CTES
 from labelflow.plans.q_text_matching import fixture_hits
-from labelflow.session import reuse
+from labelflow.session import materialize
 from labelflow.sources.fixtures import Fixtures
 
 
@@ -19,8 +19,8 @@ class ScoredFixture:
 
     def __init__(self, spark, sf):
         self.fx = Fixtures(spark, sf)
-        self.splits = reuse(self.fx.splits)
-        self.hits = reuse(fixture_hits(self.fx).select("doc_id", "pattern_id", "code"))
+        self.splits = materialize(self.fx.splits)
+        self.hits = materialize(fixture_hits(self.fx).select("doc_id", "pattern_id", "code"))
 
     def ids(self, split):
         return self.splits.where(F.col("split") == split).select("doc_id")

@@ -65,3 +65,12 @@ def reuse(df: DataFrame) -> DataFrame:
     """Keep an intermediate that several branches of one plan read (memory,
     spilling to disk); lost blocks are recomputed from lineage."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute ``df`` now and cut its lineage: the rows are written to the
+    shared checkpoint folder (``spark.checkpoint.dir``), so later plans start
+    from a scan instead of re-planning and re-running the whole history, and a
+    lost executor does not force recomputation from the sources."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
