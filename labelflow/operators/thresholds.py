@@ -83,7 +83,7 @@ def tune_grid(scores: DataFrame, truth: DataFrame, groups: Sequence[str] = (),
     best = cand.groupBy(*g, "code").agg(F.max(F.struct(f1.alias("f1"), (-F.col("k")).alias("nk"))).alias("b"))
     picked = best.select(*g, "code", F.when(F.col("b.f1") > 0, garr[-F.col("b.nk")]).alias("t"),
                          F.col("b.f1").alias("f1"))
-    base = codes if codes is not None else sup.select(*g, "code")
+    base = codes if codes is not None else scores.select(*g, "code").distinct()
     return (base.join(picked, [*g, "code"], "left")
             .select(*g, "code", F.coalesce("t", F.lit(float(default))).alias("threshold")))
 
