@@ -10,7 +10,6 @@ grid is produced only here, at the edge.
 
 from __future__ import annotations
 
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,8 +122,10 @@ def write_predictions(contract: DataFrame, root: str) -> None:
 
 def read_predictions(spark: SparkSession, root: str, method: str) -> DataFrame:
     """O-S4: one method's contract; the partition filter prunes the other files."""
-    part = os.path.join(root, f"method={method}")
-    if not os.path.exists(part) and not root.startswith(("hdfs:", "s3", "gs:", "abfs")):
+    jvm = spark.sparkContext._jvm
+    part = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/method={method}")
+    fs = part.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(part):
         raise FileNotFoundError(f"no predictions for method {method!r} under {root}")
     return spark.read.parquet(root).where(F.col("method") == method).select(*CONTRACT_COLUMNS)
 
