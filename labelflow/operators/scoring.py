@@ -101,6 +101,7 @@ def tiebreak(preds: DataFrame, texts: DataFrame, group: Sequence[int],
     Only documents with a fired group code meet the text (semi join first).
     """
     grp = [int(c) for c in group]
+    preds = preds.select("doc_id", "code", "score", "predicted")
     fired = (preds.where(F.col("predicted") & F.col("code").isin(*grp)).select("doc_id").distinct())
     winner = F.lit(int(default))
     for rx, code in reversed(list(rules)):

@@ -29,4 +29,4 @@ def load_all() -> None:
     """Import every query module so its keys are registered."""
     from labelflow.plans import (  # noqa: F401
         q_labels_metrics, q_sources, q_text_matching, q_thresholds, q_mining,
-        q_hybrid, q_orchestration, q_calibration, q_learn)
+        q_hybrid, q_orchestration, q_calibration, q_learn, flagship)

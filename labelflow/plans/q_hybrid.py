@@ -1 +1,168 @@
-"""placeholder"""
+"""Queries: head/tail buckets, champion selection, blending, tie-break group,
+mutex pairs and the whole two-variant classifier."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from labelflow.operators import labels, metrics, mining, scoring
+from labelflow.plans import hybrid
+from labelflow.plans.catalog import register
+from labelflow.plans.oracle_base import with_base
+from labelflow.plans.q_text_matching import stripped_docs
+from labelflow.session import materialize
+from labelflow.sources.fixtures import (HEAD_SHARE, MUTEX_PAIRS, PREFIX_RX, PREFIX_WINDOW, TIEBREAK_DEFAULT,
+                                        TIEBREAK_GROUP, TIEBREAK_RULES, TITLE_LEN, Fixtures)
+
+HYB_CTES = r"""
+head AS (SELECT code FROM truth GROUP BY code HAVING count(DISTINCT doc_id) >= 3e-1 * (SELECT count(*) FROM documents)),
+trd AS (SELECT doc_id FROM splits WHERE split = 'train'),
+vd AS (SELECT doc_id FROM splits WHERE split = 'val'),
+tc AS (SELECT p.method, p.code,
+         sum(CASE WHEN p.predicted AND t.code IS NOT NULL THEN 1 ELSE 0 END) AS tp,
+         sum(CASE WHEN p.predicted AND t.code IS NULL THEN 1 ELSE 0 END) AS fp,
+         sum(CASE WHEN (NOT p.predicted) AND t.code IS NOT NULL THEN 1 ELSE 0 END) AS fn
+       FROM preds p JOIN trd ON trd.doc_id = p.doc_id LEFT JOIN truth t ON t.doc_id = p.doc_id AND t.code = p.code
+       GROUP BY p.method, p.code),
+tf1 AS (SELECT method, code, CASE WHEN 2 * tp + fp + fn > 0 THEN CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) ELSE 0.0 END AS f1
+        FROM tc),
+champ AS (SELECT a.code, a.f1 AS f1_v1, b.f1 AS f1_v2, CASE WHEN a.f1 >= b.f1 THEN 1 ELSE 2 END AS champion
+          FROM tf1 a JOIN tf1 b ON a.code = b.code AND a.method = 'm1' AND b.method = 'm2'),
+bl AS (SELECT p.doc_id, p.code, p.score, p.predicted FROM preds p JOIN champ c ON c.code = p.code
+         AND p.method = CASE WHEN c.champion = 1 THEN 'm1' ELSE 'm2' END
+       WHERE p.doc_id IN (SELECT doc_id FROM vd)),
+fired AS (SELECT DISTINCT doc_id FROM bl WHERE predicted AND code IN (20, 30, 40)),
+win AS (SELECT f.doc_id, CASE WHEN regexp_matches(d.text, '(?is)für') THEN 30
+                              WHEN regexp_matches(d.text, '(?is)los') THEN 40 ELSE 20 END AS winner
+        FROM fired f JOIN documents d ON d.doc_id = f.doc_id),
+tb AS (SELECT b.doc_id, b.code, b.score,
+         CASE WHEN w.winner IS NOT NULL AND b.code IN (20, 30, 40) THEN b.code = w.winner ELSE b.predicted END AS predicted
+       FROM bl b LEFT JOIN win w ON w.doc_id = b.doc_id),
+s1 AS (SELECT doc_id, code, score FROM preds WHERE method = 'm1')
+"""
+
+
+def _fx_preds(spark, sf):
+    fx = Fixtures(spark, sf)
+    s = materialize(fx.splits)
+    return fx, s
+
+
+def _champion(fx, s):
+    train = s.where(F.col("split") == "train").select("doc_id")
+    pc = metrics.per_class(fx.preds.join(train, "doc_id", "left_semi"), fx.truth, train, fx.label_space, digits=None)
+    return scoring.champion(pc.where(F.col("method") == "m1"), pc.where(F.col("method") == "m2"), fx.label_space)
+
+
+def _blended(fx, s):
+    val = s.where(F.col("split") == "val").select("doc_id")
+    p = fx.preds.join(val, "doc_id", "left_semi")
+    champ = materialize(_champion(fx, s))
+    return scoring.blend(p.where(F.col("method") == "m1"), p.where(F.col("method") == "m2"), champ)
+
+
+def _head(fx):
+    n = fx.table("documents", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return labels.head_tail(fx.truth, share=HEAD_SHARE, n_docs=n).where(F.col("is_head")).select("code")
+
+
+@register("tail_bucket", with_base(HYB_CTES, """
+SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT t.doc_id FROM truth t JOIN head h ON h.code = t.code)"""))
+def q_tail_bucket(spark, sf):
+    fx = Fixtures(spark, sf)
+    return scoring.tail_bucket(fx.table("documents", "doc_id"), fx.truth, _head(fx))
+
+
+@register("tail_routed", with_base(HYB_CTES, """
+SELECT doc_id FROM documents WHERE doc_id NOT IN (
+  SELECT p.doc_id FROM preds p JOIN head h ON h.code = p.code WHERE p.method = 'm1' AND p.predicted)"""))
+def q_tail_routed(spark, sf):
+    fx = Fixtures(spark, sf)
+    return scoring.tail_routed(fx.table("documents", "doc_id"), fx.preds.where(F.col("method") == "m1"), _head(fx))
+
+
+@register("champion", with_base(HYB_CTES, """
+SELECT code, round(f1_v1, 6) AS f1_v1, round(f1_v2, 6) AS f1_v2, champion FROM champ"""))
+def q_champion(spark, sf):
+    fx, s = _fx_preds(spark, sf)
+    c = _champion(fx, s)
+    return c.select("code", F.round("f1_v1", 6).alias("f1_v1"), F.round("f1_v2", 6).alias("f1_v2"), "champion")
+
+
+@register("hybrid_scores", with_base(HYB_CTES, "SELECT doc_id, code, round(score, 9) AS score, predicted FROM bl"))
+def q_hybrid_scores(spark, sf):
+    fx, s = _fx_preds(spark, sf)
+    b = _blended(fx, s)
+    return b.select("doc_id", "code", F.round("score", 9).alias("score"), "predicted")
+
+
+@register("tiebreak_group", with_base(HYB_CTES, """
+SELECT doc_id, code, predicted FROM tb WHERE code IN (20, 30, 40)"""))
+def q_tiebreak(spark, sf):
+    fx, s = _fx_preds(spark, sf)
+    b = _blended(fx, s)
+    t = scoring.tiebreak(b, fx.docs, TIEBREAK_GROUP, TIEBREAK_RULES, TIEBREAK_DEFAULT, fx.label_space)
+    return t.where(F.col("code").isin(*TIEBREAK_GROUP)).select("doc_id", "code", "predicted")
+
+
+def _mutex_sql() -> str:
+    cur = "tb"
+    ctes = []
+    for i, (a, b) in enumerate(MUTEX_PAIRS):
+        nxt = f"mx{i}"
+        ctes.append(f"""{nxt} AS (
+  SELECT x.doc_id, x.code, x.score,
+    CASE WHEN l.loser IS NOT NULL AND x.code = l.loser THEN false ELSE x.predicted END AS predicted
+  FROM {cur} x LEFT JOIN (
+    SELECT pa.doc_id, CASE WHEN coalesce(sa.score, 0.0) >= coalesce(sb.score, 0.0) THEN {b} ELSE {a} END AS loser
+    FROM {cur} pa JOIN {cur} pb ON pb.doc_id = pa.doc_id AND pa.code = {a} AND pb.code = {b}
+    LEFT JOIN s1 sa ON sa.doc_id = pa.doc_id AND sa.code = {a} LEFT JOIN s1 sb ON sb.doc_id = pa.doc_id AND sb.code = {b}
+    WHERE pa.predicted AND pb.predicted) l ON l.doc_id = x.doc_id)""")
+        cur = nxt
+    return ",\n".join(ctes), cur
+
+
+_MX_CTES, _MX_LAST = _mutex_sql()
+_MX_CODES = ", ".join(str(c) for p in MUTEX_PAIRS for c in p)
+
+
+@register("mutex_pairs", with_base(HYB_CTES + "," + _MX_CTES, f"""
+SELECT doc_id, code, predicted FROM {_MX_LAST} WHERE code IN ({_MX_CODES})"""))
+def q_mutex(spark, sf):
+    fx, s = _fx_preds(spark, sf)
+    b = _blended(fx, s)
+    t = scoring.tiebreak(b, fx.docs, TIEBREAK_GROUP, TIEBREAK_RULES, TIEBREAK_DEFAULT, fx.label_space)
+    ref = fx.preds.where(F.col("method") == "m1").select("doc_id", "code", "score")
+    m = scoring.mutex(t, ref, MUTEX_PAIRS)
+    codes = [c for p in MUTEX_PAIRS for c in p]
+    return m.where(F.col("code").isin(*codes)).select("doc_id", "code", "predicted")
+
+
+def _fixture_patterns(fx):
+    """Curated seed phrases plus terms mined from the given documents."""
+    def build(codes, docs):
+        dt = materialize(mining.doc_terms(docs))
+        n = mining.corpus_size(docs)
+        vocab = materialize(mining.vocabulary(dt, n))
+        dtv = mining.restrict_to_vocab(dt, vocab)
+        chi = materialize(mining.mine_chi2(dtv, vocab, fx.truth, docs, codes, n))
+        tfi = materialize(mining.mine_tfidf(mining.tfidf(dtv, n), fx.truth, docs, codes, n))
+        hh = mining.terms_with_hits(chi.select("term").unionByName(tfi.select("term")), docs)
+        merged = mining.merge_mined(chi, tfi, hh)
+        return mining.build_pattern_table(fx.curated, merged, None, codes)
+    return build
+
+
+@register("hybrid_end_to_end")
+def q_hybrid_e2e(spark, sf):
+    fx, s = _fx_preds(spark, sf)
+    docs = materialize(stripped_docs(fx))
+    train = docs.join(s.where(F.col("split") == "train").select("doc_id"), "doc_id", "left_semi")
+    val = docs.join(s.where(F.col("split") == "val").select("doc_id"), "doc_id", "left_semi")
+    cfg = hybrid.HybridConfig(prefix_rx=PREFIX_RX, window=PREFIX_WINDOW, title_len=TITLE_LEN,
+                              head_share=HEAD_SHARE, tiebreak_group=TIEBREAK_GROUP,
+                              tiebreak_rules=TIEBREAK_RULES, tiebreak_default=TIEBREAK_DEFAULT,
+                              mutex_pairs=MUTEX_PAIRS)
+    out = hybrid.run_hybrid(train, val, fx.truth, fx.label_space, s.select("doc_id", "fold"),
+                            _fixture_patterns(fx), cfg)
+    return out["pred"].select("doc_id", "code", F.round("score", 9).alias("score"), "predicted")
