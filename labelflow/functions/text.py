@@ -119,44 +119,47 @@ def letter_spans(text, lengths: Iterable[int]) -> Column:
 
     A string that starts and ends with a letter occurs word-bounded in the text
     exactly when it equals one of these spans, so phrase matching becomes an
-    equi-join on the span.
+    equi-join on the span.  Each k is one regex scan: a zero-width match at
+    every letter-run start captures the next k runs (overlapping spans).
     """
     t = _c(text)
-    ks = sorted(set(int(k) for k in lengths))
-
-    def body(toks):
-        n = F.size(toks)
-        s0 = F.when(toks[0].rlike(r"^\p{L}"), F.lit(1)).otherwise(F.lit(2))
-        starts = F.when(n >= s0, F.sequence(s0, n, F.lit(2))).otherwise(F.array().cast("array<int>"))
-
-        def spans_at(i):
-            return F.array(*[F.when(i + (2 * k - 2) <= n, F.array_join(F.slice(toks, i, 2 * k - 1), ""))
-                             for k in ks])
-        return F.array_distinct(F.filter(F.flatten(F.transform(starts, spans_at)), lambda s: s.isNotNull()))
-    return let(F.split(F.regexp_replace(t, LETTER_EDGE, MARK), MARK, -1), body)
+    parts = []
+    for k in sorted(set(int(k) for k in lengths)):
+        rx = r"(?<!\p{L})(?=(\p{L}+" + (r"(?:\P{L}+\p{L}+)" + "{%d}" % (k - 1) if k > 1 else "") + "))"
+        parts.append(F.regexp_extract_all(t, F.lit(rx), 1))
+    spans = parts[0] if len(parts) == 1 else F.concat(*parts)
+    return F.array_distinct(spans)
 
 
 def mining_tokens(text, stopwords: Iterable[str] = ()) -> Column:
-    """Lower-cased mining tokens in order, stopwords removed."""
-    toks = F.filter(F.regexp_extract_all(F.lower(_c(text)), F.lit(WORD_RUN), 0),
-                    lambda w: w.rlike(MINING_TOKEN))
-    stops = sorted(set(stopwords))
-    if stops:
-        toks = F.filter(toks, lambda w: ~w.isin(*stops))
-    return toks
+    """Lower-cased mining tokens in order, stopwords removed.
+
+    A token is a maximal run of word characters made only of Latin-1 letters,
+    at least three long; one regex scan finds them, a negative look-ahead
+    skips the stopwords.
+    """
+    stops = sorted(set(stopwords), key=lambda w: (-len(w), w))
+    wc = r"[\p{L}\p{N}_]"
+    skip = ("(?!(?:" + "|".join(stops) + f")(?!{wc}))") if stops else ""
+    rx = f"(?<!{wc}){skip}[a-zA-ZÀ-ÿ]{{3,}}(?!{wc})"
+    return F.regexp_extract_all(F.lower(_c(text)), F.lit(rx), 0)
 
 
 def ngrams(tokens, n_min: int = 1, n_max: int = 3) -> Column:
-    """All n-grams (space-joined) of a token array for n in [n_min, n_max]."""
-    def gram_of(t, n):
-        # a one-argument lambda: transform() passes (element, index) to two-argument ones
-        return lambda i: F.array_join(F.slice(t, i, n), " ")
+    """All n-grams (space-joined) of a token array for n in [n_min, n_max].
 
+    Tokens contain no spaces, so the space-joined token string is scanned
+    once per n with a zero-width match at every token start capturing the
+    next n tokens.
+    """
     def body(t):
+        joined = F.array_join(t, " ")
         parts = []
         for n in range(n_min, n_max + 1):
-            k = F.size(t) - n + 1
-            parts.append(F.when(k >= 1, F.transform(F.sequence(F.lit(1), k), gram_of(t, n)))
-                         .otherwise(F.array().cast("array<string>")))
+            if n == 1:
+                parts.append(t)
+            else:
+                rx = r"(?<![^ ])(?=([^ ]+(?: [^ ]+){%d}))" % (n - 1)
+                parts.append(F.regexp_extract_all(joined, F.lit(rx), 1))
         return F.concat(*parts) if len(parts) > 1 else parts[0]
     return let(_c(tokens), body)

@@ -1 +1,130 @@
-"""placeholder"""
+"""Queries: chunking, pooling, the learned scorer, batch scoring and the
+config sweep."""
+
+from __future__ import annotations
+
+import json
+import os
+
+from pyspark.sql import functions as F
+
+from labelflow.operators import learn, metrics, thresholds
+from labelflow.plans.catalog import register
+from labelflow.plans.oracle_base import with_base
+from labelflow.session import materialize, scratch_path
+from labelflow.sources import contract
+from labelflow.sources.fixtures import Fixtures
+
+CFG = learn.ChunkConfig(content_size=510, stride=460, max_chunks=8)
+MIN_SUPPORT = 5
+
+
+@register("doc_chunks", with_base("""
+tk AS (SELECT doc_id, regexp_extract_all(text, '\\S+') AS t FROM documents),
+st AS (SELECT doc_id, t, unnest(range(0, greatest(len(t), 1), 460)[1:8]) AS start FROM tk)""", """
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS INT) AS chunk_no,
+       CAST(start AS INT) AS start, CAST(len(t[start + 1 : start + 510]) + 2 AS INT) AS n_tokens,
+       md5(array_to_string(t[start + 1 : start + 510], ' ')) AS chunk_md5
+FROM st"""))
+def q_chunks(spark, sf):
+    fx = Fixtures(spark, sf)
+    c = learn.chunk_docs(fx.docs, CFG)
+    return c.select("doc_id", "chunk_no", "start", "n_tokens", F.md5(F.array_join("tokens", " ")).alias("chunk_md5"))
+
+
+@register("pool_mean", with_base("""
+ex AS (SELECT doc_id, n_tokens, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM chunk_vecs)""", """
+SELECT doc_id, CAST(dim AS INT) AS dim, round(sum(n_tokens * CAST(x AS DOUBLE)) / sum(n_tokens), 6) AS value
+FROM ex GROUP BY doc_id, dim"""))
+def q_pool_mean(spark, sf):
+    p = learn.pool(Fixtures(spark, sf).chunk_vecs, "mean")
+    return p.select("doc_id", F.col("dim").cast("int").alias("dim"), F.round("value", 6).alias("value"))
+
+
+@register("pool_max", with_base("""
+ex AS (SELECT doc_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM chunk_vecs)""", """
+SELECT doc_id, CAST(dim AS INT) AS dim, round(max(CAST(x AS DOUBLE)), 6) AS value FROM ex GROUP BY doc_id, dim"""))
+def q_pool_max(spark, sf):
+    p = learn.pool(Fixtures(spark, sf).chunk_vecs, "max")
+    return p.select("doc_id", F.col("dim").cast("int").alias("dim"), F.round("value", 6).alias("value"))
+
+
+class Learned:
+    """Chunk features for all documents; scorers fitted on the train split."""
+
+    def __init__(self, spark, sf, cfg: learn.ChunkConfig = CFG, num_features: int = 1 << 12):
+        self.fx = Fixtures(spark, sf)
+        self.splits = materialize(self.fx.splits)
+        chunks = learn.chunk_docs(self.fx.docs, cfg)
+        self.features = materialize(learn.chunk_features(chunks, num_features))
+        self.train = self.splits.where(F.col("split") == "train").select("doc_id")
+        self.val = self.splits.where(F.col("split") == "val").select("doc_id")
+        t_train = self.fx.truth.join(self.train, "doc_id", "left_semi")
+        sup = [r["code"] for r in t_train.groupBy("code").count().where(F.col("count") >= MIN_SUPPORT)
+               .orderBy("code").collect()]   # a list of codes: bounded by the label space
+        w = metrics.pos_weights(t_train, self.train, self.fx.label_space, cap=200.0, digits=None)
+        self.models = learn.fit_scorers(self.features.join(self.train, "doc_id", "left_semi"),
+                                        t_train, w, sup)
+
+
+@register("learned_scores")
+def q_learned(spark, sf):
+    lr = Learned(spark, sf)
+    s = learn.score(lr.features.join(lr.val, "doc_id", "left_semi"), lr.models)
+    return s.select("doc_id", "code", F.round("score", 6).alias("score"))
+
+
+@register("score_batch")
+def q_score_batch(spark, sf):
+    """Save the fitted scorers, load them back, score the val documents,
+    threshold per code (grid search on the val scores, strict >, 0.5 for
+    unseen codes) and emit the dense contract."""
+    lr = Learned(spark, sf)
+    root = scratch_path(spark, "scorers")
+    learn.save_models(lr.models, root)
+    models = learn.load_models(root, list(lr.models))
+    feats = lr.features.join(lr.val, "doc_id", "left_semi")
+    s = materialize(learn.score(feats, models))
+    th = thresholds.tune_grid(s.withColumn("method", F.lit("learned")),
+                              lr.fx.truth.join(lr.val, "doc_id", "left_semi"), ["method"], MIN_SUPPORT)
+    looked = contract.threshold_lookup(lr.fx.label_space, th.drop("method"), default=0.5)
+    p = s.join(F.broadcast(looked), "code").withColumn("predicted", F.col("score") > F.col("threshold"))
+    return contract.dense_contract(p, lr.val, lr.fx.label_space, "learned")
+
+
+SWEEP = [
+    {"run": "short_chunks", "pooling": "mean", "content_size": 128, "stride": 0, "max_chunks": 4,
+     "loss": {"type": "bce", "gamma": 2.0}, "thresh_min_support": 5},
+    {"run": "long_chunks", "pooling": "mean", "content_size": 510, "stride": 460, "max_chunks": 8,
+     "loss": {"type": "bce", "gamma": 2.0}, "thresh_min_support": 5},
+    {"run": "bad_config", "pooling": "mean", "content_size": 0, "stride": 0, "max_chunks": 1,
+     "loss": {"type": "bce", "gamma": 2.0}, "thresh_min_support": 5},
+]
+
+
+@register("sweep_table")
+def q_sweep(spark, sf):
+    """O-K6/O-E10/O-S11: read run configs (JSON files), fit each variant, keep
+    failures as rows with an error message."""
+    cfg_dir = scratch_path(spark, "configs")
+    os.makedirs(cfg_dir.replace("file:", ""), exist_ok=True)
+    for c in SWEEP:
+        with open(os.path.join(cfg_dir.replace("file:", ""), f"{c['run']}.json"), "w") as fh:
+            json.dump({k: v for k, v in c.items() if k != "run"}, fh)
+    configs = contract.read_configs(spark, cfg_dir).orderBy("run").collect()   # a handful of config rows
+    rows = []
+    for c in configs:
+        try:
+            if not c["content_size"] or c["content_size"] <= 0:
+                raise ValueError("content_size must be positive")
+            lr = Learned(spark, sf, learn.ChunkConfig(c["content_size"], c["stride"] or 0, c["max_chunks"]))
+            s = learn.score(lr.features.join(lr.val, "doc_id", "left_semi"), lr.models)
+            p = s.withColumn("method", F.lit(c["run"])).withColumn("predicted", F.col("score") > 0.5)
+            m = metrics.evaluate(p, lr.fx.truth, lr.val, lr.fx.label_space).first()
+            rows.append((c["run"], c["pooling"], c["loss_type"], int(c["max_chunks"]),
+                         float(m["micro_f1"]), float(m["macro_f1"]), None))
+        except Exception as e:  # noqa: BLE001 - a failing variant is recorded, not fatal
+            rows.append((c["run"], c["pooling"], c["loss_type"], int(c["max_chunks"] or 0), None, None,
+                         f"{type(e).__name__}: {e}"[:200]))
+    return spark.createDataFrame(rows, "run STRING, pooling STRING, loss STRING, chunks INT, "
+                                       "micro_f1 DOUBLE, macro_f1 DOUBLE, error STRING")
