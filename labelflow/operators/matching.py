@@ -19,8 +19,10 @@ Plan (no document x pattern product, no shuffle of text):
    broadcast hash join on (zone, span) finds the hits.
 2. Gapped patterns and terms with a non-letter edge come only from curated
    input (mined terms are always letter-edged); they travel as one
-   broadcast row and are tested per document with ``contains`` pre-checks
-   before any regex, then emitted as keys that the same join resolves.
+   broadcast row and are tested per document: a ``contains`` pre-check,
+   letter-edged parts by membership in the same span set, other parts and
+   the gap test by regex; passing patterns are emitted as keys that the same
+   join resolves.
 """
 
 from __future__ import annotations
@@ -74,11 +76,15 @@ def compile_patterns(patterns: DataFrame) -> DataFrame:
 
 
 def _edge_spec(compiled: DataFrame) -> DataFrame:
-    """One row: every gapped / non-letter-edged pattern with its tests."""
+    """One row: every gapped / non-letter-edged pattern with its tests.
+
+    A letter-edged part is tested by membership in the document's span set
+    (the same spans the join uses); other parts by a boundary regex.
+    """
     e = compiled.where(F.col("kind").isin("edge", "fuzzy"))
     part_spec = F.transform(
         F.when(F.col("kind") == "edge", F.array(F.col("term"))).otherwise(F.col("parts")),
-        lambda q: F.struct(F.when(tx.letter_edged(q), tx.mark_edges(q)).alias("mpart"),
+        lambda q: F.struct(F.when(tx.letter_edged(q), q).alias("lpart"),
                            F.when(~tx.letter_edged(q), tx.bounded_regex(q)).alias("prx")))
     gap_rx = F.when(F.col("kind") == "fuzzy", F.concat(
         F.lit("(?s)"), F.array_join(F.transform("parts", tx.regex_escape), tx.GAP_REGEX)))
@@ -97,32 +103,34 @@ def match(zones: DataFrame, compiled: DataFrame) -> DataFrame:
         "zone", F.concat(F.lit(KEY_MARK), F.col("pattern_id")).alias("key"), "pattern_id", "code")
     keys = lit_keys.unionByName(edge_keys)
     # small actions on the (bounded) pattern table only
+    edge_parts = F.filter(F.when(F.col("kind") == "fuzzy", F.col("parts")).otherwise(F.array()),
+                          lambda q: tx.letter_edged(q))
     stats = compiled.agg(
         F.collect_set(F.when(F.col("kind") == "literal", F.col("n_runs"))).alias("ks"),
+        F.flatten(F.collect_set(F.transform(edge_parts, lambda q: F.size(tx.letter_runs(q))))).alias("kf"),
         F.sum(F.when(F.col("kind").isin("edge", "fuzzy"), 1).otherwise(0)).alias("n_edge"),
         F.count(F.lit(1)).alias("n")).first()
-    lengths = sorted(stats["ks"] or [])
+    lengths = sorted(set(stats["ks"] or []) | set(stats["kf"] or []))
     z = zones
-    arrays = []
-    if lengths:
-        arrays.append(tx.letter_spans(F.col("ztext"), lengths))
+    zt = F.col("ztext")
+    spans = tx.letter_spans(zt, lengths) if lengths else F.array().cast("array<string>")
     if stats["n_edge"]:
         z = z.crossJoin(F.broadcast(_edge_spec(compiled)))  # one row
-        zt = F.col("ztext")
 
-        def edge_hits(marked):
+        def with_edge(sp):
             def passes(p):
                 parts_ok = F.forall(p["qs"], lambda q: F.when(
-                    q["mpart"].isNotNull(), F.contains(marked, q["mpart"])).otherwise(F.regexp_like(zt, q["prx"])))
+                    q["lpart"].isNotNull(), F.array_contains(sp, q["lpart"])).otherwise(F.regexp_like(zt, q["prx"])))
                 return ((p["zone"] == F.col("zone")) & F.contains(zt, p["pre"]) & parts_ok
                         & (p["rx"].isNull() | F.regexp_like(zt, F.coalesce(p["rx"], F.lit("")))))
-            return F.transform(F.filter("_edge", passes),
-                               lambda p: F.concat(F.lit(KEY_MARK), p["pattern_id"]))
-        # the marked text is built once per row, not once per pattern
-        arrays.append(tx.let(tx.mark_edges(zt), edge_hits))
-    if not arrays:
+            hits = F.transform(F.filter("_edge", passes), lambda p: F.concat(F.lit(KEY_MARK), p["pattern_id"]))
+            return F.concat(sp, hits)
+        # the span set is computed once per row and shared by the join keys and the part tests
+        all_keys = tx.let(spans, with_edge)
+    elif lengths:
+        all_keys = spans
+    else:
         return spark.createDataFrame([], "doc_id BIGINT, zone STRING, pattern_id STRING, code INT")
-    all_keys = arrays[0] if len(arrays) == 1 else F.concat(*arrays)
     exploded = z.select("doc_id", "zone", F.explode(all_keys).alias("key"))
     right = F.broadcast(keys) if stats["n"] <= MAX_BROADCAST_PATTERNS else keys
     return exploded.join(right, ["zone", "key"]).select("doc_id", "zone", "pattern_id", "code")
