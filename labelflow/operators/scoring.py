@@ -98,7 +98,9 @@ def tiebreak(preds: DataFrame, texts: DataFrame, group: Sequence[int],
     not fire.  Needs at least two group codes in the label space.
 
     ``preds`` (doc_id, code, score, predicted) sparse; ``texts`` (doc_id, text).
-    Only documents with a fired group code meet the text (semi join first).
+    The rule regexes run in one narrow pass over the texts; only the small
+    (doc_id, winner) result is joined to the fired documents, so no text is
+    shuffled.
     """
     grp = [int(c) for c in group]
     preds = preds.select("doc_id", "code", "score", "predicted")
@@ -106,8 +108,11 @@ def tiebreak(preds: DataFrame, texts: DataFrame, group: Sequence[int],
     winner = F.lit(int(default))
     for rx, code in reversed(list(rules)):
         winner = F.when(F.col("text").rlike(f"(?isu){rx}"), F.lit(int(code))).otherwise(winner)
-    win = (texts.select("doc_id", "text").join(fired, "doc_id", "left_semi")
-           .select("doc_id", winner.alias("winner")))
+    # union + aggregate (not a join) so the optimiser cannot move the text into the shuffle
+    cand = texts.select("doc_id", winner.alias("winner"), F.lit(0).alias("_f"))
+    win = (cand.unionByName(fired.select("doc_id", F.lit(None).cast("int").alias("winner"), F.lit(1).alias("_f")))
+           .groupBy("doc_id").agg(F.max("winner").alias("winner"), F.max("_f").alias("_f"))
+           .where(F.col("_f") == 1).drop("_f"))
     if space is not None:
         present = space.where(F.col("code").isin(*grp)).agg(F.count(F.lit(1)).alias("_k"))
         win = win.crossJoin(F.broadcast(present)).where(F.col("_k") >= 2).drop("_k")

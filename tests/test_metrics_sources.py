@@ -64,3 +64,24 @@ def test_chunks_short_and_empty(spark):
     c = {(r.doc_id, r.chunk_no): r.tokens for r in learn.chunk_docs(d, learn.ChunkConfig(4, 2, 8)).collect()}
     # empty text: one empty chunk; the last chunk may lie wholly inside the one before
     assert c == {(0, 0): [], (1, 0): ["a", "b", "c"], (1, 1): ["c"]}
+
+
+def test_table_sinks_round_trip(spark):
+    d = tempfile.mkdtemp()
+    df = spark.createDataFrame([(1, 0.5), (2, 0.25)], "code INT, f1 DOUBLE")
+    for fmt in ("csv", "json", "parquet"):
+        path = os.path.join(d, fmt)
+        contract.write_table(df, path, fmt)
+        reader = {"csv": lambda p: spark.read.option("header", True).schema("code INT, f1 DOUBLE").csv(p),
+                  "json": lambda p: spark.read.schema("code INT, f1 DOUBLE").json(p),
+                  "parquet": spark.read.parquet}[fmt]
+        assert sorted(tuple(r) for r in reader(path).collect()) == [(1, 0.5), (2, 0.25)]
+
+
+def test_config_source_flattens_loss(spark):
+    d = tempfile.mkdtemp()
+    with open(os.path.join(d, "a.json"), "w") as fh:
+        fh.write('{"pooling": "mean", "content_size": 510, "stride": 460, "max_chunks": 8,\\n'
+                 ' "loss": {"type": "focal", "gamma": 2.0}}')
+    r = contract.read_configs(spark, d).first()
+    assert (r.run, r.loss_type, r.loss_gamma, r.max_chunks) == ("a", "focal", 2.0, 8)
