@@ -86,10 +86,14 @@ def fit_temperature(cells: DataFrame, temps: Sequence[float] | None = None, n_bi
 
 
 def calibrate(preds: DataFrame, temps: DataFrame, thresholds: DataFrame | None = None,
-              default_threshold: float = 0.5, suffix: str = "_cal") -> DataFrame:
+              default_threshold: float = 0.5, suffix: str = "_cal",
+              rescale_thresholds: bool = False) -> DataFrame:
     """O-C6: calibrated scores sigmoid(logit(p) / T); predicted with strict
     ``>`` against the per-code thresholds (tuned on raw scores, as fitted);
-    written as a new method ``{method}{suffix}``."""
+    written as a new method ``{method}{suffix}`` (never over its input).
+
+    With ``rescale_thresholds`` each threshold goes through the same
+    monotone map, so decisions stay those of the raw scores."""
     j = preds.join(F.broadcast(temps.select("method", "temperature")), "method")
     j = j.withColumn("score", sigmoid(logit(F.col("score")) / F.col("temperature")))
     if thresholds is not None:
@@ -98,5 +102,7 @@ def calibrate(preds: DataFrame, temps: DataFrame, thresholds: DataFrame | None =
             "threshold", F.coalesce("threshold", F.lit(float(default_threshold))))
     else:
         j = j.withColumn("threshold", F.lit(float(default_threshold)))
+    if rescale_thresholds:
+        j = j.withColumn("threshold", sigmoid(logit(F.col("threshold")) / F.col("temperature")))
     return j.select(F.concat(F.col("method"), F.lit(suffix)).alias("method"), "doc_id", "code", "score",
                     (F.col("score") > F.col("threshold")).alias("predicted"))
