@@ -3,9 +3,6 @@ config sweep."""
 
 from __future__ import annotations
 
-import json
-import os
-
 from pyspark.sql import functions as F
 
 from labelflow.operators import learn, metrics, thresholds
@@ -107,10 +104,8 @@ def q_sweep(spark, sf):
     """O-K6/O-E10/O-S11: read run configs (JSON files), fit each variant, keep
     failures as rows with an error message."""
     cfg_dir = scratch_path(spark, "configs")
-    os.makedirs(cfg_dir.replace("file:", ""), exist_ok=True)
     for c in SWEEP:
-        with open(os.path.join(cfg_dir.replace("file:", ""), f"{c['run']}.json"), "w") as fh:
-            json.dump({k: v for k, v in c.items() if k != "run"}, fh)
+        contract.write_config(spark, {k: v for k, v in c.items() if k != "run"}, cfg_dir, c["run"])
     configs = contract.read_configs(spark, cfg_dir).orderBy("run").collect()   # a handful of config rows
     rows = []
     for c in configs:

@@ -236,8 +236,20 @@ CONFIG_SCHEMA = T.StructType([
 
 
 def read_configs(spark: SparkSession, path: str) -> DataFrame:
-    """O-S11: one row per run config file, nested ``loss`` flattened."""
-    raw = (spark.read.schema(CONFIG_SCHEMA).option("multiLine", "true").json(path)
-           .withColumn("run", F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1)))
+    """O-S11: one row per run config file, nested ``loss`` flattened.
+
+    The run name is the file name (``run.json``) or, for configs written by
+    Spark, the folder name (``run.json/part-...``)."""
+    raw = (spark.read.schema(CONFIG_SCHEMA).option("multiLine", "true").option("recursiveFileLookup", "true")
+           .json(path)
+           .withColumn("run", F.regexp_extract(F.input_file_name(), r"([^/]+)\.json(?:/[^/]*)?$", 1)))
     return raw.select("run", *[c for c in raw.columns if c not in ("loss", "run")],
                       F.col("loss.type").alias("loss_type"), F.col("loss.gamma").alias("loss_gamma"))
+
+
+def write_config(spark: SparkSession, config: dict, root: str, run: str) -> None:
+    """Write one run config as a JSON document under ``root/run.json`` (through
+    Spark, so ``root`` may be any shared file system)."""
+    import json
+    spark.createDataFrame([(json.dumps(config),)], "value STRING").coalesce(1) \
+        .write.mode("overwrite").text(f"{root.rstrip('/')}/{run}.json")

@@ -81,7 +81,14 @@ def test_table_sinks_round_trip(spark):
 def test_config_source_flattens_loss(spark):
     d = tempfile.mkdtemp()
     with open(os.path.join(d, "a.json"), "w") as fh:
-        fh.write('{"pooling": "mean", "content_size": 510, "stride": 460, "max_chunks": 8,\\n'
+        fh.write('{"pooling": "mean", "content_size": 510, "stride": 460, "max_chunks": 8,\n'
                  ' "loss": {"type": "focal", "gamma": 2.0}}')
     r = contract.read_configs(spark, d).first()
     assert (r.run, r.loss_type, r.loss_gamma, r.max_chunks) == ("a", "focal", 2.0, 8)
+
+
+def test_config_written_by_spark(spark):
+    root = os.path.join(tempfile.mkdtemp(), "cfg")
+    contract.write_config(spark, {"pooling": "max", "max_chunks": 3, "loss": {"type": "bce", "gamma": 1.0}}, root, "v1")
+    r = contract.read_configs(spark, root).first()
+    assert (r.run, r.pooling, r.max_chunks, r.loss_type) == ("v1", "max", 3, "bce")
