@@ -102,10 +102,13 @@ def q_pred_wide(spark, sf):
 
 
 @register("missing_predictions", with_base("", """
-SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM preds WHERE method = 'm2' AND predicted)"""))
+SELECT doc_id FROM documents
+WHERE doc_id NOT IN (SELECT doc_id FROM preds WHERE method = 'm2' AND predicted AND score >= 8e-1)"""))
 def q_missing(spark, sf):
+    """Confident rows only (predicted, score >= 0.8) form the sparse table;
+    documents without any are the ids missing from it."""
     fx = Fixtures(spark, sf)
-    sp = fx.preds.where((F.col("method") == "m2") & F.col("predicted"))
+    sp = fx.preds.where((F.col("method") == "m2") & F.col("predicted") & (F.col("score") >= F.lit(0.8)))
     _, missing = contract.align(sp, fx.table("documents", "doc_id"), fx.label_space)
     return missing
 
