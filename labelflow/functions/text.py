@@ -113,19 +113,35 @@ def letter_runs(x) -> Column:
     return F.regexp_extract_all(_c(x), F.lit(r"\p{L}+"), 0)
 
 
-def letter_spans(text, lengths: Iterable[int]) -> Column:
+MAX_FIRST_RUNS = 256   # above this many first words per k the generic span scan is used
+
+
+def _java_quote(w: str) -> str:
+    return "".join("\\" + ch if not ch.isalnum() else ch for ch in w)
+
+
+def letter_spans(text, lengths: Iterable[int], first_runs: dict[int, Iterable[str]] | None = None) -> Column:
     """All distinct substrings that cover ``k`` consecutive complete letter runs
     (with the non-letter text between them), for every k in ``lengths``.
 
     A string that starts and ends with a letter occurs word-bounded in the text
     exactly when it equals one of these spans, so phrase matching becomes an
-    equi-join on the span.  Each k is one regex scan: a zero-width match at
-    every letter-run start captures the next k runs (overlapping spans).
+    equi-join on the span.  k = 1 spans are the letter runs themselves; each
+    k > 1 is one regex scan with a zero-width match at every letter-run start
+    capturing the next k runs (overlapping spans).  When ``first_runs[k]``
+    (the first words of the k-run phrases) is small, only spans starting with
+    one of them are produced: every other span can never join.
     """
     t = _c(text)
     parts = []
     for k in sorted(set(int(k) for k in lengths)):
-        rx = r"(?<!\p{L})(?=(\p{L}+" + (r"(?:\P{L}+\p{L}+)" + "{%d}" % (k - 1) if k > 1 else "") + "))"
+        if k == 1:
+            parts.append(F.regexp_extract_all(t, F.lit(r"\p{L}+"), 0))
+            continue
+        words = sorted(set((first_runs or {}).get(k, ())), key=lambda w: (-len(w), w))
+        head = (r"(?:" + "|".join(_java_quote(w) for w in words) + r")(?!\p{L})"
+                if first_runs is not None and 0 < len(words) <= MAX_FIRST_RUNS else r"\p{L}+")
+        rx = r"(?<!\p{L})(?=(" + head + r"(?:\P{L}+\p{L}+)" + "{%d}" % (k - 1) + "))"
         parts.append(F.regexp_extract_all(t, F.lit(rx), 1))
     spans = parts[0] if len(parts) == 1 else F.concat(*parts)
     return F.array_distinct(spans)
