@@ -151,14 +151,16 @@ def mining_tokens(text, stopwords: Iterable[str] = ()) -> Column:
     """Lower-cased mining tokens in order, stopwords removed.
 
     A token is a maximal run of word characters made only of Latin-1 letters,
-    at least three long; one regex scan finds them, a negative look-ahead
-    skips the stopwords.
+    at least three long (one regex scan); stopwords are dropped with a hash
+    set lookup per token.
     """
-    stops = sorted(set(stopwords), key=lambda w: (-len(w), w))
     wc = r"[\p{L}\p{N}_]"
-    skip = ("(?!(?:" + "|".join(stops) + f")(?!{wc}))") if stops else ""
-    rx = f"(?<!{wc}){skip}[a-zA-ZÀ-ÿ]{{3,}}(?!{wc})"
-    return F.regexp_extract_all(F.lower(_c(text)), F.lit(rx), 0)
+    rx = f"(?<!{wc})[a-zA-ZÀ-ÿ]{{3,}}(?!{wc})"
+    toks = F.regexp_extract_all(F.lower(_c(text)), F.lit(rx), 0)
+    stops = sorted(set(w for w in stopwords if len(w) >= 3))   # shorter ones can never be tokens
+    if stops:
+        toks = F.filter(toks, lambda w: ~w.isin(*stops))
+    return toks
 
 
 def ngrams(tokens, n_min: int = 1, n_max: int = 3) -> Column:
