@@ -10,9 +10,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letter = Unicode category L (the same class as Python's str.isalpha).
-LETTER_EDGE = r"(?<=\p{L})(?=\P{L})|(?<=\P{L})(?=\p{L})"
-MARK = "\u0001"
+# Letter = Unicode category L \p{L} (the same class as Python's str.isalpha).
 # Gap separators inside a phrase: an ellipsis character or two or more dots.
 GAP_SPLIT = r"\s*(?:…|\.{2,})\s*"
 GAP_REGEX = ".{0,80}"
@@ -94,16 +92,6 @@ def letter_edged(x) -> Column:
     return _c(x).rlike(r"(?s)^\p{L}(?:.*\p{L})?$")
 
 
-def mark_edges(x) -> Column:
-    """Insert MARK at every letter/non-letter edge and at both ends.
-
-    For a string that starts and ends with a letter, containment of its marked
-    form in the marked text is exactly a word-bounded occurrence (neighbours
-    are not letters).
-    """
-    return F.concat(F.lit(MARK), F.regexp_replace(_c(x), LETTER_EDGE, MARK), F.lit(MARK))
-
-
 def bounded_regex(x) -> Column:
     """Regex for a word-bounded occurrence of a string with non-letter edges."""
     return F.concat(F.lit(r"(?<!\p{L})"), regex_escape(x), F.lit(r"(?!\p{L})"))
