@@ -25,9 +25,11 @@ WINDOW = 10
 K = 5
 #: Low bits of a fingerprint that hold its word position.
 POS_BITS = 27
-#: Largest side (rows, or item words) that is broadcast; a larger one is
-#: shuffled.  The size is counted before the choice.
-BROADCAST_ROWS = 500_000
+#: Largest side, in bytes as counted before the choice, that is broadcast; a
+#: larger one is shuffled.
+BROADCAST_BYTES = 64 << 20
+#: Bytes of a broadcast row besides its texts.
+ROW_BYTES = 48
 
 SEPARATORS = r"[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -70,16 +72,16 @@ def _exploded(df: DataFrame, prints: str, *cols) -> DataFrame:
                     F.expr(f"CAST(v & {(1 << POS_BITS) - 1} AS INT)").alias("pos")))
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _small(df: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     """All columns of ``docs`` and n_words, hits (array of start, end, item_id:
     word positions, end exclusive), n_hit and items (sorted ids as strings)."""
     items = staged(benchmark.where("item_id is not null").select("item_id", F.expr(words_sql()).alias("iw"))
-                   .where("size(iw) > 0").distinct(), "benchmark-words")
-    items = items.withColumn("m", F.least(F.size("iw"), F.lit(window)))
+                   .where("size(iw) > 0").select("item_id", F.array_join("iw", " ").alias("iw"),
+                                          F.least(F.size("iw"), F.lit(window)).alias("m")).distinct(), "benchmark-words")
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     rows = docs.select("doc_id", key.alias("text_key"), "text").where("text is not null")
     lengths = [r["m"] for r in items.select("m").distinct().collect()]
@@ -88,22 +90,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
         sql = winnow_sql if m == window else whole_sql
         args = (window, k) if m == window else (m,)
         own = items.where(F.col("m") == m)
-        marks = staged(_exploded(own, sql("iw", *args), "item_id", "iw"), "benchmark-prints")
+        marks = staged(_exploded(own, sql("split(iw, ' ')", *args), "item_id", "iw"), "benchmark-prints")
         near = (_exploded(rows, sql(words_sql(), *args), "doc_id", "text_key")
-                .join(_small(marks.select("item_id", "iw", "fp", F.col("pos").alias("q")), marks.count()), "fp")
+                .join(_small(marks.select("item_id", "iw", "fp", F.col("pos").alias("q")),
+                             marks.agg(F.sum(F.length("iw") * 2 + ROW_BYTES)).first()[0] or 0), "fp")
                 .select("doc_id", "text_key", "item_id", "iw", F.lit(m).alias("m"), (F.col("pos") - F.col("q")).alias("d")))
         found = near if found is None else found.union(near)
     if found is None:
-        found = rows.where("false").select("doc_id", "text_key", F.lit("").alias("item_id"),
-                                           F.array().cast("array<string>").alias("iw"), F.lit(1).alias("m"), F.lit(0).alias("d"))
+        found = rows.where("false").select("doc_id", "text_key", F.lit(0).alias("item_id"),
+                                           F.lit("").alias("iw"), F.lit(1).alias("m"), F.lit(0).alias("d"))
     found = staged(found.distinct().groupBy("doc_id", "text_key")
                    .agg(F.collect_list(F.struct("item_id", "iw", "m", "d")).alias("near")), "alignments")
-    size = found.agg(F.sum(F.aggregate("near", F.lit(0), lambda a, x: a + 4 + F.size(x["iw"])))).first()[0] or 0
+    size = found.agg(F.sum(F.aggregate("near", F.lit(0), lambda a, x: a + F.length(x["iw"]) * 2 + ROW_BYTES))).first()[0] or 0
     names = docs.columns
     wide = (docs.select(F.struct(*names).alias("doc"), F.col("doc_id").alias("l_id"), key.alias("l_key"),
                         F.expr(words_sql()).alias("words"))
             .join(_small(found, size), F.col("l_id").eqNullSafe(F.col("doc_id")) & (F.col("l_key") == F.col("text_key")),
                   "left").select("doc", "words", "near"))
+    wide = wide.withColumn("near", F.expr("transform(near, x -> struct(x.item_id, split(x.iw, ' ') AS iw, x.m, x.d))"))
     starts = """filter(IF(least(size(x.iw), size(words) - x.d) - x.m >= greatest(0, -x.d),
                   sequence(greatest(0, -x.d), least(size(x.iw), size(words) - x.d) - x.m), CAST(array() AS ARRAY<INT>)),
                   j -> NOT exists(sequence(0, x.m - 1), t -> x.iw[j + t] <> words[x.d + j + t]))"""
