@@ -10,7 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelflow.llm import byte_bpe, decontam, ngram_join, quality, secrets, token_counts, token_files
+from labelflow.llm import (byte_bpe, decontam, embedding_dedup, licences, ngram_join, quality, secrets, token_counts,
+                           token_files, toxicity)
 from labelflow.llm.common import held_out
 from labelflow.session import scratch_path
 from labelflow.sources.tables import table
@@ -49,6 +50,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_docs(spark, sf_dir), public_tokenizers.path(WORD_TOKENIZER), cache)
 
 
+@query
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 @query
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
@@ -78,6 +84,19 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(_docs(spark, sf_dir), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+@query
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return licences.report(docs, licences.fit(docs))
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _docs(spark, sf_dir), table(spark, sf_dir, "labels", "doc_id", "toxic")
+    rows = toxicity.score(docs, toxicity.fit(docs, labels))
+    return rows.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
