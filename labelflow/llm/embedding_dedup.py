@@ -54,7 +54,7 @@ def parameters(n: int, cosine: float = COSINE, width: float = WIDTH, recall: flo
 
 def _matrix(vectors: list[bytes]) -> np.ndarray:
     """Unit vectors in double precision."""
-    x = np.frombuffer(b"".join(vectors), "<f4").reshape(len(vectors), -1).astype(np.float64)
+    x = np.frombuffer(b"".join(vectors), "<f8").reshape(len(vectors), -1)
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
@@ -62,7 +62,7 @@ def _matrix(vectors: list[bytes]) -> np.ndarray:
 def _raw(v: list | None) -> bytes | None:
     if not v or None in v:
         return None
-    x = np.array(v, "<f4")
+    x = np.array(v, "<f8")
     return x.tobytes() if np.isfinite(x).all() and x.any() else None
 
 

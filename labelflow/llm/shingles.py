@@ -61,7 +61,8 @@ def shingle_sets(arr: pa.Array, size: int = 5) -> list[np.ndarray]:
     mult = odd_numbers(size, 23)
     total = np.zeros(len(h), np.uint64)
     for j in range(size):
-        total[:len(h) - j] += h[j:] * mult[j]
+        if j < len(h):
+            total[:len(h) - j] += h[j:] * mult[j]
     total = mix64(total + np.uint64(size))
     out, at = [], 0
     for n in per_row:
