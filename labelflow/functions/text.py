@@ -16,10 +16,6 @@ GAP_SPLIT = r"\s*(?:…|\.{2,})\s*"
 GAP_REGEX = ".{0,80}"
 # Characters escaped when a phrase becomes a regex (the set Python's re.escape uses).
 REGEX_SPECIALS = r"([()\[\]{}?*+\-|^$\\.&~# \t\n\r\x0B\f])"
-# Portable word pattern for mining: maximal runs of word characters whose
-# letters all come from the Latin-1 range, at least three long.
-WORD_RUN = r"[\p{L}\p{N}_]+"
-MINING_TOKEN = r"^[a-zA-ZÀ-ÿ]{3,}$"
 
 
 def _c(x) -> Column:
@@ -43,7 +39,7 @@ def strip_prefix(text, rx: str, window: int = 500) -> Column:
     head = F.substring(t, 1, window)
     pos = F.regexp_instr(head, F.lit(rx))
     mlen = F.length(F.regexp_extract(head, rx, 0))
-    return F.when(pos > 0, t.substr(pos + mlen, F.lit(1 << 30))).otherwise(t)
+    return F.when(pos > 0, F.substr(t, pos + mlen)).otherwise(t)
 
 
 def title_zone(text, rx: str, window: int = 500, length: int = 600) -> Column:
@@ -101,38 +97,43 @@ def letter_runs(x) -> Column:
     return F.regexp_extract_all(_c(x), F.lit(r"\p{L}+"), 0)
 
 
-MAX_FIRST_RUNS = 256   # above this many first words per k the generic span scan is used
+def run_spans(text, lengths: Iterable[int], letter: str = r"\p{L}") -> Column:
+    """All distinct substrings that cover ``k`` consecutive complete runs of
+    ``letter`` (with the text between them), for every k in ``lengths``.
 
-
-def _java_quote(w: str) -> str:
-    return "".join("\\" + ch if not ch.isalnum() else ch for ch in w)
-
-
-def letter_spans(text, lengths: Iterable[int], first_runs: dict[int, Iterable[str]] | None = None) -> Column:
-    """All distinct substrings that cover ``k`` consecutive complete letter runs
-    (with the non-letter text between them), for every k in ``lengths``.
-
-    A string that starts and ends with a letter occurs word-bounded in the text
+    A string that starts and ends with such a letter occurs bounded in the text
     exactly when it equals one of these spans, so phrase matching becomes an
-    equi-join on the span.  k = 1 spans are the letter runs themselves; each
-    k > 1 is one regex scan with a zero-width match at every letter-run start
-    capturing the next k runs (overlapping spans).  When ``first_runs[k]``
-    (the first words of the k-run phrases) is small, only spans starting with
-    one of them are produced: every other span can never join.
+    equi-join on the span.  Runs and the pieces between them are cut once; the
+    span of k runs that starts at run i is a concatenation.
     """
+    ks = sorted(set(int(k) for k in lengths))
     t = _c(text)
-    parts = []
-    for k in sorted(set(int(k) for k in lengths)):
-        if k == 1:
-            parts.append(F.regexp_extract_all(t, F.lit(r"\p{L}+"), 0))
-            continue
-        words = sorted(set((first_runs or {}).get(k, ())), key=lambda w: (-len(w), w))
-        head = (r"(?:" + "|".join(_java_quote(w) for w in words) + r")(?!\p{L})"
-                if first_runs is not None and 0 < len(words) <= MAX_FIRST_RUNS else r"\p{L}+")
-        rx = r"(?<!\p{L})(?=(" + head + r"(?:\P{L}+\p{L}+)" + "{%d}" % (k - 1) + "))"
-        parts.append(F.regexp_extract_all(t, F.lit(rx), 1))
-    spans = parts[0] if len(parts) == 1 else F.concat(*parts)
-    return F.array_distinct(spans)
+    runs = F.regexp_extract_all(t, F.lit(f"{letter}+"), 0)
+    if ks == [1]:
+        return F.array_distinct(runs)
+    gaps = F.split(t, f"{letter}+", -1)
+
+    def spans_of(r, g, k):
+        def span(i):
+            pieces = [F.get(r, i)]
+            for j in range(1, k):
+                pieces += [F.get(g, i + j), F.get(r, i + j)]
+            return F.concat(*pieces)
+        return span
+
+    def spans(r, g):
+        parts = []
+        for k in ks:
+            starts = F.when(F.size(r) >= k, F.sequence(F.lit(0), F.size(r) - k)).otherwise(F.array().cast("array<int>"))
+            parts.append(r if k == 1 else F.transform(starts, spans_of(r, g, k)))
+        return F.concat(*parts) if len(parts) > 1 else parts[0]
+
+    return F.array_distinct(let(runs, lambda r: let(gaps, lambda g: spans(r, g))))
+
+
+def letter_spans(text, lengths: Iterable[int]) -> Column:
+    """``run_spans`` over runs of Unicode letters."""
+    return run_spans(text, lengths, r"\p{L}")
 
 
 def mining_tokens(text, stopwords: Iterable[str] = ()) -> Column:
@@ -143,7 +144,8 @@ def mining_tokens(text, stopwords: Iterable[str] = ()) -> Column:
     set lookup per token.
     """
     wc = r"[\p{L}\p{N}_]"
-    rx = f"(?<!{wc})[a-zA-ZÀ-ÿ]{{3,}}(?!{wc})"
+    # letters of the Latin-1 range: × and ÷ lie in it but are no word characters
+    rx = f"(?<!{wc})[a-zA-ZÀ-ÖØ-öø-ÿ]{{3,}}(?!{wc})"
     toks = F.regexp_extract_all(F.lower(_c(text)), F.lit(rx), 0)
     stops = sorted(set(w for w in stopwords if len(w) >= 3))   # shorter ones can never be tokens
     if stops:

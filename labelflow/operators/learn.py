@@ -9,15 +9,18 @@ encoder can replace the hashed features through
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF, IDF
+from pyspark.ml.feature import HashingTF, IDF, IDFModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKEN = r"\S+"
@@ -27,7 +30,7 @@ TOKEN = r"\S+"
 class ChunkConfig:
     content_size: int = 510
     stride: int = 460          # 0 = no overlap
-    max_chunks: int = 8
+    max_chunks: int | None = None   # all chunks unless a run config asks for fewer
     special_tokens: int = 2    # start / end markers counted in a chunk's length
 
 
@@ -35,13 +38,15 @@ def chunk_docs(docs: DataFrame, cfg: ChunkConfig) -> DataFrame:
     """O-K1/O-K2: (doc_id, chunk_no, start, tokens, n_tokens).
 
     Starts 0, stride, ... below the token count (at least one chunk, so an
-    empty text gives one empty chunk); only the first ``max_chunks`` are
-    kept; n_tokens counts the special tokens too (the pooling weight).
+    empty text gives one empty chunk); all of them unless ``max_chunks`` is
+    given; n_tokens counts the special tokens too (the pooling weight).
     """
     step = cfg.stride if cfg.stride > 0 else cfg.content_size
     toks = F.regexp_extract_all(F.col("text"), F.lit(TOKEN), 0)
     n = F.size(toks)
-    starts = F.slice(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1, F.lit(step)), 1, cfg.max_chunks)
+    starts = F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1, F.lit(step))
+    if cfg.max_chunks is not None:
+        starts = F.slice(starts, 1, cfg.max_chunks)
     x = docs.select("doc_id", toks.alias("_t"), starts.alias("_s"))
     c = x.select("doc_id", "_t", F.posexplode("_s").alias("chunk_no", "start"))
     return c.select("doc_id", F.col("chunk_no").cast("int").alias("chunk_no"), F.col("start").cast("int").alias("start"),
@@ -51,8 +56,12 @@ def chunk_docs(docs: DataFrame, cfg: ChunkConfig) -> DataFrame:
 
 def pool(chunk_vecs: DataFrame, how: str = "mean", vec: str = "embedding", weight: str = "n_tokens") -> DataFrame:
     """O-K3: pool chunk vectors per document: ``mean`` = weight-weighted mean,
-    ``max`` = element-wise max.  Output (doc_id, dim, value), one row per
+    ``max`` = element-wise max, ``cls`` = the first chunk's vector.  Output (doc_id, dim, value), one row per
     dimension, aggregated per (doc, dim) with map-side partial sums."""
+    if how == "cls":
+        first = chunk_vecs.groupBy("doc_id").agg(F.min_by(vec, "chunk_no").alias("_v"))
+        return first.select("doc_id", F.posexplode("_v").alias("dim", "_x")).select(
+            "doc_id", "dim", F.col("_x").cast("double").alias("value"))
     e = chunk_vecs.select("doc_id", F.col(weight).cast("double").alias("_w"),
                           F.posexplode(vec).alias("dim", "_x"))
     if how == "mean":
@@ -64,13 +73,29 @@ def pool(chunk_vecs: DataFrame, how: str = "mean", vec: str = "embedding", weigh
     return e.groupBy("doc_id", "dim").agg(agg)
 
 
-def chunk_features(chunks: DataFrame, num_features: int = 1 << 14) -> DataFrame:
-    """Hashed term counts per chunk, IDF-weighted, mean-pooled per document
-    with the chunk length as weight: (doc_id, features)."""
-    tf = HashingTF(inputCol="tokens", outputCol="tf", numFeatures=num_features).transform(
+def chunk_tf(chunks: DataFrame, num_features: int = 1 << 14) -> DataFrame:
+    """Hashed term counts per chunk in column ``tf``."""
+    return HashingTF(inputCol="tokens", outputCol="tf", numFeatures=num_features).transform(
         chunks.withColumn("tokens", F.transform("tokens", F.lower)))
-    idf = IDF(inputCol="tf", outputCol="vec").fit(tf).transform(tf)
-    return (idf.groupBy("doc_id")
+
+
+def fit_idf(tf: DataFrame) -> IDFModel:
+    """Fit on the training documents' chunks only."""
+    return IDF(inputCol="tf", outputCol="vec").fit(tf)
+
+
+def chunk_features(chunks: DataFrame, idf: IDFModel, num_features: int = 1 << 14, how: str = "mean") -> DataFrame:
+    """IDF-weighted hashed counts pooled per document: (doc_id, features).
+    ``mean`` weighs chunks by their length, ``max`` takes the largest value of
+    each dimension, ``cls`` the first chunk."""
+    vec = idf.transform(chunk_tf(chunks, num_features))
+    if how == "cls":
+        return vec.groupBy("doc_id").agg(F.min_by("vec", "chunk_no").alias("features"))
+    if how == "max":
+        return vec.groupBy("doc_id").agg(Summarizer.max(F.col("vec")).alias("features"))
+    if how != "mean":
+        raise ValueError(f"unknown pooling {how!r}")
+    return (vec.groupBy("doc_id")
             .agg(Summarizer.mean(F.col("vec"), F.col("n_tokens").cast("double")).alias("features")))
 
 
@@ -96,20 +121,53 @@ def fit_scorers(features: DataFrame, truth: DataFrame, weights: DataFrame, codes
 
 
 def score(features: DataFrame, models: dict[int, LogisticRegressionModel]) -> DataFrame:
-    """O-K4/O-K5: (doc_id, code, score) with score = P(code | document)."""
-    out = None
-    for code, m in models.items():
-        s = (m.transform(features).select(
-            "doc_id", F.lit(int(code)).alias("code"),
-            vector_to_array("probability")[1].alias("score")))
-        out = s if out is None else out.unionByName(s)
-    return out
+    """O-K4/O-K5: (doc_id, code, score) with score = P(code | document).
+
+    All codes in one pass over the features: the coefficients form one table of
+    (codes x dimensions) doubles, known before the job starts."""
+    codes = sorted(models)
+    weights = np.array([models[c].coefficients.toArray() for c in codes])
+    bias = np.array([models[c].intercept for c in codes])
+    shared = features.sparkSession.sparkContext.broadcast((weights, bias))
 
+    @F.pandas_udf("array<double>")
+    def scores(x: pd.Series) -> pd.Series:
+        w, b = shared.value
+        z = np.array(x.tolist()).reshape(len(x), w.shape[1]) @ w.T + b
+        return pd.Series(list(1 / (1 + np.exp(-z))))
 
-def save_models(models: dict[int, LogisticRegressionModel], root: str) -> None:
-    for code, m in models.items():
-        m.write().overwrite().save(f"{root}/code={code}")
+    s = features.select("doc_id", scores(vector_to_array("features")).alias("_s"))
+    names = F.array(*[F.lit(int(c)) for c in codes])
+    return s.select("doc_id", F.explode(F.arrays_zip(names.alias("code"), F.col("_s").alias("score"))).alias("_z")) \
+        .select("doc_id", "_z.code", "_z.score")
 
 
-def load_models(root: str, codes: Sequence[int]) -> dict[int, LogisticRegressionModel]:
-    return {int(c): LogisticRegressionModel.load(f"{root}/code={c}") for c in codes}
+@dataclass
+class Scorer:
+    """Everything needed to score documents it has not seen."""
+
+    config: ChunkConfig
+    num_features: int
+    pooling: str
+    idf: IDFModel
+    models: dict[int, LogisticRegressionModel]
+
+    def score(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, code, score) of a document table (doc_id, text)."""
+        chunks = chunk_docs(docs, self.config)
+        return score(chunk_features(chunks, self.idf, self.num_features, self.pooling), self.models)
+
+    def save(self, spark: SparkSession, root: str) -> None:
+        for code, m in self.models.items():
+            m.write().overwrite().save(f"{root}/code={code}")
+        self.idf.write().overwrite().save(f"{root}/idf")
+        meta = {**asdict(self.config), "num_features": self.num_features, "pooling": self.pooling, "codes": sorted(self.models)}
+        spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/meta")
+
+    @classmethod
+    def load(cls, spark: SparkSession, root: str) -> "Scorer":
+        meta = json.loads(spark.read.text(f"{root}/meta").first()["value"])
+        codes = meta.pop("codes")
+        return cls(num_features=meta.pop("num_features"), pooling=meta.pop("pooling"), config=ChunkConfig(**meta),
+                   idf=IDFModel.load(f"{root}/idf"),
+                   models={int(c): LogisticRegressionModel.load(f"{root}/code={c}") for c in codes})

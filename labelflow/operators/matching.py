@@ -15,8 +15,8 @@ Semantics (fixed):
 Plan (no document x pattern product, no shuffle of text):
 1. Letter-edged literal terms: every word-bounded occurrence covers complete
    letter runs, so each document emits its distinct *spans* of k consecutive
-   letter runs (k over the run counts present among the terms) and a
-   broadcast hash join on (zone, span) finds the hits.
+   letter runs (k over the run counts present among the terms) and a join on
+   (zone, span) finds the hits; its strategy is left to the size statistics.
 2. Gapped patterns and terms with a non-letter edge come only from curated
    input (mined terms are always letter-edged); they travel as one
    broadcast row and are tested per document: a ``contains`` pre-check,
@@ -33,8 +33,6 @@ from pyspark.sql import functions as F
 from labelflow.functions import text as tx
 
 KEY_MARK = "\u0002"
-# Pattern tables above this many rows are joined by shuffle instead of broadcast.
-MAX_BROADCAST_PATTERNS = 2_000_000
 
 
 def zone_texts(docs: DataFrame, prefix_rx: str | None = None, window: int = 500,
@@ -105,25 +103,14 @@ def match(zones: DataFrame, compiled: DataFrame) -> DataFrame:
     # small actions on the (bounded) pattern table only
     edge_parts = F.filter(F.when(F.col("kind") == "fuzzy", F.col("parts")).otherwise(F.array()),
                           lambda q: tx.letter_edged(q))
-    first = F.regexp_extract(F.col("_t"), r"^\p{L}+", 0)
     stats = compiled.agg(
         F.collect_set(F.when(F.col("kind") == "literal", F.col("n_runs"))).alias("ks"),
         F.flatten(F.collect_set(F.transform(edge_parts, lambda q: F.size(tx.letter_runs(q))))).alias("kf"),
-        F.sum(F.when(F.col("kind").isin("edge", "fuzzy"), 1).otherwise(0)).alias("n_edge"),
-        F.count(F.lit(1)).alias("n")).first()
-    # first word of every letter-edged term / part, by run count (bounded by the pattern table)
-    terms = (compiled.where(F.col("kind") == "literal").select(F.col("term").alias("_t"))
-             .unionByName(compiled.select(F.explode(edge_parts).alias("_t"))))
-    per_k = (terms.select(F.size(tx.letter_runs(F.col("_t"))).alias("k"), first.alias("w"))
-             .where(F.col("k") > 1).distinct().groupBy("k")
-             .agg(F.count(F.lit(1)).alias("c"), F.collect_set("w").alias("ws"))
-             .select("k", F.when(F.col("c") <= tx.MAX_FIRST_RUNS, F.col("ws")).alias("ws")))
-    # a few rows (one per run count); word lists only where they are short
-    fr = {int(r["k"]): r["ws"] for r in per_k.collect() if r["ws"] is not None}
+        F.sum(F.when(F.col("kind").isin("edge", "fuzzy"), 1).otherwise(0)).alias("n_edge")).first()
     lengths = sorted(set(stats["ks"] or []) | set(stats["kf"] or []))
     z = zones
     zt = F.col("ztext")
-    spans = tx.letter_spans(zt, lengths, fr) if lengths else F.array().cast("array<string>")
+    spans = tx.letter_spans(zt, lengths) if lengths else F.array().cast("array<string>")
     if stats["n_edge"]:
         z = z.crossJoin(F.broadcast(_edge_spec(compiled)))  # one row
 
@@ -142,8 +129,7 @@ def match(zones: DataFrame, compiled: DataFrame) -> DataFrame:
     else:
         return spark.createDataFrame([], "doc_id BIGINT, zone STRING, pattern_id STRING, code INT")
     exploded = z.select("doc_id", "zone", F.explode(all_keys).alias("key"))
-    right = F.broadcast(keys) if stats["n"] <= MAX_BROADCAST_PATTERNS else keys
-    return exploded.join(right, ["zone", "key"]).select("doc_id", "zone", "pattern_id", "code")
+    return exploded.join(keys, ["zone", "key"]).select("doc_id", "zone", "pattern_id", "code")
 
 
 def match_patterns(docs: DataFrame, patterns: DataFrame, prefix_rx: str | None = None,

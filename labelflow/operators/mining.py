@@ -1,10 +1,11 @@
 """Discriminative phrase mining: n-grams, vocabulary, TF-IDF, chi-squared,
 hit checks, candidate validation and the merged pattern table.
 
-Everything works on the sparse long table ``doc_terms(doc_id, term, tf)``.
-The vocabulary is capped (``max_features``) so every per-term table is
-bounded and can be broadcast; per-code rankings are windows over at most
-``max_features`` rows.
+Everything works on the sparse long table ``doc_terms(doc_id, term, tf)``.  A
+document's terms are counted inside its own row, so the table is an explode
+without a shuffle; only (term, count) and (code, term, count) partial sums and
+one norm per document move.  The vocabulary has no cap unless ``max_features``
+is given; joins with it are left to the size statistics.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from labelflow.functions.stopwords import DUTCH_STOPWORDS
 # Fixed mining parameters
 MIN_DF = 2
 MAX_DF = 0.5
-MAX_FEATURES = 50_000
 TOP_K = 25
 MIN_POSITIVES = 1
 VALID_MIN_PRECISION = 0.85
@@ -32,12 +32,19 @@ SRC_VALID = "manual-valuelist"
 
 
 def doc_terms(docs: DataFrame, stopwords: Sequence[str] = DUTCH_STOPWORDS, n_max: int = 3) -> DataFrame:
-    """O-N1: (doc_id, term, tf) over 1..n_max-grams of the stopword-filtered
-    tokens.  Counted per (doc, term) with a map-side partial aggregate, so
-    only distinct pairs cross the shuffle."""
-    grams = tx.ngrams(tx.mining_tokens(F.col("text"), stopwords), 1, n_max)
-    return (docs.select("doc_id", F.explode(grams).alias("term"))
-            .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")))
+    """O-N1: (doc_id, term, tf, other columns of ``docs`` but the text) over
+    1..n_max-grams of the stopword-filtered tokens.  The grams of a row are
+    sorted and cut into runs of equal ones: counting needs no shuffle."""
+    grams = F.array_sort(tx.ngrams(tx.mining_tokens(F.col("text"), stopwords), 1, n_max))
+
+    def counted(g):
+        starts = F.filter(F.when(F.size(g) > 0, F.sequence(F.lit(0), F.size(g) - 1)).otherwise(F.array().cast("array<int>")),
+                          lambda i: (i == 0) | (F.get(g, i) != F.get(g, i - 1)))
+        return tx.let(starts, lambda s: F.transform(s, lambda i, j: F.struct(
+            F.get(g, i).alias("term"), (F.coalesce(F.get(s, j + 1), F.size(g)) - i).cast("bigint").alias("tf"))))
+
+    keep = [c for c in docs.columns if c != "text"]
+    return docs.select(*keep, F.explode(tx.let(grams, counted)).alias("_t")).select(*keep, "_t.term", "_t.tf")
 
 
 def corpus_size(docs: DataFrame) -> DataFrame:
@@ -45,12 +52,12 @@ def corpus_size(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary(dt: DataFrame, n_docs: DataFrame, min_df: int = MIN_DF, max_df: float = MAX_DF,
-               max_features: int | None = MAX_FEATURES) -> DataFrame:
-    """O-N2: (term, df, tf_sum) with df >= min_df, df <= max_df * N, then the
-    ``max_features`` terms with the highest corpus count (term order on ties).
-    The cap is the feature; it runs as a per-partition top-n then a merge."""
+               max_features: int | None = None) -> DataFrame:
+    """O-N2: (term, df, tf_sum) with df >= min_df, df <= max_df * N; with
+    ``max_features`` only that many terms with the highest corpus count (term
+    order on ties), a per-partition top-n then a merge."""
     stats = dt.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf_sum"))
-    kept = (stats.crossJoin(F.broadcast(n_docs))
+    kept = (stats.crossJoin(F.broadcast(n_docs))   # one row
             .where((F.col("df") >= min_df) & (F.col("df") <= F.lit(float(max_df)) * F.col("n_docs")))
             .drop("n_docs"))
     if max_features is not None:
@@ -59,17 +66,25 @@ def vocabulary(dt: DataFrame, n_docs: DataFrame, min_df: int = MIN_DF, max_df: f
 
 
 def restrict_to_vocab(dt: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Keep (doc, term) rows of vocabulary terms; the vocabulary is capped at
-    ``max_features`` rows, so it is broadcast."""
-    return dt.join(F.broadcast(vocab.select("term", "df")), "term")
+    """Keep (doc, term) rows of vocabulary terms, with their df."""
+    return dt.join(vocab.select("term", "df"), "term")
+
+
+def _raw_weight(dt_vocab: DataFrame, n_docs: DataFrame) -> DataFrame:
+    w = F.col("tf") * (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1)
+    return dt_vocab.crossJoin(F.broadcast(n_docs)).withColumn("_w", w)   # one row
+
+
+def doc_norms(dt_vocab: DataFrame, n_docs: DataFrame) -> DataFrame:
+    """(doc_id, norm): length of each document's raw TF-IDF vector."""
+    return (_raw_weight(dt_vocab, n_docs).groupBy("doc_id")
+            .agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("norm")))
 
 
 def tfidf(dt_vocab: DataFrame, n_docs: DataFrame) -> DataFrame:
     """O-N3: w = tf * (ln((1+N)/(1+df)) + 1), L2-normalised per document."""
-    w = F.col("tf") * (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1)
-    x = dt_vocab.crossJoin(F.broadcast(n_docs)).withColumn("_w", w)
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("doc_id")))
-    return x.select("doc_id", "term", (F.col("_w") / norm).alias("w"))
+    x = _raw_weight(dt_vocab, n_docs).join(doc_norms(dt_vocab, n_docs), "doc_id")
+    return x.select("doc_id", "term", (F.col("_w") / F.col("norm")).alias("w"))
 
 
 def _code_sizes(truth: DataFrame, docs: DataFrame, codes: DataFrame, n_docs: DataFrame) -> DataFrame:
@@ -85,38 +100,53 @@ def _top_k(scored: DataFrame, col: str, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def mine_tfidf(weights: DataFrame, truth: DataFrame, docs: DataFrame, codes: DataFrame,
-               n_docs: DataFrame, k: int = TOP_K) -> DataFrame:
+def with_codes(docs: DataFrame, truth: DataFrame, codes: DataFrame) -> DataFrame:
+    """``docs`` with the array ``codes`` of each document's codes (of ``codes``),
+    attached before its terms are exploded."""
+    y = (truth.join(codes.select("code").distinct(), "code", "left_semi")
+         .groupBy("doc_id").agg(F.collect_set("code").alias("codes")))
+    return docs.join(y, "doc_id", "left").withColumn("codes", F.coalesce("codes", F.array().cast("array<int>")))
+
+
+def mine_tfidf(docs: DataFrame, vocab: DataFrame, truth: DataFrame, codes: DataFrame, n_docs: DataFrame,
+               k: int = TOP_K, stopwords: Sequence[str] = DUTCH_STOPWORDS) -> DataFrame:
     """O-N4: per code the top-k terms by mean TF-IDF over positive documents
-    minus mean over negative documents, keeping differences > 0."""
-    y = truth.join(docs.select("doc_id"), "doc_id", "left_semi").select("doc_id", "code").distinct()
-    y = y.join(F.broadcast(codes.select("code").distinct()), "code", "left_semi")
-    s_pos = weights.join(y, "doc_id").groupBy("code", "term").agg(F.sum("w").alias("s_pos"))
-    s_tot = weights.groupBy("term").agg(F.sum("w").alias("s_tot"))   # <= max_features rows
+    minus mean over negative documents, keeping differences > 0.
+
+    One norm per document is joined to the document row, then its terms are
+    exploded again; what moves is (code, term) partial sums."""
+    norms = doc_norms(restrict_to_vocab(doc_terms(docs, stopwords), vocab), n_docs)
+    d = with_codes(docs.select("doc_id", "text"), truth, codes).join(norms, "doc_id")
+    w = (_raw_weight(restrict_to_vocab(doc_terms(d, stopwords), vocab), n_docs)
+         .select("term", "codes", (F.col("_w") / F.col("norm")).alias("w")))
+    # code NULL holds the total over all documents
+    sums = (w.select("term", "w", F.explode(F.concat("codes", F.array(F.lit(None).cast("int")))).alias("code"))
+            .groupBy("code", "term").agg(F.sum("w").alias("s")))
+    s_pos = sums.where("code IS NOT NULL").select("code", "term", F.col("s").alias("s_pos"))
+    s_tot = sums.where("code IS NULL").select("term", F.col("s").alias("s_tot"))
     sizes = _code_sizes(truth, docs, codes, n_docs).where(
         (F.col("n_pos") >= MIN_POSITIVES) & (F.col("n_docs") - F.col("n_pos") > 0))
     diff = (F.col("s_pos") / F.col("n_pos")
             - (F.col("s_tot") - F.col("s_pos")) / (F.col("n_docs") - F.col("n_pos")))
-    scored = (s_pos.join(F.broadcast(s_tot), "term").join(F.broadcast(sizes), "code")
+    scored = (s_pos.join(s_tot, "term").join(sizes, "code")
               .select("code", "term", F.round(diff, 12).alias("score")).where(F.col("score") > 0))
     return _top_k(scored, "score", k)
 
 
-def mine_chi2(dt_vocab: DataFrame, vocab: DataFrame, truth: DataFrame, docs: DataFrame,
-              codes: DataFrame, n_docs: DataFrame, k: int = TOP_K) -> DataFrame:
+def mine_chi2(docs: DataFrame, vocab: DataFrame, truth: DataFrame, codes: DataFrame, n_docs: DataFrame,
+              k: int = TOP_K, stopwords: Sequence[str] = DUTCH_STOPWORDS) -> DataFrame:
     """O-N5: per code the top-k terms by one-vs-rest chi-squared on term
     presence; only terms seen in a positive document; NaN/inf -> 0."""
-    y = truth.join(docs.select("doc_id"), "doc_id", "left_semi").select("doc_id", "code").distinct()
-    y = y.join(F.broadcast(codes.select("code").distinct()), "code", "left_semi")
-    a = dt_vocab.select("doc_id", "term").join(y, "doc_id").groupBy("code", "term").agg(
-        F.count(F.lit(1)).alias("a"))
+    d = with_codes(docs.select("doc_id", "text"), truth, codes)
+    a = (doc_terms(d, stopwords).select("term", F.explode("codes").alias("code")).groupBy("code", "term")
+         .agg(F.count(F.lit(1)).alias("a")))
     sizes = _code_sizes(truth, docs, codes, n_docs).where(F.col("n_pos") >= MIN_POSITIVES)
     df, n, n1 = F.col("df"), F.col("n_docs"), F.col("n_pos")
     e1 = df * (n1 / n)
     e0 = df * ((n - n1) / n)
     chi = F.when(e0 > 0, (F.col("a") - e1) * (F.col("a") - e1) / e1
                  + ((df - F.col("a")) - e0) * ((df - F.col("a")) - e0) / e0).otherwise(F.lit(0.0))
-    scored = (a.join(F.broadcast(vocab.select("term", "df")), "term").join(F.broadcast(sizes), "code")
+    scored = (a.join(vocab.select("term", "df"), "term").join(sizes, "code")
               .select("code", "term", F.round(chi, 12).alias("score")).where(F.col("score") > 0))
     return _top_k(scored, "score", k)
 
@@ -124,16 +154,16 @@ def mine_chi2(dt_vocab: DataFrame, vocab: DataFrame, truth: DataFrame, docs: Dat
 def terms_with_hits(terms: DataFrame, docs: DataFrame, n_max: int = 3) -> DataFrame:
     """O-N6: mined terms that occur as a contiguous n-gram of the token stream
     *without* stopword removal in at least one document."""
-    t = terms.select("term").distinct()   # mined terms: at most codes x 2k rows
+    t = terms.select("term").distinct()
     grams = tx.ngrams(tx.mining_tokens(F.col("text"), ()), 1, n_max)
     seen = docs.select(F.explode(F.array_distinct(grams)).alias("term"))
-    return seen.join(F.broadcast(t), "term", "left_semi").distinct()
+    return seen.join(t, "term", "left_semi").distinct()
 
 
 def merge_mined(chi2: DataFrame, tfidf_terms: DataFrame, has_hits: DataFrame) -> DataFrame:
     """O-N7: all chi2 terms with hits, then TF-IDF terms with hits that chi2
     did not keep for the same code: (code, source, term, rank)."""
-    hh = F.broadcast(has_hits.select("term"))
+    hh = has_hits.select("term")
     c = chi2.join(hh, "term", "left_semi").select("code", F.lit(SRC_CHI2).alias("source"), "term", "rank")
     t = (tfidf_terms.join(hh, "term", "left_semi").join(c.select("code", "term"), ["code", "term"], "left_anti")
          .select("code", F.lit(SRC_TFIDF).alias("source"), "term", "rank"))
@@ -145,25 +175,34 @@ def validate_candidates(cands: DataFrame, titles: DataFrame, truth: DataFrame,
     """O-N8: keep candidate phrases whose word-bounded hits in the (lower-case)
     title zone number at least ``min_hits`` with precision >= ``min_precision``.
 
-    ``cands`` (code, phrase, name) come from a curated list (bounded); they
-    travel as one broadcast row and each title is tested with a ``contains``
-    pre-check before its boundary regex.
+    A phrase that starts and ends with a word character occurs word-bounded
+    exactly when it equals a span of complete word runs, so hits are an equi-join
+    on the span; other phrases join on their first inner word run and are tested
+    by regex on the few titles that hold it.  A (code, phrase) that is listed
+    twice is counted once for each entry.
     """
     wc = r"[\p{L}\p{N}_]"
-    spec = cands.select(F.struct(
-        "code", "phrase", F.lower("phrase").alias("low"),
-        F.concat(F.lit(f"(?<!{wc})"), tx.regex_escape(F.lower("phrase")), F.lit(f"(?!{wc})")).alias("rx")
-    ).alias("c")).agg(F.collect_list("c").alias("_cands"))
-    t = titles.select("doc_id", "title").crossJoin(F.broadcast(spec))   # one row
-    hits = t.select("doc_id", F.explode(F.filter(
-        "_cands", lambda c: F.contains(F.col("title"), c["low"]) & F.regexp_like(F.col("title"), c["rx"])
-    )).alias("c")).select("doc_id", F.col("c.code").alias("code"), F.col("c.phrase").alias("phrase"))
+    c = (cands.withColumn("low", F.lower("phrase")).withColumn("cand_id", F.monotonically_increasing_id())
+         .withColumn("runs", F.regexp_extract_all("low", F.lit(wc + "+"), 0))
+         .withColumn("edged", F.col("low").rlike(f"(?s)^{wc}(?:.*{wc})?$")))
+    # the id is fixed before the table is used twice
+    from labelflow.session import materialize
+    c = materialize(c)
+    lengths = [r["k"] for r in c.where("edged").select(F.size("runs").alias("k")).distinct().collect()]
+    t = titles.select("doc_id", "title")
+    spans = t.select("doc_id", F.explode(tx.run_spans(F.col("title"), sorted({*lengths, 1}), wc)).alias("span"))
+    exact = spans.join(c.where("edged").select("cand_id", F.col("low").alias("span")), "span").select("doc_id", "cand_id")
+    near = c.where("NOT edged AND size(runs) > 0").select(
+        "cand_id", F.element_at("runs", 1).alias("span"),
+        F.concat(F.lit(f"(?<!{wc})"), tx.regex_escape(F.col("low")), F.lit(f"(?!{wc})")).alias("rx"))
+    rest = (spans.join(near, "span").join(t, "doc_id").where(F.regexp_like("title", "rx")).select("doc_id", "cand_id"))
+    hits = exact.unionByName(rest).distinct().join(c.select("cand_id", "code"), "cand_id")
     y = truth.select("doc_id", "code", F.lit(1).alias("_y"))
-    agg = (hits.join(y, ["doc_id", "code"], "left").groupBy("code", "phrase")
+    agg = (hits.join(y, ["doc_id", "code"], "left").groupBy("cand_id")
            .agg(F.count(F.lit(1)).alias("hits_total"), F.count("_y").alias("hits_pos")))
     prec = F.col("hits_pos") / F.col("hits_total")
     return (agg.where((F.col("hits_total") >= min_hits) & (prec >= F.lit(float(min_precision))))
-            .join(cands.select("code", "phrase", "name"), ["code", "phrase"])
+            .join(c.select("cand_id", "code", "phrase", "name"), "cand_id")
             .select("code", "phrase", "name", F.round(prec, 3).alias("precision"), "hits_pos", "hits_total"))
 
 
@@ -173,15 +212,15 @@ def build_pattern_table(curated: DataFrame, mined: DataFrame, validated: DataFra
     restricted to ``codes``; validated phrases already listed (same code,
     lower-case phrase) in ``title_phrases`` are dropped.  Ids per (code, source)."""
     from labelflow.operators import patterns as pt
-    cur = pt.from_phrases(curated.join(F.broadcast(codes.select("code").distinct()), "code", "left_semi"))
-    m = mined.join(F.broadcast(codes.select("code").distinct()), "code", "left_semi").select(
+    cur = pt.from_phrases(curated.join(codes.select("code").distinct(), "code", "left_semi"))
+    m = mined.join(codes.select("code").distinct(), "code", "left_semi").select(
         "code", "source", F.col("term").alias("source_text"),
         F.concat(F.lit(r"(?i)\b"), tx.regex_escape(F.col("term")), F.lit(r"\b")).alias("regex"),
         F.lit(None).cast("string").alias("name"), F.lit("full").alias("match_zone"),
         F.lit(False).alias("fuzzy_gap"), F.col("rank").alias("ord"))
     parts = [cur.select(*m.columns, "pattern_id"), pt.with_ids(m)]
     if validated is not None:
-        v = validated.join(F.broadcast(codes.select("code").distinct()), "code", "left_semi")
+        v = validated.join(codes.select("code").distinct(), "code", "left_semi")
         if title_phrases is not None:
             seen = title_phrases.select("code", F.lower("phrase").alias("_low"))
             v = v.withColumn("_low", F.lower("phrase")).join(seen, ["code", "_low"], "left_anti").drop("_low")

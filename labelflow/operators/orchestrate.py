@@ -14,8 +14,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelflow.functions.ranking import exact_row_number
-
 MIN_PRECISION = 0.90
 DEFAULT_AUTO = 0.50
 
@@ -47,23 +45,32 @@ def exact_quantiles(df: DataFrame, group: Sequence[str], value: str,
                     qs: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
     """Linear-interpolated quantiles (pandas/NumPy default) per group, exact.
 
-    Values are ranked with the two-level exact rank (buckets of the value), so
-    no group is gathered into one task; only the ranks at the interpolation
-    points are kept.
+    Equal values are counted first; counts are ranked in two levels (buckets of
+    the value), so neither a group nor a frequent value is gathered into one
+    task; only the values at the interpolation points are kept.
     """
     g = list(group)
     v = df.where(F.col(value).isNotNull()).select(*g, F.col(value).alias("_v"))
-    bucket = F.floor(F.col("_v") * 1024).cast("long")
-    ranked = exact_row_number(v, g, bucket, ["_v"], out="_rn", size_col="_n")
+    # equal values first become one row with their number; its ranks are a range
+    counts = v.groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*g, "_b").orderBy("_v")
+    counts = counts.withColumn("_b", F.floor(F.col("_v") * 1024).cast("long"))
+    below = counts.groupBy(*g, "_b").agg(F.sum("_c").alias("_s"))
+    below = below.withColumn("_before", F.sum("_s").over(Window.partitionBy(*g).orderBy("_b")) - F.col("_s")) \
+        .withColumn("_n", F.sum("_s").over(Window.partitionBy(*g)))
+    ranked = (counts.join(below.drop("_s"), [*g, "_b"])
+              .withColumn("_last", F.col("_before") + F.sum("_c").over(w)).withColumn("_first", F.col("_last") - F.col("_c") + 1))
     outs = []
     for q in qs:
         pos = (F.col("_n") - 1) * F.lit(float(q))
         lo, hi = F.floor(pos) + 1, F.ceil(pos) + 1
         frac = pos - F.floor(pos)
-        part = (ranked.where((F.col("_rn") == lo) | (F.col("_rn") == hi))
+        has_lo = (F.col("_first") <= lo) & (lo <= F.col("_last"))
+        has_hi = (F.col("_first") <= hi) & (hi <= F.col("_last"))
+        part = (ranked.where(has_lo | has_hi)
                 .groupBy(*g).agg(
-                    F.max(F.when(F.col("_rn") == lo, F.col("_v"))).alias("_lo"),
-                    F.max(F.when(F.col("_rn") == hi, F.col("_v"))).alias("_hi"),
+                    F.max(F.when(has_lo, F.col("_v"))).alias("_lo"),
+                    F.max(F.when(has_hi, F.col("_v"))).alias("_hi"),
                     F.first(frac).alias("_f"))
                 .select(*g, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f"))
                         .alias(f"q{int(round(q * 100))}")))
@@ -164,11 +171,12 @@ def _cell_counts(preds: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def _sweep(cells: DataFrame, bucketed: DataFrame, grid: Sequence[float], n_docs: DataFrame,
-           n_codes: DataFrame, value_name: str) -> DataFrame:
+           n_codes: DataFrame, value_name: str, methods: DataFrame) -> DataFrame:
     """Shared sweep: ``bucketed`` (method, doc_id, b) says a document is auto
     for grid indexes 0..b-1; aggregate tp/fp/fn per (method, b, code) once,
     spread to indexes, then coverage / micro-precision / macro-F1 (all codes)."""
     garr = F.array(*[F.lit(float(v)) for v in grid])
+    bucketed = bucketed.where(F.col("b") > 0)
     per = (cells.join(bucketed, ["method", "doc_id"])
            .groupBy("method", "b", "code").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"),
                                                F.sum("fn").alias("fn")))
@@ -180,11 +188,12 @@ def _sweep(cells: DataFrame, bucketed: DataFrame, grid: Sequence[float], n_docs:
                 2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn"))).otherwise(0.0)
     by_k = per_k.groupBy("method", "k").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"),
                                             F.sum(f1).alias("_f1sum"))
-    docs_k = (bucketed.select("method", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("k"))
-              .groupBy("method", "k").agg(F.count(F.lit(1)).alias("n_auto")))
-    methods = bucketed.select("method").distinct()
+    # documents per (method, b) first, then spread over the grid
+    docs_k = (bucketed.groupBy("method", "b").agg(F.count(F.lit(1)).alias("n"))
+              .select("method", "n", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("k"))
+              .groupBy("method", "k").agg(F.sum("n").alias("n_auto")))
     ks = bucketed.sparkSession.range(len(grid)).select(F.col("id").cast("int").alias("k"))
-    base = methods.crossJoin(F.broadcast(ks))   # methods x grid: small
+    base = methods.crossJoin(F.broadcast(ks))   # methods x grid: small; a method without an auto document keeps its rows
     out = (base.join(docs_k, ["method", "k"], "left").join(by_k, ["method", "k"], "left")
            .crossJoin(F.broadcast(n_docs)).crossJoin(F.broadcast(n_codes)))
     n_auto = F.coalesce("n_auto", F.lit(0))
@@ -208,7 +217,7 @@ def precision_coverage(preds: DataFrame, truth: DataFrame, docs: DataFrame, n_co
     cells = _cell_counts(preds.join(docs.select("doc_id"), "doc_id", "left_semi"),
                          truth.join(docs.select("doc_id"), "doc_id", "left_semi"))
     n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    return _sweep(cells, b.where(F.col("b") > 0), grid, n, n_codes, "threshold")
+    return _sweep(cells, b, grid, n, n_codes, "threshold", preds.select("method").distinct())
 
 
 def operating_point(sweep: DataFrame, min_precision: float = MIN_PRECISION,
@@ -239,7 +248,7 @@ def gap_sweep(preds: DataFrame, truth: DataFrame, docs: DataFrame, n_codes: Data
     cells = _cell_counts(preds.join(docs.select("doc_id"), "doc_id", "left_semi"),
                          truth.join(docs.select("doc_id"), "doc_id", "left_semi"))
     n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    return _sweep(cells, b.where(F.col("b") > 0), grid, n, n_codes, "min_gap")
+    return _sweep(cells, b, grid, n, n_codes, "min_gap", auto.select("method").distinct())
 
 
 def nearest(sweep: DataFrame, col: str, target: float) -> DataFrame:

@@ -32,8 +32,3 @@ def from_phrases(rows: DataFrame, order_col: str = "ord") -> DataFrame:
                     F.coalesce(F.col("match_zone"), F.lit("full")).alias("match_zone"),
                     gap.alias("fuzzy_gap"), F.col(order_col))
     return with_ids(r.where(F.col("regex") != ""), order_col)
-
-
-def restrict(patterns: DataFrame, codes: DataFrame) -> DataFrame:
-    """Keep patterns of the requested codes (broadcast semi join on a code list)."""
-    return patterns.join(F.broadcast(codes.select("code").distinct()), "code", "left_semi")

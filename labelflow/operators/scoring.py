@@ -32,11 +32,11 @@ def pattern_precision(hits: DataFrame, truth: DataFrame, patterns: DataFrame) ->
 def doc_code_score(hits: DataFrame, weights: DataFrame) -> DataFrame:
     """O-A2/O-A3: score(doc, code) = sum of the weights of matched patterns.
 
-    ``weights`` is the (frozen) per-pattern table, bounded by the pattern
-    table size, hence broadcast; unseen documents reuse it without labels.
+    ``weights`` is the (frozen) per-pattern table; unseen documents reuse it
+    without labels.
     Zero scores are dropped (sparse).
     """
-    w = F.broadcast(weights.select("pattern_id", "weight"))
+    w = weights.select("pattern_id", "weight")
     return (hits.select("doc_id", "pattern_id", "code").join(w, "pattern_id")
             .groupBy("doc_id", "code").agg(F.round(F.sum("weight"), SCORE_DIGITS).alias("score"))
             .where(F.col("score") > 0))
@@ -94,8 +94,9 @@ def tiebreak(preds: DataFrame, texts: DataFrame, group: Sequence[int],
              rules: Sequence[tuple[str, int]], default: int, space: DataFrame | None = None) -> DataFrame:
     """O-H3: if any code of ``group`` is predicted for a document, exactly one
     stays set: the first rule whose regex (case-insensitive, dot-all) finds
-    the raw text wins, else ``default``.  The winner may be a code that did
-    not fire.  Needs at least two group codes in the label space.
+    the raw text wins, else ``default``.  A rule or default whose code is not in
+    the label space is passed over; without any winner the predictions stay.  The
+    winner may be a code that did not fire.  Needs at least two group codes in the label space.
 
     ``preds`` (doc_id, code, score, predicted) sparse; ``texts`` (doc_id, text).
     The rule regexes run in one narrow pass over the texts; only the small
@@ -105,17 +106,19 @@ def tiebreak(preds: DataFrame, texts: DataFrame, group: Sequence[int],
     grp = [int(c) for c in group]
     preds = preds.select("doc_id", "code", "score", "predicted")
     fired = (preds.where(F.col("predicted") & F.col("code").isin(*grp)).select("doc_id").distinct())
-    winner = F.lit(int(default))
-    for rx, code in reversed(list(rules)):
-        winner = F.when(F.col("text").rlike(f"(?isu){rx}"), F.lit(int(code))).otherwise(winner)
+    # one array of the group's codes that are in the space; a rule whose code is not falls through
+    rule_rx = [(F.col("text").rlike(f"(?isu){rx}"), int(code)) for rx, code in rules]
+    matched = F.filter(F.array(*[F.when(hit, F.lit(code)) for hit, code in rule_rx], F.lit(int(default))), lambda c: c.isNotNull())
     # union + aggregate (not a join) so the optimiser cannot move the text into the shuffle
-    cand = texts.select("doc_id", winner.alias("winner"), F.lit(0).alias("_f"))
-    win = (cand.unionByName(fired.select("doc_id", F.lit(None).cast("int").alias("winner"), F.lit(1).alias("_f")))
-           .groupBy("doc_id").agg(F.max("winner").alias("winner"), F.max("_f").alias("_f"))
+    cand = texts.select("doc_id", matched.alias("matched"), F.lit(0).alias("_f"))
+    win = (cand.unionByName(fired.select("doc_id", F.lit(None).cast("array<int>").alias("matched"), F.lit(1).alias("_f")))
+           .groupBy("doc_id").agg(F.max("matched").alias("matched"), F.max("_f").alias("_f"))
            .where(F.col("_f") == 1).drop("_f"))
-    if space is not None:
-        present = space.where(F.col("code").isin(*grp)).agg(F.count(F.lit(1)).alias("_k"))
-        win = win.crossJoin(F.broadcast(present)).where(F.col("_k") >= 2).drop("_k")
+    if space is not None:   # one row of at most len(group) codes
+        present = space.where(F.col("code").isin(*grp)).agg(F.collect_set(F.col("code").cast("int")).alias("_k"))
+        win = (win.crossJoin(F.broadcast(present)).where(F.size("_k") >= 2)
+               .withColumn("matched", F.filter("matched", lambda c: F.array_contains("_k", c))).drop("_k"))
+    win = win.select("doc_id", F.get("matched", F.lit(0)).alias("winner")).where("winner IS NOT NULL")
     p = preds.join(win, "doc_id", "left")
     in_group = F.col("code").isin(*grp)
     kept = p.withColumn("predicted", F.when(F.col("winner").isNotNull() & in_group,
@@ -128,27 +131,33 @@ def tiebreak(preds: DataFrame, texts: DataFrame, group: Sequence[int],
     return kept.drop("winner").unionByName(added)
 
 
+def _without(codes, loser):
+    return F.map_filter(codes, lambda k, v: k != loser)
+
+
 def mutex(preds: DataFrame, ref_scores: DataFrame, pairs: Sequence[tuple[int, int]]) -> DataFrame:
     """O-H4: for each pair (a, b), in order: when both are predicted keep the one
     with the higher reference score (a on ties) and clear the other.
 
-    The decision needs both codes of a document side by side: a per-document
-    conditional aggregate over the pair codes only (two rows per document).
+    One pass: the set pair codes of a document go into a small map, the pairs
+    are folded over it in order, and the codes that lost are joined back once.
     """
-    out = preds
+    codes = sorted({int(c) for p in pairs for c in p})
+    if not codes:
+        return preds
     ref = ref_scores.select("doc_id", "code", F.col("score").alias("_ref"))
-    for a, b in pairs:
-        both = (out.where(F.col("predicted") & F.col("code").isin(int(a), int(b)))
-                .join(ref, ["doc_id", "code"], "left")
-                .groupBy("doc_id")
-                .agg(F.count(F.lit(1)).alias("_n"),
-                     F.max(F.when(F.col("code") == a, F.coalesce("_ref", F.lit(0.0)))).alias("_sa"),
-                     F.max(F.when(F.col("code") == b, F.coalesce("_ref", F.lit(0.0)))).alias("_sb"))
-                .where(F.col("_n") == 2)
-                .select("doc_id", F.when(F.col("_sa") >= F.col("_sb"), F.lit(int(b)))
-                        .otherwise(F.lit(int(a))).alias("_loser")))
-        out = (out.join(both, "doc_id", "left")
-               .withColumn("predicted", F.when(F.col("code") == F.col("_loser"), F.lit(False))
-                           .otherwise(F.col("predicted")))
-               .drop("_loser"))
-    return out
+    side = (preds.where(F.col("predicted") & F.col("code").isin(*codes)).select("doc_id", "code").distinct()
+            .join(ref.where(F.col("code").isin(*codes)), ["doc_id", "code"], "left").groupBy("doc_id")
+            .agg(F.map_from_entries(F.collect_list(F.struct("code", F.coalesce("_ref", F.lit(0.0))))).alias("_m")))
+    left = F.col("_m")   # the codes that are still set, folded over the pairs in order
+    for i, (a, b) in enumerate(pairs):
+        name = f"_m{i}"
+        a, b = F.lit(int(a)), F.lit(int(b))
+        loser = F.when(F.try_element_at(left, a) >= F.try_element_at(left, b), b).otherwise(a)
+        both = F.map_contains_key(left, a) & F.map_contains_key(left, b)
+        side = side.withColumn(name, F.when(both, _without(left, loser)).otherwise(left))
+        left = F.col(name)
+    lost = side.select("doc_id", F.array_except(F.map_keys("_m"), F.map_keys(left)).alias("_lost")).where(F.size("_lost") > 0)
+    out = preds.join(lost, "doc_id", "left")
+    return out.withColumn("predicted", F.when(F.coalesce(F.array_contains("_lost", F.col("code")), F.lit(False)), F.lit(False))
+                          .otherwise(F.col("predicted"))).drop("_lost")

@@ -106,11 +106,11 @@ SELECT c.method || '_cal' AS method, c.doc_id, c.code,
                           / b.temperature))), 9) AS score,
        1 / (1 + exp(-(ln(least(greatest(c.score, 1e-7), 1 - 1e-7) / (1 - least(greatest(c.score, 1e-7), 1 - 1e-7)))
                       / b.temperature))) > coalesce(g.t, 5e-1) AS predicted
-FROM cells c JOIN best_t b ON b.method = c.method LEFT JOIN gbest g ON g.method = c.method AND g.code = c.code"""))
+FROM preds c JOIN best_t b ON b.method = c.method LEFT JOIN gbest g ON g.method = c.method AND g.code = c.code"""))
 def q_calibrated(spark, sf):
     fx, val, cells = val_cells(spark, sf)
     temps = materialize(cal.fit_temperature(cells))
     th = thresholds.tune_grid(cells.select("method", "doc_id", "code", "score"),
                               fx.truth.join(val, "doc_id", "left_semi"), ["method"], min_support=3)
-    out = cal.calibrate(cells, temps, th)
+    out = cal.calibrate(fx.preds, temps, th)   # every split
     return out.select("method", "doc_id", "code", F.round("score", 9).alias("score"), "predicted")

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from labelflow.operators import labels, metrics, mining, scoring
+from labelflow.operators import labels, matching, metrics, mining, scoring
 from labelflow.plans import hybrid
 from labelflow.plans.catalog import register
 from labelflow.plans.oracle_base import with_base
@@ -29,8 +29,7 @@ tf1 AS (SELECT method, code, CASE WHEN 2 * tp + fp + fn > 0 THEN CAST(2 * tp AS
 champ AS (SELECT a.code, a.f1 AS f1_v1, b.f1 AS f1_v2, CASE WHEN a.f1 >= b.f1 THEN 1 ELSE 2 END AS champion
           FROM tf1 a JOIN tf1 b ON a.code = b.code AND a.method = 'm1' AND b.method = 'm2'),
 bl AS (SELECT p.doc_id, p.code, p.score, p.predicted FROM preds p JOIN champ c ON c.code = p.code
-         AND p.method = CASE WHEN c.champion = 1 THEN 'm1' ELSE 'm2' END
-       WHERE p.doc_id IN (SELECT doc_id FROM vd)),
+         AND p.method = CASE WHEN c.champion = 1 THEN 'm1' ELSE 'm2' END),
 fired AS (SELECT DISTINCT doc_id FROM bl WHERE predicted AND code IN (20, 30, 40)),
 win AS (SELECT f.doc_id, CASE WHEN regexp_matches(d.text, '(?is)für') THEN 30
                               WHEN regexp_matches(d.text, '(?is)los') THEN 40 ELSE 20 END AS winner
@@ -55,8 +54,7 @@ def _champion(fx, s):
 
 
 def _blended(fx, s):
-    val = s.where(F.col("split") == "val").select("doc_id")
-    p = fx.preds.join(val, "doc_id", "left_semi")
+    p = fx.preds
     champ = materialize(_champion(fx, s))
     return scoring.blend(p.where(F.col("method") == "m1"), p.where(F.col("method") == "m2"), champ)
 
@@ -141,15 +139,17 @@ def q_mutex(spark, sf):
 def _fixture_patterns(fx):
     """Curated seed phrases plus terms mined from the given documents."""
     def build(codes, docs):
-        dt = materialize(mining.doc_terms(docs))
         n = mining.corpus_size(docs)
-        vocab = materialize(mining.vocabulary(dt, n))
-        dtv = mining.restrict_to_vocab(dt, vocab)
-        chi = materialize(mining.mine_chi2(dtv, vocab, fx.truth, docs, codes, n))
-        tfi = materialize(mining.mine_tfidf(mining.tfidf(dtv, n), fx.truth, docs, codes, n))
+        vocab = materialize(mining.vocabulary(mining.doc_terms(docs.select("doc_id", "text")), n))
+        chi = materialize(mining.mine_chi2(docs, vocab, fx.truth, codes, n))
+        tfi = materialize(mining.mine_tfidf(docs, vocab, fx.truth, codes, n))
         hh = mining.terms_with_hits(chi.select("term").unionByName(tfi.select("term")), docs)
         merged = mining.merge_mined(chi, tfi, hh)
-        return mining.build_pattern_table(fx.curated, merged, None, codes)
+        titles = matching.zone_texts(docs, PREFIX_RX, PREFIX_WINDOW, TITLE_LEN, ("title",)).select(
+            "doc_id", F.col("ztext").alias("title"))
+        valid = mining.validate_candidates(fx.curated.select("code", "phrase", F.lit(None).cast("string").alias("name")),
+                                           titles, fx.truth)
+        return mining.build_pattern_table(fx.curated, merged, valid, codes)
     return build
 
 
@@ -158,11 +158,10 @@ def q_hybrid_e2e(spark, sf):
     fx, s = _fx_preds(spark, sf)
     docs = materialize(stripped_docs(fx))
     train = docs.join(s.where(F.col("split") == "train").select("doc_id"), "doc_id", "left_semi")
-    val = docs.join(s.where(F.col("split") == "val").select("doc_id"), "doc_id", "left_semi")
     cfg = hybrid.HybridConfig(prefix_rx=PREFIX_RX, window=PREFIX_WINDOW, title_len=TITLE_LEN,
                               head_share=HEAD_SHARE, tiebreak_group=TIEBREAK_GROUP,
                               tiebreak_rules=TIEBREAK_RULES, tiebreak_default=TIEBREAK_DEFAULT,
                               mutex_pairs=MUTEX_PAIRS)
-    out = hybrid.run_hybrid(train, val, fx.truth, fx.label_space, s.select("doc_id", "fold"),
+    out = hybrid.run_hybrid(train, docs, fx.truth, fx.label_space, s.select("doc_id", "fold"),
                             _fixture_patterns(fx), cfg)
     return out["pred"].select("doc_id", "code", F.round("score", 9).alias("score"), "predicted")

@@ -12,13 +12,13 @@ from labelflow.session import materialize, scratch_path
 from labelflow.sources import contract
 from labelflow.sources.fixtures import Fixtures
 
-CFG = learn.ChunkConfig(content_size=510, stride=460, max_chunks=8)
-MIN_SUPPORT = 5
+CFG = learn.ChunkConfig(content_size=510, stride=460)
+MIN_SUPPORT = 5   # below it a code keeps the default decision threshold
 
 
 @register("doc_chunks", with_base("""
 tk AS (SELECT doc_id, regexp_extract_all(text, '\\S+') AS t FROM documents),
-st AS (SELECT doc_id, t, unnest(range(0, greatest(len(t), 1), 460)[1:8]) AS start FROM tk)""", """
+st AS (SELECT doc_id, t, unnest(range(0, greatest(len(t), 1), 460)) AS start FROM tk)""", """
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS INT) AS chunk_no,
        CAST(start AS INT) AS start, CAST(len(t[start + 1 : start + 510]) + 2 AS INT) AS n_tokens,
        md5(array_to_string(t[start + 1 : start + 510], ' ')) AS chunk_md5
@@ -46,80 +46,95 @@ def q_pool_max(spark, sf):
     return p.select("doc_id", F.col("dim").cast("int").alias("dim"), F.round("value", 6).alias("value"))
 
 
+@register("pool_cls", with_base("""
+fc AS (SELECT doc_id, embedding, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_no) AS r FROM chunk_vecs),
+ex AS (SELECT doc_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM fc WHERE r = 1)""", """
+SELECT doc_id, CAST(dim AS INT) AS dim, round(CAST(x AS DOUBLE), 6) AS value FROM ex"""))
+def q_pool_cls(spark, sf):
+    p = learn.pool(Fixtures(spark, sf).chunk_vecs, "cls")
+    return p.select("doc_id", F.col("dim").cast("int").alias("dim"), F.round("value", 6).alias("value"))
+
+
 class Learned:
-    """Chunk features for all documents; scorers fitted on the train split."""
+    """A scorer of all codes that occur in the train split, fitted there."""
 
-    def __init__(self, spark, sf, cfg: learn.ChunkConfig = CFG, num_features: int = 1 << 12):
+    def __init__(self, spark, sf, cfg: learn.ChunkConfig = CFG, num_features: int = 1 << 12, pooling: str = "mean"):
         self.fx = Fixtures(spark, sf)
         self.splits = materialize(self.fx.splits)
-        chunks = learn.chunk_docs(self.fx.docs, cfg)
-        self.features = materialize(learn.chunk_features(chunks, num_features))
         self.train = self.splits.where(F.col("split") == "train").select("doc_id")
         self.val = self.splits.where(F.col("split") == "val").select("doc_id")
+        docs = self.fx.docs.join(self.train, "doc_id", "left_semi")
+        chunks = materialize(learn.chunk_docs(docs, cfg))
+        idf = learn.fit_idf(learn.chunk_tf(chunks, num_features))
+        features = materialize(learn.chunk_features(chunks, idf, num_features, pooling))
         t_train = self.fx.truth.join(self.train, "doc_id", "left_semi")
-        sup = [r["code"] for r in t_train.groupBy("code").count().where(F.col("count") >= MIN_SUPPORT)
-               .orderBy("code").collect()]   # a list of codes: bounded by the label space
+        codes = [r["code"] for r in t_train.select("code").distinct().orderBy("code").collect()]   # the label space
         w = metrics.pos_weights(t_train, self.train, self.fx.label_space, cap=200.0, digits=None)
-        self.models = learn.fit_scorers(self.features.join(self.train, "doc_id", "left_semi"),
-                                        t_train, w, sup)
+        self.scorer = learn.Scorer(cfg, num_features, pooling, idf, learn.fit_scorers(features, t_train, w, codes))
+
+    def thresholds(self, scores, min_support: int = MIN_SUPPORT):
+        """Per code by grid search on the val scores; 0.5 for codes without one."""
+        th = thresholds.tune_grid(scores.join(self.val, "doc_id", "left_semi").withColumn("method", F.lit("learned")),
+                                  self.fx.truth.join(self.val, "doc_id", "left_semi"), ["method"], min_support)
+        return contract.threshold_lookup(self.fx.label_space, th.drop("method"), default=0.5)
 
 
 @register("learned_scores")
 def q_learned(spark, sf):
     lr = Learned(spark, sf)
-    s = learn.score(lr.features.join(lr.val, "doc_id", "left_semi"), lr.models)
-    return s.select("doc_id", "code", F.round("score", 6).alias("score"))
+    return lr.scorer.score(lr.fx.docs).select("doc_id", "code", F.round("score", 6).alias("score"))
 
 
 @register("score_batch")
 def q_score_batch(spark, sf):
-    """Save the fitted scorers, load them back, score the val documents,
-    threshold per code (grid search on the val scores, strict >, 0.5 for
-    unseen codes) and emit the dense contract."""
+    """Save the fitted scorer, load it into a fresh object, score all documents,
+    threshold per code (strict >) and emit the dense contract."""
     lr = Learned(spark, sf)
-    root = scratch_path(spark, "scorers")
-    learn.save_models(lr.models, root)
-    models = learn.load_models(root, list(lr.models))
-    feats = lr.features.join(lr.val, "doc_id", "left_semi")
-    s = materialize(learn.score(feats, models))
-    th = thresholds.tune_grid(s.withColumn("method", F.lit("learned")),
-                              lr.fx.truth.join(lr.val, "doc_id", "left_semi"), ["method"], MIN_SUPPORT)
-    looked = contract.threshold_lookup(lr.fx.label_space, th.drop("method"), default=0.5)
-    p = s.join(F.broadcast(looked), "code").withColumn("predicted", F.col("score") > F.col("threshold"))
-    return contract.dense_contract(p, lr.val, lr.fx.label_space, "learned")
+    root = scratch_path(spark, "scorer")
+    lr.scorer.save(spark, root)
+    s = materialize(learn.Scorer.load(spark, root).score(lr.fx.docs))
+    p = s.join(lr.thresholds(s), "code").withColumn("predicted", F.col("score") > F.col("threshold"))
+    return contract.dense_contract(p, lr.fx.table("documents", "doc_id"), lr.fx.label_space, "learned")
 
 
+_BCE = {"type": "bce", "gamma": 2.0}
 SWEEP = [
-    {"run": "short_chunks", "pooling": "mean", "content_size": 128, "stride": 0, "max_chunks": 4,
-     "loss": {"type": "bce", "gamma": 2.0}, "thresh_min_support": 5},
-    {"run": "long_chunks", "pooling": "mean", "content_size": 510, "stride": 460, "max_chunks": 8,
-     "loss": {"type": "bce", "gamma": 2.0}, "thresh_min_support": 5},
-    {"run": "bad_config", "pooling": "mean", "content_size": 0, "stride": 0, "max_chunks": 1,
-     "loss": {"type": "bce", "gamma": 2.0}, "thresh_min_support": 5},
+    {"run": "short_chunks", "pooling": "max", "content_size": 128, "stride": 0, "loss": _BCE, "thresh_min_support": 5},
+    {"run": "long_chunks", "pooling": "mean", "content_size": 510, "stride": 460, "loss": _BCE, "thresh_min_support": 3},
+    {"run": "bad_config", "pooling": "mean", "content_size": 0, "stride": 0, "loss": _BCE, "thresh_min_support": 5},
+    {"run": "other_loss", "pooling": "mean", "content_size": 510, "stride": 460, "loss": {"type": "focal", "gamma": 2.0},
+     "thresh_min_support": 5},
 ]
 
 
+def _run_config(spark, sf, c) -> tuple[float, float]:
+    """(micro F1, macro F1) of one run config; a setting that cannot be applied is refused."""
+    if not c["content_size"] or c["content_size"] <= 0:
+        raise ValueError("content_size must be positive")
+    if c["loss_type"] not in (None, "bce"):
+        raise ValueError(f"loss {c['loss_type']!r} is not available: scorers minimise the weighted log loss")
+    lr = Learned(spark, sf, learn.ChunkConfig(c["content_size"], c["stride"] or 0, c["max_chunks"]), pooling=c["pooling"])
+    s = materialize(lr.scorer.score(lr.fx.docs.join(lr.val, "doc_id", "left_semi")))
+    th = lr.thresholds(s, c["thresh_min_support"] or MIN_SUPPORT)
+    p = s.join(th, "code").withColumn("method", F.lit(c["run"])).withColumn("predicted", F.col("score") > F.col("threshold"))
+    m = metrics.evaluate(p, lr.fx.truth, lr.val, lr.fx.label_space).first()
+    return float(m["micro_f1"]), float(m["macro_f1"])
+
+
 @register("sweep_table")
 def q_sweep(spark, sf):
     """O-K6/O-E10/O-S11: read run configs (JSON files), fit each variant, keep
-    failures as rows with an error message."""
+    failures as rows with an error message.  The loop runs over the configs."""
     cfg_dir = scratch_path(spark, "configs")
     for c in SWEEP:
         contract.write_config(spark, {k: v for k, v in c.items() if k != "run"}, cfg_dir, c["run"])
     configs = contract.read_configs(spark, cfg_dir).orderBy("run").collect()   # a handful of config rows
     rows = []
     for c in configs:
+        head = (c["run"], c["pooling"], c["loss_type"], c["max_chunks"])
         try:
-            if not c["content_size"] or c["content_size"] <= 0:
-                raise ValueError("content_size must be positive")
-            lr = Learned(spark, sf, learn.ChunkConfig(c["content_size"], c["stride"] or 0, c["max_chunks"]))
-            s = learn.score(lr.features.join(lr.val, "doc_id", "left_semi"), lr.models)
-            p = s.withColumn("method", F.lit(c["run"])).withColumn("predicted", F.col("score") > 0.5)
-            m = metrics.evaluate(p, lr.fx.truth, lr.val, lr.fx.label_space).first()
-            rows.append((c["run"], c["pooling"], c["loss_type"], int(c["max_chunks"]),
-                         float(m["micro_f1"]), float(m["macro_f1"]), None))
-        except Exception as e:  # noqa: BLE001 - a failing variant is recorded, not fatal
-            rows.append((c["run"], c["pooling"], c["loss_type"], int(c["max_chunks"] or 0), None, None,
-                         f"{type(e).__name__}: {e}"[:200]))
+            rows.append((*head, *_run_config(spark, sf, c), None))
+        except ValueError as e:   # a config that cannot be run is recorded, not fatal
+            rows.append((*head, None, None, f"{type(e).__name__}: {e}"[:200]))
     return spark.createDataFrame(rows, "run STRING, pooling STRING, loss STRING, chunks INT, "
                                        "micro_f1 DOUBLE, macro_f1 DOUBLE, error STRING")

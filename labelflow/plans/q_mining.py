@@ -15,7 +15,7 @@ from labelflow.plans.catalog import register
 from labelflow.plans.oracle_base import with_base
 from labelflow.plans.oracle_text import TEXT_CTES, esc
 from labelflow.plans.q_text_matching import stripped_docs
-from labelflow.session import materialize, reuse
+from labelflow.session import materialize
 from labelflow.sources.fixtures import PREFIX_RX, PREFIX_WINDOW, TITLE_LEN, Fixtures
 
 
@@ -23,8 +23,8 @@ class MinedFixture:
     def __init__(self, spark, sf):
         self.fx = Fixtures(spark, sf)
         train = materialize(self.fx.splits.where(F.col("split") == "train").select("doc_id"))
-        self.docs = reuse(stripped_docs(self.fx).join(train, "doc_id", "left_semi"))
-        self.dt = reuse(mining.doc_terms(self.docs))
+        self.docs = materialize(stripped_docs(self.fx).join(train, "doc_id", "left_semi"))
+        self.dt = mining.doc_terms(self.docs)
         self.n = mining.corpus_size(self.docs)
         self.codes = self.fx.label_space.select("code")
 
@@ -42,11 +42,11 @@ class MinedFixture:
 
     @cached_property
     def tfidf_top(self):
-        return materialize(mining.mine_tfidf(self.weights, self.fx.truth, self.docs, self.codes, self.n))
+        return materialize(mining.mine_tfidf(self.docs, self.vocab, self.fx.truth, self.codes, self.n))
 
     @cached_property
     def chi2_top(self):
-        return materialize(mining.mine_chi2(self.dtv, self.vocab, self.fx.truth, self.docs, self.codes, self.n))
+        return materialize(mining.mine_chi2(self.docs, self.vocab, self.fx.truth, self.codes, self.n))
 
     @cached_property
     def has_hits(self):
@@ -77,7 +77,7 @@ class MinedFixture:
 
 _STOPS = "[" + ", ".join(f"'{w}'" for w in DUTCH_STOPWORDS) + "]"
 _TOK = ("list_filter(regexp_extract_all(lower({t}), '[\\p{{L}}\\p{{N}}_]+'), "
-        "lambda w: regexp_matches(w, '^[a-zA-ZÀ-ÿ]{{3,}}$'){stop})")
+        "lambda w: regexp_matches(w, '^[a-zA-ZÀ-ÖØ-öø-ÿ]{{3,}}$'){stop})")
 
 
 def _tok(t, stop=True):
@@ -96,8 +96,7 @@ mgrams AS (SELECT doc_id, unnest({_grams('t')}) AS term FROM mtok),
 mdt AS (SELECT doc_id, term, count(*) AS tf FROM mgrams GROUP BY doc_id, term),
 mN AS (SELECT count(*) AS n_docs FROM mdocs),
 mstats AS (SELECT term, count(*) AS df, sum(tf) AS tf_sum FROM mdt GROUP BY term),
-vocab AS (SELECT term, df, tf_sum FROM mstats, mN WHERE df >= 2 AND df <= 5e-1 * n_docs
-          ORDER BY tf_sum DESC, term LIMIT 50000),
+vocab AS (SELECT term, df, tf_sum FROM mstats, mN WHERE df >= 2 AND df <= 5e-1 * n_docs),
 mtf AS (SELECT d.doc_id, d.term, d.tf * (ln((1 + n.n_docs) / (1 + v.df)) + 1) AS w0
         FROM mdt d JOIN vocab v ON v.term = d.term, mN n),
 mw AS (SELECT doc_id, term, w0 / sqrt(sum(w0 * w0) OVER (PARTITION BY doc_id)) AS w FROM mtf),
@@ -137,14 +136,15 @@ merged AS (
 mtitles AS (SELECT t.doc_id, lower(substr(CASE WHEN m <> '' THEN substr(x.text, length(m) + 1) ELSE x.text END, 1, 600)) AS title
   FROM (SELECT doc_id, text, regexp_extract(substr(text, 1, 500), '^[^.]{{0,200}}\\.\\s*') AS m FROM mdocs) x
   JOIN mdocs t ON t.doc_id = x.doc_id),
-vhits AS (SELECT c.code, c.phrase, t.doc_id FROM curated c JOIN mtitles t
+vcand AS (SELECT row_number() OVER () AS cand_id, code, phrase FROM curated),
+vhits AS (SELECT c.cand_id, c.code, c.phrase, t.doc_id FROM vcand c JOIN mtitles t
           ON regexp_matches(t.title, '(^|[^\\p{{L}}\\p{{N}}_])' || {esc('lower(c.phrase)')} || '([^\\p{{L}}\\p{{N}}_]|$)')),
 validated AS (
   SELECT v.code, v.phrase, CAST(NULL AS VARCHAR) AS name,
          round(CAST(count(t.doc_id) AS DOUBLE) / count(*), 3) AS precision,
          CAST(count(t.doc_id) AS BIGINT) AS hits_pos, CAST(count(*) AS BIGINT) AS hits_total
   FROM vhits v LEFT JOIN truth t ON t.doc_id = v.doc_id AND t.code = v.code
-  GROUP BY v.code, v.phrase
+  GROUP BY v.cand_id, v.code, v.phrase
   HAVING count(*) >= 3 AND CAST(count(t.doc_id) AS DOUBLE) / count(*) >= 85e-2)"""
 
 

@@ -201,7 +201,7 @@ def q_op(spark, sf):
     return Orchestrated(spark, sf).auto.select("auto_threshold")
 
 
-@register("gap_sweep", with_base(ORCH_CTES + r""",
+_GAP_SQL = r""",
 g100 AS (SELECT CAST(range AS INT) AS k,
            CASE WHEN range = 99 THEN 5e-1 ELSE CAST(range AS DOUBLE) * ((5e-1 - 0e0) / 99) + 0e0 END AS g FROM range(100)),
 gs_auto AS (SELECT g.k, v.doc_id FROM g100 g JOIN conf_v v ON (NOT v.no_pred)
@@ -212,17 +212,31 @@ gs_code AS (SELECT a.k, c.code, sum(c.tp) AS tp, sum(c.fp) AS fp, sum(c.fn) AS f
 gs_k AS (SELECT k, sum(tp) AS tp, sum(fp) AS fp,
            sum(CASE WHEN 2 * tp + fp + fn > 0 THEN CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) ELSE 0.0 END) AS f1sum
          FROM gs_code GROUP BY k),
-gs_n AS (SELECT g.k, g.g, count(a.doc_id) AS n_auto FROM g100 g LEFT JOIN gs_auto a ON a.k = g.k GROUP BY g.k, g.g)""", """
+gs_n AS (SELECT g.k, g.g, count(a.doc_id) AS n_auto FROM g100 g LEFT JOIN gs_auto a ON a.k = g.k GROUP BY g.k, g.g)"""
+_GAP_SELECT = """
 SELECT n.k, n.g AS min_gap, round(CAST(n.n_auto AS DOUBLE) / (SELECT count(*) FROM vdocs), 6) AS coverage,
        round(CASE WHEN n.n_auto > 0 THEN CASE WHEN s.tp + s.fp > 0 THEN CAST(s.tp AS DOUBLE) / (s.tp + s.fp) ELSE 0.0 END END, 6)
          AS micro_prec,
        round(CASE WHEN n.n_auto > 0 THEN coalesce(s.f1sum, 0.0) / (SELECT c FROM ncodes) END, 6) AS macro_f1
-FROM gs_n n LEFT JOIN gs_k s ON s.k = n.k"""))
-def q_gap(spark, sf):
+FROM gs_n n LEFT JOIN gs_k s ON s.k = n.k"""
+
+
+def _gap_sweep(spark, sf):
     o = Orchestrated(spark, sf)
-    s = orc.gap_sweep(o.routed("val"), o.truth, o.docs("val"), o.n_codes,
-                      o.auto.withColumn("method", F.lit("routed")))
-    return s.select("k", "min_gap", *_r6("coverage", "micro_prec", "macro_f1"))
+    return orc.gap_sweep(o.routed("val"), o.truth, o.docs("val"), o.n_codes, o.auto.withColumn("method", F.lit("routed")))
+
+
+@register("gap_sweep", with_base(ORCH_CTES + _GAP_SQL, _GAP_SELECT))
+def q_gap(spark, sf):
+    return _gap_sweep(spark, sf).select("k", "min_gap", *_r6("coverage", "micro_prec", "macro_f1"))
+
+
+@register("gap_at_policy", with_base(ORCH_CTES + _GAP_SQL, f"""
+SELECT * FROM ({_GAP_SELECT}) x ORDER BY abs(min_gap - 1e-1), k LIMIT 1"""))
+def q_gap_at(spark, sf):
+    """The row of the gap sweep nearest to the policy's gap."""
+    return (orc.nearest(materialize(_gap_sweep(spark, sf)), "min_gap", MIN_GAP)
+            .select("k", "min_gap", *_r6("coverage", "micro_prec", "macro_f1")))
 
 
 @register("escalated", with_base(ORCH_CTES, "SELECT doc_id, no_pred, low_score, low_gap, escalated FROM esc"))
@@ -379,11 +393,7 @@ policy AS (SELECT r.code, r.method, CASE WHEN r.method = 'm1' THEN r.f1_a ELSE r
 
 def _policy(o: Orchestrated):
     dcode = orc.disagreement_by_code(o.preds_in("train"), o.docs("train"), A, B)
-    return (o.routing.join(dcode.select("code", "disagree_rate"), "code", "left")
-            .crossJoin(F.broadcast(o.auto.select(F.col("auto_threshold").alias("min_score"))))
-            .select("code", "method", F.when(F.col("method") == A, F.col("f1_a")).otherwise(F.col("f1_b")).alias("f1"),
-                    F.round(F.coalesce("disagree_rate", F.lit(0.0)), 4).alias("disagree_rate"),
-                    F.lit(True).alias("escalate_if_uncertain"), "min_score", F.lit(MIN_GAP).alias("min_gap")))
+    return orc.policy_table(o.routing, dcode, o.auto, MIN_GAP, A)
 
 
 @register("policy_table", with_base(ORCH_CTES + _POLICY_SQL, "SELECT * FROM policy"))

@@ -13,24 +13,22 @@ from labelflow.session import materialize, scratch_path
 from labelflow.sources import contract
 from labelflow.sources.fixtures import Fixtures
 
-FIXTURE_CODES = [1, 2, 3, 10, 20, 30, 40] + list(range(100, 120))
-SPARSE_MIN = 0.25   # the sparse score table keeps scores >= this
 
 
 def sparse_preds(fx: Fixtures):
-    return fx.preds.where(F.col("score") >= F.lit(SPARSE_MIN))
+    """The sparse score table: zero scores are not stored."""
+    return fx.preds.where(F.col("score") > 0)
 
 
 @register("deeds_scan", with_base("""
 lab AS (SELECT doc_id, string_agg(CAST(code AS VARCHAR), ', ' ORDER BY code) AS codes
-        FROM truth WHERE code < 10 AND code IN (1, 2, 3) GROUP BY doc_id)""", """
+        FROM truth GROUP BY doc_id)""", """
 SELECT d.doc_id, length(d.text) AS n_chars, coalesce(l.codes, '') AS codes
 FROM documents d LEFT JOIN lab l ON l.doc_id = d.doc_id"""))
 def q_deeds_scan(spark, sf):
     fx = Fixtures(spark, sf)
     path = scratch_path(spark, "deeds-jsonl")
-    # quality / toxic codes only: documents get no code (null), one (bare scalar) or two (array)
-    contract.write_deeds(fx.docs, fx.truth.where(F.col("code").isin(1, 2, 3)), path)
+    contract.write_deeds(fx.docs, fx.truth, path)
     d = contract.read_deeds(spark, path)
     return d.select("doc_id", F.length("text").alias("n_chars"),
                     F.array_join(F.array_sort("codes"), ", ").alias("codes"))
@@ -46,7 +44,7 @@ def q_split_sizes(spark, sf):
 
 
 _DENSE_SQL = """
-sp AS (SELECT method, doc_id, code, score, predicted FROM preds WHERE score >= 25e-2),
+sp AS (SELECT method, doc_id, code, score, predicted FROM preds WHERE score > 0),
 dense AS (SELECT m.method, d.doc_id, l.code, CAST(coalesce(s.score, 0.0) AS FLOAT) AS score,
                  coalesce(s.predicted, false) AS predicted
           FROM (SELECT DISTINCT method FROM preds) m CROSS JOIN documents d CROSS JOIN label_space l
@@ -73,46 +71,70 @@ def q_contract_read(spark, sf):
     return contract.read_predictions(spark, root, "m2")
 
 
-@register("contract_violations", with_base(_DENSE_SQL, """
-SELECT method, CAST(count(*) AS BIGINT) AS n_rows,
+@register("contract_violations", with_base(_DENSE_SQL + """,
+bad AS (
+  SELECT method, doc_id, code, CASE WHEN doc_id % 11 = 1 THEN score + 2 WHEN doc_id % 11 = 2 THEN NULL ELSE score END AS score,
+         predicted FROM dense WHERE doc_id % 7 <> 3
+  UNION ALL SELECT method, doc_id, code, score, predicted FROM dense WHERE doc_id % 5 = 0
+  UNION ALL SELECT method, doc_id, code + 100000 AS code, score, predicted FROM dense WHERE doc_id % 13 = 4),
+keys AS (SELECT method, doc_id, code, count(*) AS k FROM bad GROUP BY method, doc_id, code)""", """
+SELECT b.method, CAST(count(*) AS BIGINT) AS n_rows,
        CAST(sum(CASE WHEN score < 0 OR score > 1 THEN 1 ELSE 0 END) AS BIGINT) AS out_of_range,
-       CAST(0 AS BIGINT) AS null_cells, CAST(0 AS BIGINT) AS duplicate_keys,
-       CAST(0 AS BIGINT) AS missing_cells, CAST(0 AS BIGINT) AS unknown_code_rows
-FROM dense GROUP BY method"""))
+       CAST(sum(CASE WHEN score IS NULL OR predicted IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_cells,
+       CAST((SELECT count(*) FROM keys x WHERE x.method = b.method AND k > 1) AS BIGINT) AS duplicate_keys,
+       CAST((SELECT count(*) FROM documents) * (SELECT count(*) FROM label_space)
+            - (SELECT count(*) FROM keys x WHERE x.method = b.method AND x.code IN (SELECT code FROM label_space)) AS BIGINT) AS missing_cells,
+       CAST(sum(CASE WHEN code NOT IN (SELECT code FROM label_space) THEN 1 ELSE 0 END) AS BIGINT) AS unknown_code_rows
+FROM bad b GROUP BY b.method"""))
 def q_violations(spark, sf):
+    """The checks on a table with planted faults of each kind."""
     fx = Fixtures(spark, sf)
     docs, space = fx.table("documents", "doc_id"), fx.label_space
-    parts = [contract.dense_contract(sparse_preds(fx).where(F.col("method") == m), docs, space, m)
-             for m in ("m1", "m2")]
-    return contract.contract_violations(parts[0].unionByName(parts[1]), docs, space)
-
-
-_WIDE_COLS = ", ".join(f"round(max(CASE WHEN code = {c} THEN score END), 9) AS c_{c}" for c in FIXTURE_CODES)
-
-
-@register("pred_wide", with_base("", f"""
-SELECT doc_id, {_WIDE_COLS} FROM preds WHERE method = 'm1' AND doc_id IN (SELECT doc_id FROM splits WHERE split = 'val')
-GROUP BY doc_id"""))
+    sp = sparse_preds(fx)
+    parts = [contract.dense_contract(sp.where(F.col("method") == m), docs, space, m) for m in ("m1", "m2")]
+    dense = materialize(parts[0].unionByName(parts[1]))
+    r = F.col("doc_id") % 11
+    bad = dense.where(F.col("doc_id") % 7 != 3).withColumn(
+        "score", F.when(r == 1, F.col("score") + 2).when(r == 2, F.lit(None)).otherwise(F.col("score")))
+    bad = (bad.unionByName(dense.where(F.col("doc_id") % 5 == 0))
+           .unionByName(dense.where(F.col("doc_id") % 13 == 4).withColumn("code", F.col("code") + 100000)))
+    return contract.contract_violations(bad, docs, space)
+
+
+@register("pred_wide", with_base("", """
+SELECT doc_id, array_to_string(list(CAST(code AS VARCHAR) || '=' || CAST(CAST(round(score * 1e6) AS BIGINT) AS VARCHAR) ORDER BY code), ',') AS scores
+FROM preds WHERE method = 'm1' GROUP BY doc_id"""))
 def q_pred_wide(spark, sf):
+    """The wide form, one column per code of the label space, shown as one
+    string so that its columns follow the data."""
     fx = Fixtures(spark, sf)
-    val = fx.splits.where(F.col("split") == "val").select("doc_id")
-    p = fx.preds.where(F.col("method") == "m1").join(val, "doc_id", "left_semi")
-    w = contract.pred_wide(p, FIXTURE_CODES)
-    return w.select("doc_id", *[F.round(F.col(str(c)), 9).alias(f"c_{c}") for c in FIXTURE_CODES])
+    codes = [r["code"] for r in fx.label_space.select("code").orderBy("code").collect()]   # the columns of the result
+    w = contract.pred_wide(fx.preds.where(F.col("method") == "m1"), codes)
+    cells = [F.concat(F.lit(f"{c}="), F.round(F.col(str(c)) * 1e6).cast("bigint").cast("string")) for c in codes]
+    return w.select("doc_id", F.concat_ws(",", *cells).alias("scores"))
 
 
 @register("missing_predictions", with_base("", """
-SELECT doc_id FROM documents
-WHERE doc_id NOT IN (SELECT doc_id FROM preds WHERE method = 'm2' AND predicted AND score >= 8e-1)"""))
+SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM preds WHERE method = 'm2' AND predicted)"""))
 def q_missing(spark, sf):
-    """Confident rows only (predicted, score >= 0.8) form the sparse table;
-    documents without any are the ids missing from it."""
+    """Documents without any accepted row of a method."""
     fx = Fixtures(spark, sf)
-    sp = fx.preds.where((F.col("method") == "m2") & F.col("predicted") & (F.col("score") >= F.lit(0.8)))
+    sp = fx.preds.where((F.col("method") == "m2") & F.col("predicted"))
     _, missing = contract.align(sp, fx.table("documents", "doc_id"), fx.label_space)
     return missing
 
 
+@register("aligned_predictions", with_base("", """
+SELECT d.doc_id, l.code, coalesce(p.score, 0.0) AS score, coalesce(p.predicted, false) AS predicted
+FROM documents d CROSS JOIN label_space l
+LEFT JOIN preds p ON p.method = 'm2' AND p.predicted AND p.doc_id = d.doc_id AND p.code = l.code"""))
+def q_aligned(spark, sf):
+    fx = Fixtures(spark, sf)
+    sp = fx.preds.where((F.col("method") == "m2") & F.col("predicted"))
+    aligned, _ = contract.align(sp, fx.table("documents", "doc_id"), fx.label_space)
+    return aligned
+
+
 @register("sample_head", with_base("", """
 SELECT doc_id, length(text) AS n_chars FROM documents ORDER BY doc_id LIMIT 50"""))
 def q_sample(spark, sf):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from labelflow.functions import text as tx
-from labelflow.operators import matching
+from labelflow.operators import matching, patterns
 from labelflow.plans.catalog import register
 from labelflow.plans.oracle_base import with_base
 from labelflow.plans.oracle_text import TEXT_CTES, esc
@@ -38,35 +38,59 @@ def q_title(spark, sf):
     return d.select("doc_id", tx.title_zone(F.col("text"), PREFIX_RX, PREFIX_WINDOW, TITLE_LEN).alias("title"))
 
 
-@register("phrase_parts", with_base("", """
-SELECT pattern_id, CAST(len(parts) AS INT) AS n_parts, array_to_string(parts, '|') AS parts FROM pat"""))
+# phrases cut from the benchmark texts: plain, gapped with an ellipsis, gapped with dots
+_BENCH = r"""
+bw AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark),
+bphr AS (SELECT CAST(item_id AS INT) AS ord, CAST(item_id % 7 AS INT) AS code, 'bench' AS source,
+           CASE WHEN item_id % 2 = 0 THEN 'full' ELSE 'title' END AS match_zone,
+           CASE item_id % 3 WHEN 0 THEN w[1] || ' ' || w[2] WHEN 1 THEN w[1] || ' … ' || w[3]
+                ELSE w[2] || '..' || w[4] || ' ... ' || w[5] END AS phrase FROM bw),
+bpat AS (SELECT code, source, phrase AS source_text, match_zone,
+           CAST(code AS VARCHAR) || '-' || source || '-' ||
+             format('{:03d}', row_number() OVER (PARTITION BY code, source ORDER BY ord)) AS pattern_id,
+           list_filter(list_transform(regexp_split_to_array(phrase, '\s*(?:…|\.{2,})\s*'), lambda x: lower(trim(x))),
+                       lambda x: x <> '') AS parts FROM bphr)"""
+
+
+def bench_patterns(fx: Fixtures):
+    w = F.split("text", " ")
+    phrase = (F.when(F.col("item_id") % 3 == 0, F.concat_ws(" ", w[0], w[1]))
+              .when(F.col("item_id") % 3 == 1, F.concat(w[0], F.lit(" … "), w[2]))
+              .otherwise(F.concat(w[1], F.lit(".."), w[3], F.lit(" ... "), w[4])))
+    rows = fx.table("benchmark", "item_id", "text").select(
+        F.col("item_id").cast("int").alias("ord"), (F.col("item_id") % 7).cast("int").alias("code"), F.lit("bench").alias("source"),
+        phrase.alias("phrase"), F.when(F.col("item_id") % 2 == 0, "full").otherwise("title").alias("match_zone"))
+    return patterns.from_phrases(rows)
+
+
+@register("phrase_parts", with_base(_BENCH, """
+SELECT pattern_id, CAST(len(parts) AS INT) AS n_parts, array_to_string(parts, '|') AS parts FROM bpat"""))
 def q_parts(spark, sf):
-    p = Fixtures(spark, sf).patterns
+    p = bench_patterns(Fixtures(spark, sf))
     parts = tx.phrase_parts(F.col("source_text"), F.col("fuzzy_gap"))
     return p.select("pattern_id", F.size(parts).cast("int").alias("n_parts"),
                     F.array_join(parts, "|").alias("parts"))
 
 
-@register("phrase_kind", with_base("", f"""
+@register("phrase_kind", with_base(_BENCH, f"""
 SELECT pattern_id,
   CASE WHEN len(parts) = 0 THEN 'empty' WHEN len(parts) >= 2 THEN 'fuzzy' ELSE 'literal' END AS kind,
-  CASE WHEN len(parts) = 1 THEN '(?i)\\b' || {esc('trim(source_text)')} || '\\b'
+  CASE WHEN len(parts) = 1 THEN '(?i)\\b' || {esc("list_filter(list_transform(regexp_split_to_array(source_text, '\\s*(?:…|\\.{2,})\\s*'), lambda x: trim(x)), lambda x: x <> '')[1]")} || '\\b'
        ELSE '(?is)' || array_to_string(list_transform(
           list_filter(list_transform(regexp_split_to_array(source_text, '\\s*(?:…|\\.{{2,}})\\s*'), lambda x: trim(x)), lambda x: x <> ''),
           lambda x: {esc('x')}), '.{{0,80}}') END AS regex
-FROM pat"""))
+FROM bpat"""))
 def q_kind(spark, sf):
-    c = matching.compile_patterns(Fixtures(spark, sf).patterns)
-    p = Fixtures(spark, sf).patterns.select("pattern_id", "regex")
-    return (c.join(p, "pattern_id")
+    pats = bench_patterns(Fixtures(spark, sf))
+    return (matching.compile_patterns(pats).join(pats.select("pattern_id", "regex"), "pattern_id")
             .select("pattern_id", F.when(F.col("kind").isin("literal", "edge"), "literal")
                     .otherwise(F.col("kind")).alias("kind"), "regex"))
 
 
-@register("pattern_ids", with_base("", """
-SELECT pattern_id, code, source, source_text, match_zone FROM pat"""))
+@register("pattern_ids", with_base(_BENCH, """
+SELECT pattern_id, code, source, source_text, match_zone FROM bpat"""))
 def q_pattern_ids(spark, sf):
-    return Fixtures(spark, sf).patterns.select("pattern_id", "code", "source", "source_text", "match_zone")
+    return bench_patterns(Fixtures(spark, sf)).select("pattern_id", "code", "source", "source_text", "match_zone")
 
 
 @register("match_literal", with_base(TEXT_CTES, """

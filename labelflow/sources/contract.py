@@ -15,11 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The column names of the prediction file.
 CONTRACT_COLUMNS = ("doc_id", "code", "score", "predicted", "method")
 
-# Upper bound for a label space we are willing to broadcast to every task.
-MAX_LABEL_SPACE = 100_000
-
 DEED_SCHEMA = T.StructType([
     T.StructField("doc_id", T.StringType()),
     T.StructField("text", T.StringType()),
@@ -31,25 +29,25 @@ DEED_SCHEMA = T.StructType([
 # ---------------------------------------------------------------------------
 # O-S1 / O-S2: documents from JSON lines
 # ---------------------------------------------------------------------------
-def normalise_codes(raw: F.Column) -> F.Column:
-    """A label field that is an array, a bare scalar or null -> ARRAY<INT>."""
+def normalise_codes(raw: F.Column, code_type: str = "int") -> F.Column:
+    """A label field that is an array, a bare scalar or null -> ARRAY<code_type>."""
     trimmed = F.trim(raw)
-    return (F.when(trimmed.startswith("["), F.from_json(trimmed, "array<int>"))
-            .when(raw.isNotNull() & (trimmed != "null"), F.array(trimmed.cast("int")))
-            .otherwise(F.array().cast("array<int>")))
+    return (F.when(trimmed.startswith("["), F.from_json(trimmed, f"array<{code_type}>"))
+            .when(raw.isNotNull() & (trimmed != "null"), F.array(trimmed.cast(code_type)))
+            .otherwise(F.array().cast(f"array<{code_type}>")))
 
 
-def read_deeds(spark: SparkSession, path: str) -> DataFrame:
+def read_deeds(spark: SparkSession, path: str, id_type: str = "bigint", code_type: str = "int") -> DataFrame:
     """Scan JSON-lines documents, keep three columns, normalise the labels.
 
     Blank lines are skipped by the JSON reader; the schema is explicit so no
-    inference pass runs over the data.
+    inference pass runs over the data.  A malformed line, a missing id or an id
+    that is no ``id_type`` fails the read; ids and codes may be strings.
     """
-    raw = spark.read.schema(DEED_SCHEMA).option("mode", "PERMISSIVE").json(path)
-    return (raw.where(F.col("doc_id").isNotNull())
-            .select(F.col("doc_id").cast("bigint").alias("doc_id"), "text",
-                    F.coalesce(normalise_codes(F.col("codes")), F.array().cast("array<int>"))
-                    .alias("codes")))
+    raw = spark.read.schema(DEED_SCHEMA).option("mode", "FAILFAST").json(path)
+    doc_id = F.when(F.col("doc_id").isNull(), F.raise_error(F.lit("a document has no doc_id"))).otherwise(F.col("doc_id"))
+    return raw.select(doc_id.cast(id_type).alias("doc_id"), "text",
+                      F.coalesce(normalise_codes(F.col("codes"), code_type), F.array().cast(f"array<{code_type}>")).alias("codes"))
 
 
 def write_deeds(docs: DataFrame, truth: DataFrame, path: str) -> None:
@@ -91,10 +89,8 @@ def key_grid(docs: DataFrame, space: DataFrame) -> DataFrame:
     The label space is collapsed to one array row and exploded per document:
     a single-row broadcast, so documents are never shuffled for the grid.
     """
-    classes = space.agg(F.array_sort(F.collect_list("code")).alias("_classes"),
-                        F.count(F.lit(1)).alias("_n"))
+    classes = space.agg(F.array_sort(F.collect_list("code")).alias("_classes"))
     return (docs.select("doc_id").crossJoin(F.broadcast(classes))
-            .where(F.col("_n") <= F.lit(MAX_LABEL_SPACE))
             .select("doc_id", F.explode("_classes").alias("code")))
 
 
@@ -114,10 +110,8 @@ def dense_contract(scores: DataFrame, docs: DataFrame, space: DataFrame, method:
 def write_predictions(contract: DataFrame, root: str) -> None:
     """Write contract rows, one partition per method; rewriting one method
     leaves the others in place (dynamic partition overwrite)."""
-    spark = contract.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    (contract.select(*CONTRACT_COLUMNS).repartition("method", "doc_id")
-     .write.mode("overwrite").partitionBy("method").parquet(root))
+    (contract.select(*CONTRACT_COLUMNS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("method").parquet(root))
 
 
 def read_predictions(spark: SparkSession, root: str, method: str) -> DataFrame:
@@ -136,30 +130,27 @@ def freeze(df: DataFrame, path: str) -> None:
 
 
 def contract_violations(contract: DataFrame, docs: DataFrame, space: DataFrame) -> DataFrame:
-    """O-Q1/O-P12: per method, counts of each kind of contract violation."""
-    c = contract
-    bad = c.groupBy("method").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.sum(F.when((F.col("score") < 0) | (F.col("score") > 1), 1).otherwise(0)).cast("bigint")
-        .alias("out_of_range"),
-        F.sum(F.when(F.col("score").isNull() | F.col("predicted").isNull()
-                     | F.col("doc_id").isNull() | F.col("code").isNull(), 1).otherwise(0))
-        .cast("bigint").alias("null_cells"))
-    dup = (c.groupBy("method", "doc_id", "code").agg(F.count(F.lit(1)).alias("k"))
-           .where(F.col("k") > 1).groupBy("method").agg(F.count(F.lit(1)).alias("duplicate_keys")))
-    present = c.select("method", "doc_id", "code").distinct()
-    methods = c.select("method").distinct()
-    grid = key_grid(docs, space).crossJoin(F.broadcast(methods))  # few methods
-    missing = (grid.join(present, ["method", "doc_id", "code"], "left_anti")
-               .groupBy("method").agg(F.count(F.lit(1)).alias("missing_cells")))
-    unknown_codes = (c.join(F.broadcast(space.select("code")), "code", "left_anti")
-                     .groupBy("method").agg(F.count(F.lit(1)).alias("unknown_code_rows")))
-    out = bad
-    for extra in (dup, missing, unknown_codes):
-        out = out.join(extra, "method", "left")
-    return out.select("method", "n_rows", "out_of_range", "null_cells",
-                      *[F.coalesce(F.col(k), F.lit(0)).cast("bigint").alias(k)
-                        for k in ("duplicate_keys", "missing_cells", "unknown_code_rows")])
+    """O-Q1/O-P12: per method, counts of each kind of contract violation.
+
+    One aggregation by (method, doc, code) counts rows, duplicates and distinct
+    valid keys; missing cells are documents x codes minus the latter, so no grid
+    is built."""
+    null = F.col("score").isNull() | F.col("predicted").isNull() | F.col("doc_id").isNull() | F.col("code").isNull()
+    keys = contract.groupBy("method", "doc_id", "code").agg(
+        F.count(F.lit(1)).alias("k"),
+        F.sum(F.when((F.col("score") < 0) | (F.col("score") > 1), 1).otherwise(0)).alias("out_of_range"),
+        F.sum(F.when(null, 1).otherwise(0)).alias("null_cells"))
+    known = (keys.join(space.select("code", F.lit(1).alias("_c")), "code", "left")
+             .join(docs.select("doc_id", F.lit(1).alias("_d")), "doc_id", "left"))
+    size = docs.agg(F.count(F.lit(1)).alias("_nd")).crossJoin(space.agg(F.count(F.lit(1)).alias("_nc")))   # one row
+    per = known.groupBy("method").agg(
+        F.sum("k").alias("n_rows"), F.sum("out_of_range").alias("out_of_range"), F.sum("null_cells").alias("null_cells"),
+        F.sum(F.when(F.col("k") > 1, 1).otherwise(0)).alias("duplicate_keys"),
+        F.sum(F.when(F.col("_c").isNotNull() & F.col("_d").isNotNull(), 1).otherwise(0)).alias("_valid"),
+        F.sum(F.when(F.col("_c").isNull(), F.col("k")).otherwise(0)).alias("unknown_code_rows"))
+    return per.crossJoin(F.broadcast(size)).select(
+        "method", "n_rows", "out_of_range", "null_cells", "duplicate_keys",
+        (F.col("_nd") * F.col("_nc") - F.col("_valid")).alias("missing_cells"), "unknown_code_rows")
 
 
 def pred_wide(contract: DataFrame, classes: list[int]) -> DataFrame:
@@ -172,8 +163,7 @@ def align(contract: DataFrame, target_ids: DataFrame, space: DataFrame, strict:
     """O-M6/O-M7: align contract rows to ``target_ids`` x label space.
 
     Unknown ids/codes are dropped, missing cells become score 0 / false.
-    Returns (aligned, missing_ids); with ``strict`` a non-empty missing set is
-    an error the caller raises after checking ``missing_ids``.
+    Returns (aligned, missing_ids); with ``strict`` an absent id is an error.
     """
     grid = key_grid(target_ids, space)
     s = contract.select("doc_id", "code", "score", "predicted")
@@ -182,6 +172,8 @@ def align(contract: DataFrame, target_ids: DataFrame, space: DataFrame, strict:
                        F.coalesce("predicted", F.lit(False)).alias("predicted")))
     missing = target_ids.select("doc_id").join(contract.select("doc_id").distinct(),
                                                "doc_id", "left_anti")
+    if strict and not missing.isEmpty():
+        raise ValueError(f"predictions are missing for document {missing.first()['doc_id']!r} and maybe more")
     return aligned, missing
 
 
@@ -190,14 +182,13 @@ def align(contract: DataFrame, target_ids: DataFrame, space: DataFrame, strict:
 # ---------------------------------------------------------------------------
 def threshold_lookup(codes: DataFrame, thresholds: DataFrame, default: float = 0.5,
                      strict: bool = False) -> DataFrame:
-    """Per-code threshold with a default for missing codes.
-
-    With ``strict`` missing codes keep NULL (the caller raises on any NULL).
-    """
-    t = codes.select("code").join(F.broadcast(thresholds.select("code", "threshold")),
-                                  "code", "left")
+    """Per-code threshold with a default for missing codes; with ``strict`` a
+    missing code is an error."""
+    t = codes.select("code").join(thresholds.select("code", "threshold"), "code", "left")
     if strict:
-        return t
+        lost = t.where("threshold IS NULL").first()
+        if lost is not None:
+            raise ValueError(f"no threshold for code {lost['code']!r}")
     return t.select("code", F.coalesce("threshold", F.lit(default)).alias("threshold"))
 
 
@@ -220,6 +211,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", header: bool = T
         w.parquet(path)
 
 
+# The field names of a run config file.
 CONFIG_SCHEMA = T.StructType([
     T.StructField("model_name", T.StringType()), T.StructField("pooling", T.StringType()),
     T.StructField("content_size", T.IntegerType()), T.StructField("stride", T.IntegerType()),

@@ -9,7 +9,6 @@ scans: its work grows with the tables.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -131,7 +130,3 @@ class Fixtures:
         return e.select(F.floor(F.col("vec_id") / 4).cast("bigint").alias("doc_id"),
                         (F.col("vec_id") % 4).cast("int").alias("chunk_no"), "embedding",
                         (1 + F.col("vec_id") % 7).cast("int").alias("n_tokens"))
-
-    @cached_property
-    def n_docs(self) -> int:
-        return self.table("documents", "doc_id").count()

@@ -1,7 +1,7 @@
 """Score newly arriving document files with frozen weights and thresholds.
 
 A Structured Streaming file source reads new Parquet files of documents;
-each micro-batch is matched against the (static, broadcast) pattern table,
+each micro-batch is matched against the static pattern table,
 scored with the frozen per-pattern weights, thresholded per code and
 appended to the prediction contract.  The checkpoint location keeps track of
 processed files, so a restarted query resumes where it stopped.
@@ -36,8 +36,10 @@ def start(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: s
 
     def write(batch: DataFrame, batch_id: int) -> None:
         out = score_batch(batch, patterns, weights, th, prefix_rx).withColumn("method", F.lit(method))
-        out.select("doc_id", "code", F.col("score").cast("float").alias("score"), "predicted", "method") \
-            .write.mode("append").partitionBy("method").parquet(sink_dir)
+        # a batch that is retried overwrites its own partition instead of adding its rows twice
+        (out.select("doc_id", "code", F.col("score").cast("float").alias("score"), "predicted", "method",
+                    F.lit(batch_id).alias("batch_id"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("method", "batch_id").parquet(sink_dir))
 
     w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
