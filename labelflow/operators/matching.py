@@ -12,17 +12,18 @@ Semantics (fixed):
   itself has no boundary);
 * ``match_zone`` 'full' = the whole text, 'title' = the title zone.
 
-Plan (no document x pattern product, no shuffle of text):
+Plan (no document x pattern product):
 1. Letter-edged literal terms: every word-bounded occurrence covers complete
    letter runs, so each document emits its distinct *spans* of k consecutive
    letter runs (k over the run counts present among the terms) and a join on
    (zone, span) finds the hits; its strategy is left to the size statistics.
-2. Gapped patterns and terms with a non-letter edge come only from curated
-   input (mined terms are always letter-edged); they travel as one
-   broadcast row and are tested per document: a ``contains`` pre-check,
-   letter-edged parts by membership in the same span set, other parts and
-   the gap test by regex; passing patterns are emitted as keys that the same
-   join resolves.
+2. Gapped patterns and terms with a non-letter edge are cut into parts.  A
+   letter-edged part joins as such, any other part by its first letter run
+   (complete in the text wherever the part occurs bounded).  Documents that hold
+   a key of every part are candidates; only their texts are joined back and
+   tested by regex.
+3. A pattern without any letter has no key; these few travel as one broadcast
+   row and are tested per document.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelflow.functions import text as tx
+from labelflow.session import stage
 
-KEY_MARK = "\u0002"
 
 
 def zone_texts(docs: DataFrame, prefix_rx: str | None = None, window: int = 500,
@@ -73,63 +74,56 @@ def compile_patterns(patterns: DataFrame) -> DataFrame:
         "n_runs", F.when(F.col("kind") == "literal", F.size(tx.letter_runs(F.col("term")))))
 
 
-def _edge_spec(compiled: DataFrame) -> DataFrame:
-    """One row: every gapped / non-letter-edged pattern with its tests.
-
-    A letter-edged part is tested by membership in the document's span set
-    (the same spans the join uses); other parts by a boundary regex.
-    """
+def _tests(compiled: DataFrame) -> DataFrame:
+    """Gapped and non-letter-edged patterns with their parts and regex tests."""
     e = compiled.where(F.col("kind").isin("edge", "fuzzy"))
-    part_spec = F.transform(
-        F.when(F.col("kind") == "edge", F.array(F.col("term"))).otherwise(F.col("parts")),
-        lambda q: F.struct(F.when(tx.letter_edged(q), q).alias("lpart"),
-                           F.when(~tx.letter_edged(q), tx.bounded_regex(q)).alias("prx")))
+    qs = F.when(F.col("kind") == "edge", F.array(F.col("term"))).otherwise(F.col("parts"))
     gap_rx = F.when(F.col("kind") == "fuzzy", F.concat(
         F.lit("(?s)"), F.array_join(F.transform("parts", tx.regex_escape), tx.GAP_REGEX)))
-    pre = F.when(F.col("kind") == "edge", F.col("term")).otherwise(F.col("parts")[0])
-    spec = F.struct(F.col("pattern_id"), F.col("zone"), pre.alias("pre"),
-                    part_spec.alias("qs"), gap_rx.alias("rx"))
-    return e.agg(F.collect_list(spec).alias("_edge"))
+    odd = F.transform(F.filter(qs, lambda q: ~tx.letter_edged(q)), tx.bounded_regex)
+    return e.select("pattern_id", "code", "zone", qs.alias("qs"), odd.alias("prx"), gap_rx.alias("rx"))
+
+
+def _passes(ztext, prx, rx):
+    return F.forall(prx, lambda q: F.regexp_like(ztext, q)) & (rx.isNull() | F.regexp_like(ztext, F.coalesce(rx, F.lit(""))))
 
 
 def match(zones: DataFrame, compiled: DataFrame) -> DataFrame:
     """Hits (doc_id, zone, pattern_id, code), one per (document, pattern)."""
-    spark = zones.sparkSession
-    lit_keys = compiled.where(F.col("kind") == "literal").select(
-        "zone", F.col("term").alias("key"), "pattern_id", "code")
-    edge_keys = compiled.where(F.col("kind").isin("edge", "fuzzy")).select(
-        "zone", F.concat(F.lit(KEY_MARK), F.col("pattern_id")).alias("key"), "pattern_id", "code")
-    keys = lit_keys.unionByName(edge_keys)
-    # small actions on the (bounded) pattern table only
-    edge_parts = F.filter(F.when(F.col("kind") == "fuzzy", F.col("parts")).otherwise(F.array()),
-                          lambda q: tx.letter_edged(q))
-    stats = compiled.agg(
-        F.collect_set(F.when(F.col("kind") == "literal", F.col("n_runs"))).alias("ks"),
-        F.flatten(F.collect_set(F.transform(edge_parts, lambda q: F.size(tx.letter_runs(q))))).alias("kf"),
-        F.sum(F.when(F.col("kind").isin("edge", "fuzzy"), 1).otherwise(0)).alias("n_edge")).first()
-    lengths = sorted(set(stats["ks"] or []) | set(stats["kf"] or []))
-    z = zones
-    zt = F.col("ztext")
-    spans = tx.letter_spans(zt, lengths) if lengths else F.array().cast("array<string>")
-    if stats["n_edge"]:
-        z = z.crossJoin(F.broadcast(_edge_spec(compiled)))  # one row
-
-        def with_edge(sp):
-            def passes(p):
-                parts_ok = F.forall(p["qs"], lambda q: F.when(
-                    q["lpart"].isNotNull(), F.array_contains(sp, q["lpart"])).otherwise(F.regexp_like(zt, q["prx"])))
-                return ((p["zone"] == F.col("zone")) & F.contains(zt, p["pre"]) & parts_ok
-                        & (p["rx"].isNull() | F.regexp_like(zt, F.coalesce(p["rx"], F.lit("")))))
-            hits = F.transform(F.filter("_edge", passes), lambda p: F.concat(F.lit(KEY_MARK), p["pattern_id"]))
-            return F.concat(sp, hits)
-        # the span set is computed once per row and shared by the join keys and the part tests
-        all_keys = tx.let(spans, with_edge)
-    elif lengths:
-        all_keys = spans
-    else:
-        return spark.createDataFrame([], "doc_id BIGINT, zone STRING, pattern_id STRING, code INT")
-    exploded = z.select("doc_id", "zone", F.explode(all_keys).alias("key"))
-    return exploded.join(keys, ["zone", "key"]).select("doc_id", "zone", "pattern_id", "code")
+    literal = compiled.where(F.col("kind") == "literal").select("zone", F.col("term").alias("key"), "pattern_id", "code")
+    tests = _tests(compiled)
+    parts = tests.select("pattern_id", "zone", F.posexplode("qs").alias("no", "q"))
+    parts = parts.select("pattern_id", "zone", "no", F.when(tx.letter_edged(F.col("q")), F.col("q")).otherwise(
+        F.regexp_extract("q", r"\p{L}+", 0)).alias("key")).where("key <> ''")
+    # staged, so that the join with the spans is chosen by the table's real size
+    keys = stage(literal.select("zone", "key", "pattern_id", F.lit(-1).alias("no"))
+                 .unionByName(parts.select("zone", "key", "pattern_id", "no")), "pattern-keys")
+    # one small action on the pattern table: the run counts of its keys
+    lengths = [r["k"] for r in keys.select(F.size(tx.letter_runs(F.col("key"))).alias("k")).distinct().collect()]
+    out = []
+    if lengths:
+        spans = zones.select("doc_id", "zone", F.explode(tx.letter_spans(F.col("ztext"), lengths)).alias("key"))
+        found = spans.join(keys, ["zone", "key"]).select("doc_id", "zone", "pattern_id", "no")
+        need = parts.groupBy("pattern_id").agg(F.countDistinct("no").alias("n"))
+        per = found.groupBy("doc_id", "zone", "pattern_id").agg(F.countDistinct("no").alias("c"), F.min("no").alias("first"))
+        out.append(per.where("first < 0").join(literal.select("pattern_id", "code"), "pattern_id")
+                   .select("doc_id", "zone", "pattern_id", "code"))
+        cand = (per.where("first >= 0").join(need, "pattern_id").where("c = n").select("doc_id", "zone", "pattern_id")
+                .join(tests.drop("zone", "qs"), "pattern_id"))
+        out.append(zones.join(cand, ["doc_id", "zone"]).where(_passes(F.col("ztext"), F.col("prx"), F.col("rx")))
+                   .select("doc_id", "zone", "pattern_id", "code"))
+    bare = tests.where(~F.exists("qs", lambda q: F.regexp_like(q, F.lit(r"\p{L}"))))
+    if not bare.isEmpty():
+        spec = bare.agg(F.collect_list(F.struct("pattern_id", "code", "zone", "prx", "rx")).alias("_bare"))
+        hit = F.filter("_bare", lambda p: (p["zone"] == F.col("zone")) & _passes(F.col("ztext"), p["prx"], p["rx"]))
+        out.append(zones.crossJoin(F.broadcast(spec)).select("doc_id", "zone", F.explode(hit).alias("p"))   # one row
+                   .select("doc_id", "zone", "p.pattern_id", "p.code"))
+    if not out:
+        return zones.sparkSession.createDataFrame([], "doc_id BIGINT, zone STRING, pattern_id STRING, code INT")
+    hits = out[0]
+    for more in out[1:]:
+        hits = hits.unionByName(more)
+    return hits
 
 
 def match_patterns(docs: DataFrame, patterns: DataFrame, prefix_rx: str | None = None,

@@ -74,8 +74,9 @@ def run_hybrid(train: DataFrame, eval_docs: DataFrame, truth: DataFrame, space:
                folds: DataFrame, build_patterns: Callable[[DataFrame, DataFrame], DataFrame],
                cfg: HybridConfig) -> dict[str, DataFrame]:
     """O-H5: fit on ``train`` (doc_id, text; prefix already stripped), predict
-    ``eval_docs``; returns champion table, head codes and the eval predictions
-    (doc_id, code, score in [0, 1], predicted)."""
+    ``eval_docs``; returns champion table, head codes, the shared norm, the
+    fitted tables of both variants and the eval predictions (doc_id, code, score
+    in [0, 1], predicted)."""
     ht = labels.head_tail(labels.restrict_to_space(truth.join(train, "doc_id", "left_semi"), space),
                           share=cfg.head_share, n_docs=train.agg(F.count(F.lit(1)).alias("n")))
     ht = materialize(space.select("code").join(ht, "code", "left").fillna({"is_head": False}))
@@ -99,4 +100,9 @@ def run_hybrid(train: DataFrame, eval_docs: DataFrame, truth: DataFrame, space:
     blended = scoring.blend(p1, p2, champ)
     if cfg.mutex_pairs:
         blended = scoring.mutex(blended, p1.select("doc_id", "code", "score"), cfg.mutex_pairs)
-    return {"champion": champ, "head_tail": ht, "pred": scoring.unit_scores(blended)}
+    blended = materialize(blended)
+    # the scale all predicted sets share; a later batch passes it to unit_scores
+    norm = materialize(blended.agg(F.greatest(F.max("score"), F.lit(1.0)).alias("norm")))
+    fitted = {f"{name}_{part}": getattr(v, part) for name, v in (("v1", v1), ("v2", v2))
+              for part in ("patterns", "weights", "thresholds")}
+    return {"champion": champ, "head_tail": ht, "norm": norm, "pred": scoring.unit_scores(blended, norm), **fitted}

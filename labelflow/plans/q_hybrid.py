@@ -10,7 +10,7 @@ from labelflow.plans import hybrid
 from labelflow.plans.catalog import register
 from labelflow.plans.oracle_base import with_base
 from labelflow.plans.q_text_matching import stripped_docs
-from labelflow.session import materialize
+from labelflow.session import materialize, stage
 from labelflow.sources.fixtures import (HEAD_SHARE, MUTEX_PAIRS, PREFIX_RX, PREFIX_WINDOW, TIEBREAK_DEFAULT,
                                         TIEBREAK_GROUP, TIEBREAK_RULES, TITLE_LEN, Fixtures)
 
@@ -140,7 +140,7 @@ def _fixture_patterns(fx):
     """Curated seed phrases plus terms mined from the given documents."""
     def build(codes, docs):
         n = mining.corpus_size(docs)
-        vocab = materialize(mining.vocabulary(mining.doc_terms(docs.select("doc_id", "text")), n))
+        vocab = stage(mining.vocabulary(mining.doc_terms(docs.select("doc_id", "text")), n), "vocabulary")
         chi = materialize(mining.mine_chi2(docs, vocab, fx.truth, codes, n))
         tfi = materialize(mining.mine_tfidf(docs, vocab, fx.truth, codes, n))
         hh = mining.terms_with_hits(chi.select("term").unionByName(tfi.select("term")), docs)

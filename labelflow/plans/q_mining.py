@@ -15,7 +15,7 @@ from labelflow.plans.catalog import register
 from labelflow.plans.oracle_base import with_base
 from labelflow.plans.oracle_text import TEXT_CTES, esc
 from labelflow.plans.q_text_matching import stripped_docs
-from labelflow.session import materialize
+from labelflow.session import materialize, stage
 from labelflow.sources.fixtures import PREFIX_RX, PREFIX_WINDOW, TITLE_LEN, Fixtures
 
 
@@ -30,7 +30,7 @@ class MinedFixture:
 
     @cached_property
     def vocab(self):
-        return materialize(mining.vocabulary(self.dt, self.n))
+        return stage(mining.vocabulary(self.dt, self.n), "vocabulary")
 
     @property
     def dtv(self):

@@ -76,3 +76,11 @@ def materialize(df: DataFrame) -> DataFrame:
     lost executor does not force recomputation from the sources."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back:
+    lineage is cut, and joins see the real size of the table."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

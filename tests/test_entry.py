@@ -15,7 +15,8 @@ def test_oracle_keys_are_query_keys():
 
 def test_entry_runs(spark):
     df = entry.entry(spark)
-    assert df.count() >= 0
+    rows = df.collect()
+    assert len(rows) == 27 and any(r.f1 > 0.5 for r in rows) and all(0 <= r.precision <= 1 for r in rows)
     assert set(df.columns) == {"code", "precision", "recall", "f1", "support"}
 
 
@@ -23,7 +24,8 @@ def test_some_queries_match_oracle(spark):
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
-    for key in ("label_space", "per_class", "match_literal", "tune_exact"):
+    for key in ("label_space", "per_class", "match_zones", "tune_exact", "contract_violations", "validated_candidates",
+                "mutex_pairs", "gap_at_policy"):
         s = entry.queries()[key](spark, SF)
         cols = sorted(s.columns)
         a = sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in (r[c] for c in cols)) for r in s.collect())

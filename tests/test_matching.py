@@ -44,10 +44,10 @@ def expected(docs, phrases):
 
 
 def test_edge_cases(spark):
-    docs = ["x1 abc_ abcd éabc", "vestiging recht van opstal", "a" + " " * 79 + "b", "a" + " " * 80 + "b",
-            "b then a", "Vestigen van de laste", "zie (abc) en zal worden.", "cc by-nc 4.0 text", "", "für und"]
-    phrases = ["abc", "vestiging recht", "recht van opstal", "a … b", "vestigen … laste", "(abc", "zal worden.",
-               "cc by-nc 4.0", "für", "und"]
+    docs = ["x1 abc_ abcd éabc", "eaesth reingha van onnt", "a" + " " * 79 + "b", "a" + " " * 80 + "b",
+            "b then a", "Thering van de erly", "was (abc) en ndsh erth.", "cc by-nc 4.0 text", "", "für und"]
+    phrases = ["abc", "eaesth reingha", "reingha van onnt", "a … b", "thering … erly", "(abc", "ndsh erth.",
+               "cc by-nc 4.0", "für", "und", "4.0", "… 4.0", "(abc … erth."]
     assert run(spark, docs, phrases) == expected(docs, phrases)
 
 

@@ -19,9 +19,25 @@ def test_no_product_no_python(spark, key):
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
 
 
+@pytest.mark.parametrize("key", ["match_literal", "mined_chi2", "pred_wide", "metrics"])
+def test_no_undeclared_nested_loop(spark, key):
+    """Nested-loop joins are only those with one broadcast row (an aggregate)."""
+    p = plan_of(entry.queries()[key](spark, SF))
+    assert "CartesianProduct" not in p
+    for part in p.split("BroadcastNestedLoopJoin")[1:]:
+        assert "Aggregate" in part
+
+
 def test_document_scan_is_pruned(spark):
-    p = plan_of(entry.queries()["match_literal"](spark, SF))
+    p = entry.queries()["match_literal"](spark, SF)._jdf.queryExecution().toString()
     # only doc_id and text are read from the documents table
-    assert "ReadSchema: struct<doc_id:bigint,text:string>" in entry.queries()["match_literal"](spark, SF) \
-        ._jdf.queryExecution().toString() or "struct<doc_id:bigint,text:string>" in p
-    assert "BroadcastHashJoin" in p
+    assert "struct<doc_id:bigint,text:string>" in p and "lang:string" not in p.split("== Physical Plan ==")[1]
+
+
+def test_terms_are_counted_without_a_shuffle(spark):
+    from labelflow.operators import mining
+    docs = spark.createDataFrame([(1, "alpha beta alpha")], "doc_id BIGINT, text STRING")
+    dt = mining.doc_terms(docs, ())
+    assert "Exchange" not in plan_of(dt)
+    assert {(r.term, r.tf) for r in dt.collect()} == {("alpha", 2), ("beta", 1), ("alpha beta", 1), ("beta alpha", 1),
+                                                      ("alpha beta alpha", 1)}
