@@ -43,11 +43,19 @@ def tune_exact(scores: DataFrame, truth: DataFrame, groups: Sequence[str] = ())
     """
     g = list(groups)
     tg = [c for c in g if c in truth.columns]   # groups the truth table carries
+    return _pick(_score_counts(scores, truth, g, tg), _support(truth, tg), g, tg)
+
+
+def _score_counts(scores: DataFrame, truth: DataFrame, g: list[str], tg: list[str]) -> DataFrame:
+    """(groups, code, score, n, pos): rows and positives of each distinct score."""
     y = truth.select(*tg, "doc_id", "code", F.lit(1).alias("_y"))
     s = scores.where(F.col("score") > 0).join(y, [*tg, "doc_id", "code"], "left")
-    per = s.groupBy(*g, "code", "score").agg(F.count(F.lit(1)).alias("n"), F.count("_y").alias("pos"))
+    return s.groupBy(*g, "code", "score").agg(F.count(F.lit(1)).alias("n"), F.count("_y").alias("pos"))
+
+
+def _pick(per: DataFrame, support: DataFrame, g: list[str], tg: list[str]) -> DataFrame:
     cum = running_totals_desc(per, [*g, "code"], "score", ["n", "pos"], score_bucket("score"))
-    cand = cum.join(_support(truth, tg), [*tg, "code"]).where(F.col("pos_cum") > 0)
+    cand = cum.join(support, [*tg, "code"]).where(F.col("pos_cum") > 0)
     f1 = 2 * F.col("pos_cum") / (F.col("n_cum") + F.col("support"))
     best = cand.groupBy(*g, "code", "support").agg(
         F.max(F.struct(f1.alias("f1"), (-F.col("score")).alias("neg_t"))).alias("b"))
@@ -92,10 +100,10 @@ def apply_thresholds(scores: DataFrame, thresholds: DataFrame, groups: Sequence[
                      inclusive: bool = True) -> DataFrame:
     """O-A6: predicted = score >= t (inclusive) or score > t; NULL t = never.
 
-    The threshold table has one row per (groups, code): broadcast.
+    The threshold table has one row per (groups, code).
     """
     g = list(groups)
-    t = F.broadcast(thresholds.select(*g, "code", "threshold"))
+    t = thresholds.select(*g, "code", "threshold")
     j = scores.join(t, [*g, "code"], "left")
     cmp = (F.col("score") >= F.col("threshold")) if inclusive else (F.col("score") > F.col("threshold"))
     return j.withColumn("predicted", F.coalesce(cmp, F.lit(False))).drop("threshold")
@@ -105,19 +113,23 @@ def cv_predict(scores: DataFrame, truth: DataFrame, folds: DataFrame, n_folds: i
                groups: Sequence[str] = ()) -> DataFrame:
     """O-A7: out-of-fold predictions in one job.
 
-    Each score/truth row is replicated into the tuning sets of the other
-    folds (``tune_fold``); thresholds are tuned per (tune_fold, code) and
-    applied to the rows of that fold.  Returns scores with ``predicted``.
+    Scores and truth are joined and counted once by (fold, code, score); these
+    counts, not the rows, are spread over the tuning sets of the other folds.
+    Thresholds are picked per (tuning set, code) and applied to the rows of that
+    fold.  Returns scores with ``predicted``.
     """
     g = list(groups)
+    tg = [c for c in g if c in truth.columns]
     f = folds.select("doc_id", "fold")
     all_f = F.array(*[F.lit(i) for i in range(n_folds)])
-
-    def replicate(df):
-        return (df.join(f, "doc_id")
-                .withColumn("tune_fold", F.explode(F.array_except(all_f, F.array(F.col("fold")))))
-                .drop("fold"))
-    th = tune_exact(replicate(scores), replicate(truth), [*g, "tune_fold"])
-    th = th.withColumnRenamed("tune_fold", "fold")
     s = scores.join(f, "doc_id")
+
+    def spread(df, keys, values):
+        others = F.explode(F.array_except(all_f, F.array(F.col("fold"))))
+        return (df.withColumn("tune_fold", others).groupBy(*keys, "tune_fold").agg(*[F.sum(v).alias(v) for v in values])
+                .withColumnRenamed("tune_fold", "fold"))
+
+    per = spread(_score_counts(s, truth, [*g, "fold"], tg), [*g, "code", "score"], ["n", "pos"])
+    support = spread(_support(truth.join(f, "doc_id"), [*tg, "fold"]), [*tg, "code"], ["support"])
+    th = _pick(per, support, [*g, "fold"], [*tg, "fold"])
     return apply_thresholds(s, th, [*g, "fold"], inclusive=True)
