@@ -97,6 +97,28 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+_WORDS = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[0-9a-z\x{80}-\x{10FFFF}]+')")
+
+ORACLE["op8_decontamination"] = f"""
+WITH dw AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+bw AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+bi AS (SELECT item_id, w, least(10, len(w)) AS m FROM bw WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, m, array_to_string(w[j:j + m - 1], ' ') AS k
+        FROM (SELECT item_id, w, m, unnest(range(1, len(w) - m + 2)) AS j FROM bi) x),
+dwin AS (SELECT doc_id, m, j, array_to_string(w[j:j + m - 1], ' ') AS k
+         FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS j
+               FROM dw, (SELECT DISTINCT m FROM bi) ms WHERE len(w) >= m) x),
+hit AS (SELECT d.doc_id, d.j, d.m, w.item_id FROM dwin d JOIN win w ON w.m = d.m AND w.k = d.k),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(j, j + m)) AS p FROM hit) x GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n, string_agg(i, ',' ORDER BY i) AS s
+       FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit) x GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(pos.n, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(it.n, 0) AS BIGINT) AS n_items, sha256(coalesce(it.s, '')) AS items_sha256,
+       coalesce(pos.n, 0) > 0 AS contaminated
+FROM dw d LEFT JOIN pos ON pos.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id"""
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
