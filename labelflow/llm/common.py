@@ -104,23 +104,21 @@ def odd_numbers(n: int, seed: int) -> np.ndarray:
 FILTER_BITS = 1 << 23
 
 
-def id_filter(ids: DataFrame, column: str) -> np.ndarray:
-    """Bits of the hashed ids, OR-ed on the executors.  At most FILTER_BITS / 64
-    rows (1 MB) reach the driver whatever the number of ids; a set bit only says
-    "maybe", so every use is followed by an exact join."""
-    h = F.pmod(F.xxhash64(F.col(column)), F.lit(FILTER_BITS))
-    words = (ids.select((h / 64).cast("long").alias("w"), F.expr("shiftleft(1L, CAST({} % 64 AS INT))".format(
-        f"pmod(xxhash64({column}), {FILTER_BITS})")).alias("b"))
-        .groupBy("w").agg(F.bit_or("b").alias("b")))
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    for r in words.collect():
-        out[r["w"]] = r["b"]
+def id_filter(ids: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
+    """Bits of the hashed ids, OR-ed on the executors.  At most bits / 64 rows
+    reach the driver whatever the number of ids; a set bit only says "maybe", so
+    every use is followed by an exact join."""
+    words = (ids.select(filter_slot(column, bits).alias("slot"))
+             .select(F.shiftright("slot", 6).alias("w"), F.expr("shiftleft(1L, CAST(slot % 64 AS INT))").alias("b"))
+             .groupBy("w").agg(F.bit_or("b").alias("b"))).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[np.asarray(words["w"], np.int64)] = np.asarray(words["b"], np.int64)
     return out
 
 
-def filter_slot(column: str):
+def filter_slot(column: str, bits: int = FILTER_BITS):
     """Column expression of the filter slot of an id (see ``maybe_in``)."""
-    return F.pmod(F.xxhash64(F.col(column)), F.lit(FILTER_BITS))
+    return F.pmod(F.xxhash64(F.col(column)), F.lit(bits))
 
 
 def maybe_in(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:

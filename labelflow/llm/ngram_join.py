@@ -11,7 +11,7 @@ their first ``a - c + 1`` and two of their first ``a - c + 2`` elements:
   inverted lists, which are scanned.
 
 The boundary is the largest size up to which the subsets of a set cost less
-than scanning its lists, with list lengths estimated over all shingles.
+than scanning its lists, with list lengths estimated from a count sketch of all shingles.
 
 Lists are scanned without emitting all pairs of a group: each member of a list
 is first compared with the list's smallest member; only members that are not in
@@ -28,6 +28,7 @@ are dropped.  Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,14 +42,18 @@ from labelflow.llm.shingles import shingle_sets
 
 WORDS = 5
 PERCENT = 80
-#: The most frequent shingles go last in the global order: at most this many,
-#: 8 bytes each (16 MB), sent to every executor.  Any order gives the same
-#: result; a good one only shortens the lists.
-MAX_FREQUENT = 1 << 21
-#: Counts from here on fall in one class when the cut is chosen.
-COUNT_CLASSES = 1024
-#: Counters each task keeps for finding them (Misra-Gries summary).
-COUNTERS = 1 << 19
+#: Slots of the count sketch that orders shingles, frequent ones last: one byte
+#: each (4 MB), sent to every executor.  Any order gives the same result; a
+#: good one only shortens the lists.
+SLOTS = 1 << 22
+SLOT_BLOCK = 1 << 15
+#: Shingles a task gathers before it counts them.
+PENDING = 1 << 20
+#: Bits of the filter that tells keys of several documents (4 MB).
+KEY_BITS = 1 << 25
+#: Pairs (16 bytes each) up to which they are sent to the texts instead of
+#: shuffling with them; counted before the choice.
+MAX_SENT_PAIRS = 2_000_000
 #: Documents of a dense group compared in one task against as many others.
 BLOCK = 256
 
@@ -70,60 +75,56 @@ def _each_set(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[p
 
 
 def shingle_stats(docs: DataFrame, words: int = WORDS) -> tuple[np.ndarray, float, dict[int, int]]:
-    """One pass over all shingles: the frequent ones (sorted), the expected
-    length of the list of a random other shingle, and shingles in total by
-    set size (powers of two).  Each task keeps COUNTERS counters."""
+    """One pass over all shingles: the log-scaled counts by slot, the expected
+    length of the list of a prefix element, and shingles in total by set size
+    (powers of two).  What a task sends and what the driver gets has a fixed size."""
     def run(batches):
-        keys, counts, total, sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, np.zeros(64, np.int64)
+        counts, sizes = np.zeros(SLOTS, np.uint16), np.zeros(64, np.int64)
         pending, waiting = [], 0
+
+        def count() -> None:
+            slot, n = np.unique((np.concatenate(pending) & np.uint64(SLOTS - 1)).astype(np.uint32), return_counts=True)
+            counts[slot] = np.minimum(counts[slot] + n, 255)
+
         for _, sets in _each_set(batches, words):
             for s in sets:
                 pending.append(s)
                 waiting += len(s)
                 sizes[int(len(s)).bit_length()] += len(s)
-            if waiting > 2 * COUNTERS:
-                keys, counts = _merge(keys, counts, pending)
-                total, pending, waiting = total + waiting, [], 0
-        keys, counts = _merge(keys, counts, pending)
-        total += waiting
-        keep = counts > 1
-        k = np.concatenate([keys[keep].view(np.int64), np.arange(64)])
+            if waiting > PENDING:
+                count()
+                pending, waiting = [], 0
+        if pending:
+            count()
+        blocks = counts.astype(np.uint8).reshape(-1, SLOT_BLOCK)
+        used = np.flatnonzero(blocks.any(1))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat([0, 1], [keep.sum(), 64])), pa.array(k), pa.array(np.concatenate([counts[keep], sizes]))],
-            ["kind", "k", "n"])
-
-    seen = staged(map_arrow(docs.select("text"), run, "kind long, k long, n long").groupBy("kind", "k")
-                  .agg(F.sum("n").alias("n")), "shingle-counts")
-    sizes = {r["k"]: r["n"] for r in seen.where("kind = 1 and n > 0").collect()}
-    total = sum(sizes.values())
-    counts = {r["c"]: r["k"] for r in seen.where("kind = 0").groupBy(F.least("n", F.lit(COUNT_CLASSES)).alias("c"))
-              .agg(F.count("*").alias("k")).collect()}
-    least, room = COUNT_CLASSES, MAX_FREQUENT
-    for c in range(COUNT_CLASSES, 1, -1):
-        room -= counts.get(c, 0)
-        if room < 0:
-            break
-        least = c - 1
-    if counts.get(COUNT_CLASSES, 0) > MAX_FREQUENT:
-        least = max(COUNT_CLASSES, -(-total // MAX_FREQUENT))
-    frequent = seen.where((F.col("kind") == 0) & (F.col("n") > least)).select("k").toArrow()["k"]
-    rest = seen.where((F.col("kind") == 0) & (F.col("n") <= least)).agg(
-        F.sum(F.col("n") * F.col("n")).alias("sq"), F.sum("n").alias("n")).first()
-    length = ((rest["sq"] or 0) + max(0, total - (rest["n"] or 0))) / max(1, total)
-    return np.sort(np.asarray(frequent).astype(np.int64).view(np.uint64)), float(length), sizes
-
-
-def _merge(keys, counts, sets):
-    if not sets:
-        return keys, counts
-    new, n = np.unique(np.concatenate(sets), return_counts=True)
-    both, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
-    total = np.bincount(at, np.concatenate([counts, n]), len(both)).astype(np.int64)
-    if len(both) > COUNTERS:
-        cut = np.partition(total, -COUNTERS - 1)[-COUNTERS - 1]
-        total = total - cut
-        both, total = both[total > 0], total[total > 0]
-    return both, total
+            [pa.array(np.append(used, -1)), pa.array([*(zlib.compress(blocks[i].tobytes(), 1) for i in used), sizes.tobytes()])],
+            ["block", "counts"])
+
+    def add(key, table):
+        if key[0].as_py() < 0:
+            data = sum(np.frombuffer(x.as_py(), np.int64) for x in table["counts"]).tobytes()
+        else:
+            n = sum(np.frombuffer(zlib.decompress(x.as_py()), np.uint8).astype(np.int64) for x in table["counts"])
+            data = np.minimum(np.round(8 * np.log2(1 + n)), 255).astype(np.uint8).tobytes()
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "counts": pa.array([data], pa.binary())})
+
+    found = (map_arrow(docs.select("text"), run, "block long, counts binary").groupBy("block")
+             .applyInArrow(add, "block long, counts binary")).toArrow()
+    level, sizes = np.zeros(SLOTS, np.uint8), np.zeros(64, np.int64)
+    for block, data in zip(found["block"].to_pylist(), found["counts"].to_pylist()):
+        if block < 0:
+            sizes = np.frombuffer(data, np.int64)
+        else:
+            level[block * SLOT_BLOCK:(block + 1) * SLOT_BLOCK] = np.frombuffer(data, np.uint8)
+    total = int(sizes.sum())
+    by_level = np.bincount(level, minlength=256)
+    count = np.round(2 ** (np.arange(256) / 8) - 1)
+    share = np.cumsum(by_level * count) / max(1, total)
+    low = max(1, int(np.searchsorted(share, 0.2)))  # the rarest fifth of all shingles fills the prefixes
+    mean = (by_level * count ** 2)[:low + 1].sum() / max(1.0, (by_level * count)[:low + 1].sum())
+    return level, float(max(1.0, mean - total / SLOTS)), {i: int(n) for i, n in enumerate(sizes) if n}
 
 
 def light_boundary(list_length: float, sizes: dict[int, int], percent: int = PERCENT) -> int:
@@ -138,15 +139,12 @@ def light_boundary(list_length: float, sizes: dict[int, int], percent: int = PER
     return best
 
 
-def prefix_keys(s: np.ndarray, heavy: np.ndarray, boundary: int, percent: int = PERCENT) -> np.ndarray:
+def prefix_keys(s: np.ndarray, level: np.ndarray, boundary: int, percent: int = PERCENT) -> np.ndarray:
     """Keys of one set: hashed 2-subsets and / or prefix elements."""
     n = len(s)
     if n == 0:
         return s
-    if len(heavy):
-        at = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
-        last = heavy[at] == s
-        s = np.concatenate([s[~last], s[last]])
+    s = s[np.argsort(level[(s & np.uint64(SLOTS - 1)).astype(np.int64)], kind="stable")]
     out = []
     if n <= boundary:
         p = s[:prefix_len(n, 2, percent)]
@@ -185,17 +183,18 @@ class JaccardJoin:
     def __init__(self, docs: DataFrame, words: int = WORDS, percent: int = PERCENT):
         self.docs = docs.select("doc_id", "text").where("doc_id is not null")
         self.words, self.percent = words, percent
-        self.heavy, self.list_length, self.sizes = shingle_stats(self.docs, words)
+        self.level, self.list_length, self.sizes = shingle_stats(self.docs, words)
         self.boundary = light_boundary(self.list_length, self.sizes, percent)
         self._sets()
 
     def _sets(self) -> None:
-        heavy = self.docs.sparkSession.sparkContext.broadcast(self.heavy)
+        spark = self.docs.sparkSession
+        level = spark.sparkContext.broadcast(self.level)
         words, boundary, percent = self.words, self.boundary, self.percent
 
         def run(batches):
             for b, sets in _each_set(batches, words):
-                keys = [prefix_keys(s, heavy.value, boundary, percent).view(np.int64) for s in sets]
+                keys = [prefix_keys(s, level.value, boundary, percent).view(np.int64) for s in sets]
                 offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
                 flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -206,12 +205,23 @@ class JaccardJoin:
 
         rows = map_arrow(self.docs, run, "doc_id long, n_shingles long, digest binary, keys array<long>")
         both = staged(rows, "shingle-keys")
-        self.sets = both.select("doc_id", "n_shingles", "digest").distinct()
-        reps = self.sets.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-        self.members = staged(self.sets.join(reps, "digest", "left")
+        sets = both.select("doc_id", "n_shingles", "digest").distinct()
+        reps = sets.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+        self.members = staged(sets.join(reps, "digest", "left")
                               .select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "set-members")
+        posts = both.select("doc_id", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
+        # keys of one document only link nothing; most are, and go before the posts are shuffled
+        shared = posts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+        bits = spark.sparkContext.broadcast(id_filter(shared, "key", KEY_BITS))
+
+        def among(batches):
+            for b in batches:
+                yield b.filter(pa.array(maybe_in(bits.value, np.asarray(b.column(3))))).select([0, 1, 2])
+
+        posts = map_arrow(posts.select("key", "doc_id", "n", filter_slot("key", KEY_BITS).alias("slot")), among,
+                          "key long, doc_id long, n long")
         own = self.members.where("rep = doc_id").select("doc_id").distinct()
-        posts = (both.join(own, "doc_id").select("doc_id", F.col("n_shingles").alias("n"), F.explode("keys").alias("key")))
+        posts = staged(posts.join(own, "doc_id"), "posts")
         lists = posts.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
         posts = staged(posts.join(lists, "key"), "inverted-lists")
         # the member whose lists are longest stands closest to the others
@@ -230,8 +240,10 @@ class JaccardJoin:
         documents in question are shingled again and shuffled."""
         ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
         percent, sets = self.percent, self._sets_of(ids)
-        left = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"))
-        right = sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
+        small = pairs.count() <= MAX_SENT_PAIRS
+        sent = F.broadcast if small else (lambda df: df)
+        right = sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")).join(sent(pairs), "b")
+        left = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")).join(sent(pairs.select("a").distinct()), "a")
 
         def check(batches):
             for b in batches:
@@ -242,18 +254,26 @@ class JaccardJoin:
                     keep.append(both > 0 and 100 * both >= percent * (len(u) + len(v) - both))
                 yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        wide = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
+        wide = right.join(left, "a").select("a", "b", "sa", "sb")
         return staged(map_arrow(wide, check, "a long, b long").distinct(), "links")
 
     def links(self) -> DataFrame:
         """Verified links (a, b) between representatives of different sets.  All
         links that a list's pivot has, and all links between members that those leave in different components."""
         first = staged(self.posts.where("doc_id <> pivot").where(self._fits("n", "pivot_n"))
-                       .select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).distinct(),
-                       "pairs")
+                       .select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
         found = self._verify(first)
         comp = components(found)
-        posts = (self.posts.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        # only lists with a member that its pivot is not linked to need another look
+        lost = first.join(found, ["a", "b"], "left_anti")
+        lost = staged(lost.union(self.posts.where("doc_id <> pivot").where(~self._fits("n", "pivot_n"))
+                                 .select("pivot", "doc_id").distinct()), "unlinked")
+        sent = F.broadcast if lost.count() <= MAX_SENT_PAIRS else (lambda df: df)
+        odd = staged(self.posts.join(sent(lost.select(F.col("a").alias("pivot"), F.col("b").alias("doc_id"))), ["pivot", "doc_id"],
+                                     "left_semi").select("key").distinct(), "odd-lists")
+        sent = F.broadcast if odd.count() <= MAX_SENT_PAIRS else (lambda df: df)
+        posts = self.posts.join(sent(odd), "key", "left_semi")
+        posts = (posts.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
                  .withColumn("component", F.coalesce("component", "doc_id")))
         low = posts.where("doc_id = pivot").select("key", F.col("component").alias("pivot_component"))
         posts = staged(posts.join(low, "key").where("doc_id <> pivot"), "list-components")
@@ -280,7 +300,8 @@ class JaccardJoin:
         rest = (x.join(y, "key").where("cx <> cy").where((F.col("cy") == F.col("pivot_component")) | F.expr("x < y"))
                 .where(self._fits("nx", "ny"))
                 .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        rest = staged(rest.join(first, ["a", "b"], "left_anti"), "pairs")
+        tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        rest = staged(rest.join(tested, ["a", "b"], "left_anti"), "pairs")
         self.n_pairs = (first, rest)
         return found.union(self._verify(rest)).union(self._blocks(docs, group.where("dense")))
 
