@@ -12,7 +12,6 @@ Null texts are empty.  Rows count one by one.  Extra columns are ignored.
 from __future__ import annotations
 
 import base64
-import hashlib
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,8 +26,8 @@ from pyspark.sql import functions as F
 
 from labelflow.llm.common import map_arrow, text_chunks
 
-#: Distinct pre-tokens a task remembers before it starts anew (about 100 MB).
-CACHE_ENTRIES = 500_000
+#: Distinct pre-tokens of a generation; a task remembers two (about 60 MB).
+CACHE_ENTRIES = 150_000
 
 
 def byte_characters() -> list[str]:
@@ -98,8 +97,9 @@ class Encoder:
         self.whole = {t: struct.pack("<I", i) for i, t in enumerate(bpe.vocab)}
         self.chars = dict(enumerate(byte_characters()))
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def _learn(self, tokens: set[str]) -> None:
+    def _learn(self, tokens: list[str]) -> None:
         rest = []
         for t in tokens:
             raw = t.encode()
@@ -115,11 +115,12 @@ class Encoder:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.split(t or "") for t in texts]
         tokens = set().union(*split)
-        new = {t for t in tokens if t not in self.known}
-        if len(self.known) + len(new) > CACHE_ENTRIES:
-            self.known, new = {}, tokens
-        self._learn(new)
-        known = self.known
+        if len(self.known) > CACHE_ENTRIES:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = [t for t in tokens if t not in known]
+        known.update((t, older[t]) for t in new if t in older)
+        self._learn([t for t in new if t not in known])
         return [b"".join([known[t] for t in s]) for s in split]
 
     def decode(self, rows: list[bytes | None]) -> list[bytes]:
@@ -127,17 +128,6 @@ class Encoder:
         return [b"".join([vocab[i] for i in np.frombuffer(ids or b"", "<u4").tolist()]) for ids in rows]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def _encoder(bpe: ByteBpe, model: bytes) -> Encoder:
-    key = hashlib.sha256(model + bpe.pattern.encode()).hexdigest()
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(bpe, model)
-    return _ENCODERS[key]
-
-
 def _run(df: DataFrame, bpe: ByteBpe, source: str, columns: dict[str, str], make, keep: list[str] = ()) -> DataFrame:
     """The ids of ``df``, its columns ``keep`` and the binary columns that
     ``make`` gives for a list of sources."""
@@ -145,7 +135,7 @@ def _run(df: DataFrame, bpe: ByteBpe, source: str, columns: dict[str, str], make
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, pattern, model = shared.value
-        enc = _encoder(ByteBpe(vocab, pattern), model)
+        enc = Encoder(ByteBpe(vocab, pattern), model)   # of this task, freed with it
         for b in batches:
             for lo, hi in text_chunks(b, "_source"):
                 part = b.slice(lo, hi - lo)
