@@ -43,16 +43,31 @@ def _bit_length(x: np.ndarray) -> np.ndarray:
 
 
 def pack(values: np.ndarray, width: int) -> np.ndarray:
-    """(rows, n) unsigned values below 2**width as (rows, bytes), n * width bits each."""
-    bits = np.unpackbits(values.astype(">u4").view(np.uint8).reshape(*values.shape, 4), axis=-1)[..., 32 - width:]
-    return np.packbits(bits.reshape(len(values), -1), axis=1)
+    """(rows, n) unsigned values below 2**width as (rows, bytes), n * width bits
+    each; n is a multiple of 8.  Eight values fill ``width`` bytes."""
+    lanes = values.reshape(len(values), -1, 8).astype(np.uint64)
+    out = np.zeros((*lanes.shape[:2], width), np.uint8)
+    for k in range(width):  # bits 8k to 8k + 7 of the group, highest first
+        byte = np.zeros(lanes.shape[:2], np.uint64)
+        for lane in range(8 * k // width, min(7, (8 * k + 7) // width) + 1):
+            shift = (lane + 1) * width - (8 * k + 8)  # low bits of the lane beyond this byte
+            v = lanes[:, :, lane]
+            byte |= v >> np.uint64(shift) if shift >= 0 else v << np.uint64(-shift)
+        out[:, :, k] = byte & np.uint64(255)
+    return out.reshape(len(values), -1)
 
 
 def unpack(raw: np.ndarray, width: int, n: int) -> np.ndarray:
-    bits = np.unpackbits(raw, axis=1, count=n * width).reshape(len(raw), n, width)
-    full = np.zeros((len(raw), n, 32), np.uint8)
-    full[..., 32 - width:] = bits
-    return np.packbits(full, axis=-1).view(">u4")[..., 0].astype(np.uint32)
+    group = raw.reshape(len(raw), n // 8, width)
+    out = np.empty((len(raw), n // 8, 8), np.uint32)
+    mask = np.uint64((1 << width) - 1)
+    for lane in range(8):
+        first, last = lane * width // 8, ((lane + 1) * width - 1) // 8
+        v = np.zeros(group.shape[:2], np.uint64)
+        for k in range(first, last + 1):
+            v = v << np.uint64(8) | group[:, :, k]
+        out[:, :, lane] = v >> np.uint64(8 * (last + 1) - (lane + 1) * width) & mask
+    return out.reshape(len(raw), n)
 
 
 def encode_ids(ids: np.ndarray) -> bytes:

@@ -12,18 +12,21 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
 from labelflow.llm.common import text_buffer
 
-#: Distinct pieces a worker remembers before it starts anew (about 150 MB).
-CACHE_ENTRIES = 800_000
+#: Distinct pieces of a generation; a worker remembers two (about 100 MB).
+CACHE_ENTRIES = 200_000
 PIECES_PER_CALL = 4000
+#: Lower-case Latin letters: the tokenizer takes a run of them as one pre-token
+#: and does not change it.
+_PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 #: Bytes of text whose pieces are counted together.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 
 def check_splits_at_space(spec: dict) -> None:
@@ -48,66 +51,104 @@ class WordTokens:
         check_splits_at_space(parsed)
         self.lowers = "Lowercase" in json.dumps(parsed["normalizer"])
         self.tokenizer = Tokenizer.from_str(spec.decode())
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.ends = {c: self._ids(c) for c in ".,"}
+        # for pieces of plain letters: the same model without the steps that leave them as they are
+        byte_level = parsed["pre_tokenizer"]["pretokenizers"][1:]
+        parsed |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *byte_level]}}
+        self.plain = Tokenizer.from_str(json.dumps(parsed))
+        for t in (self.tokenizer, self.plain):
+            t.no_truncation()
+            t.no_padding()
+        # in a run of plain letters exactly the last token carries the word's end
+        suffix = parsed["model"].get("end_of_word_suffix") or ""
+        self.is_end = None
+        if suffix:
+            self.is_end = np.zeros(max(parsed["model"]["vocab"].values()) + 1, bool)
+            self.is_end[[i for t, i in parsed["model"]["vocab"].items() if t.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.space = np.arange(256, dtype=np.uint8)
         self.space[[9, 10, 13]] = 32
+        self.low = self.space.copy()
+        self.low[65:91] = self.space[97:123]
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode pieces joined by spaces, some thousand at a time; the offsets
-        of the library tell which piece a token belongs to."""
+    def _learn(self, plain: bool, pieces: list[str]) -> None:
+        """Encode pieces joined by spaces, some thousand at a time.  The word
+        ends, or else the offsets of the library, tell where a piece's ids end."""
+        tokenizer = self.plain if plain else self.tokenizer
         for at in range(0, len(pieces), PIECES_PER_CALL):
             part = pieces[at:at + PIECES_PER_CALL]
-            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            begin = np.concatenate([[0], np.cumsum([len(p) + 1 for p in part])])
-            cut = np.searchsorted(np.array([o[0] for o in e.offsets], np.int64), begin) * 4
-            raw = np.array(e.ids, "<u4").tobytes()
-            for p, lo, hi in zip(part, cut[:-1].tolist(), cut[1:].tolist()):
+            if plain and self.is_end is not None:
+                ids = np.array(tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.int64)
+                cut = [0, *((np.flatnonzero(self.is_end[ids]) + 1) * 4).tolist()]
+            else:
+                e = tokenizer.encode(" ".join(part), add_special_tokens=False)
+                ids = np.array(e.ids, np.int64)
+                begin = np.concatenate([[0], np.cumsum([len(p) + 1 for p in part])])
+                cut = (np.searchsorted(np.array(e.offsets, np.int64).reshape(-1, 2)[:, 0], begin) * 4).tolist()
+            if len(cut) != len(part) + 1:
+                raise ValueError("the tokenizer's word ends do not tell pieces apart")
+            raw = ids.astype("<u4").tobytes()
+            for p, lo, hi in zip(part, cut, cut[1:]):
                 self.known[p] = raw[lo:hi]
 
-    def _core(self, piece: str) -> tuple[str, str]:
-        """The piece without a full stop or comma after an ASCII letter, and that end."""
-        end = ""
-        if piece[-1:] in (".", ",") and piece[-2:-1].isascii() and piece[-2:-1].isalpha():
-            piece, end = piece[:-1], piece[-1]
-        return (piece.lower() if self.lowers and piece.isascii() and piece.isalpha() else piece), end
-
     def pieces(self, values: list[str]) -> list[bytes]:
         """Ids of distinct pieces, as little-endian unsigned 32-bit integers."""
-        cores = [self._core(v) for v in values]
-        wanted = {c for c, _ in cores}
-        new = [c for c in wanted if c not in self.known]
+        new = [v for v in values if v not in self.known]
         if len(self.known) + len(new) > CACHE_ENTRIES:
-            self.known, new = {}, list(wanted)
-        if "" in new:
-            new.remove("")
-            self.known[""] = b""
-        self._learn(new)
-        known, ends = self.known, self.ends
-        return [known[c] + ends[e] if e else known[c] for c, e in cores]
+            self.known, self.older, new = {}, self.known, values
+        known, older = self.known, self.older
+        for v in new:
+            if v in older:
+                known[v] = older[v]
+        new = [v for v in new if v not in known]
+        plain = [v for v in new if _PLAIN.fullmatch(v)]
+        self._learn(True, plain)
+        if len(plain) < len(new):
+            self._learn(False, [v for v in new if v not in known])
+        return [known[v] for v in values]
+
+    def _split(self, texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """Distinct pieces and their places; the number of pieces before each row.
+        A full stop or comma between an ASCII letter and a piece's end is a piece."""
+        raw, offsets = text_buffer(texts)
+        # a special token is told apart by case, so texts with one keep theirs
+        raw = (self.low if self.lowers and b"<|" not in raw.tobytes() else self.space)[raw]
+        n = len(raw)
+        gap = raw == 32
+        row = np.zeros(n + 1, bool)
+        row[offsets] = True
+        after = np.ones(n, bool)  # a piece ends after this byte
+        after[:-1] = gap[1:] | row[1:n]
+        letter = ((raw >= 97) & (raw <= 122)) | ((raw >= 65) & (raw <= 90))
+        stop = ((raw == 46) | (raw == 44)) & after
+        stop[1:] &= letter[:-1]
+        stop[:1] = False
+        stop &= ~row[:n]
+        first = stop | row[:n]
+        first[1:] |= gap[:-1]
+        keep = ~gap
+        begin = np.flatnonzero(first[keep])
+        data = raw[keep]
+        first &= keep
+        before = np.searchsorted(np.flatnonzero(first), offsets)
+        flat = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(np.append(begin, len(data)).astype(np.int64).tobytes()),
+                                                pa.py_buffer(data.tobytes()))
+        return flat.dictionary_encode(), before
 
     def encode(self, texts: pa.Array, ids: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
         """Number of ids of each text (null: empty) and all ids one after another."""
-        raw, offsets = text_buffer(texts)
-        flat = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets.tobytes()), pa.py_buffer(self.space[raw].tobytes()))
-        split = pc.split_pattern(flat, " ")
-        words = split.flatten().dictionary_encode()
+        words, before = self._split(texts)
         found = self.pieces(words.dictionary.to_pylist())
-        lens = np.array([len(x) // 4 for x in found], np.int64)
+        lens = np.fromiter(map(len, found), np.int64, len(found)) // 4
         index = words.indices.to_numpy().astype(np.int64)
         each = lens[index]
         run = np.concatenate([[0], np.cumsum(each)])
-        ends = run[np.asarray(split.offsets)]
+        counts = np.diff(run[before])
         if not ids:
-            return np.diff(ends), None
+            return counts, None
         store = np.frombuffer(b"".join(found), "<u4")
         start = np.cumsum(lens) - lens
-        return np.diff(ends), store[np.repeat(start[index] - run[:-1], each) + np.arange(run[-1])]
+        return counts, store[np.repeat(start[index] - run[:-1], each) + np.arange(run[-1])]
 
 
 _TOKENIZERS: dict[str, WordTokens] = {}
