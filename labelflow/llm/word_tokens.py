@@ -19,14 +19,14 @@ import pyarrow as pa
 
 from labelflow.llm.common import text_buffer
 
-#: Distinct pieces of a generation; a worker remembers two (about 100 MB).
-CACHE_ENTRIES = 200_000
+#: Distinct pieces of a generation; a worker remembers two (about 140 MB).
+CACHE_ENTRIES = 300_000
 PIECES_PER_CALL = 4000
 #: Lower-case Latin letters: the tokenizer takes a run of them as one pre-token
 #: and does not change it.
 _PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 #: Bytes of text whose pieces are counted together.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 8 << 20
 
 
 def check_splits_at_space(spec: dict) -> None:
