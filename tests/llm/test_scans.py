@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -187,3 +188,34 @@ def test_licences(spark, odd_docs):
     assert licences.report(odd_docs, model).count() == odd_docs.count()
     none = licences.fit(odd_docs.limit(0))
     assert licences.report(odd_docs, none).where("n_licences > 0").count() == 0
+
+
+def test_wrapped_diluted_and_versioned_notices(spark):
+    mit, bsd = licences.TEMPLATES["MIT"][2], licences.TEMPLATES["BSD-2-Clause"][2]
+    salad = " ".join(f"word{i % 700}" for i in range(5000))
+    gpl = ("This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU {0}General Public License as\n"
+           "published by the Free Software Foundation; either version {1} of the\nLicense, or (at your option) any later version.")
+    cc = "This work is licensed under a Creative Commons Attribution-{} {} License."
+    cases = [("\n".join(f" * {x}" for x in textwrap.wrap(mit, 78)), "MIT"), (f"{salad} {mit} {salad}", "MIT"),
+             ("\n\n".join(textwrap.wrap(bsd, 80)), "BSD-2-Clause"),
+             ("\n".join(textwrap.wrap(licences.TEMPLATES["BSD-3-Clause"][3], 72)), "BSD-3-Clause"),
+             (gpl.format("", "2"), "GPL-2.0"), (gpl.format("", "3"), "GPL-3.0"), (gpl.format("Lesser ", "2.1"), "LGPL-2.1"),
+             (gpl.format("Affero ", "3"), "AGPL-3.0"), (gpl.format("", "7"), ""),
+             (cc.format("ShareAlike", "4.0 International"), "CC-BY-SA-4.0"), (cc.format("ShareAlike", "3.0 Unported"), "CC-BY-SA-3.0"),
+             ("// SPDX-License-Identifier: ISC\ncode", "ISC"), (salad, ""), (f"{mit} {salad} {gpl.format('', '2')}", "GPL-2.0,MIT")]
+    model = licences.train([f"plain line {i} of text" for i in range(200)])
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.families for r in licences.report(df, model).collect()}
+    assert [got[i] for i in range(len(cases))] == [f for _, f in cases]
+
+
+def test_licence_words_equal_plain_words():
+    from labelflow.llm.common import text_buffer
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("aB1.2 -\né") for _ in range(rng.randint(0, 25))) for _ in range(500)]
+    raw, offsets = text_buffer(licences.pa.array(texts))
+    _, begin, end, row = licences.word_starts(raw, offsets)
+    got = [[] for _ in texts]
+    for a, b, r in zip(begin, end, row):
+        got[r].append(raw[a:b].tobytes().decode().lower())
+    assert got == [licences.plain_words(t) for t in texts]
