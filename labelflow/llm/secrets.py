@@ -3,8 +3,9 @@
 Candidates are the matches of three base patterns (assignments, access keys,
 hexadecimal runs) and long mixed tokens that no base match touches.  The hash of
 each candidate's value is counted over the distinct owners and repositories that
-hold it, all documents included.  Values of more than ``max_owners`` owners are
-widely copied examples; the others, if they look random, are live.  Base matches
+hold it, all documents included.  Values of more than ``max_owners`` owners or
+more than ``max_repos`` repositories, be they of one owner, are widely copied
+examples; the others, if they look random, are live.  Base matches
 are always reported; a mixed token is reported (kind ``token``) only if it is
 live.
 
@@ -32,6 +33,8 @@ KINDS = ("assign", "access", "hex", "token")
 
 #: A value that more owners hold is a widely copied example.
 MAX_OWNERS = 2
+#: So is a value that more repositories hold, whoever owns them.
+MAX_REPOS = 20
 #: Fewest different characters of a value that looks random.
 MIN_DISTINCT = 5
 #: Matches whose lengths are summed at a time when positions are derived.
@@ -87,14 +90,16 @@ def ownership(cands: DataFrame) -> DataFrame:
     return per_owner.groupBy("h").agg(F.count("*").alias("n_owners"), F.sum("r").alias("n_repos"))
 
 
-def secret_spans(docs: DataFrame, owner: str = "source", repo: str = "doc_id", max_owners: int = MAX_OWNERS) -> DataFrame:
+def secret_spans(docs: DataFrame, owner: str = "source", repo: str = "doc_id", max_owners: int = MAX_OWNERS,
+                 max_repos: int = MAX_REPOS) -> DataFrame:
     """(doc_id, text_key, spans): per document with candidates, an array of
-    (start, kind, end, n_owners, n_repos, live) in order of start and kind."""
+    (start, kind, end, n_owners, n_repos, live, copied) in order of start and kind."""
     d = docs.select("doc_id", "text", F.col(owner).alias("owner"), F.col(repo).cast("string").alias("repo"))
     cands = staged(_candidates(d).distinct(), "secret-candidates")
     judged = (cands.join(ownership(cands), "h")
-              .withColumn("live", F.col("random") & (F.col("n_owners") <= max_owners)).where("kind < 3 OR live"))
-    return (judged.select("doc_id", "text_key", F.struct("start", "kind", "end", "n_owners", "n_repos", "live").alias("x"))
+              .withColumn("copied", (F.col("n_owners") > max_owners) | (F.col("n_repos") > max_repos))
+              .withColumn("live", F.col("random") & ~F.col("copied")).where("kind < 3 OR live"))
+    return (judged.select("doc_id", "text_key", F.struct("start", "kind", "end", "n_owners", "n_repos", "live", "copied").alias("x"))
             .distinct().groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list("x")).alias("spans")))
 
 
@@ -111,10 +116,12 @@ def _join(spans: str) -> Column:
     return F.expr(f"coalesce(array_join(transform({spans}, x -> concat({names}[x.kind], ':', x.start, ':', x.end)), ','), '')")
 
 
-def report(docs: DataFrame, owner: str = "source", repo: str = "doc_id", max_owners: int = MAX_OWNERS) -> DataFrame:
-    """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, and
-    n_live (owner-specific) and n_copied (held by more owners) spans."""
-    spans = secret_spans(docs, owner, repo, max_owners)
+def report(docs: DataFrame, owner: str = "source", repo: str = "doc_id", max_owners: int = MAX_OWNERS,
+           max_repos: int = MAX_REPOS) -> DataFrame:
+    """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live
+    (owner-specific) and n_copied (held by more owners or repositories) spans,
+    and n_owners and n_repos, the holders of each of ``spans``."""
+    spans = secret_spans(docs, owner, repo, max_owners, max_repos)
     wide = _with_spans(docs.select("doc_id", "text"), spans)
     wide = wide.select(F.col("doc.doc_id").alias("doc_id"), "spans")
     count = [F.expr(f"CAST(coalesce(size(filter(spans, x -> x.kind = {n})), 0) AS BIGINT)").alias(f"n_{k}")
@@ -123,13 +130,15 @@ def report(docs: DataFrame, owner: str = "source", repo: str = "doc_id", max_own
         "doc_id", *count, F.sha2(_join("filter(spans, x -> x.kind < 3)"), 256).alias("base_sha256"),
         _join("spans").alias("spans"),
         F.expr("CAST(coalesce(size(filter(spans, x -> x.live)), 0) AS BIGINT)").alias("n_live"),
-        F.expr(f"CAST(coalesce(size(filter(spans, x -> x.n_owners > {max_owners})), 0) AS BIGINT)").alias("n_copied"))
+        F.expr("CAST(coalesce(size(filter(spans, x -> x.copied)), 0) AS BIGINT)").alias("n_copied"),
+        *(F.expr(f"coalesce(transform(spans, x -> x.{c}), CAST(array() AS ARRAY<BIGINT>))").alias(c) for c in ("n_owners", "n_repos")))
 
 
-def redact(docs: DataFrame, owner: str = "source", repo: str = "doc_id", max_owners: int = MAX_OWNERS) -> DataFrame:
+def redact(docs: DataFrame, owner: str = "source", repo: str = "doc_id", max_owners: int = MAX_OWNERS,
+           max_repos: int = MAX_REPOS) -> DataFrame:
     """``docs`` with every live span replaced by MARK; widely copied examples
     stay."""
-    wide = _with_spans(docs, secret_spans(docs, owner, repo, max_owners))
+    wide = _with_spans(docs, secret_spans(docs, owner, repo, max_owners, max_repos))
     out = f"""aggregate(filter(spans, x -> x.live), struct('' AS s, 0 AS upto),
         (a, x) -> IF(x.end <= a.upto, a, struct(
             concat(a.s, IF(x.start >= a.upto, concat(substring(doc.text, a.upto + 1, x.start - a.upto), '{MARK}'), '')) AS s,

@@ -71,6 +71,18 @@ def test_ownership_separates_copied_from_live(spark, odd_docs):
     assert secrets.report(odd_docs).count() == odd_docs.count() and secrets.report(odd_docs.limit(0)).count() == 0
 
 
+def test_value_in_many_documents_of_one_source_is_copied(spark):
+    copied, live = "sAmPlE1234567890", "aB3dE6gH9kLmN0pQ"
+    rows = [(i, f"token = {copied} in {i}", "s1") for i in range(secrets.MAX_REPOS + 1)]
+    rows += [(100 + i, f"password: {live} in {i}", "s1") for i in range(secrets.MAX_REPOS)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in secrets.report(df).collect()}
+    assert (got[0].n_live, got[0].n_copied, got[0].n_owners, got[0].n_repos) == (0, 1, [1], [secrets.MAX_REPOS + 1])
+    assert (got[100].n_live, got[100].n_copied, got[100].n_repos) == (1, 0, [secrets.MAX_REPOS])
+    text = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert text[0] == rows[0][1] and text[100] == "[REDACTED] in 0"
+
+
 # --- decontamination -------------------------------------------------------
 def words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
