@@ -4,16 +4,19 @@ landmarks.
 The kernel of two words adds, over all common subsequences of ORDER letters, the
 product of DECAY to the length each one spans, gaps included, and is normalised;
 so letters inserted into an insult, or put between its letters, change it little.
-It is zero for words of which one is over twice as long as the other, or that
-share less than SUPPORT of the larger one's different letters.  A labelled sentence is as toxic as its most toxic word: the machine is
+It is computed for every word: a machine's weights are summed into one table by
+letter triple, so that a word costs the same whatever the number of landmarks.  A labelled sentence is as toxic as its most toxic word: the machine is
 trained on sentences of labelled documents, with the words of toxic sentences
 that speak for the label beyond chance, and the clean sentences' words that are
 nearest to them or that a first machine scores highest.  Copies of the toxic
-words with one letter put in are trained on as well.  A document scores as its most toxic sentence, through a logistic map
+words with one or two letters put in are trained on as well.  A document scores as its most toxic sentence, through a logistic map
 fitted to the labels.
 
 Words are the space-separated pieces, lower-cased, without their non-alphanumeric
-characters; three or more single letters in a row also count as one word.  Null
+characters.  Pieces of one or two letters in a row also count joined: three or
+more single letters, and any three or more pieces of up to JOIN letters together.
+A word with three or more equal letters in a row also counts with one of them, and one
+longer than LONG counts as its overlapping stretches of LONG letters.  Null
 texts are empty and score like a text without a suspicious word.  Every row gives
 one output row, repeated ids too; an id labelled twice takes the mean of its
 labels, null labels are skipped.  Without labels, or with one class only, all
@@ -22,6 +25,7 @@ rows score that share (0.5 without any).  Extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -40,7 +44,11 @@ MAX_FIT_ROWS = 6_000
 THRESHOLD = 0.3
 ORDER = 3
 DECAY = 0.8
-SUPPORT = 0.75
+#: Letters of a word that are compared at once; longer ones come in stretches
+#: that overlap by half.
+LONG = 32
+#: Letters of short pieces that are joined at most (runs of single letters: all).
+JOIN = 12
 LANDMARKS = 96
 #: Distinct words a worker remembers before it starts anew.
 CACHE_ENTRIES = 800_000
@@ -48,6 +56,7 @@ CHUNK_BYTES = 8 << 20
 #: Pairs of word and landmark whose kernel is computed together.
 PAIRS = 100_000
 _DROP = re.compile(r"[\W_]+")
+_REPEAT = re.compile(r"(.)\1{2,}")
 _SENTENCE = re.compile(r"[.!?\n]+")
 
 
@@ -90,13 +99,12 @@ def raw_kernel(s: np.ndarray, t: np.ndarray, order: int = ORDER, decay: float =
     return ends.sum((0, 1), dtype=np.float64)
 
 
-def in_support(words: list[str], landmarks: list[str]) -> np.ndarray:
-    """(words, landmarks) where the kernel may differ from zero."""
+def in_support(words: list[str], landmarks: list[str], order: int = ORDER) -> np.ndarray:
+    """(words, landmarks) where the kernel may differ from zero: both have ``order``
+    letters and share one (letter masks never miss a shared letter)."""
     a, b = letters(words), letters(landmarks)
-    size = np.maximum(np.bitwise_count(a)[:, None], np.bitwise_count(b)[None, :])
     la, lb = (np.array([len(w) for w in x], np.int64) for x in (words, landmarks))
-    return ((np.bitwise_count(a[:, None] & b[None, :]) >= SUPPORT * size) & (size > 0)
-            & (la[:, None] <= 2 * lb[None, :]) & (lb[None, :] <= 2 * la[:, None]))
+    return ((a[:, None] & b[None, :]) != 0) & (la[:, None] >= order) & (lb[None, :] >= order)
 
 
 def kernel(words: list[str], landmarks: list[str], order: int = ORDER, decay: float = DECAY) -> np.ndarray:
@@ -132,25 +140,109 @@ def _self(words: list[str], wanted: np.ndarray, order: int, decay: float) -> np.
     return out
 
 
+def views(word: str) -> list[str]:
+    """The word, also with one letter for each long run of it, in stretches of LONG."""
+    out = []
+    for w in dict.fromkeys((word, _REPEAT.sub(r"\1", word))):
+        out += [w] if len(w) <= LONG else [w[i:i + LONG] for i in range(0, len(w) - LONG // 2, LONG // 2)]
+    return out
+
+
+def joined(run: list[str]) -> list[str]:
+    """Words that a run of pieces of one or two letters may be split from."""
+    out = []
+    for i in range(len(run) - 2):
+        w = run[i] + run[i + 1]
+        for piece in run[i + 2:i + JOIN]:
+            w += piece
+            if len(w) > JOIN:
+                break
+            out.append(w)
+    single = ""
+    for w in [*run, "  "]:
+        if len(w) == 1:
+            single += w
+        else:
+            if len(single) > 2:
+                out.append(single)
+            single = ""
+    return [v for w in dict.fromkeys(out) for v in views(w)]
+
+
 def words_of(text: str) -> list[str]:
     """Words of a sentence or text, see the module's note."""
     plain = [w for w in (_DROP.sub("", p.lower()) for p in text.split()) if w]
-    out, run = [], ""
-    for w in [*plain, ""]:
-        if len(w) == 1:
-            run += w
-            continue
-        if len(run) > 2:
-            out.append(run)
-        run = ""
-    return plain + out
+    out, run = [v for w in plain for v in views(w)], []
+    for w in [*plain, "   "]:
+        if len(w) <= 2:
+            run.append(w)
+        elif run:
+            out += joined(run) if len(run) > 2 else []
+            run = []
+    return out
+
+
+class Triples:
+    """Sum over landmarks of weight * normalised phi, by ordered letter triple: a
+    table of the letter pairs that open one, and for each a row by third letter."""
+
+    def __init__(self, landmarks: list[str], weights: np.ndarray, decay: float = DECAY):
+        self.decay = decay
+        self.alphabet = np.unique(np.frombuffer("".join(landmarks).encode("utf-32-le"), "<u4"))
+        norm = np.sqrt(_self(landmarks, np.arange(len(landmarks)), ORDER, decay))
+        total: Counter = Counter()
+        for word, w, n in zip(landmarks, weights, norm):
+            c = self.index(_codes([word]))[0].tolist()
+            for i, j, k in itertools.combinations(range(len(c)), ORDER):
+                total[c[i], c[j], c[k]] += w / n * decay ** (k - i + 1)
+        size = len(self.alphabet) + 1  # the last letter is any other
+        pairs = sorted({t[:2] for t in total})
+        self.pair = np.zeros((size, size), np.int32)
+        for n, (i, j) in enumerate(pairs):
+            self.pair[i, j] = n + 1
+        self.value = np.zeros((len(pairs) + 1, size))
+        for (i, j, k), v in total.items():
+            self.value[self.pair[i, j], k] = v
+
+    def index(self, codes: np.ndarray) -> np.ndarray:
+        if not len(self.alphabet):
+            return np.zeros(codes.shape, np.int64)
+        at = np.minimum(np.searchsorted(self.alphabet, codes), len(self.alphabet) - 1)
+        return np.where(self.alphabet[at] == codes, at, len(self.alphabet))
+
+    def decide(self, words: list[str]) -> np.ndarray:
+        """Sum of weight * kernel over the landmarks, for each word."""
+        out = np.zeros(len(words))
+        size = np.array([len(w) for w in words], np.int64)
+        for n in np.unique(size[size >= ORDER]).tolist():
+            group = np.flatnonzero(size == n)
+            step = max(1, PAIRS * 64 // (n * n))
+            for k in range(0, len(group), step):
+                g = group[k:k + step]
+                codes = _codes([words[x] for x in g])
+                c = np.ascontiguousarray(self.index(codes).T)
+                g, codes, c = (x[..., keep] if x is c else x[keep] for keep in [(c < len(self.alphabet)).sum(0) >= ORDER] for x in (g, codes, c))
+                if not len(g):
+                    continue
+                dot = np.zeros(len(g))
+                for i, j in itertools.combinations(range(n - 1), 2):
+                    p = self.pair[c[i], c[j]]
+                    some = np.flatnonzero(p)
+                    if len(some):
+                        p = p[some]
+                        dot[some] += sum(self.value[p, c[q, some]] * self.decay ** (q - i + 1) for q in range(j + 1, n))
+                some = np.flatnonzero(dot)
+                if len(some):
+                    own = codes[some]
+                    out[g[some]] = dot[some] / np.sqrt(raw_kernel(own, own, ORDER, self.decay))
+        return out
 
 
 @dataclass
 class Machine:
-    """decision(word) = kernel(word, landmarks) . weights + bias, and the bias for
-    words outside the support of all toxic landmarks (the first ``toxic`` ones);
-    a document's score is the logistic of slope * decision + shift."""
+    """decision(word) = kernel(word, landmarks) . weights + bias, the first ``toxic``
+    landmarks being toxic words; a document's score is the logistic of
+    slope * decision + shift."""
 
     landmarks: list[str] = field(default_factory=list)
     toxic: int = 0
@@ -158,16 +250,14 @@ class Machine:
     bias: float = 0.0
     slope: float = 0.0
     shift: float = 0.0
+    triples: Triples | None = field(default=None, repr=False, compare=False)
 
     def decisions(self, words: list[str]) -> np.ndarray:
         if not self.landmarks:
             return np.full(len(words), self.bias)
-        out = np.full(len(words), self.bias)
-        near = np.flatnonzero(in_support(words, self.landmarks[:self.toxic]).any(1))
-        for k in range(0, len(near), 20_000):
-            at = near[k:k + 20_000]
-            out[at] += kernel([words[i] for i in at], self.landmarks) @ self.weights
-        return out
+        if self.triples is None:
+            self.triples = Triples(self.landmarks, self.weights)
+        return self.triples.decide(words) + self.bias
 
     def probability(self, decision: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.slope * decision + self.shift)))
@@ -234,8 +324,10 @@ def fit_machine(texts: list[str], y: np.ndarray, landmarks: int = LANDMARKS) ->
     order = np.lexsort((np.array(clean, object), -near))
     hard = [clean[i] for i in order[:4000]]
     n_toxic = len(toxic)
-    # sentences with a letter put into the toxic word, as far as no clean sentence has that word
-    spelled = sorted({w[:i] + c + w[i:] for w in toxic for i in range(1, len(w)) for c in (w[i - 1], "x")} - seen[0].keys() - set(toxic))
+    # sentences with one or two letters put into the toxic word, as far as no clean sentence has that word
+    one = {w[:i] + c + w[i:] for w in toxic for i in range(1, len(w)) for c in (w[i - 1], "x")}
+    two = {w[:i] + "x" + w[i:j] + "y" + w[j:] for w in toxic for i, j in itertools.combinations(range(1, len(w)), 2)}
+    spelled = sorted((one | two) - seen[0].keys() - set(toxic))
     for again in (False, True):
         marks = toxic + hard[:max(landmarks - n_toxic, n_toxic)]
         gram = kernel(marks, marks)
@@ -276,10 +368,12 @@ class Scorer:
 
     def _learn(self, pieces: list[str]) -> None:
         plain = [[_DROP.sub("", q) for q in p.lower().split()] for p in pieces]
-        words = [w for p in plain for w in p if w]
+        seen = {w: views(w) for p in plain for w in p if w}
+        words = list(dict.fromkeys(v for x in seen.values() for v in x))
         value = dict(zip(words, self.machine.decisions(words)))
         for p, parts in zip(pieces, plain):
-            self.known[p] = (max((value[w] for w in parts if w), default=-np.inf), len(parts) == 1 and len(parts[0]) == 1)
+            self.known[p] = (max((value[v] for w in parts if w for v in seen[w]), default=-np.inf),
+                             len(parts) == 1 and 0 < len(parts[0]) <= 2)
 
     def decisions(self, texts: pa.Array) -> np.ndarray:
         raw, offsets = text_buffer(texts)
@@ -299,20 +393,22 @@ class Scorer:
         self._joined(np.array([t[1] for t in table], bool)[index], values, index, ends, out)
         return np.where(np.isfinite(out), out, self.machine.bias)
 
-    def _joined(self, single, values, index, ends, out) -> None:
-        """Runs of three or more single letters count as one word; pieces
+    def _joined(self, short, values, index, ends, out) -> None:
+        """Runs of three or more short pieces count joined as well; pieces
         without letters in between do not break a run."""
-        empty = np.array([not _DROP.sub("", v) for v in values], bool)[index]
-        at = np.flatnonzero(~empty)
-        one = single[at]
+        bare = [_DROP.sub("", v.lower()) for v in values]
+        at = np.flatnonzero(~np.array([not b for b in bare], bool)[index])
+        one = short[at]
         row = np.searchsorted(ends, at, side="right") - 1
         start = one & ~np.concatenate([[False], one[:-1] & (row[1:] == row[:-1])])
         stop = one & ~np.concatenate([one[1:] & (row[1:] == row[:-1]), [False]])
         runs = [(a, b) for a, b in zip(np.flatnonzero(start), np.flatnonzero(stop)) if b - a > 1]
         if runs:
-            words = ["".join(_DROP.sub("", values[index[at[k]]].lower()) for k in range(a, b + 1)) for a, b in runs]
-            for (a, _), d in zip(runs, self.machine.decisions(words)):
-                out[row[a]] = max(out[row[a]], d)
+            words = [joined([bare[index[at[k]]] for k in range(a, b + 1)]) for a, b in runs]
+            every = list(dict.fromkeys(w for x in words for w in x))
+            value = dict(zip(every, self.machine.decisions(every)))
+            for (a, _), x in zip(runs, words):
+                out[row[a]] = max(out[row[a]], max((value[w] for w in x), default=-np.inf))
 
 
 def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:

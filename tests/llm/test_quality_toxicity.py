@@ -99,6 +99,33 @@ def test_gaps_and_inserted_letters_are_found():
     assert (p[:len(told)] >= toxicity.THRESHOLD).all() and (p[len(told):] < toxicity.THRESHOLD).all()
 
 
+def test_two_letters_split_and_stretched_words_are_found():
+    rng = random.Random(2)
+    good = [f"{rng.choice('bdfgklmn')}{rng.choice('aeu')}{rng.choice('rstvz')}{rng.choice('aeu')}" for _ in range(300)]
+    texts, y = [], []
+    for i in range(400):
+        words = [rng.choice(good) for _ in range(30)]
+        if i % 8 == 0:
+            words[rng.randrange(30)] = rng.choice(["horrible", "idiot"])
+        texts.append(" ".join(words))
+        y.append(int(i % 8 == 0))
+    m = toxicity.fit_machine(texts, np.array(y))
+    told = ["idxioyt", "ixdioyt", "an id io t!", "iiiiiiiiiiiidiot", "ho rr ib le", "horxribqle"]
+    clean = ["mera bura", " ".join(good[:50]), "of it is so", "x y z", "0123456789abcdef" * 4, "aaaaaaaaaaaaaaa"]
+    p = m.probability(toxicity.Scorer(m).decisions(pa.array(told + clean)))
+    assert (p[:len(told)] >= toxicity.THRESHOLD).all(), p
+    assert (p[len(told):] < toxicity.THRESHOLD).all(), p
+
+
+def test_triple_table_equals_pairwise_kernel():
+    rng = random.Random(6)
+    marks = ["dimwit", "idiot", "loser", "été"]
+    weights = np.array([1.5, 0.7, -0.4, 0.9])
+    words = ["".join(rng.choice("dimwtolserxé") for _ in range(rng.randint(0, 14))) for _ in range(300)]
+    got = toxicity.Machine(marks, 3, weights, -0.3).decisions(words)
+    assert np.allclose(got, toxicity.kernel(words, marks) @ weights - 0.3, atol=1e-4)
+
+
 def test_scorer_equals_words_of():
     m = toxicity.Machine(["dimwit"], 1, np.array([2.0]), -1.0, 1.0, 0.0)
     rng = random.Random(3)
