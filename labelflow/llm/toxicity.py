@@ -6,9 +6,11 @@ product of DECAY to the length each one spans, gaps included, and is normalised;
 so letters inserted into an insult, or put between its letters, change it little.
 It is computed for every word: a machine's weights are summed into one table by
 letter triple, so that a word costs the same whatever the number of landmarks.  A labelled sentence is as toxic as its most toxic word: the machine is
-trained on sentences of labelled documents, with the words of toxic sentences
-that speak for the label beyond chance, and the clean sentences' words that are
-nearest to them or that a first machine scores highest.  Copies of the toxic
+trained on the sentences of all labelled documents of the sample, with all words of
+toxic sentences that speak for the label beyond chance (as many as there are), and all
+words of clean sentences.  Landmarks only approximate the kernel: all toxic words
+and the clean ones nearest to them, or, of more than MAX_LANDMARKS, those that
+leave least of the kernel unexplained.  Copies of the toxic
 words with one or two letters put in are trained on as well.  A document scores as its most toxic sentence, through a logistic map
 fitted to the labels.
 
@@ -28,7 +30,7 @@ from __future__ import annotations
 import itertools
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -49,12 +51,18 @@ DECAY = 0.8
 LONG = 32
 #: Letters of short pieces that are joined at most (runs of single letters: all).
 JOIN = 12
+#: Landmarks at least (if there are words enough), and at most.
 LANDMARKS = 96
+MAX_LANDMARKS = 1_024
+#: Share of toxic documents among those of a word from which it can be toxic.
+TOXIC_SHARE = 0.8
 #: Distinct words a worker remembers before it starts anew.
 CACHE_ENTRIES = 800_000
 CHUNK_BYTES = 8 << 20
 #: Pairs of word and landmark whose kernel is computed together.
-PAIRS = 100_000
+PAIRS = 12_000
+#: Training words whose kernels are computed together.
+ROWS = 5_000
 _DROP = re.compile(r"[\W_]+")
 _REPEAT = re.compile(r"(.)\1{2,}")
 _SENTENCE = re.compile(r"[.!?\n]+")
@@ -184,25 +192,33 @@ def words_of(text: str) -> list[str]:
 
 class Triples:
     """Sum over landmarks of weight * normalised phi, by ordered letter triple: a
-    table of the letter pairs that open one, and for each a row by third letter."""
+    table of the letter pairs that open one, and for each a row by third letter.
+    ``weights`` may have several columns."""
 
     def __init__(self, landmarks: list[str], weights: np.ndarray, decay: float = DECAY):
         self.decay = decay
         self.alphabet = np.unique(np.frombuffer("".join(landmarks).encode("utf-32-le"), "<u4"))
         norm = np.sqrt(_self(landmarks, np.arange(len(landmarks)), ORDER, decay))
-        total: Counter = Counter()
+        self.flat = weights.ndim == 1
+        weights = weights.reshape(len(landmarks), -1)
+        total: dict[tuple, np.ndarray] = {}
         for word, w, n in zip(landmarks, weights, norm):
+            if n == 0:
+                continue
             c = self.index(_codes([word]))[0].tolist()
             for i, j, k in itertools.combinations(range(len(c)), ORDER):
-                total[c[i], c[j], c[k]] += w / n * decay ** (k - i + 1)
+                t = c[i], c[j], c[k]
+                total[t] = total.get(t, 0) + w / n * decay ** (k - i + 1)
         size = len(self.alphabet) + 1  # the last letter is any other
         pairs = sorted({t[:2] for t in total})
         self.pair = np.zeros((size, size), np.int32)
         for n, (i, j) in enumerate(pairs):
             self.pair[i, j] = n + 1
-        self.value = np.zeros((len(pairs) + 1, size))
-        for (i, j, k), v in total.items():
-            self.value[self.pair[i, j], k] = v
+        self.third = np.zeros((len(pairs) + 1, size), np.int32)
+        self.value = np.zeros((len(total) + 1, weights.shape[1]))
+        for n, ((i, j, k), v) in enumerate(total.items()):
+            self.third[self.pair[i, j], k] = n + 1
+            self.value[n + 1] = v
 
     def index(self, codes: np.ndarray) -> np.ndarray:
         if not len(self.alphabet):
@@ -212,7 +228,7 @@ class Triples:
 
     def decide(self, words: list[str]) -> np.ndarray:
         """Sum of weight * kernel over the landmarks, for each word."""
-        out = np.zeros(len(words))
+        out = np.zeros((len(words), self.value.shape[1]))
         size = np.array([len(w) for w in words], np.int64)
         for n in np.unique(size[size >= ORDER]).tolist():
             group = np.flatnonzero(size == n)
@@ -224,18 +240,22 @@ class Triples:
                 g, codes, c = (x[..., keep] if x is c else x[keep] for keep in [(c < len(self.alphabet)).sum(0) >= ORDER] for x in (g, codes, c))
                 if not len(g):
                     continue
-                dot = np.zeros(len(g))
+                dot = np.zeros((len(g), out.shape[1]))
                 for i, j in itertools.combinations(range(n - 1), 2):
                     p = self.pair[c[i], c[j]]
                     some = np.flatnonzero(p)
-                    if len(some):
-                        p = p[some]
-                        dot[some] += sum(self.value[p, c[q, some]] * self.decay ** (q - i + 1) for q in range(j + 1, n))
-                some = np.flatnonzero(dot)
+                    if not len(some):
+                        continue
+                    p = p[some]
+                    for q in range(j + 1, n):
+                        t = self.third[p, c[q, some]]
+                        hit = np.flatnonzero(t)
+                        dot[some[hit]] += self.value[t[hit]] * self.decay ** (q - i + 1)
+                some = np.flatnonzero(dot.any(1))
                 if len(some):
                     own = codes[some]
-                    out[g[some]] = dot[some] / np.sqrt(raw_kernel(own, own, ORDER, self.decay))
-        return out
+                    out[g[some]] = dot[some] / np.sqrt(raw_kernel(own, own, ORDER, self.decay))[:, None]
+        return out[:, 0] if self.flat else out
 
 
 @dataclass
@@ -264,16 +284,22 @@ class Machine:
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, steps: int = 60) -> tuple[np.ndarray, float]:
-    """Linear machine with squared hinge loss, by Newton steps."""
-    z = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(z.shape[1])
-    ridge = np.eye(z.shape[1])
+    """Linear machine with squared hinge loss, by Newton steps; the normal
+    equations add up over blocks of rows."""
+    w = np.zeros(x.shape[1] + 1)
+    ridge = np.eye(len(w))
     ridge[-1, -1] = 1e-6
     for _ in range(steps):
-        active = y * (z @ w) < 1
-        zw = z[active] * weight[active, None]
-        new = np.linalg.solve(ridge + c * z[active].T @ zw, c * zw.T @ y[active])
-        if np.allclose(new, w, atol=1e-9):
+        active = np.flatnonzero(y * (x @ w[:-1].astype(np.float32) + w[-1]) < 1)
+        left, right = ridge.copy(), np.zeros(len(w))
+        for k in range(0, len(active), ROWS):
+            g = active[k:k + ROWS]
+            z = np.hstack([x[g], np.ones((len(g), 1))])
+            zw = z * weight[g, None]
+            left += c * z.T @ zw
+            right += c * zw.T @ y[g]
+        new = np.linalg.solve(left, right)
+        if np.allclose(new, w, atol=1e-6):
             break
         w = new
     return w[:-1], float(w[-1])
@@ -294,7 +320,31 @@ def _logistic(d: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, fl
     return float(max(w[0], 0.0)), float(w[1])
 
 
-def fit_machine(texts: list[str], y: np.ndarray, landmarks: int = LANDMARKS) -> Machine:
+def _kernels(words: list[str], landmarks: list[str]) -> np.ndarray:
+    """``kernel`` of many words, by the triple table of the landmarks."""
+    out = np.zeros((len(words), len(landmarks)), np.float32)
+    table = Triples(landmarks, np.eye(len(landmarks))) if landmarks else None
+    for k in range(0, len(words) if table else 0, ROWS):
+        out[k:k + ROWS] = table.decide(words[k:k + ROWS])
+    return out
+
+
+def _pivots(words: list[str], n: int) -> list[str]:
+    """``n`` of the words, each the one whose kernel those before explain least
+    (pivoted Cholesky), the first ones first where tied."""
+    left, rows, picked = np.ones(len(words)), np.zeros((0, len(words))), []
+    while len(picked) < min(n, len(words)) and left.max() > 1e-9:
+        i = int(left.argmax())
+        row = kernel([words[i]], words)[0] - rows[:, i] @ rows
+        row /= np.sqrt(left[i])
+        rows = np.vstack([rows, row])
+        left = np.maximum(left - row ** 2, 0)
+        left[i] = 0
+        picked.append(words[i])
+    return picked
+
+
+def fit_machine(texts: Iterable[str], y: np.ndarray, landmarks: int = LANDMARKS, max_landmarks: int = MAX_LANDMARKS) -> Machine:
     """Train on the sentences of labelled texts."""
     share = float(np.clip(y.mean() if len(y) else 0.5, 1e-6, 1 - 1e-6))
     if len(y) == 0 or y.min() == y.max():
@@ -312,39 +362,41 @@ def fit_machine(texts: list[str], y: np.ndarray, landmarks: int = LANDMARKS) ->
     def evidence(w: str) -> float:
         n1, n0 = seen[1][w], seen[0][w]
         p = n1 / (n1 + n0)
-        return n1 * np.log(p / rate) + (n0 * np.log((1 - p) / (1 - rate)) if n0 else 0.0) if p > 0.8 else 0.0
+        return n1 * np.log(p / rate) + (n0 * np.log((1 - p) / (1 - rate)) if n0 else 0.0) if p > TOXIC_SHARE else 0.0
 
     ranked = sorted(((evidence(w), w) for w in seen[1] if len(w) >= ORDER), reverse=True)
-    toxic = [w for e, w in ranked if e > bound][:landmarks // 2]
-    witness = set(toxic)
+    toxic = [w for e, w in ranked if e > bound]
     if not toxic:
         return Machine(shift=float(np.log(share / (1 - share))))
-    clean = [w for w in seen[0] if w not in witness and len(w) >= ORDER]
-    near = np.concatenate([kernel(clean[k:k + 20_000], toxic).max(1) for k in range(0, len(clean), 20_000)]) if clean else np.zeros(0)
-    order = np.lexsort((np.array(clean, object), -near))
-    hard = [clean[i] for i in order[:4000]]
-    n_toxic = len(toxic)
+    clean = sorted(seen[0].keys() - set(toxic))
+    marks = toxic if len(toxic) <= max_landmarks // 2 else _pivots(toxic, max_landmarks // 2)
+    n_toxic = len(marks)
+    first = _kernels(clean, marks)
+    near = first.max(1, initial=0)
+    # of the same words as the kernel sees them, none like a landmark, one row is left
+    far = [w for w, v in zip(clean, near) if v == 0]
+    first, clean = first[near > 0], [w for w, v in zip(clean, near) if v > 0]
+    near = near[near > 0]
+    marks = marks + [clean[i] for i in np.lexsort((np.array(clean, object), -near))[:max(landmarks - n_toxic, n_toxic)]]
     # sentences with one or two letters put into the toxic word, as far as no clean sentence has that word
     one = {w[:i] + c + w[i:] for w in toxic for i in range(1, len(w)) for c in (w[i - 1], "x")}
     two = {w[:i] + "x" + w[i:j] + "y" + w[j:] for w in toxic for i, j in itertools.combinations(range(1, len(w)), 2)}
     spelled = sorted((one | two) - seen[0].keys() - set(toxic))
-    for again in (False, True):
-        marks = toxic + hard[:max(landmarks - n_toxic, n_toxic)]
-        gram = kernel(marks, marks)
-        values, vectors = np.linalg.eigh((gram + gram.T) / 2)
-        keep = values > 1e-6
-        whiten = vectors[:, keep] / np.sqrt(values[keep])
-        words = toxic + spelled + hard
-        x = np.vstack([kernel(words, marks) @ whiten, np.zeros((1, keep.sum()))])  # and a word like none of the landmarks
-        # a word weighs as many sentences' documents as it stands in
-        label = np.concatenate([np.ones(n_toxic + len(spelled)), -np.ones(len(hard) + 1)])
-        weight = np.array([*(seen[1][w] for w in toxic), *(1.0 for _ in spelled), *(seen[0][w] for w in hard), total[0]], np.float64)
-        w, b = _svm(x, label, weight)
-        machine = Machine(marks, n_toxic, whiten @ w, b)
-        if not again:  # the words of clean sentences that the machine itself finds most toxic
-            d = machine.decisions(clean) + 0.05 * np.log([seen[0][w] for w in clean])
-            top = [clean[i] for i in np.lexsort((np.array(clean, object), -d))[:4000]]
-            hard = list(dict.fromkeys([*top, *hard]))
+    gram = kernel(marks, marks)
+    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
+    keep = values > 1e-6
+    whiten = vectors[:, keep] / np.sqrt(values[keep])
+    bad = toxic + spelled
+    rows = np.vstack([_kernels(bad, marks), np.hstack([first, _kernels(clean, marks[n_toxic:])]),
+                      np.zeros((1, len(marks)), np.float32)])  # and a word like none of the landmarks
+    x = rows @ whiten.astype(np.float32)
+    del first, rows
+    # a word weighs as many sentences' documents as it stands in
+    label = np.concatenate([np.ones(len(toxic) + len(spelled)), -np.ones(len(clean) + 1)])
+    weight = np.array([*(seen[1][w] for w in toxic), *(1.0 for _ in spelled), *(seen[0][w] for w in clean),
+                       total[0] + sum(seen[0][w] for w in far)], np.float64)
+    w, b = _svm(x, label, weight)
+    machine = Machine(marks, n_toxic, whiten @ w, b)
     vocabulary = sorted({w for b in bags for w in b})
     value = dict(zip(vocabulary, machine.decisions(vocabulary)))
     d = np.array([max((value[w] for w in b), default=machine.bias) for b in bags])
@@ -354,7 +406,7 @@ def fit_machine(texts: list[str], y: np.ndarray, landmarks: int = LANDMARKS) ->
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_FIT_ROWS) -> Machine:
     rows = labelled_sample(docs, labels, label, max_rows).select("doc_id", "text", "y").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return fit_machine([t or "" for t in rows["text"].to_pylist()], np.asarray(rows["y"]).astype(np.int64))
+    return fit_machine((t.as_py() or "" for t in rows["text"]), np.asarray(rows["y"]).astype(np.int64))
 
 
 class Scorer:

@@ -117,6 +117,29 @@ def test_two_letters_split_and_stretched_words_are_found():
     assert (p[len(told):] < toxicity.THRESHOLD).all(), p
 
 
+@pytest.mark.parametrize("most", [toxicity.MAX_LANDMARKS, 120])
+def test_more_toxic_words_than_landmarks_are_all_learned(most):
+    rng = random.Random(8)
+
+    def word(consonants):
+        return "".join(rng.choice(consonants) + rng.choice("aeiou") for _ in range(4))
+
+    bad = sorted({word("kpqtvxz") for _ in range(90)})
+    good = sorted({word("bdfglmnrs") for _ in range(400)})
+    texts, y = [], []
+    for i in range(len(bad) * 40):
+        words = [rng.choice(good) for _ in range(20)]
+        if i % 4 == 0:
+            words[rng.randrange(20)] = bad[i // 4 % len(bad)]
+        texts.append(" ".join(words))
+        y.append(int(i % 4 == 0))
+    m = toxicity.fit_machine(texts, np.array(y), landmarks=24, max_landmarks=most)
+    p = m.probability(toxicity.Scorer(m).decisions(pa.array(bad)))
+    assert len(bad) > 80 and (p >= toxicity.THRESHOLD).all()
+    q = m.probability(toxicity.Scorer(m).decisions(pa.array(good)))
+    assert (q < toxicity.THRESHOLD).all()
+
+
 def test_triple_table_equals_pairwise_kernel():
     rng = random.Random(6)
     marks = ["dimwit", "idiot", "loser", "été"]
