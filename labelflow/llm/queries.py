@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelflow.llm import (byte_bpe, decontam, embedding_dedup, licences, ngram_join, quality, secrets, token_counts,
-                           token_files, toxicity)
+from labelflow.llm import (byte_bpe, decontam, embedding_dedup, licences, merge_bpe, ngram_join, quality, ranked_search,
+                           secrets, token_counts, token_files, toxicity)
 from labelflow.llm.common import held_out
 from labelflow.session import scratch_path
 from labelflow.sources.tables import table
@@ -97,6 +97,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+@query
+def op11_merge_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_bpe.digests(merge_bpe.round_trip(_docs(spark, sf_dir), public_tokenizers.path(WORD_TOKENIZER)))
+
+
+@query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(_docs(spark, sf_dir), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 _WORDS = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
           r"'[0-9a-z\x{80}-\x{10FFFF}]+')")
 
@@ -119,6 +129,27 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(pos.n, 0) AS
 FROM dw d LEFT JOIN pos ON pos.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id"""
 
 
+_TERMS = ("regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[0-9a-z\x{{80}}-\x{{10FFFF}}]+')")
+
+ORACLE["op12_ranked_search"] = f"""
+WITH d AS (SELECT doc_id, {_TERMS.format("text")} AS w FROM documents WHERE text IS NOT NULL),
+dn AS (SELECT row_number() OVER () AS r, doc_id, len(w) AS n, w FROM d WHERE len(w) > 0),
+g AS (SELECT count(*) AS docs, sum(n) AS terms FROM dn),
+it AS (SELECT item_id, unnest({_TERMS.format("text")}) AS t FROM benchmark WHERE text IS NOT NULL),
+iq AS (SELECT item_id, t, count(*) AS q FROM it GROUP BY item_id, t),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM dn) x
+       WHERE t IN (SELECT t FROM iq) GROUP BY r, t),
+wt AS (SELECT t, CAST(floor(1000 * ln((2 * g.docs + 2) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+       FROM (SELECT t, count(*) AS df FROM tf GROUP BY t) x, g),
+dm AS (SELECT r, doc_id, 75 + CAST((25 * n * g.docs) // g.terms AS BIGINT) AS m FROM dn, g),
+s AS (SELECT iq.item_id, dm.r, dm.doc_id, CAST(sum(iq.q * wt.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 12 * dm.m))) AS BIGINT) AS score
+      FROM tf JOIN iq ON iq.t = tf.t JOIN wt ON wt.t = tf.t JOIN dm ON dm.r = tf.r GROUP BY iq.item_id, dm.r, dm.doc_id),
+k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+      FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 20"""
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
