@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelflow.llm import (byte_bpe, decontam, embedding_dedup, licences, merge_bpe, ngram_join, quality, ranked_search,
-                           secrets, token_counts, token_files, toxicity)
+from labelflow.llm import (byte_bpe, conversation_repair, decontam, embedding_dedup, licences, merge_bpe, ngram_join,
+                           quality, ranked_search, secrets, token_counts, token_files, toxicity)
 from labelflow.llm.common import held_out
 from labelflow.session import scratch_path
 from labelflow.sources.tables import table
@@ -107,6 +107,23 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(_docs(spark, sf_dir), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The rows that ``op13`` repairs: faults planted by the checksum of conversation and turn."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    k = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn")).cast("binary")) % 20
+    return (conversations.select("conv_id", "turn", space("role").alias("role"), space("text").alias("text"), k.alias("k")).where("k <> 0")
+            .select("conv_id", "turn", F.when(F.col("k") == 4, "user").otherwise(F.col("role")).alias("role"),
+                    F.when(F.col("k") == 1, "").when(F.col("k") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")).alias("text"),
+                    F.explode(F.when(F.col("k") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"))
+            .drop("copy"))
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return conversation_repair.Repair(damaged(rows)).report(rows)
+
+
 _WORDS = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
           r"'[0-9a-z\x{80}-\x{10FFFF}]+')")
 
