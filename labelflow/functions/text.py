@@ -131,6 +131,61 @@ def run_spans(text, lengths: Iterable[int], letter: str = r"\p{L}") -> Column:
     return F.array_distinct(let(runs, lambda r: let(gaps, lambda g: spans(r, g))))
 
 
+def spans_if(text, lengths: Iterable[int], test) -> Column:
+    """The distinct ``letter_spans`` that pass ``test(span)``.  Spans of several
+    runs are built only where the first run passes ``test(run, True)``."""
+    ks = sorted(set(int(k) for k in lengths))
+    t = _c(text)
+    none = F.array().cast("array<string>")
+
+    def several(r):
+        size = F.size(r)
+        starts = F.filter(F.when(size > 1, F.sequence(F.lit(0), size - 2)).otherwise(F.array().cast("array<int>")),
+                          lambda i: test(F.get(r, i), True))
+
+        def span_of(g, k):
+            def span(i):
+                pieces = [F.get(r, i)]
+                for j in range(1, k):
+                    pieces += [F.get(g, i + j), F.get(r, i + j)]
+                return F.concat(*pieces)    # null where the runs end
+            return span
+
+        def spans(s, g):
+            return F.concat(*[F.filter(F.transform(s, span_of(g, k)), lambda x: x.isNotNull() & test(x)) for k in ks if k > 1])
+
+        return let(starts, lambda s: F.when(F.size(s) > 0, let(F.split(t, r"\p{L}+", -1), lambda g: spans(s, g))).otherwise(none))
+
+    def all_spans(r):
+        one = F.filter(r, lambda x: test(x)) if 1 in ks else none
+        return F.concat(one, several(r)) if ks[-1] > 1 else one
+
+    return F.array_distinct(let(F.regexp_extract_all(t, F.lit(r"\p{L}+"), 0), all_spans))
+
+
+#: What may stand for itself or be left out in a regex, innermost groups first.
+_GROUP = r"\((?:\\.|[^()\\])*\)"
+_OPEN, _EDGE = "\u0001", "\u0002"
+
+
+def required_runs(regex) -> Column:
+    """Lower-case letter runs that every match of a regex holds as complete runs:
+    literal letters outside of groups, classes and quantified atoms, with a word
+    boundary, white space or a literal other than a letter on both sides.  A
+    regex with an alternative outside of groups requires none."""
+    x = F.regexp_replace(_c(regex), r"^\(\?[a-z]+\)", "")
+    x = F.regexp_replace(x, r"\[(?:\\.|[^\]\\])*\]", _OPEN)
+    for _ in range(6):
+        x = F.regexp_replace(x, _GROUP, _OPEN)
+    x = F.regexp_replace(x, r"(?:\\.|[^\\])(?:[*?]|\{0[^}]*\}|\{,[^}]*\})[+?]?", _OPEN)    # may be left out
+    x = F.regexp_replace(x, r"\\[bs][+?]*|\\[^a-zA-Z]|\\d[+?]*", _EDGE)
+    x = F.regexp_replace(x, r"\\.", _OPEN)
+    x = F.regexp_replace(x, r"\p{L}(?:[+]|\{[^}]*\})[+?]?|[.]|[^\p{L}|" + _OPEN + _EDGE + r"](?=[+{])", _OPEN)
+    x = F.regexp_replace(x, r"[^\p{L}|()\[\]{}^$+" + _OPEN + r"]", _EDGE)
+    runs = F.regexp_extract_all(x, F.lit(f"(?<={_EDGE})(\\p{{L}}+)(?={_EDGE})"), 1)
+    return F.when(x.contains("|") | x.rlike(r"[()\[\]]"), F.array().cast("array<string>")).otherwise(F.transform(runs, lambda r: F.lower(r)))
+
+
 def letter_spans(text, lengths: Iterable[int]) -> Column:
     """``run_spans`` over runs of Unicode letters."""
     return run_spans(text, lengths, r"\p{L}")

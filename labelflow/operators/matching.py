@@ -12,18 +12,22 @@ Semantics (fixed):
   itself has no boundary);
 * ``match_zone`` 'full' = the whole text, 'title' = the title zone.
 
-Plan (no document x pattern product):
-1. Letter-edged literal terms: every word-bounded occurrence covers complete
-   letter runs, so each document emits its distinct *spans* of k consecutive
-   letter runs (k over the run counts present among the terms) and a join on
-   (zone, span) finds the hits; its strategy is left to the size statistics.
-2. Gapped patterns and terms with a non-letter edge are cut into parts.  A
-   letter-edged part joins as such, any other part by its first letter run
-   (complete in the text wherever the part occurs bounded).  Documents that hold
-   a key of every part are candidates; only their texts are joined back and
-   tested by regex.
-3. A pattern without any letter has no key; these few travel as one broadcast
-   row and are tested per document.
+* a pattern with ``is_regex`` is tested as its own regex, case-insensitively.
+
+Plan (one pass over the texts, no document x pattern product):
+1. Every pattern has keys, each a span of complete letter runs that any match
+   must hold: a letter-edged term or part as such, another part by its first
+   letter run, a regex by a letter run that it requires.  A bitmap of the hashed
+   keys, of fixed size for the number of keys, is a constant of the plan.
+2. A document cuts its letter runs once and keeps, before anything is exploded,
+   the runs whose bit is set; spans of several runs are built only where a run
+   that opens a key stands.  What is left joins the key table exactly.
+3. A literal is found by its key.  Any other pattern joins by its longest key,
+   holds if all its keys are in the document's array, and is then tested by
+   regex on the text, which stands in the same row: up to MAX_SENT_KEYS keys are
+   sent to the texts, so no text is shuffled.  Beyond, key hits are shuffled
+   without the text and only candidates are joined back to it.
+4. Patterns without any key are few and travel as one broadcast row.
 """
 
 from __future__ import annotations
@@ -34,7 +38,10 @@ from pyspark.sql import functions as F
 from labelflow.functions import text as tx
 from labelflow.session import stage
 
-
+#: Rows of the key table up to which it is sent to the texts; counted before.
+MAX_SENT_KEYS = 100_000
+#: Bits of the key bitmap: 16 for each key, within these bounds.
+MIN_BITS, MAX_BITS = 1 << 14, 1 << 20
 
 def zone_texts(docs: DataFrame, prefix_rx: str | None = None, window: int = 500,
                title_len: int = 600, zones=("full", "title")) -> DataFrame:
@@ -58,15 +65,18 @@ def compile_patterns(patterns: DataFrame) -> DataFrame:
     """Classify patterns and derive their match keys.
 
     Input columns: pattern_id, code, source_text, match_zone (NULL = full),
-    fuzzy_gap (NULL = true).
+    fuzzy_gap (NULL = true), and, for patterns with a regex of their own,
+    is_regex and regex.
     """
     p = patterns
     gap = F.coalesce(F.col("fuzzy_gap"), F.lit(True)) if "fuzzy_gap" in p.columns else F.lit(True)
+    own = F.coalesce(F.col("is_regex"), F.lit(False)) if "is_regex" in p.columns else F.lit(False)
     parts = tx.phrase_parts(F.col("source_text"), gap)
     term = F.lower(F.col("source_text"))
+    rx = F.when(own, F.col("regex")) if "regex" in p.columns else F.lit(None).cast("string")
     c = p.select("pattern_id", "code", F.coalesce(F.col("match_zone"), F.lit("full")).alias("zone"),
-                 parts.alias("parts"), term.alias("term"))
-    kind = (F.when(F.size("parts") == 0, "empty")
+                 parts.alias("parts"), term.alias("term"), rx.alias("own_regex"))
+    kind = (F.when(F.col("own_regex").isNotNull(), "regex").when(F.size("parts") == 0, "empty")
             .when(F.size("parts") >= 2, "fuzzy")
             .when(tx.letter_edged(F.col("term")), "literal")
             .otherwise("edge"))
@@ -74,45 +84,77 @@ def compile_patterns(patterns: DataFrame) -> DataFrame:
         "n_runs", F.when(F.col("kind") == "literal", F.size(tx.letter_runs(F.col("term")))))
 
 
-def _tests(compiled: DataFrame) -> DataFrame:
-    """Gapped and non-letter-edged patterns with their parts and regex tests."""
-    e = compiled.where(F.col("kind").isin("edge", "fuzzy"))
-    qs = F.when(F.col("kind") == "edge", F.array(F.col("term"))).otherwise(F.col("parts"))
-    gap_rx = F.when(F.col("kind") == "fuzzy", F.concat(
-        F.lit("(?s)"), F.array_join(F.transform("parts", tx.regex_escape), tx.GAP_REGEX)))
-    odd = F.transform(F.filter(qs, lambda q: ~tx.letter_edged(q)), tx.bounded_regex)
-    return e.select("pattern_id", "code", "zone", qs.alias("qs"), odd.alias("prx"), gap_rx.alias("rx"))
+def pattern_keys(compiled: DataFrame) -> DataFrame:
+    """(pattern_id, code, zone, need, prx, rx) of all patterns but empty ones:
+    the keys a document must hold, the regexes of parts that no key settles, and
+    the regex of the whole (null: its keys settle it)."""
+    c = compiled.where("kind <> 'empty'")
+    qs = F.when(F.col("kind").isin("literal", "edge"), F.array("term")).when(F.col("kind") == "fuzzy", F.col("parts")).otherwise(
+        F.array().cast("array<string>"))
+    c = c.withColumn("qs", qs)
+    of_part = F.transform("qs", lambda q: F.when(tx.letter_edged(q), q).otherwise(F.regexp_extract(q, r"\p{L}+", 0)))
+    need = F.when(F.col("kind") == "regex", tx.required_runs(F.col("own_regex"))).otherwise(of_part)
+    rx = (F.when(F.col("kind") == "fuzzy", F.concat(F.lit("(?s)"), F.array_join(F.transform("parts", tx.regex_escape), tx.GAP_REGEX)))
+          .when(F.col("kind") == "regex", F.concat(F.lit("(?iu)"), F.col("own_regex"))))
+    odd = F.transform(F.filter("qs", lambda q: ~tx.letter_edged(q)), tx.bounded_regex)
+    return c.select("pattern_id", "code", "zone", F.array_distinct(F.filter(need, lambda k: k != "")).alias("need"), odd.alias("prx"), rx.alias("rx"))
 
 
 def _passes(ztext, prx, rx):
     return F.forall(prx, lambda q: F.regexp_like(ztext, q)) & (rx.isNull() | F.regexp_like(ztext, F.coalesce(rx, F.lit(""))))
 
 
+def _bitmap(keys: DataFrame, n_keys: int):
+    """A test (column, opens) -> bool for "may be a key" and, with ``opens``, "may
+    open a key of several runs".  At most MAX_BITS / 64 words reach the driver."""
+    bits = MIN_BITS
+    while bits < min(16 * n_keys, MAX_BITS):
+        bits *= 2
+
+    def slot(x, opens):
+        return F.pmod(F.xxhash64(F.lit(int(opens)), x), F.lit(bits))
+
+    k = keys.select("key", F.regexp_extract("key", r"\p{L}+", 0).alias("first"))
+    slots = k.select(F.explode(F.array(slot(F.col("key"), False), slot(F.col("first"), True))).alias("s"))
+    rows = (slots.select((F.col("s") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, CAST(s % 64 AS INT))").alias("b"))
+            .groupBy("w").agg(F.bit_or("b").alias("b")).collect())
+    words = [0] * (bits // 64)
+    for r in rows:
+        words[r["w"]] = r["b"]
+    table = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")   # folded to a constant
+
+    def test(x, opens=False):
+        s = slot(x, opens)
+        word = F.get(table, F.shiftright(s, 6).cast("int"))
+        return F.call_function("shiftright", word, s.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+    return test
+
+
 def match(zones: DataFrame, compiled: DataFrame) -> DataFrame:
     """Hits (doc_id, zone, pattern_id, code), one per (document, pattern)."""
-    literal = compiled.where(F.col("kind") == "literal").select("zone", F.col("term").alias("key"), "pattern_id", "code")
-    tests = _tests(compiled)
-    parts = tests.select("pattern_id", "zone", F.posexplode("qs").alias("no", "q"))
-    parts = parts.select("pattern_id", "zone", "no", F.when(tx.letter_edged(F.col("q")), F.col("q")).otherwise(
-        F.regexp_extract("q", r"\p{L}+", 0)).alias("key")).where("key <> ''")
-    # staged, so that the join with the spans is chosen by the table's real size
-    keys = stage(literal.select("zone", "key", "pattern_id", F.lit(-1).alias("no"))
-                 .unionByName(parts.select("zone", "key", "pattern_id", "no")), "pattern-keys")
-    # one small action on the pattern table: the run counts of its keys
-    lengths = [r["k"] for r in keys.select(F.size(tx.letter_runs(F.col("key"))).alias("k")).distinct().collect()]
-    out = []
+    patterns = stage(pattern_keys(compiled), "patterns")
+    keyed = patterns.where("size(need) > 0")
+    longest = F.array_sort("need", lambda x, y: F.length(y) - F.length(x))
+    table = stage(keyed.withColumn("key", F.get(longest, F.lit(0))), "pattern-keys")
+    every = keyed.select(F.explode("need").alias("key"))
+    # two small actions on the pattern table: its size and the run counts of its keys
+    lengths = {r["k"]: r["n"] for r in every.groupBy(F.size(tx.letter_runs(F.col("key"))).alias("k")).agg(F.count("*").alias("n")).collect()}
+    n_keys, out = sum(lengths.values()), []
     if lengths:
-        spans = zones.select("doc_id", "zone", F.explode(tx.letter_spans(F.col("ztext"), lengths)).alias("key"))
-        found = spans.join(keys, ["zone", "key"]).select("doc_id", "zone", "pattern_id", "no")
-        need = parts.groupBy("pattern_id").agg(F.countDistinct("no").alias("n"))
-        per = found.groupBy("doc_id", "zone", "pattern_id").agg(F.countDistinct("no").alias("c"), F.min("no").alias("first"))
-        out.append(per.where("first < 0").join(literal.select("pattern_id", "code"), "pattern_id")
-                   .select("doc_id", "zone", "pattern_id", "code"))
-        cand = (per.where("first >= 0").join(need, "pattern_id").where("c = n").select("doc_id", "zone", "pattern_id")
-                .join(tests.drop("zone", "qs"), "pattern_id"))
-        out.append(zones.join(cand, ["doc_id", "zone"]).where(_passes(F.col("ztext"), F.col("prx"), F.col("rx")))
-                   .select("doc_id", "zone", "pattern_id", "code"))
-    bare = tests.where(~F.exists("qs", lambda q: F.regexp_like(q, F.lit(r"\p{L}"))))
+        held = tx.spans_if(F.col("ztext"), lengths, _bitmap(every, n_keys))
+        found = zones.withColumn("found", held).where("size(found) > 0")
+        whole = F.forall("need", lambda k: F.array_contains("found", k))
+        if n_keys <= MAX_SENT_KEYS:
+            rows = found.withColumn("key", F.explode("found")).join(F.broadcast(table), ["zone", "key"])
+            out.append(rows.where(whole).where(_passes(F.col("ztext"), F.col("prx"), F.col("rx"))).select("doc_id", "zone", "pattern_id", "code"))
+        else:
+            plain = "rx IS NULL AND size(prx) = 0"
+            rows = found.drop("ztext").withColumn("key", F.explode("found")).join(table, ["zone", "key"]).where(whole)
+            rows = stage(rows.select("doc_id", "zone", "pattern_id", "code", "prx", "rx"), "key-hits")
+            out.append(rows.where(plain).select("doc_id", "zone", "pattern_id", "code"))
+            out.append(zones.join(rows.where(f"NOT ({plain})"), ["doc_id", "zone"]).where(_passes(F.col("ztext"), F.col("prx"), F.col("rx")))
+                       .select("doc_id", "zone", "pattern_id", "code"))
+    bare = patterns.where("size(need) = 0")
     if not bare.isEmpty():
         spec = bare.agg(F.collect_list(F.struct("pattern_id", "code", "zone", "prx", "rx")).alias("_bare"))
         hit = F.filter("_bare", lambda p: (p["zone"] == F.col("zone")) & _passes(F.col("ztext"), p["prx"], p["rx"]))

@@ -1,11 +1,15 @@
 """Discriminative phrase mining: n-grams, vocabulary, TF-IDF, chi-squared,
 hit checks, candidate validation and the merged pattern table.
 
-Everything works on the sparse long table ``doc_terms(doc_id, term, tf)``.  A
-document's terms are counted inside its own row, so the table is an explode
-without a shuffle; only (term, count) and (code, term, count) partial sums and
-one norm per document move.  The vocabulary has no cap unless ``max_features``
-is given; joins with it are left to the size statistics.
+Tokens are cut once per document and placed by doc_id; n-grams are then plain
+(compiled) explodes, and a document's terms are counted where its tokens are.
+One such pass gives ``term_counts(term, codes, df, tf_sum)``, one row for each
+term and set of codes: the vocabulary is its sum by term, the per-code counts of
+chi-squared its sum by code.  The vocabulary is a dictionary of 64-bit term ids;
+sums by (code, term) move ids, and only the terms that are kept get their text
+back.  TF-IDF takes a second pass, whose norms are sums in a document's own
+partition.  The vocabulary has no cap unless ``max_features`` is given; joins
+with it are left to the size statistics.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from pyspark.sql import functions as F
 
 from labelflow.functions import text as tx
 from labelflow.functions.stopwords import DUTCH_STOPWORDS
+from labelflow.session import materialize, stage
 
 # Fixed mining parameters
 MIN_DF = 2
@@ -31,60 +36,81 @@ SRC_TFIDF = "data-derived-tfidf"
 SRC_VALID = "manual-valuelist"
 
 
-def doc_terms(docs: DataFrame, stopwords: Sequence[str] = DUTCH_STOPWORDS, n_max: int = 3) -> DataFrame:
-    """O-N1: (doc_id, term, tf, other columns of ``docs`` but the text) over
-    1..n_max-grams of the stopword-filtered tokens.  The grams of a row are
-    sorted and cut into runs of equal ones: counting needs no shuffle."""
-    grams = F.array_sort(tx.ngrams(tx.mining_tokens(F.col("text"), stopwords), 1, n_max))
+def doc_tokens(docs: DataFrame, stopwords: Sequence[str] = DUTCH_STOPWORDS) -> DataFrame:
+    """The columns of ``docs`` with the tokens in place of the text, by doc_id."""
+    keep = [c for c in docs.columns if c != "text"]
+    return docs.select(*keep, tx.mining_tokens(F.col("text"), stopwords).alias("_tokens")).repartition("doc_id")
+
 
-    def counted(g):
-        starts = F.filter(F.when(F.size(g) > 0, F.sequence(F.lit(0), F.size(g) - 1)).otherwise(F.array().cast("array<int>")),
-                          lambda i: (i == 0) | (F.get(g, i) != F.get(g, i - 1)))
-        return tx.let(starts, lambda s: F.transform(s, lambda i, j: F.struct(
-            F.get(g, i).alias("term"), (F.coalesce(F.get(s, j + 1), F.size(g)) - i).cast("bigint").alias("tf"))))
+def token_grams(tokens: DataFrame, n_max: int = 3) -> DataFrame:
+    """One row (other columns, term) for each 1..n_max-gram of ``_tokens``."""
+    keep = [c for c in tokens.columns if c != "_tokens"]
+    at = tokens.select(*keep, "_tokens", F.posexplode("_tokens").alias("_i", "_w"))
+    grams = [F.col("_w")]
+    for n in range(1, n_max):   # null where the tokens end, and so is what is longer
+        grams.append(F.concat(grams[-1], F.lit(" "), F.get("_tokens", F.col("_i") + n)))
+    return at.select(*keep, F.explode(F.array(*grams)).alias("term")).where("term IS NOT NULL")
 
+
+def doc_terms(docs: DataFrame, stopwords: Sequence[str] = DUTCH_STOPWORDS, n_max: int = 3) -> DataFrame:
+    """O-N1: (doc_id, term, tf, other columns of ``docs`` but the text) over
+    1..n_max-grams of the stopword-filtered tokens."""
     keep = [c for c in docs.columns if c != "text"]
-    return docs.select(*keep, F.explode(tx.let(grams, counted)).alias("_t")).select(*keep, "_t.term", "_t.tf")
+    return (token_grams(doc_tokens(docs, stopwords), n_max).groupBy(*keep, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
 def corpus_size(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-def vocabulary(dt: DataFrame, n_docs: DataFrame, min_df: int = MIN_DF, max_df: float = MAX_DF,
+def with_codes(docs: DataFrame, truth: DataFrame, codes: DataFrame) -> DataFrame:
+    """``docs`` with the array ``codes`` of each document's codes (of ``codes``)."""
+    y = (truth.join(codes.select("code").distinct(), "code", "left_semi")
+         .groupBy("doc_id").agg(F.array_sort(F.collect_set("code")).alias("codes")))
+    return docs.join(y, "doc_id", "left").withColumn("codes", F.coalesce("codes", F.array().cast("array<int>")))
+
+
+def _coded_terms(docs: DataFrame, truth: DataFrame, codes: DataFrame, stopwords: Sequence[str], n_max: int = 3) -> DataFrame:
+    """(doc_id, codes, term, tf): ``doc_terms`` with each document's codes."""
+    tokens = with_codes(doc_tokens(docs.select("doc_id", "text"), stopwords), truth, codes)
+    return token_grams(tokens, n_max).groupBy("doc_id", "codes", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def term_counts(docs: DataFrame, truth: DataFrame, codes: DataFrame, stopwords: Sequence[str] = DUTCH_STOPWORDS,
+                n_max: int = 3) -> DataFrame:
+    """(term, codes, df, tf_sum): documents and occurrences of each term by the
+    set of codes of its documents, from one pass over the texts; staged."""
+    dt = _coded_terms(docs, truth, codes, stopwords, n_max)
+    return stage(dt.groupBy("term", "codes").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf_sum")), "term-counts")
+
+
+def vocabulary(counts: DataFrame, n_docs: DataFrame, min_df: int = MIN_DF, max_df: float = MAX_DF,
                max_features: int | None = None) -> DataFrame:
-    """O-N2: (term, df, tf_sum) with df >= min_df, df <= max_df * N; with
+    """O-N2: (term_id, term, df, tf_sum) with df >= min_df, df <= max_df * N; with
     ``max_features`` only that many terms with the highest corpus count (term
-    order on ties), a per-partition top-n then a merge."""
-    stats = dt.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf_sum"))
+    order on ties), a per-partition top-n then a merge.  Staged, so that the ids
+    stay; ``counts`` are ``term_counts``."""
+    stats = counts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf_sum").alias("tf_sum"))
     kept = (stats.crossJoin(F.broadcast(n_docs))   # one row
             .where((F.col("df") >= min_df) & (F.col("df") <= F.lit(float(max_df)) * F.col("n_docs")))
             .drop("n_docs"))
     if max_features is not None:
         kept = kept.orderBy(F.col("tf_sum").desc(), F.col("term").asc()).limit(max_features)
-    return kept
+    return stage(kept.withColumn("term_id", F.monotonically_increasing_id()), "vocabulary")
 
 
 def restrict_to_vocab(dt: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Keep (doc, term) rows of vocabulary terms, with their df."""
-    return dt.join(vocab.select("term", "df"), "term")
-
-
-def _raw_weight(dt_vocab: DataFrame, n_docs: DataFrame) -> DataFrame:
-    w = F.col("tf") * (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1)
-    return dt_vocab.crossJoin(F.broadcast(n_docs)).withColumn("_w", w)   # one row
-
-
-def doc_norms(dt_vocab: DataFrame, n_docs: DataFrame) -> DataFrame:
-    """(doc_id, norm): length of each document's raw TF-IDF vector."""
-    return (_raw_weight(dt_vocab, n_docs).groupBy("doc_id")
-            .agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("norm")))
+    """Keep (doc, term) rows of vocabulary terms, with their id and df."""
+    return dt.join(vocab.select("term", "term_id", "df"), "term")
 
 
 def tfidf(dt_vocab: DataFrame, n_docs: DataFrame) -> DataFrame:
-    """O-N3: w = tf * (ln((1+N)/(1+df)) + 1), L2-normalised per document."""
-    x = _raw_weight(dt_vocab, n_docs).join(doc_norms(dt_vocab, n_docs), "doc_id")
-    return x.select("doc_id", "term", (F.col("_w") / F.col("norm")).alias("w"))
+    """O-N3: w = tf * (ln((1+N)/(1+df)) + 1), L2-normalised per document; the
+    norm is a sum over the document's rows, where they are."""
+    w = F.col("tf") * (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1)
+    x = dt_vocab.crossJoin(F.broadcast(n_docs)).withColumn("_w", w).drop("n_docs", "tf", "df")   # one row
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("doc_id")))
+    return x.withColumn("w", F.col("_w") / norm).drop("_w")
 
 
 def _code_sizes(truth: DataFrame, docs: DataFrame, codes: DataFrame, n_docs: DataFrame) -> DataFrame:
@@ -100,54 +126,44 @@ def _top_k(scored: DataFrame, col: str, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def with_codes(docs: DataFrame, truth: DataFrame, codes: DataFrame) -> DataFrame:
-    """``docs`` with the array ``codes`` of each document's codes (of ``codes``),
-    attached before its terms are exploded."""
-    y = (truth.join(codes.select("code").distinct(), "code", "left_semi")
-         .groupBy("doc_id").agg(F.collect_set("code").alias("codes")))
-    return docs.join(y, "doc_id", "left").withColumn("codes", F.coalesce("codes", F.array().cast("array<int>")))
-
-
 def mine_tfidf(docs: DataFrame, vocab: DataFrame, truth: DataFrame, codes: DataFrame, n_docs: DataFrame,
                k: int = TOP_K, stopwords: Sequence[str] = DUTCH_STOPWORDS) -> DataFrame:
     """O-N4: per code the top-k terms by mean TF-IDF over positive documents
-    minus mean over negative documents, keeping differences > 0.
-
-    One norm per document is joined to the document row, then its terms are
-    exploded again; what moves is (code, term) partial sums."""
-    norms = doc_norms(restrict_to_vocab(doc_terms(docs, stopwords), vocab), n_docs)
-    d = with_codes(docs.select("doc_id", "text"), truth, codes).join(norms, "doc_id")
-    w = (_raw_weight(restrict_to_vocab(doc_terms(d, stopwords), vocab), n_docs)
-         .select("term", "codes", (F.col("_w") / F.col("norm")).alias("w")))
+    minus mean over negative documents, keeping differences > 0."""
+    dt = restrict_to_vocab(_coded_terms(docs, truth, codes, stopwords), vocab).drop("term")
+    w = tfidf(dt, n_docs).select("term_id", "codes", "w")
     # code NULL holds the total over all documents
-    sums = (w.select("term", "w", F.explode(F.concat("codes", F.array(F.lit(None).cast("int")))).alias("code"))
-            .groupBy("code", "term").agg(F.sum("w").alias("s")))
-    s_pos = sums.where("code IS NOT NULL").select("code", "term", F.col("s").alias("s_pos"))
-    s_tot = sums.where("code IS NULL").select("term", F.col("s").alias("s_tot"))
+    sums = (w.select("term_id", "w", F.explode(F.concat("codes", F.array(F.lit(None).cast("int")))).alias("code"))
+            .groupBy("code", "term_id").agg(F.sum("w").alias("s")))
+    sums = stage(sums, "term-sums")
+    s_pos = sums.where("code IS NOT NULL").select("code", "term_id", F.col("s").alias("s_pos"))
+    s_tot = sums.where("code IS NULL").select("term_id", F.col("s").alias("s_tot"))
     sizes = _code_sizes(truth, docs, codes, n_docs).where(
         (F.col("n_pos") >= MIN_POSITIVES) & (F.col("n_docs") - F.col("n_pos") > 0))
     diff = (F.col("s_pos") / F.col("n_pos")
             - (F.col("s_tot") - F.col("s_pos")) / (F.col("n_docs") - F.col("n_pos")))
-    scored = (s_pos.join(s_tot, "term").join(sizes, "code")
-              .select("code", "term", F.round(diff, 12).alias("score")).where(F.col("score") > 0))
+    scored = (s_pos.join(s_tot, "term_id").join(sizes, "code")
+              .select("code", "term_id", F.round(diff, 12).alias("score")).where(F.col("score") > 0)
+              .join(vocab.select("term_id", "term"), "term_id").select("code", "term", "score"))
     return _top_k(scored, "score", k)
 
 
-def mine_chi2(docs: DataFrame, vocab: DataFrame, truth: DataFrame, codes: DataFrame, n_docs: DataFrame,
-              k: int = TOP_K, stopwords: Sequence[str] = DUTCH_STOPWORDS) -> DataFrame:
+def mine_chi2(counts: DataFrame, docs: DataFrame, vocab: DataFrame, truth: DataFrame, codes: DataFrame, n_docs: DataFrame,
+              k: int = TOP_K) -> DataFrame:
     """O-N5: per code the top-k terms by one-vs-rest chi-squared on term
-    presence; only terms seen in a positive document; NaN/inf -> 0."""
-    d = with_codes(docs.select("doc_id", "text"), truth, codes)
-    a = (doc_terms(d, stopwords).select("term", F.explode("codes").alias("code")).groupBy("code", "term")
-         .agg(F.count(F.lit(1)).alias("a")))
+    presence; only terms seen in a positive document; NaN/inf -> 0.  ``counts``
+    are the ``term_counts`` of the same documents and codes."""
+    known = vocab.select("term", "term_id", F.col("df").alias("df_all"))
+    a = (counts.join(known, "term").select("term_id", "df_all", "df", F.explode("codes").alias("code"))
+         .groupBy("code", "term_id").agg(F.sum("df").alias("a"), F.first("df_all").alias("df")))
     sizes = _code_sizes(truth, docs, codes, n_docs).where(F.col("n_pos") >= MIN_POSITIVES)
     df, n, n1 = F.col("df"), F.col("n_docs"), F.col("n_pos")
     e1 = df * (n1 / n)
     e0 = df * ((n - n1) / n)
     chi = F.when(e0 > 0, (F.col("a") - e1) * (F.col("a") - e1) / e1
                  + ((df - F.col("a")) - e0) * ((df - F.col("a")) - e0) / e0).otherwise(F.lit(0.0))
-    scored = (a.join(vocab.select("term", "df"), "term").join(sizes, "code")
-              .select("code", "term", F.round(chi, 12).alias("score")).where(F.col("score") > 0))
+    scored = (a.join(sizes, "code").select("code", "term_id", F.round(chi, 12).alias("score")).where(F.col("score") > 0)
+              .join(vocab.select("term_id", "term"), "term_id").select("code", "term", "score"))
     return _top_k(scored, "score", k)
 
 
@@ -155,9 +171,8 @@ def terms_with_hits(terms: DataFrame, docs: DataFrame, n_max: int = 3) -> DataFr
     """O-N6: mined terms that occur as a contiguous n-gram of the token stream
     *without* stopword removal in at least one document."""
     t = terms.select("term").distinct()
-    grams = tx.ngrams(tx.mining_tokens(F.col("text"), ()), 1, n_max)
-    seen = docs.select(F.explode(F.array_distinct(grams)).alias("term"))
-    return seen.join(t, "term", "left_semi").distinct()
+    tokens = docs.select(tx.mining_tokens(F.col("text"), ()).alias("_tokens"))
+    return token_grams(tokens, n_max).join(t, "term", "left_semi").distinct()
 
 
 def merge_mined(chi2: DataFrame, tfidf_terms: DataFrame, has_hits: DataFrame) -> DataFrame:
@@ -185,9 +200,7 @@ def validate_candidates(cands: DataFrame, titles: DataFrame, truth: DataFrame,
     c = (cands.withColumn("low", F.lower("phrase")).withColumn("cand_id", F.monotonically_increasing_id())
          .withColumn("runs", F.regexp_extract_all("low", F.lit(wc + "+"), 0))
          .withColumn("edged", F.col("low").rlike(f"(?s)^{wc}(?:.*{wc})?$")))
-    # the id is fixed before the table is used twice
-    from labelflow.session import materialize
-    c = materialize(c)
+    c = materialize(c)   # the id is fixed before the table is used twice
     lengths = [r["k"] for r in c.where("edged").select(F.size("runs").alias("k")).distinct().collect()]
     t = titles.select("doc_id", "title")
     spans = t.select("doc_id", F.explode(tx.run_spans(F.col("title"), sorted({*lengths, 1}), wc)).alias("span"))

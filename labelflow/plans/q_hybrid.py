@@ -140,9 +140,10 @@ def _fixture_patterns(fx):
     """Curated seed phrases plus terms mined from the given documents."""
     def build(codes, docs):
         n = mining.corpus_size(docs)
-        vocab = stage(mining.vocabulary(mining.doc_terms(docs.select("doc_id", "text")), n), "vocabulary")
-        chi = materialize(mining.mine_chi2(docs, vocab, fx.truth, codes, n))
-        tfi = materialize(mining.mine_tfidf(docs, vocab, fx.truth, codes, n))
+        counts = mining.term_counts(docs, truth, codes)
+        vocab = mining.vocabulary(counts, n)
+        chi = materialize(mining.mine_chi2(counts, docs, vocab, truth, codes, n))
+        tfi = materialize(mining.mine_tfidf(docs, vocab, truth, codes, n))
         hh = mining.terms_with_hits(chi.select("term").unionByName(tfi.select("term")), docs)
         merged = mining.merge_mined(chi, tfi, hh)
         titles = matching.zone_texts(docs, PREFIX_RX, PREFIX_WINDOW, TITLE_LEN, ("title",)).select(

@@ -15,7 +15,7 @@ from labelflow.plans.catalog import register
 from labelflow.plans.oracle_base import with_base
 from labelflow.plans.oracle_text import TEXT_CTES, esc
 from labelflow.plans.q_text_matching import stripped_docs
-from labelflow.session import materialize, stage
+from labelflow.session import materialize
 from labelflow.sources.fixtures import PREFIX_RX, PREFIX_WINDOW, TITLE_LEN, Fixtures
 
 
@@ -26,11 +26,16 @@ class MinedFixture:
         self.docs = materialize(stripped_docs(self.fx).join(train, "doc_id", "left_semi"))
         self.dt = mining.doc_terms(self.docs)
         self.n = mining.corpus_size(self.docs)
-        self.codes = self.fx.label_space.select("code")
+        self.truth = materialize(self.fx.truth)
+        self.codes = materialize(self.fx.label_space.select("code"))
+
+    @cached_property
+    def counts(self):
+        return mining.term_counts(self.docs, self.truth, self.codes)
 
     @cached_property
     def vocab(self):
-        return stage(mining.vocabulary(self.dt, self.n), "vocabulary")
+        return mining.vocabulary(self.counts, self.n)
 
     @property
     def dtv(self):
@@ -42,11 +47,11 @@ class MinedFixture:
 
     @cached_property
     def tfidf_top(self):
-        return materialize(mining.mine_tfidf(self.docs, self.vocab, self.fx.truth, self.codes, self.n))
+        return materialize(mining.mine_tfidf(self.docs, self.vocab, self.truth, self.codes, self.n))
 
     @cached_property
     def chi2_top(self):
-        return materialize(mining.mine_chi2(self.docs, self.vocab, self.fx.truth, self.codes, self.n))
+        return materialize(mining.mine_chi2(self.counts, self.docs, self.vocab, self.truth, self.codes, self.n))
 
     @cached_property
     def has_hits(self):
@@ -68,7 +73,7 @@ class MinedFixture:
 
     @property
     def validated(self):
-        return mining.validate_candidates(self.candidates, self.titles, self.fx.truth)
+        return mining.validate_candidates(self.candidates, self.titles, self.truth)
 
     @property
     def pattern_table(self):
@@ -157,7 +162,7 @@ def q_ngrams(spark, sf):
 
 @register("vocabulary", with_base(MINING_CTES, "SELECT term, CAST(df AS BIGINT) AS df, CAST(tf_sum AS BIGINT) AS tf_sum FROM vocab"))
 def q_vocab(spark, sf):
-    return MinedFixture(spark, sf).vocab
+    return MinedFixture(spark, sf).vocab.select("term", "df", "tf_sum")
 
 
 @register("tfidf_weights", with_base(MINING_CTES, """

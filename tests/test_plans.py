@@ -34,10 +34,17 @@ def test_document_scan_is_pruned(spark):
     assert "struct<doc_id:bigint,text:string>" in p and "lang:string" not in p.split("== Physical Plan ==")[1]
 
 
-def test_terms_are_counted_without_a_shuffle(spark):
+def test_matching_reads_the_texts_once(spark):
+    """One scan of the documents, and no exchange or sort of the texts."""
+    p = plan_of(entry.queries()["match_zones"](spark, SF))
+    assert p.count("documents.parquet") == 1 and "Exchange hashpartitioning" not in p and "BroadcastHashJoin" in p
+
+
+def test_terms_are_counted_where_their_document_is(spark):
     from labelflow.operators import mining
     docs = spark.createDataFrame([(1, "alpha beta alpha")], "doc_id BIGINT, text STRING")
     dt = mining.doc_terms(docs, ())
-    assert "Exchange" not in plan_of(dt)
+    p = plan_of(dt)
+    assert p.count("Exchange") == 1 and "lambda" not in p and "hashpartitioning(doc_id" in p
     assert {(r.term, r.tf) for r in dt.collect()} == {("alpha", 2), ("beta", 1), ("alpha beta", 1), ("beta alpha", 1),
                                                       ("alpha beta alpha", 1)}
