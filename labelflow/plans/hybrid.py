@@ -8,6 +8,11 @@ V2: patterns for tail codes mined on the tail bucket (train documents with
 Champion per code by cross-validated F1 on train; the tie-break group runs
 inside each variant, mutex pairs on the blended predictions (by V1 score);
 scores are put on one [0, 1] scale with a norm shared by all predicted sets.
+
+Both variants' patterns are matched in one pass over a set of documents, into
+one hit table keyed by variant.  What several steps read (hits, weights,
+thresholds, cross-validated and final predictions) is materialised, so each
+plan starts from a scan and nothing is fitted twice.
 """
 
 from __future__ import annotations
@@ -43,25 +48,31 @@ class Variant:
     codes: DataFrame
 
 
-def _fit_variant(docs: DataFrame, truth: DataFrame, codes: DataFrame, folds: DataFrame,
-                 build_patterns: Callable[[DataFrame, DataFrame], DataFrame], cfg: HybridConfig):
-    """Patterns, precision weights, in-sample thresholds and CV predictions."""
-    t = labels.restrict_to_space(truth.join(docs.select("doc_id"), "doc_id", "left_semi"), codes)
-    pats = materialize(build_patterns(codes, docs))
-    hits = materialize(matching.match_patterns(docs, pats, cfg.prefix_rx, cfg.window, cfg.title_len)
-                       .select("doc_id", "pattern_id", "code"))
-    w = materialize(scoring.pattern_precision(hits, t, pats))
+def _hits(docs: DataFrame, patterns: dict[int, DataFrame], cfg: HybridConfig) -> DataFrame:
+    """(variant, doc_id, pattern_id, code): one pass for the patterns of all variants."""
+    both = None
+    for v, p in patterns.items():
+        p = p.withColumn("pattern_id", F.concat(F.lit(f"{v}|"), "pattern_id"))
+        both = p if both is None else both.unionByName(p)
+    hits = matching.match_patterns(docs, both, cfg.prefix_rx, cfg.window, cfg.title_len)
+    return materialize(hits.select(F.substring("pattern_id", 1, 1).cast("int").alias("variant"), "doc_id",
+                                   F.expr("substr(pattern_id, 3)").alias("pattern_id"), "code"))
+
+
+def _fit(patterns: DataFrame, hits: DataFrame, docs: DataFrame, truth: DataFrame, codes: DataFrame, folds: DataFrame,
+         cfg: HybridConfig) -> tuple[Variant, DataFrame]:
+    """Precision weights, in-sample thresholds and cross-validated predictions of
+    one variant, from its hits on ``docs``; ``truth`` within them and ``codes``."""
+    w = materialize(scoring.pattern_precision(hits, truth, patterns))
     s = materialize(scoring.doc_code_score(hits, w))
-    th = materialize(thresholds.tune_exact(s, t))
-    cv = thresholds.cv_predict(s, t, folds.join(docs.select("doc_id"), "doc_id", "left_semi"), cfg.n_folds)
-    return Variant(pats, w, th, codes), cv, t
+    th = materialize(thresholds.tune_exact(s, truth))
+    cv = thresholds.cv_predict(s, truth, folds.join(docs.select("doc_id"), "doc_id", "left_semi"), cfg.n_folds)
+    return Variant(patterns, w, th, codes), materialize(_tiebreak(cv, docs, codes, cfg))
 
 
-def _predict(v: Variant, docs: DataFrame, cfg: HybridConfig) -> DataFrame:
-    hits = matching.match_patterns(docs, v.patterns, cfg.prefix_rx, cfg.window, cfg.title_len)
-    s = scoring.doc_code_score(hits, v.weights)
-    p = thresholds.apply_thresholds(s, v.thresholds, inclusive=True)
-    return _tiebreak(p, docs, v.codes, cfg)
+def _predict(v: Variant, hits: DataFrame, docs: DataFrame, cfg: HybridConfig) -> DataFrame:
+    p = thresholds.apply_thresholds(scoring.doc_code_score(hits, v.weights), v.thresholds, inclusive=True)
+    return materialize(_tiebreak(p, docs, v.codes, cfg))
 
 
 def _tiebreak(p: DataFrame, docs: DataFrame, codes: DataFrame, cfg: HybridConfig) -> DataFrame:
@@ -77,26 +88,30 @@ def run_hybrid(train: DataFrame, eval_docs: DataFrame, truth: DataFrame, space:
     ``eval_docs``; returns champion table, head codes, the shared norm, the
     fitted tables of both variants and the eval predictions (doc_id, code, score
     in [0, 1], predicted)."""
+    train, truth, space = materialize(train), materialize(truth), materialize(space)
     ht = labels.head_tail(labels.restrict_to_space(truth.join(train, "doc_id", "left_semi"), space),
                           share=cfg.head_share, n_docs=train.agg(F.count(F.lit(1)).alias("n")))
     ht = materialize(space.select("code").join(ht, "code", "left").fillna({"is_head": False}))
     head = ht.where(F.col("is_head")).select("code")
     tail = ht.where(~F.col("is_head")).select("code")
-
-    v1, cv1, t1 = _fit_variant(train, truth, space.select("code"), folds, build_patterns, cfg)
     bucket = materialize(scoring.tail_bucket(train, truth, head))
-    v2, cv2, _ = _fit_variant(bucket, truth, tail, folds, build_patterns, cfg)
-
-    docs_train = train.select("doc_id")
-    pc1 = metrics.per_class(_tiebreak(cv1, train, space, cfg).withColumn("method", F.lit("v1")),
-                            t1, docs_train, space, digits=None)
-    pc2 = metrics.per_class(_tiebreak(cv2, bucket, tail, cfg).withColumn("method", F.lit("v2")),
-                            t1, docs_train, space, digits=None)
-    champ = materialize(scoring.champion(pc1, pc2, space))
-
-    p1 = _predict(v1, eval_docs, cfg)
+    t1 = materialize(labels.restrict_to_space(truth.join(train.select("doc_id"), "doc_id", "left_semi"), space))
+    t2 = materialize(labels.restrict_to_space(t1.join(bucket.select("doc_id"), "doc_id", "left_semi"), tail))
+
+    # pattern_id, code and what the matcher reads
+    pats = {1: materialize(build_patterns(space.select("code"), train)), 2: materialize(build_patterns(tail, bucket))}
+    hits = _hits(train, pats, cfg)
+    of = lambda h, v, docs: h.where(F.col("variant") == v).join(docs.select("doc_id"), "doc_id", "left_semi")
+    v1, cv1 = _fit(pats[1], of(hits, 1, train), train, t1, space.select("code"), folds, cfg)
+    v2, cv2 = _fit(pats[2], of(hits, 2, bucket), bucket, t2, tail, folds, cfg)
+    cv = cv1.withColumn("method", F.lit("v1")).unionByName(cv2.withColumn("method", F.lit("v2")))
+    pc = materialize(metrics.per_class(cv, t1, train.select("doc_id"), space, digits=None))
+    champ = materialize(scoring.champion(pc.where("method = 'v1'"), pc.where("method = 'v2'"), space))
+
+    hits = _hits(eval_docs, pats, cfg)
+    p1 = _predict(v1, of(hits, 1, eval_docs), eval_docs, cfg)
     routed_docs = scoring.tail_routed(eval_docs, p1, head)
-    p2 = _predict(v2, routed_docs, cfg)
+    p2 = _predict(v2, of(hits, 2, routed_docs), routed_docs, cfg)
     blended = scoring.blend(p1, p2, champ)
     if cfg.mutex_pairs:
         blended = scoring.mutex(blended, p1.select("doc_id", "code", "score"), cfg.mutex_pairs)
