@@ -17,7 +17,9 @@ Lists are scanned without emitting all pairs of a group: each member of a list
 is first compared with the list's smallest member; only members that are not in
 one component after that are compared with one another, by pairs or, where a
 whole group is cheaper than its lists, in blocks.  Every pair that could still
-join two components is compared exactly, so components are exact.
+join two components is compared exactly, so components are exact.  Links are
+then counted within components, block by block: every link counts, no pair of a
+group is emitted.
 
 Null texts and texts without words have an empty set and no links.  Repeated
 rows (same id) count as one document; an id that comes with different texts has
@@ -54,8 +56,14 @@ KEY_BITS = 1 << 25
 #: Pairs (16 bytes each) up to which they are sent to the texts instead of
 #: shuffling with them; counted before the choice.
 MAX_SENT_PAIRS = 2_000_000
-#: Documents of a dense group compared in one task against as many others.
+#: Documents of a dense group compared in one task against as many others, and
+#: bytes of their shingle hashes.
 BLOCK = 256
+BLOCK_BYTES = 4 << 20
+#: Members of a list from which it is compared in blocks whatever it costs.
+MAX_LIST = 1024
+#: Groups in which the tasks' counts are added up first.
+ADD_PARTS = 64
 
 
 def overlap_needed(a, b, percent: int = PERCENT):
@@ -102,16 +110,20 @@ def shingle_stats(docs: DataFrame, words: int = WORDS) -> tuple[np.ndarray, floa
             [pa.array(np.append(used, -1)), pa.array([*(zlib.compress(blocks[i].tobytes(), 1) for i in used), sizes.tobytes()])],
             ["block", "counts"])
 
-    def add(key, table):
+    def add(key, table, last):
+        rows = [x.as_py() for x in table["counts"]]
         if key[0].as_py() < 0:
-            data = sum(np.frombuffer(x.as_py(), np.int64) for x in table["counts"]).tobytes()
+            data = sum(np.frombuffer(x, np.int64) for x in rows).tobytes()
         else:
-            n = sum(np.frombuffer(zlib.decompress(x.as_py()), np.uint8).astype(np.int64) for x in table["counts"])
-            data = np.minimum(np.round(8 * np.log2(1 + n)), 255).astype(np.uint8).tobytes()
+            raw = [zlib.decompress(x) for x in rows]    # 8 bits a slot from the tasks, 64 after the first step
+            n = sum(np.frombuffer(x, np.uint8 if len(x) == SLOT_BLOCK else np.int64).astype(np.int64) for x in raw)
+            data = np.minimum(np.round(8 * np.log2(1 + n)), 255).astype(np.uint8).tobytes() if last else zlib.compress(n.tobytes(), 1)
         return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "counts": pa.array([data], pa.binary())})
 
-    found = (map_arrow(docs.select("text"), run, "block long, counts binary").groupBy("block")
-             .applyInArrow(add, "block long, counts binary")).toArrow()
+    # added up in two steps: a group gets the square root of the tasks' rows at most
+    rows = map_arrow(docs.select("text"), run, "block long, counts binary").withColumn("part", F.spark_partition_id() % ADD_PARTS)
+    part = rows.groupBy("block", "part").applyInArrow(lambda key, t: add(key, t, False), "block long, counts binary")
+    found = part.groupBy("block").applyInArrow(lambda key, t: add(key, t, True), "block long, counts binary").toArrow()
     level, sizes = np.zeros(SLOTS, np.uint8), np.zeros(64, np.int64)
     for block, data in zip(found["block"].to_pylist(), found["counts"].to_pylist()):
         if block < 0:
@@ -281,15 +293,16 @@ class JaccardJoin:
         # exact work of either way, per component of a pivot: pairs within lists, or pairs within the whole group
         by_list = (posts.groupBy("pivot_component", "key")
                    .agg(F.count("*").alias("m"), F.sum(F.expr("CAST(component <> pivot_component AS BIGINT)")).alias("o"))
-                   .groupBy("pivot_component").agg(F.sum(F.expr("CAST(o AS DOUBLE) * m")).alias("list_work")))
+                   .groupBy("pivot_component").agg(F.sum(F.expr("CAST(o AS DOUBLE) * m")).alias("list_work"), F.max("m").alias("longest")))
         docs = posts.select("pivot_component", "doc_id", "component", "n").distinct()
         touched = out.select("pivot_component").distinct()
         docs = staged(docs.join(touched, "pivot_component")
                       .withColumn("outside", F.expr("component <> pivot_component")), "group-members")
         group = docs.groupBy("pivot_component").agg(F.sum(F.expr("CAST(outside AS BIGINT)")).alias("o"),
-                                                    F.count("*").alias("m"))
+                                                    F.count("*").alias("m"), F.avg("n").alias("size"))
         group = staged(group.join(by_list, "pivot_component")
-                       .select("pivot_component", "o", "m", F.expr("list_work > CAST(o AS DOUBLE) * m").alias("dense")), "groups")
+                       .select("pivot_component", "o", "m", F.greatest(F.lit(1.0), F.col("size") * 8 * BLOCK / BLOCK_BYTES).alias("finer"),
+                               F.expr(f"list_work > CAST(o AS DOUBLE) * m OR longest > {MAX_LIST}").alias("dense")), "groups")
         sparse = group.where("NOT dense").select("pivot_component")
         # a member outside the pivot's component meets every member of other components
         near = posts.join(sparse, "pivot_component")
@@ -325,8 +338,8 @@ class JaccardJoin:
         and against each other, BLOCK by BLOCK documents a task.  A task gives a
         spanning forest of its links, so no pairs are emitted."""
         percent = self.percent
-        docs = docs.join(group.select("pivot_component", F.ceil(F.col("o") / BLOCK).cast("int").alias("bo"),
-                                      F.ceil((F.col("m") - F.col("o")) / BLOCK).cast("int").alias("bm")), "pivot_component")
+        docs = docs.join(group.select("pivot_component", F.ceil(F.col("o") * F.col("finer") / BLOCK).cast("int").alias("bo"),
+                                      F.ceil((F.col("m") - F.col("o")) * F.col("finer") / BLOCK).cast("int").alias("bm")), "pivot_component")
         part = F.pmod(F.xxhash64("doc_id"), F.when(F.col("outside"), F.col("bo")).otherwise(F.col("bm"))).cast("int")
         docs = docs.withColumn("p", part)
         tasks = F.expr("""CASE WHEN outside THEN concat(
@@ -358,24 +371,68 @@ class JaccardJoin:
         ship(self.docs.sparkSession)
         return staged(rows.groupBy("pivot_component", "kind", "i", "j").applyInArrow(run, "a long, b long").distinct(), "links")
 
+    def degrees(self, comp: DataFrame) -> DataFrame:
+        """(rep, n_links): linked documents of other sets, for every representative
+        in ``comp`` (node, component).  Links never leave a component, so its sets
+        are compared with one another, block by block, and a task returns sums, no
+        pairs; two sets alone in a component are linked.  Small components share
+        a task."""
+        percent = self.percent
+        same = self.members.groupBy("rep").agg(F.count("*").alias("w"), F.max("n_shingles").alias("n"))
+        docs = comp.select(F.col("node").alias("rep"), "component").join(same, "rep")
+        group = docs.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.sum("w").alias("all"))
+        blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("total") * 8 / BLOCK_BYTES)).cast("int")
+        docs = staged(docs.join(group.withColumn("blocks", blocks), "component"), "component-sets")
+        two = docs.where("m = 2").select("rep", (F.col("all") - F.col("w")).alias("links"))
+        more = docs.where("m > 2")
+        small = more.where("blocks = 1").agg(F.count("*").alias("m"), F.sum("n").alias("total")).first()
+        shared = int(max(1, (small["m"] or 0) / BLOCK, (small["total"] or 0) * 8 / BLOCK_BYTES))
+        part = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+        own = F.when(F.col("blocks") > 1, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(shared)))
+        rows = more.select(F.col("rep").alias("doc_id"), "component", "w", "blocks", own.alias("task"), part.alias("p"))
+        rows = (rows.join(self._sets_of(rows.select("doc_id")), "doc_id")
+                .select("doc_id", "component", "w", "s", "p", (F.col("blocks") > 1).alias("large"), "task",
+                        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("q"))
+                .select("doc_id", "component", "w", "s", "p", "large", "task", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j")))
+
+        def run(key, table):
+            comp, p, w = (np.asarray(table[c]) for c in ("component", "p", "w"))
+            sets = [np.frombuffer(x.as_py(), np.uint64) for x in table["s"].combine_chunks()]
+            sizes = np.array([len(s) for s in sets])
+            inter = _intersections(sets)
+            link = (inter > 0) & (100 * inter >= percent * (sizes[:, None] + sizes[None, :] - inter)) & (comp[:, None] == comp[None, :])
+            if key[2].as_py() != key[3].as_py():
+                link &= p[:, None] != p[None, :]
+            np.fill_diagonal(link, False)
+            return pa.table({"rep": table["doc_id"], "links": pa.array(link @ w, pa.int64())})
+
+        ship(self.docs.sparkSession)
+        found = rows.groupBy("large", "task", "i", "j").applyInArrow(run, "rep long, links long")
+        return two.unionByName(found).groupBy("rep").agg(F.sum("links").alias("links"))
+
     def run(self) -> DataFrame:
-        """(doc_id, n_shingles, component_id, n_same): n_same documents have the
-        same set.  One row per document (and distinct set)."""
-        comp = components(self.links())
+        """(doc_id, n_shingles, component_id, n_links, n_same): n_links other documents
+        are linked directly, n_same documents have the same set (this one
+        included).  One row per document (and distinct set)."""
+        comp = staged(components(self.links()), "set-components")
         same = self.members.groupBy("rep").agg(F.count("*").alias("n_same"))
-        # an id that comes with several sets joins them
         low = (self.members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").join(same, "rep")
-               .select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), "n_same"))
-        return low
+               .join(self.degrees(comp), "rep", "left"))
+        alone = F.when(F.col("n_shingles") > 0, F.col("n_same") - 1).otherwise(0)
+        return low.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"),
+                          (F.coalesce("links", F.lit(0)) + alone).cast("long").alias("n_links"), "n_same")
 
 
 def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_same) of every document."""
+    """(doc_id, n_shingles, component_id, n_links, n_same) of every document."""
     return JaccardJoin(docs, words, percent).run()
 
 
 def one_per_group(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its group of linked
     documents (all columns)."""
-    drop = ngram_components(docs, words, percent).where("component_id <> doc_id").select("doc_id").distinct()
+    join = JaccardJoin(docs, words, percent)    # components are enough, links need not be counted
+    comp = components(join.links())
+    drop = (join.members.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+            .where(F.coalesce("component", "rep") != F.col("doc_id")).select("doc_id").distinct())
     return docs.join(staged(drop, "near-copies"), "doc_id", "left_anti").select(docs.columns)

@@ -5,20 +5,27 @@ The kernel of two words adds, over all common subsequences of ORDER letters, the
 product of DECAY to the length each one spans, gaps included, and is normalised;
 so letters inserted into an insult, or put between its letters, change it little.
 It is computed for every word: a machine's weights are summed into one table by
-letter triple, so that a word costs the same whatever the number of landmarks.  A labelled sentence is as toxic as its most toxic word: the machine is
-trained on the sentences of all labelled documents of the sample, with all words of
-toxic sentences that speak for the label beyond chance (as many as there are), and all
-words of clean sentences.  Landmarks only approximate the kernel: all toxic words
-and the clean ones nearest to them, or, of more than MAX_LANDMARKS, those that
-leave least of the kernel unexplained.  Copies of the toxic
-words with one or two letters put in are trained on as well.  A document scores as its most toxic sentence, through a logistic map
-fitted to the labels.
+letter triple, so that a word costs the same whatever the number of landmarks.
+
+The machine is trained on the sentences of labelled documents, by multi-instance
+rounds.  A sentence stands for its most toxic word (by the machine so far): each
+toxic document gives its most toxic sentence as a positive row, and all words of
+its sentences that are toxic so far, each clean document all of its sentences as
+negative rows, and the machine is fitted anew.
+The first round starts from the words that speak for the label beyond chance.
+Copies of positive words with one or two letters put in are trained on as well.
+Landmarks only approximate the kernel: the starting words and the clean words
+nearest to them, or, of more than MAX_LANDMARKS, those that leave least of the
+kernel unexplained.  A document scores as its most toxic sentence, through a
+logistic map fitted to the labels.
 
 Words are the space-separated pieces, lower-cased, without their non-alphanumeric
-characters.  Pieces of one or two letters in a row also count joined: three or
-more single letters, and any three or more pieces of up to JOIN letters together.
-A word with three or more equal letters in a row also counts with one of them, and one
-longer than LONG counts as its overlapping stretches of LONG letters.  Null
+characters, after a mark for their beginning.  Sentences end at .!? before a piece
+that begins with three alphanumeric characters.  Pieces of one or two letters in
+a row also count joined: three or more single letters, and any three or more
+pieces, up to the longest landmark together.  A word with three or more equal
+letters in a row also counts with one of them, and one longer than LONG counts as
+its overlapping stretches of LONG letters.  Null
 texts are empty and score like a text without a suspicious word.  Every row gives
 one output row, repeated ids too; an id labelled twice takes the mean of its
 labels, null labels are skipped.  Without labels, or with one class only, all
@@ -29,7 +36,6 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -37,6 +43,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from labelflow.llm.common import map_arrow, text_buffer, text_chunks
 from labelflow.llm.quality import labelled_sample
@@ -49,13 +56,23 @@ DECAY = 0.8
 #: Letters of a word that are compared at once; longer ones come in stretches
 #: that overlap by half.
 LONG = 32
-#: Letters of short pieces that are joined at most (runs of single letters: all).
-JOIN = 12
+#: Letters of short pieces that are joined at most in training (runs of single
+#: letters: all); a machine joins up to its longest landmark.
+JOIN = 16
 #: Landmarks at least (if there are words enough), and at most.
-LANDMARKS = 96
-MAX_LANDMARKS = 1_024
-#: Share of toxic documents among those of a word from which it can be toxic.
-TOXIC_SHARE = 0.8
+LANDMARKS = 384
+MAX_LANDMARKS = 384
+#: Landmarks whose kernels are computed together.
+COLUMNS = 128
+#: A training word whose kernel with every toxic landmark is smaller counts as a
+#: word like none of them.
+NEAR = 0.15
+#: Multi-instance rounds.
+ROUNDS = 3
+#: Bytes of text up to which a labelled row can be in the training sample.
+MAX_FIT_BYTES = 1 << 16
+#: Stands before the letters of a word.
+BEGIN = "^"
 #: Distinct words a worker remembers before it starts anew.
 CACHE_ENTRIES = 800_000
 CHUNK_BYTES = 8 << 20
@@ -65,7 +82,7 @@ PAIRS = 12_000
 ROWS = 5_000
 _DROP = re.compile(r"[\W_]+")
 _REPEAT = re.compile(r"(.)\1{2,}")
-_SENTENCE = re.compile(r"[.!?\n]+")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[^\W_]{3})")
 
 
 def letters(words: list[str]) -> np.ndarray:
@@ -149,21 +166,23 @@ def _self(words: list[str], wanted: np.ndarray, order: int, decay: float) -> np.
 
 
 def views(word: str) -> list[str]:
-    """The word, also with one letter for each long run of it, in stretches of LONG."""
+    """The word, also with one letter for each long run of it, in stretches of
+    LONG; the mark for its beginning stands before the first."""
     out = []
     for w in dict.fromkeys((word, _REPEAT.sub(r"\1", word))):
-        out += [w] if len(w) <= LONG else [w[i:i + LONG] for i in range(0, len(w) - LONG // 2, LONG // 2)]
+        parts = [w] if len(w) <= LONG else [w[i:i + LONG] for i in range(0, len(w) - LONG // 2, LONG // 2)]
+        out += [BEGIN + parts[0], *parts[1:]]
     return out
 
 
-def joined(run: list[str]) -> list[str]:
+def joined(run: list[str], most: int = JOIN) -> list[str]:
     """Words that a run of pieces of one or two letters may be split from."""
     out = []
     for i in range(len(run) - 2):
         w = run[i] + run[i + 1]
-        for piece in run[i + 2:i + JOIN]:
+        for piece in run[i + 2:i + most]:
             w += piece
-            if len(w) > JOIN:
+            if len(w) > most:
                 break
             out.append(w)
     single = ""
@@ -177,7 +196,7 @@ def joined(run: list[str]) -> list[str]:
     return [v for w in dict.fromkeys(out) for v in views(w)]
 
 
-def words_of(text: str) -> list[str]:
+def words_of(text: str, most: int = JOIN) -> list[str]:
     """Words of a sentence or text, see the module's note."""
     plain = [w for w in (_DROP.sub("", p.lower()) for p in text.split()) if w]
     out, run = [v for w in plain for v in views(w)], []
@@ -185,11 +204,16 @@ def words_of(text: str) -> list[str]:
         if len(w) <= 2:
             run.append(w)
         elif run:
-            out += joined(run) if len(run) > 2 else []
+            out += joined(run, most) if len(run) > 2 else []
             run = []
     return out
 
 
+def sentences(text: str) -> list[list[str]]:
+    """Distinct words of each sentence."""
+    return [w for s in _SENTENCE.split(text) if (w := list(dict.fromkeys(words_of(s))))]
+
+
 class Triples:
     """Sum over landmarks of weight * normalised phi, by ordered letter triple: a
     table of the letter pairs that open one, and for each a row by third letter.
@@ -279,18 +303,31 @@ class Machine:
             self.triples = Triples(self.landmarks, self.weights)
         return self.triples.decide(words) + self.bias
 
+    @property
+    def join(self) -> int:
+        """Letters of short pieces that are joined at most."""
+        return max((len(w) - 1 for w in self.landmarks[:self.toxic]), default=0)
+
     def probability(self, decision: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.slope * decision + self.shift)))
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, steps: int = 60) -> tuple[np.ndarray, float]:
-    """Linear machine with squared hinge loss, by Newton steps; the normal
-    equations add up over blocks of rows."""
+    """Linear machine with squared hinge loss, by Newton steps that are halved
+    until the loss falls; the normal equations add up over blocks of rows."""
     w = np.zeros(x.shape[1] + 1)
     ridge = np.eye(len(w))
     ridge[-1, -1] = 1e-6
+
+    def margins(v: np.ndarray) -> np.ndarray:
+        return 1 - y * (x @ v[:-1].astype(np.float32) + v[-1])
+
+    def loss(v: np.ndarray) -> float:
+        return float(v @ ridge @ v + c * (weight * np.maximum(margins(v), 0) ** 2).sum())
+
+    now = loss(w)
     for _ in range(steps):
-        active = np.flatnonzero(y * (x @ w[:-1].astype(np.float32) + w[-1]) < 1)
+        active = np.flatnonzero(margins(w) > 0)
         left, right = ridge.copy(), np.zeros(len(w))
         for k in range(0, len(active), ROWS):
             g = active[k:k + ROWS]
@@ -298,10 +335,14 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, step
             zw = z * weight[g, None]
             left += c * z.T @ zw
             right += c * zw.T @ y[g]
-        new = np.linalg.solve(left, right)
-        if np.allclose(new, w, atol=1e-6):
+        step = np.linalg.solve(left, right) - w
+        size = 1.0
+        while size > 1e-3 and loss(w + size * step) > now:
+            size /= 2
+        new = loss(w + size * step)
+        if now - new < 1e-6 * now:
             break
-        w = new
+        w, now = w + size * step, new
     return w[:-1], float(w[-1])
 
 
@@ -323,9 +364,20 @@ def _logistic(d: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, fl
 def _kernels(words: list[str], landmarks: list[str]) -> np.ndarray:
     """``kernel`` of many words, by the triple table of the landmarks."""
     out = np.zeros((len(words), len(landmarks)), np.float32)
-    table = Triples(landmarks, np.eye(len(landmarks))) if landmarks else None
-    for k in range(0, len(words) if table else 0, ROWS):
-        out[k:k + ROWS] = table.decide(words[k:k + ROWS])
+    for c in range(0, len(landmarks), COLUMNS):
+        table = Triples(landmarks[c:c + COLUMNS], np.eye(len(landmarks[c:c + COLUMNS])))
+        for k in range(0, len(words), ROWS):
+            out[k:k + ROWS, c:c + COLUMNS] = table.decide(words[k:k + ROWS])
+    return out
+
+
+def _near(words: list[str], landmarks: list[str]) -> list[tuple[float, str]]:
+    """(kernel, word) of the words that come near one of the landmarks."""
+    out = []
+    for k in range(0, len(words), ROWS):
+        part = words[k:k + ROWS]
+        most = _kernels(part, landmarks).max(1, initial=0)
+        out += [(float(v), w) for v, w in zip(most, part) if v >= NEAR]
     return out
 
 
@@ -344,69 +396,156 @@ def _pivots(words: list[str], n: int) -> list[str]:
     return picked
 
 
+_SENTENCES = pa.list_(pa.list_(pa.string()))
+
+
+@dataclass
+class Sentences:
+    """Labelled documents: place of each sentence's words in ``vocabulary``, the
+    sentence of each place, the document of each sentence, the documents' labels."""
+
+    vocabulary: list[str]
+    word: np.ndarray
+    sentence: np.ndarray
+    doc: np.ndarray
+    y: np.ndarray
+
+    @classmethod
+    def of(cls, docs: pa.Array, y: np.ndarray) -> "Sentences":
+        """From lists (documents) of lists (sentences) of words; copies (the same
+        words and label) speak once."""
+        docs = docs.combine_chunks() if isinstance(docs, pa.ChunkedArray) else docs
+        each = docs.flatten()
+        words = each.flatten().dictionary_encode()
+        place = words.indices.to_numpy().astype(np.int64)
+        size = np.asarray(pc.list_value_length(each)).astype(np.int64)
+        per = np.asarray(pc.list_value_length(docs)).astype(np.int64)
+        end = np.concatenate([[0], np.cumsum(size)])
+        last = np.concatenate([[0], np.cumsum(per)])
+        first: dict[tuple, int] = {}
+        for i in range(len(docs)):
+            a, b = last[i], last[i + 1]
+            first.setdefault((size[a:b].tobytes(), place[end[a]:end[b]].tobytes(), int(y[i])), i)
+        keep = np.zeros(len(docs), bool)
+        keep[list(first.values())] = True
+        some = np.repeat(keep, per)
+        place, size, per = place[np.repeat(some, size)], size[some], per[keep]
+        return cls(words.dictionary.to_pylist(), place, np.repeat(np.arange(len(size)), size), np.repeat(np.arange(len(per)), per), y[keep])
+
+    def counts(self) -> np.ndarray:
+        """(2, words): clean and toxic documents of each word."""
+        n = len(self.vocabulary)
+        pair = np.unique(self.doc[self.sentence] * n + self.word)
+        return np.stack([np.bincount(pair[self.y[pair // n] == c] % n, minlength=n) for c in (0, 1)])
+
+    def witnesses(self, value: np.ndarray) -> np.ndarray:
+        """Each sentence's word of the highest value (the first one on ties)."""
+        order = np.lexsort((self.word, -value[self.word], self.sentence))
+        first = np.flatnonzero(np.diff(self.sentence[order], prepend=-1))
+        return self.word[order[first]]
+
+
+def _evidence(clean: np.ndarray, toxic: np.ndarray, rate: float) -> np.ndarray:
+    """Log-likelihood ratio of a word's own toxic share against the overall one,
+    for words above it."""
+    n = clean + toxic
+    p = toxic / np.maximum(n, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = toxic * np.log(p / rate) + np.where(clean > 0, clean * np.log((1 - p) / (1 - rate)), 0.0)
+    return np.where(p > rate, gain, 0.0)
+
+
 def fit_machine(texts: Iterable[str], y: np.ndarray, landmarks: int = LANDMARKS, max_landmarks: int = MAX_LANDMARKS) -> Machine:
     """Train on the sentences of labelled texts."""
+    return fit_sentences(pa.array([sentences(t) for t in texts], _SENTENCES), y, landmarks, max_landmarks)
+
+
+def fit_sentences(docs: pa.Array, y: np.ndarray, landmarks: int = LANDMARKS, max_landmarks: int = MAX_LANDMARKS) -> Machine:
+    """Train on documents given as lists of the words of their sentences."""
     share = float(np.clip(y.mean() if len(y) else 0.5, 1e-6, 1 - 1e-6))
+    flat = Machine(shift=float(np.log(share / (1 - share))))
     if len(y) == 0 or y.min() == y.max():
-        return Machine(shift=float(np.log(share / (1 - share))))
-    pool: dict[str, str] = {}
-    bags = [frozenset(pool.setdefault(w, w) for s in _SENTENCE.split(t) for w in words_of(s)) for t in texts]
-    once = {(b, v) for b, v in zip(bags, y)}  # copies speak once
-    seen = {c: Counter(w for b, v in once if v == c for w in b) for c in (0, 1)}
-    
-    # words that speak for the label beyond chance, all words of the sample considered
-    rate = sum(v for _, v in once) / len(once)
-    total = {c: sum(v == c for _, v in once) for c in (0, 1)}
-    bound = np.log(max(1, len(seen[0].keys() | seen[1].keys()))) + 2
-
-    def evidence(w: str) -> float:
-        n1, n0 = seen[1][w], seen[0][w]
-        p = n1 / (n1 + n0)
-        return n1 * np.log(p / rate) + (n0 * np.log((1 - p) / (1 - rate)) if n0 else 0.0) if p > TOXIC_SHARE else 0.0
-
-    ranked = sorted(((evidence(w), w) for w in seen[1] if len(w) >= ORDER), reverse=True)
-    toxic = [w for e, w in ranked if e > bound]
-    if not toxic:
-        return Machine(shift=float(np.log(share / (1 - share))))
-    clean = sorted(seen[0].keys() - set(toxic))
-    marks = toxic if len(toxic) <= max_landmarks // 2 else _pivots(toxic, max_landmarks // 2)
+        return flat
+    data = Sentences.of(docs, y)
+    words = data.vocabulary
+    clean, toxic = data.counts()
+    gain = _evidence(clean, toxic, float(data.y.mean()))
+    gain[[len(w) <= ORDER for w in words]] = 0
+    seeds = np.flatnonzero(gain > np.log(max(1, len(words))) + 2)
+    if not len(seeds):
+        return flat
+    start = [words[i] for i in sorted(seeds, key=lambda i: (-gain[i], words[i]))]
+    marks = start if len(start) <= max_landmarks // 2 else _pivots(start, max_landmarks // 2)
     n_toxic = len(marks)
-    first = _kernels(clean, marks)
-    near = first.max(1, initial=0)
-    # of the same words as the kernel sees them, none like a landmark, one row is left
-    far = [w for w, v in zip(clean, near) if v == 0]
-    first, clean = first[near > 0], [w for w, v in zip(clean, near) if v > 0]
-    near = near[near > 0]
-    marks = marks + [clean[i] for i in np.lexsort((np.array(clean, object), -near))[:max(landmarks - n_toxic, n_toxic)]]
-    # sentences with one or two letters put into the toxic word, as far as no clean sentence has that word
-    one = {w[:i] + c + w[i:] for w in toxic for i in range(1, len(w)) for c in (w[i - 1], "x")}
-    two = {w[:i] + "x" + w[i:j] + "y" + w[j:] for w in toxic for i, j in itertools.combinations(range(1, len(w)), 2)}
-    spelled = sorted((one | two) - seen[0].keys() - set(toxic))
+    near = _near(sorted(words), marks)
+    most = sorted((-v, w) for v, w in near if w not in set(start))
+    marks = marks + [w for _, w in most[:max(landmarks - n_toxic, n_toxic)]]
+    # rows by place: the words near a landmark, then one row like none of them
+    place = {w: i for i, w in enumerate(w for _, w in near)}
+    x = np.vstack([_kernels(list(place), marks), np.zeros((1, len(marks)), np.float32)])
+    row = np.array([place.get(w, len(place)) for w in words], np.int64)
     gram = kernel(marks, marks)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
-    keep = values > 1e-6
-    whiten = vectors[:, keep] / np.sqrt(values[keep])
-    bad = toxic + spelled
-    rows = np.vstack([_kernels(bad, marks), np.hstack([first, _kernels(clean, marks[n_toxic:])]),
-                      np.zeros((1, len(marks)), np.float32)])  # and a word like none of the landmarks
-    x = rows @ whiten.astype(np.float32)
-    del first, rows
-    # a word weighs as many sentences' documents as it stands in
-    label = np.concatenate([np.ones(len(toxic) + len(spelled)), -np.ones(len(clean) + 1)])
-    weight = np.array([*(seen[1][w] for w in toxic), *(1.0 for _ in spelled), *(seen[0][w] for w in clean),
-                       total[0] + sum(seen[0][w] for w in far)], np.float64)
-    w, b = _svm(x, label, weight)
-    machine = Machine(marks, n_toxic, whiten @ w, b)
-    vocabulary = sorted({w for b in bags for w in b})
-    value = dict(zip(vocabulary, machine.decisions(vocabulary)))
-    d = np.array([max((value[w] for w in b), default=machine.bias) for b in bags])
-    machine.slope, machine.shift = _logistic(d, y)
+    keep = values > 1e-3
+    whiten = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
+    x = x @ whiten
+    known = set(words)
+    spelled: dict[str, np.ndarray] = {}
+    value = np.where(gain > 0, gain, -1.0) / gain.max()
+    value[np.setdiff1d(np.arange(len(words)), seeds)] -= 1.0
+    bad = data.y[data.doc] == 1     # by sentence
+    machine = flat
+    for _ in range(ROUNDS):
+        witness = data.witnesses(value)
+        # of a toxic document the most toxic sentence, and all words that are toxic so far
+        order = np.lexsort((-value[witness], data.doc))
+        best = order[np.flatnonzero(np.diff(data.doc[order], prepend=-1))]
+        best = witness[best[(data.y[data.doc[best]] == 1) & (value[witness[best]] > -0.5)]]
+        told = data.word[bad[data.sentence] & (value[data.word] > 0)]
+        pos, n_pos = np.unique(np.concatenate([best, told]), return_counts=True)
+        neg, n_neg = np.unique(row[witness[~bad]], return_counts=True)
+        changed = [v for i in pos for v in _respelled(words[i]) if v not in known]
+        fresh = [v for v in dict.fromkeys(changed) if v not in spelled]
+        spelled.update(zip(fresh, _kernels(fresh, marks) @ whiten))
+        other = np.array([spelled[v] for v in dict.fromkeys(changed)], np.float32).reshape(-1, x.shape[1])
+        rows = np.vstack([x[row[pos]], other, x[neg]])
+        label = np.concatenate([np.ones(len(pos) + len(other)), -np.ones(len(neg))])
+        # the respelled copies of a word weigh as much as it does, all together
+        copies = np.array([1.0] * len(other))
+        w, b = _svm(rows, label, np.concatenate([n_pos, copies, n_neg]).astype(np.float64))
+        value = (x @ w.astype(np.float32) + b)[row]
+        machine = Machine(marks, n_toxic, whiten @ w, b)
+    exact = machine.decisions(words)
+    per = np.full(len(data.y), machine.bias)
+    np.maximum.at(per, data.doc[data.sentence], exact[data.word])
+    machine.slope, machine.shift = _logistic(per, data.y)
     return machine
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_FIT_ROWS) -> Machine:
-    rows = labelled_sample(docs, labels, label, max_rows).select("doc_id", "text", "y").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return fit_machine((t.as_py() or "" for t in rows["text"]), np.asarray(rows["y"]).astype(np.int64))
+def _respelled(word: str) -> set[str]:
+    """The word with one or two letters put in, after its mark of the beginning."""
+    w = word.removeprefix(BEGIN)
+    one = {w[:i] + c + w[i:] for i in range(1, len(w)) for c in (w[i - 1], "x")}
+    two = {w[:i] + "x" + w[i:j] + "y" + w[j:] for i, j in itertools.combinations(range(1, len(w)), 2)}
+    return {BEGIN + v for v in one | two if len(v) <= LONG}
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_FIT_ROWS, max_bytes: int = MAX_FIT_BYTES) -> Machine:
+    """Sentences are cut on the executors; the driver gets the distinct words of
+    each sentence of at most ``max_rows`` rows of at most ``max_bytes``, one row
+    for each id."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi in text_chunks(b):
+                part = b.slice(lo, hi - lo)
+                found = [sentences(t or "") for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(found, _SENTENCES)],
+                                                 ["doc_id", "y", "sentences"])
+
+    sample = labelled_sample(docs, labels, label, max_rows).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes)
+    rows = map_arrow(sample, cut, "doc_id long, y int, sentences array<array<string>>")
+    rows = rows.groupBy("doc_id", "y").agg(F.min("sentences").alias("sentences")).toArrow().sort_by("doc_id")
+    return fit_sentences(rows["sentences"], np.asarray(rows["y"]).astype(np.int64))
 
 
 class Scorer:
@@ -456,7 +595,7 @@ class Scorer:
         stop = one & ~np.concatenate([one[1:] & (row[1:] == row[:-1]), [False]])
         runs = [(a, b) for a, b in zip(np.flatnonzero(start), np.flatnonzero(stop)) if b - a > 1]
         if runs:
-            words = [joined([bare[index[at[k]]] for k in range(a, b + 1)]) for a, b in runs]
+            words = [joined([bare[index[at[k]]] for k in range(a, b + 1)], self.machine.join) for a, b in runs]
             every = list(dict.fromkeys(w for x in words for w in x))
             value = dict(zip(every, self.machine.decisions(every)))
             for (a, _), x in zip(runs, words):

@@ -27,16 +27,19 @@ def brute(rows):
             x = root[x]
         return x
 
+    links = Counter()
     for i in sets:
         for j, n in Counter(j for e in sets[i] for j in lists[e] if j > i).items():
             if 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n):
+                links[i] += 1
+                links[j] += 1
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
-    return sorted((i, len(sets[i]), find(i)) for i in sets)
+    return sorted((i, len(sets[i]), find(i), links[i]) for i in sets)
 
 
 def rows_of(df):
-    return sorted((r.doc_id, r.n_shingles, r.component_id) for r in df.collect())
+    return sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in df.collect())
 
 
 def test_query_equals_brute_force(spark):
@@ -64,10 +67,19 @@ def test_edited_copies_short_sets_and_dense_groups(spark, monkeypatch):
     assert got == brute(docs)
 
 
+def test_a_shingle_that_thousands_share(spark, monkeypatch):
+    """Short documents whose prefixes all hold one list's element."""
+    monkeypatch.setattr(ngram_join, "MAX_LIST", 300)
+    rng = random.Random(9)
+    docs = [(i, "a b c d e " + " ".join(rng.choice(["x", "y", "z"]) for _ in range(rng.choice([0, 1, 2, 9])))) for i in range(1500)]
+    got = rows_of(ngram_join.ngram_components(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert got == brute(docs)
+
+
 def test_odd_rows(spark, odd_docs):
     got = rows_of(ngram_join.ngram_components(odd_docs))
-    assert [g for g in got if g[0] in (1, 2, 3)] == [(1, 0, 1), (2, 0, 2), (3, 0, 3)]
-    assert [g for g in got if g[0] in (5, 6)] == [(5, 1, 5), (6, 1, 5)]
+    assert [g for g in got if g[0] in (1, 2, 3)] == [(1, 0, 1, 0), (2, 0, 2, 0), (3, 0, 3, 0)]
+    assert [g for g in got if g[0] in (5, 6)] == [(5, 1, 5, 1), (6, 1, 5, 1)]
     assert len(got) == 7
     kept = ngram_join.one_per_group(odd_docs)
     assert kept.columns == odd_docs.columns

@@ -155,5 +155,5 @@ def test_scorer_equals_words_of():
     texts = ["".join(rng.choice("dim wt-.D\nW ") for _ in range(rng.randint(0, 40))) for _ in range(300)]
     got = toxicity.Scorer(m).decisions(pa.array(texts))
     for t, g in zip(texts, got):
-        words = toxicity.words_of(re.sub(r"[\t\n\x0b\x0c\r]", " ", t))
+        words = toxicity.words_of(re.sub(r"[\t\n\x0b\x0c\r]", " ", t), m.join)
         assert g == pytest.approx(max(m.decisions(words), default=m.bias)), t

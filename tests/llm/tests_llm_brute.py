@@ -7,7 +7,7 @@ from test_scans import hit_rows
 
 
 def components_by_brute(rows):
-    return {i: c for i, _, c in brute(rows)}
+    return {i: c for i, _, c, _ in brute(rows)}
 
 
 def hit_ids(docs, bench):
