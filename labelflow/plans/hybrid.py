@@ -66,12 +66,12 @@ def _fit(patterns: DataFrame, hits: DataFrame, docs: DataFrame, truth: DataFrame
     w = materialize(scoring.pattern_precision(hits, truth, patterns))
     s = materialize(scoring.doc_code_score(hits, w))
     th = materialize(thresholds.tune_exact(s, truth))
-    cv = thresholds.cv_predict(s, truth, folds.join(docs.select("doc_id"), "doc_id", "left_semi"), cfg.n_folds)
+    cv = materialize(thresholds.cv_predict(s, truth, folds.join(docs.select("doc_id"), "doc_id", "left_semi"), cfg.n_folds))
     return Variant(patterns, w, th, codes), materialize(_tiebreak(cv, docs, codes, cfg))
 
 
 def _predict(v: Variant, hits: DataFrame, docs: DataFrame, cfg: HybridConfig) -> DataFrame:
-    p = thresholds.apply_thresholds(scoring.doc_code_score(hits, v.weights), v.thresholds, inclusive=True)
+    p = materialize(thresholds.apply_thresholds(scoring.doc_code_score(hits, v.weights), v.thresholds, inclusive=True))
     return materialize(_tiebreak(p, docs, v.codes, cfg))
 
 
