@@ -1,27 +1,35 @@
-"""Chunking, pooling and the learned per-code scorer (Spark ML).
+"""Chunking, pooling and the learned scorer of all codes.
 
 Long documents are cut into overlapping token chunks, each chunk becomes a
-feature vector, chunk vectors are pooled to one document vector, and one
-binary logistic regression per code scores every document.  A user's own
-encoder can replace the hashed features through
-``pyspark.ml.functions.predict_batch_udf``; the rest of the plan stays.
+vector, chunk vectors are pooled to one document vector, and one linear head
+scores all codes.  Chunk vectors are hashed TF-IDF counts, or come from a user's
+encoder (``encode_chunks``: loaded once per worker by ``predict_batch_udf``).
+
+The head is trained on all codes together: a step is one job in which every
+partition adds the gradients of all codes over its documents (a codes x
+dimensions matrix), and the partial sums are added up in two levels.  The number
+of jobs is the number of steps, whatever the number of codes.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
-from dataclasses import asdict, dataclass
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark import StorageLevel
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+import pyarrow as pa
 from pyspark.ml.feature import HashingTF, IDF, IDFModel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
+
+from labelflow.session import stage
+
+#: Groups in which the partitions' gradients are added up first.
+ADD_PARTS = 64
 
 TOKEN = r"\S+"
 
@@ -56,23 +64,35 @@ def chunk_docs(docs: DataFrame, cfg: ChunkConfig) -> DataFrame:
 
 def pool(chunk_vecs: DataFrame, how: str = "mean", vec: str = "embedding", weight: str = "n_tokens") -> DataFrame:
     """O-K3: pool chunk vectors per document: ``mean`` = weight-weighted mean,
-    ``max`` = element-wise max, ``cls`` = the first chunk's vector.  Output (doc_id, dim, value), one row per
-    dimension, aggregated per (doc, dim) with map-side partial sums."""
-    if how == "cls":
-        first = chunk_vecs.groupBy("doc_id").agg(F.min_by(vec, "chunk_no").alias("_v"))
-        return first.select("doc_id", F.posexplode("_v").alias("dim", "_x")).select(
-            "doc_id", "dim", F.col("_x").cast("double").alias("value"))
+    ``max`` = element-wise max (of vectors that are the maxima over a chunk's
+    tokens), ``cls`` = element-wise max over the chunks' first-token vectors.
+    Output (doc_id, dim, value), one row per dimension, aggregated per (doc, dim)
+    with map-side partial sums."""
     e = chunk_vecs.select("doc_id", F.col(weight).cast("double").alias("_w"),
                           F.posexplode(vec).alias("dim", "_x"))
     if how == "mean":
         agg = (F.sum(F.col("_w") * F.col("_x").cast("double")) / F.sum("_w")).alias("value")
-    elif how == "max":
+    elif how in ("max", "cls"):
         agg = F.max(F.col("_x").cast("double")).alias("value")
     else:
         raise ValueError(f"unknown pooling {how!r}")
     return e.groupBy("doc_id", "dim").agg(agg)
 
 
+def pooled_vectors(chunk_vecs: DataFrame, how: str = "mean", vec: str = "embedding", weight: str = "n_tokens") -> DataFrame:
+    """(doc_id, x): the pooled vector of each document as one array."""
+    rows = pool(chunk_vecs, how, vec, weight).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("_v"))
+    return rows.select("doc_id", F.col("_v.value").alias("x"))
+
+
+def encode_chunks(chunks: DataFrame, make_predict_fn: Callable[[], Callable], batch_size: int = 64) -> DataFrame:
+    """(doc_id, chunk_no, n_tokens, embedding): chunk vectors of a user's encoder.
+    ``make_predict_fn`` loads the model, once per worker, and returns a function
+    from an array of chunk texts to an array (texts, dimensions)."""
+    encode = predict_batch_udf(make_predict_fn, return_type=ArrayType(FloatType()), batch_size=batch_size)
+    return chunks.select("doc_id", "chunk_no", "n_tokens", encode(F.array_join("tokens", " ")).alias("embedding"))
+
+
 def chunk_tf(chunks: DataFrame, num_features: int = 1 << 14) -> DataFrame:
     """Hashed term counts per chunk in column ``tf``."""
     return HashingTF(inputCol="tokens", outputCol="tf", numFeatures=num_features).transform(
@@ -85,89 +105,182 @@ def fit_idf(tf: DataFrame) -> IDFModel:
 
 
 def chunk_features(chunks: DataFrame, idf: IDFModel, num_features: int = 1 << 14, how: str = "mean") -> DataFrame:
-    """IDF-weighted hashed counts pooled per document: (doc_id, features).
-    ``mean`` weighs chunks by their length, ``max`` takes the largest value of
-    each dimension, ``cls`` the first chunk."""
+    """IDF-weighted hashed counts pooled per document: (doc_id, x).  ``mean``
+    weighs chunks by their length; ``max`` and ``cls`` take the largest value of
+    each dimension (a hashed chunk is one vector, there is no first token)."""
     vec = idf.transform(chunk_tf(chunks, num_features))
-    if how == "cls":
-        return vec.groupBy("doc_id").agg(F.min_by("vec", "chunk_no").alias("features"))
-    if how == "max":
-        return vec.groupBy("doc_id").agg(Summarizer.max(F.col("vec")).alias("features"))
-    if how != "mean":
+    if how in ("max", "cls"):
+        pooled = Summarizer.max(F.col("vec"))
+    elif how == "mean":
+        pooled = Summarizer.mean(F.col("vec"), F.col("n_tokens").cast("double"))
+    else:
         raise ValueError(f"unknown pooling {how!r}")
-    return (vec.groupBy("doc_id")
-            .agg(Summarizer.mean(F.col("vec"), F.col("n_tokens").cast("double")).alias("features")))
-
-
-def fit_scorers(features: DataFrame, truth: DataFrame, weights: DataFrame, codes: Sequence[int],
-                max_iter: int = 20, reg: float = 0.01) -> dict[int, LogisticRegressionModel]:
-    """O-K4: one weighted logistic regression per code (positives weighted by
-    the code's imbalance weight).  The loop over codes runs on the driver;
-    each fit is a distributed Spark ML job over the cached feature table."""
-    models = {}
-    t = truth.select("doc_id", "code", F.lit(1.0).alias("_y"))
-    for code in codes:
-        w = weights.where(F.col("code") == code).select(F.col("pos_weight").alias("_pw"))
-        lab = (features.join(t.where(F.col("code") == code).select("doc_id", "_y"), "doc_id", "left")
-               .select("doc_id", "features", F.coalesce("_y", F.lit(0.0)).alias("label"))
-               .crossJoin(F.broadcast(w))
-               .withColumn("w", F.when(F.col("label") > 0, F.col("_pw")).otherwise(F.lit(1.0))))
-        lab = lab.persist(StorageLevel.MEMORY_AND_DISK)   # iterated over by the optimiser
-        lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="w",
-                                maxIter=max_iter, regParam=reg)
-        models[int(code)] = lr.fit(lab)
-        lab.unpersist()
-    return models
-
-
-def score(features: DataFrame, models: dict[int, LogisticRegressionModel]) -> DataFrame:
-    """O-K4/O-K5: (doc_id, code, score) with score = P(code | document).
-
-    All codes in one pass over the features: the coefficients form one table of
-    (codes x dimensions) doubles, known before the job starts."""
-    codes = sorted(models)
-    weights = np.array([models[c].coefficients.toArray() for c in codes])
-    bias = np.array([models[c].intercept for c in codes])
-    shared = features.sparkSession.sparkContext.broadcast((weights, bias))
-
-    @F.pandas_udf("array<double>")
-    def scores(x: pd.Series) -> pd.Series:
-        w, b = shared.value
-        z = np.array(x.tolist()).reshape(len(x), w.shape[1]) @ w.T + b
-        return pd.Series(list(1 / (1 + np.exp(-z))))
-
-    s = features.select("doc_id", scores(vector_to_array("features")).alias("_s"))
-    names = F.array(*[F.lit(int(c)) for c in codes])
+    return vec.groupBy("doc_id").agg(pooled.alias("_v")).select("doc_id", vector_to_array("_v").alias("x"))
+
+
+# ---------------------------------------------------------------------------
+# The linear head
+# ---------------------------------------------------------------------------
+@dataclass
+class TrainConfig:
+    steps: int = 30
+    lr: float = 0.05
+    weight_decay: float = 0.0
+    loss: str = "bce"           # bce: positives weighted by code; focal: unweighted
+    gamma: float = 2.0
+    optimizer: str = "adam"     # or gd: plain full-batch steps
+
+
+@dataclass
+class LinearHead:
+    """score(code) = sigmoid(weights[code] . x + bias[code])."""
+
+    codes: list[int]
+    weights: np.ndarray
+    bias: np.ndarray
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """(code, dim, value); dimension -1 is the bias."""
+        data = [(int(c), int(d) - 1, float(v)) for c, row in zip(self.codes, np.column_stack([self.bias, self.weights])) for d, v in enumerate(row)]
+        return spark.createDataFrame(data, "code INT, dim INT, value DOUBLE")
+
+    @classmethod
+    def of_rows(cls, rows: DataFrame) -> "LinearHead":
+        t = rows.toPandas().pivot(index="code", columns="dim", values="value").sort_index()
+        return cls([int(c) for c in t.index], t[[c for c in t.columns if c >= 0]].to_numpy(), t[-1].to_numpy())
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Equally long arrays as the rows of a matrix, without Python lists."""
+    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+
+
+def loss_slope(z: np.ndarray, y: np.ndarray, weight: np.ndarray, loss: str, gamma: float) -> np.ndarray:
+    """Derivative of the loss by the decision z, for each cell."""
+    p = 1 / (1 + np.exp(-z))
+    if loss == "bce":
+        return np.where(y, -weight * (1 - p), p)
+    if loss != "focal":
+        raise ValueError(f"unknown loss {loss!r}")
+    pt = np.where(y, p, 1 - p)
+    log_pt = -np.logaddexp(0, np.where(y, -z, z))
+    slope = gamma * pt * (1 - pt) ** gamma * log_pt - (1 - pt) ** (gamma + 1)
+    return np.where(y, slope, -slope)
+
+
+def fit_head(features: DataFrame, truth: DataFrame, weights: DataFrame, codes: Sequence[int], cfg: TrainConfig = TrainConfig()) -> LinearHead:
+    """O-K4: the head of all ``codes`` on (doc_id, x); ``weights`` (code,
+    pos_weight) weighs a code's positives in the bce loss."""
+    codes = sorted(int(c) for c in codes)
+    y = truth.where(F.col("code").isin(*codes)).groupBy("doc_id").agg(F.collect_set(F.col("code").cast("int")).alias("codes"))
+    rows = stage(features.join(y, "doc_id", "left").select("x", F.coalesce("codes", F.array().cast("array<int>")).alias("codes")), "head-rows")
+    first = rows.select(F.size("x").alias("d")).first()
+    if first is None or not codes:
+        return LinearHead(codes, np.zeros((len(codes), 0)), np.zeros(len(codes)))
+    n, dim, k = rows.count(), first["d"], len(codes)
+    by = {r["code"]: r["pos_weight"] for r in weights.where(F.col("code").isin(*codes)).collect()}    # a row per code
+    pos_weight = np.array([by.get(c, 1.0) for c in codes])
+    w = np.zeros((k, dim + 1))
+    mean, square = np.zeros_like(w), np.zeros_like(w)
+    sc = rows.sparkSession.sparkContext
+    for step in range(1, cfg.steps + 1):
+        shared = sc.broadcast((w, codes, pos_weight))
+        g = _gradient(rows, shared, cfg) / n
+        g[:, 1:] += cfg.weight_decay * w[:, 1:]
+        if cfg.optimizer == "gd":
+            w = w - cfg.lr * g
+        else:
+            mean, square = 0.9 * mean + 0.1 * g, 0.999 * square + 0.001 * g * g
+            w = w - cfg.lr * (mean / (1 - 0.9 ** step)) / (np.sqrt(square / (1 - 0.999 ** step)) + 1e-8)
+        shared.unpersist()
+    return LinearHead(codes, w[:, 1:], w[:, 0])
+
+
+def _gradient(rows: DataFrame, shared, cfg: TrainConfig) -> np.ndarray:
+    """(codes, 1 + dimensions) sum of the gradients over all rows: one job."""
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, codes, pos_weight = shared.value
+        total, at = np.zeros_like(w), np.array(codes)
+        for b in batches:
+            if not len(b):
+                continue
+            x = np.column_stack([np.ones(len(b)), _matrix(b.column(0))])
+            own = b.column(1)
+            y = np.zeros((len(b), len(codes)), bool)
+            y[np.repeat(np.arange(len(b)), np.asarray(own.value_lengths())), np.searchsorted(at, np.asarray(own.flatten()))] = True
+            total += loss_slope(x @ w.T, y, pos_weight, cfg.loss, cfg.gamma).T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(codes))), pa.array([g.tobytes() for g in total], pa.binary())], ["code_no", "g"])
+
+    def add(table):
+        return pa.table({"code_no": table["code_no"][:1], "g": pa.array([sum(np.frombuffer(g.as_py()) for g in table["g"]).tobytes()], pa.binary())})
+
+    parts = rows.mapInArrow(partial, "code_no long, g binary").withColumn("part", F.spark_partition_id() % ADD_PARTS)
+    some = parts.groupBy("code_no", "part").applyInArrow(add, "code_no long, g binary")
+    out = some.groupBy("code_no").applyInArrow(add, "code_no long, g binary").toArrow().sort_by("code_no")
+    return np.stack([np.frombuffer(g) for g in out["g"].to_pylist()])
+
+
+def score(features: DataFrame, head: LinearHead) -> DataFrame:
+    """O-K4/O-K5: (doc_id, code, score) with score = P(code | document), all
+    codes in one pass; the head is one broadcast table of codes x dimensions."""
+    shared = features.sparkSession.sparkContext.broadcast(head)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = shared.value
+        for b in batches:
+            if len(b):
+                z = _matrix(b.column(1)) @ h.weights.T + h.bias
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(1 / (1 + np.exp(-z))), pa.list_(pa.float64()))], ["doc_id", "_s"])
+
+    kind = dict(features.dtypes)["doc_id"]
+    s = features.select("doc_id", "x").mapInArrow(run, f"doc_id {kind}, _s array<double>")
+    names = F.array(*[F.lit(int(c)) for c in head.codes])
     return s.select("doc_id", F.explode(F.arrays_zip(names.alias("code"), F.col("_s").alias("score"))).alias("_z")) \
         .select("doc_id", "_z.code", "_z.score")
 
 
 @dataclass
 class Scorer:
-    """Everything needed to score documents it has not seen."""
+    """Everything needed to score documents it has not seen.  Without ``idf`` the
+    chunk vectors come from ``encoder`` (a ``make_predict_fn``), which is code and
+    is given again when the scorer is loaded."""
 
     config: ChunkConfig
     num_features: int
     pooling: str
-    idf: IDFModel
-    models: dict[int, LogisticRegressionModel]
+    idf: IDFModel | None
+    head: LinearHead
+    thresholds: dict[int, float] = field(default_factory=dict)
+    encoder: Callable | None = None
+
+    def vectors(self, docs: DataFrame) -> DataFrame:
+        chunks = chunk_docs(docs, self.config)
+        if self.idf is None:
+            return pooled_vectors(encode_chunks(chunks, self.encoder), self.pooling)
+        return chunk_features(chunks, self.idf, self.num_features, self.pooling)
 
     def score(self, docs: DataFrame) -> DataFrame:
         """(doc_id, code, score) of a document table (doc_id, text)."""
-        chunks = chunk_docs(docs, self.config)
-        return score(chunk_features(chunks, self.idf, self.num_features, self.pooling), self.models)
+        return score(self.vectors(docs), self.head)
+
+    def predict(self, docs: DataFrame, default: float = 0.5) -> DataFrame:
+        """(doc_id, code, score, predicted): score above the code's threshold."""
+        rows = [(int(c), float(self.thresholds.get(c, default))) for c in self.head.codes]
+        th = docs.sparkSession.createDataFrame(rows, "code INT, threshold DOUBLE")
+        return self.score(docs).join(th, "code").select("doc_id", "code", "score", (F.col("score") > F.col("threshold")).alias("predicted"))
 
     def save(self, spark: SparkSession, root: str) -> None:
-        for code, m in self.models.items():
-            m.write().overwrite().save(f"{root}/code={code}")
-        self.idf.write().overwrite().save(f"{root}/idf")
-        meta = {**asdict(self.config), "num_features": self.num_features, "pooling": self.pooling, "codes": sorted(self.models)}
+        self.head.rows(spark).coalesce(1).write.mode("overwrite").parquet(f"{root}/head")
+        if self.idf is not None:
+            self.idf.write().overwrite().save(f"{root}/idf")
+        meta = {**asdict(self.config), "num_features": self.num_features, "pooling": self.pooling, "hashed": self.idf is not None,
+                "thresholds": {str(c): t for c, t in self.thresholds.items()}}
         spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/meta")
 
     @classmethod
-    def load(cls, spark: SparkSession, root: str) -> "Scorer":
+    def load(cls, spark: SparkSession, root: str, encoder: Callable | None = None) -> "Scorer":
         meta = json.loads(spark.read.text(f"{root}/meta").first()["value"])
-        codes = meta.pop("codes")
+        hashed, th = meta.pop("hashed"), {int(c): t for c, t in meta.pop("thresholds").items()}
         return cls(num_features=meta.pop("num_features"), pooling=meta.pop("pooling"), config=ChunkConfig(**meta),
-                   idf=IDFModel.load(f"{root}/idf"),
-                   models={int(c): LogisticRegressionModel.load(f"{root}/code={c}") for c in codes})
+                   idf=IDFModel.load(f"{root}/idf") if hashed else None,
+                   head=LinearHead.of_rows(spark.read.parquet(f"{root}/head")), thresholds=th, encoder=encoder)

@@ -3,6 +3,7 @@ import json
 import os
 import tempfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,15 +107,45 @@ def test_reloaded_scorer_scores_new_documents(spark):
     chunks = learn.chunk_docs(docs, cfg)
     idf = learn.fit_idf(learn.chunk_tf(chunks, 256))
     weights = spark.createDataFrame([(1, 1.0), (2, 1.0)], "code INT, pos_weight DOUBLE")
-    models = learn.fit_scorers(learn.chunk_features(chunks, idf, 256), truth, weights, [1, 2])
-    scorer = learn.Scorer(cfg, 256, "mean", idf, models)
+    head = learn.fit_head(learn.chunk_features(chunks, idf, 256), truth, weights, [1, 2])
+    scorer = learn.Scorer(cfg, 256, "mean", idf, head, {1: 0.4, 2: 0.99})
     root = scratch_path(spark, "scorer")
     scorer.save(spark, root)
     new = spark.createDataFrame([(100, "red red blue"), (101, "green and yellow"), (102, "")], "doc_id BIGINT, text STRING")
-    a, b = ({(r.doc_id, r.code): round(r.score, 9) for r in s.score(new).collect()} for s in (scorer, learn.Scorer.load(spark, root)))
+    loaded = learn.Scorer.load(spark, root)
+    assert loaded.thresholds == scorer.thresholds
+    a, b = ({(r.doc_id, r.code): round(r.score, 9) for r in s.score(new).collect()} for s in (scorer, loaded))
+    assert {r.predicted for r in loaded.predict(new).where("code = 2").collect()} == {False}
     assert a == b and len(a) == 6
     assert a[100, 2] > 0.5 > a[100, 1] and a[101, 1] > 0.5 > a[101, 2]
-    features = learn.chunk_features(chunks, idf, 256)
-    one = {r.doc_id: r.probability[1] for r in models[1].transform(features).collect()}
-    mine = {r.doc_id: r.score for r in learn.score(features, models).where("code = 1").collect()}
-    assert all(mine[i] == pytest.approx(one[i]) for i in one)
+
+
+@pytest.mark.parametrize("loss", ["bce", "focal"])
+def test_loss_slope_is_the_derivative(loss):
+    z, y, w, h = np.linspace(-6, 6, 25), np.arange(25) % 2 == 1, 3.0, 1e-5
+
+    def value(z):
+        p = 1 / (1 + np.exp(-z))
+        pt = np.where(y, p, 1 - p)
+        return -np.where(y, w, 1.0) * np.log(pt) if loss == "bce" else -(1 - pt) ** 2 * np.log(pt)
+    assert np.allclose(learn.loss_slope(z, y, w, loss, 2.0), (value(z + h) - value(z - h)) / (2 * h), atol=1e-6)
+
+
+def test_jobs_do_not_grow_with_the_codes(spark):
+    x = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(30)], "doc_id BIGINT, x ARRAY<DOUBLE>")
+    none = spark.createDataFrame([], "code INT, pos_weight DOUBLE")
+
+    def jobs(codes):
+        truth = spark.createDataFrame([(i, c) for i in range(30) for c in codes if (i + c) % 3 == 0], "doc_id BIGINT, code INT")
+        sc = spark.sparkContext
+        sc.setJobGroup(f"head-{len(codes)}", "", False)
+        learn.fit_head(x, truth, none, codes, learn.TrainConfig(2))
+        n = len(sc.statusTracker().getJobIdsForGroup(f"head-{len(codes)}"))
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        return n
+    assert jobs([1]) == jobs(list(range(1, 21)))
+
+
+def test_cls_takes_the_largest_of_the_first_vectors(spark):
+    v = spark.createDataFrame([(1, 0, [1.0, 5.0], 3), (1, 1, [2.0, 4.0], 3)], "doc_id BIGINT, chunk_no INT, embedding ARRAY<DOUBLE>, n_tokens INT")
+    assert sorted((r.dim, r.value) for r in learn.pool(v, "cls").collect()) == [(0, 2.0), (1, 5.0)]
