@@ -34,6 +34,7 @@ rows score that share (0.5 without any).  Extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import re
 from collections.abc import Iterable, Iterator
@@ -74,7 +75,7 @@ MAX_FIT_BYTES = 1 << 16
 #: Stands before the letters of a word.
 BEGIN = "^"
 #: Distinct words a worker remembers before it starts anew.
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 600_000
 CHUNK_BYTES = 8 << 20
 #: Pairs of word and landmark whose kernel is computed together.
 PAIRS = 12_000
@@ -602,10 +603,22 @@ class Scorer:
                 out[row[a]] = max(out[row[a]], max((value[w] for w in x), default=-np.inf))
 
 
+_SCORERS: dict[bytes, Scorer] = {}
+
+
+def _scorer(machine: Machine) -> Scorer:
+    """The worker's scorer: the words of one task are known to the next."""
+    key = hashlib.sha256(repr((machine.landmarks, machine.toxic, machine.bias)).encode() + machine.weights.tobytes()).digest()
+    if key not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[key] = Scorer(machine)
+    return _SCORERS[key]
+
+
 def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, score, predicted) of every row, texts whole."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(machine)
+        scorer = _scorer(machine)
         for b in batches:
             for lo, hi in text_chunks(b, limit=CHUNK_BYTES):
                 part = b.slice(lo, hi - lo)
