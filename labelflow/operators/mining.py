@@ -230,7 +230,7 @@ def build_pattern_table(curated: DataFrame, mined: DataFrame, validated: DataFra
         "code", "source", F.col("term").alias("source_text"),
         F.concat(F.lit(r"(?i)\b"), tx.regex_escape(F.col("term")), F.lit(r"\b")).alias("regex"),
         F.lit(None).cast("string").alias("name"), F.lit("full").alias("match_zone"),
-        F.lit(False).alias("fuzzy_gap"), F.col("rank").alias("ord"))
+        F.lit(False).alias("fuzzy_gap"), F.lit(False).alias("is_regex"), F.col("rank").alias("ord"))
     parts = [cur.select(*m.columns, "pattern_id"), pt.with_ids(m)]
     if validated is not None:
         v = validated.join(codes.select("code").distinct(), "code", "left_semi")
@@ -239,7 +239,7 @@ def build_pattern_table(curated: DataFrame, mined: DataFrame, validated: DataFra
             v = v.withColumn("_low", F.lower("phrase")).join(seen, ["code", "_low"], "left_anti").drop("_low")
         v = v.select("code", F.lit(SRC_VALID).alias("source"), F.col("phrase").alias("source_text"),
                      tx.phrase_regex(F.col("phrase"), True).alias("regex"), "name",
-                     F.lit("title").alias("match_zone"), F.lit(True).alias("fuzzy_gap"),
+                     F.lit("title").alias("match_zone"), F.lit(True).alias("fuzzy_gap"), F.lit(False).alias("is_regex"),
                      F.dense_rank().over(Window.partitionBy("code").orderBy("phrase")).alias("ord"))
         parts.append(pt.with_ids(v.where(F.col("regex") != "")))
     out = parts[0]

@@ -133,3 +133,36 @@ def cv_predict(scores: DataFrame, truth: DataFrame, folds: DataFrame, n_folds: i
     support = spread(_support(truth.join(f, "doc_id"), [*tg, "fold"]), [*tg, "code"], ["support"])
     th = _pick(per, support, [*g, "fold"], [*tg, "fold"])
     return apply_thresholds(s, th, [*g, "fold"], inclusive=True)
+
+
+def cv_predict_nested(hits: DataFrame, truth: DataFrame, folds: DataFrame, n_folds: int = 5, digits: int = 9) -> DataFrame:
+    """O-A7 nested: out-of-fold predictions whose pattern weights don't know the
+    test fold either.
+
+    ``hits`` (doc_id, pattern_id, code).  Hits are counted once by (pattern,
+    fold); the weights without a fold are the totals less that fold's counts, so
+    nothing is fitted again.  Scores under the weights without fold f tune the
+    thresholds on the other folds and are compared with them in fold f.
+    Returns (doc_id, code, score, fold, predicted) of the positive scores.
+    """
+    f = folds.select("doc_id", "fold")
+    y = truth.select("doc_id", "code", F.lit(1).alias("_y"))
+    h = hits.select("doc_id", "pattern_id", "code").join(f, "doc_id").join(y, ["doc_id", "code"], "left")
+    per = h.groupBy("pattern_id", "fold").agg(F.count(F.lit(1)).alias("n"), F.count("_y").alias("pos"))
+    total = per.groupBy("pattern_id").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"),
+                                          F.map_from_entries(F.collect_list(F.struct("fold", F.struct("n", "pos")))).alias("by"))   # n_folds entries
+    without = total.select("pattern_id", "n", "pos", "by", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))).alias("out_fold"))
+    own = F.try_element_at("by", F.col("out_fold"))
+    n, pos = F.col("n") - F.coalesce(own["n"], F.lit(0)), F.col("pos") - F.coalesce(own["pos"], F.lit(0))
+    w = without.select("pattern_id", "out_fold", (pos / F.greatest(n, F.lit(1))).alias("weight"))
+    scores = (h.select("doc_id", "fold", "pattern_id", "code", F.col("_y").isNotNull().alias("y")).join(w, "pattern_id")
+              .groupBy("out_fold", "fold", "doc_id", "code").agg(F.round(F.sum("weight"), digits).alias("score"), F.max("y").alias("y"))
+              .where("score > 0"))
+    counts = (scores.where("fold <> out_fold").groupBy("out_fold", "code", "score")
+              .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("bigint")).alias("pos")))
+    others = F.explode(F.array_except(F.array(*[F.lit(i) for i in range(n_folds)]), F.array(F.col("fold"))))
+    support = (truth.join(f, "doc_id").groupBy("fold", "code").agg(F.count(F.lit(1)).alias("support"))
+               .withColumn("out_fold", others).groupBy("out_fold", "code").agg(F.sum("support").alias("support")))
+    th = _pick(counts, support, ["out_fold"], ["out_fold"])
+    own_fold = scores.where("fold = out_fold")
+    return apply_thresholds(own_fold, th, ["out_fold"], inclusive=True).select("doc_id", "code", "score", "fold", "predicted")

@@ -214,3 +214,15 @@ SELECT * FROM cur_pat UNION ALL SELECT * FROM mined_pat UNION ALL SELECT * FROM
 def q_pattern_table(spark, sf):
     p = MinedFixture(spark, sf).pattern_table
     return p.select("pattern_id", "code", "source", "source_text", "match_zone")
+
+
+@register("pattern_table_titles", with_base(MINING_CTES, """
+SELECT code, source, source_text FROM (
+  SELECT code, source, source_text FROM pat UNION ALL SELECT code, source, term FROM merged
+  UNION ALL SELECT code, 'manual-valuelist', phrase FROM validated v WHERE NOT EXISTS (
+    SELECT 1 FROM curated c WHERE c.match_zone = 'title' AND c.code = v.code AND lower(c.phrase) = lower(v.phrase))) x"""))
+def q_pattern_table_titles(spark, sf):
+    """O-N9: validated phrases that the title list already has are dropped."""
+    m = MinedFixture(spark, sf)
+    titles = m.fx.curated.where("match_zone = 'title'").select("code", "phrase")
+    return mining.build_pattern_table(m.fx.curated, m.merged, m.validated, m.codes, titles).select("code", "source", "source_text")

@@ -110,3 +110,37 @@ def q_match_fuzzy(spark, sf):
 @register("match_zones", with_base(TEXT_CTES, "SELECT doc_id, zone, pattern_id, code FROM hits"))
 def q_match_zones(spark, sf):
     return fixture_hits(Fixtures(spark, sf))
+
+
+# every third benchmark item gives a regex of its own: two words with any white space,
+# an optional word between; with an alternative; or with a class, a count and no letter run that it requires
+_REGEX = r"""
+rw AS (SELECT CAST(item_id AS INT) AS ord, item_id, regexp_extract_all(text, '[a-zA-Z]{3,}') AS w FROM benchmark),
+rpat AS (SELECT ord, CAST(item_id % 7 AS INT) AS code, CASE WHEN item_id % 4 = 0 THEN 'title' ELSE 'full' END AS match_zone,
+           CASE item_id % 3 WHEN 0 THEN '\b' || w[1] || '\s+(?:' || w[2] || '\s+)?' || w[3] || '\b'
+             WHEN 1 THEN '\b(?:' || w[1] || '|' || w[4] || ') ' || w[2] || '\b'
+             ELSE '[' || substr(w[1], 1, 2) || ']{2,3}' || substr(w[2], 1, 3) END AS regex
+         FROM rw WHERE len(w) >= 4),
+rids AS (SELECT code || '-bench-' || lpad(CAST(row_number() OVER (PARTITION BY code ORDER BY ord) AS VARCHAR), 3, '0') AS pattern_id,
+           code, match_zone, regex FROM rpat)"""
+
+
+@register("match_regex", with_base(TEXT_CTES.strip() + "," + _REGEX, """
+SELECT z.doc_id, z.zone, p.pattern_id, p.code FROM ztexts z JOIN rids p ON p.match_zone = z.zone
+WHERE regexp_matches(z.ztext, '(?i)' || regexp_replace(regexp_replace(p.regex, '^\\\\b', '(?:^|[^\\\\p{L}\\\\p{N}_])'), '\\\\b$', '(?:[^\\\\p{L}\\\\p{N}_]|$)'))"""))
+def q_match_regex(spark, sf):
+    """O-N9: curated rows with their own regex join by a letter run they require."""
+    fx = Fixtures(spark, sf)
+    w = F.regexp_extract_all("text", F.lit("[a-zA-Z]{3,}"), 0)
+    lit = F.lit
+    b = fx.table("benchmark", "item_id", "text").select("item_id", w.alias("w")).where("size(w) >= 4")
+    w = F.col("w")
+    kind = F.col("item_id") % 3
+    regex = (F.when(kind == 0, F.concat(lit(r"\b"), w[0], lit(r"\s+(?:"), w[1], lit(r"\s+)?"), w[2], lit(r"\b")))
+             .when(kind == 1, F.concat(lit(r"\b(?:"), w[0], lit("|"), w[3], lit(") "), w[1], lit(r"\b")))
+             .otherwise(F.concat(lit("["), F.substring(w[0], 1, 2), lit("]{2,3}"), F.substring(w[1], 1, 3))))
+    rows = b.select(F.col("item_id").cast("int").alias("ord"), (F.col("item_id") % 7).cast("int").alias("code"), lit("bench").alias("source"),
+                    lit(None).cast("string").alias("phrase"), regex.alias("regex"),
+                    F.when(F.col("item_id") % 4 == 0, "title").otherwise("full").alias("match_zone"))
+    compiled = matching.compile_patterns(patterns.from_phrases(rows))
+    return matching.match(matching.zone_texts(stripped_docs(fx), PREFIX_RX, PREFIX_WINDOW, TITLE_LEN), compiled)

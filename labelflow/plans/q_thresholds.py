@@ -144,6 +144,33 @@ def q_cv(spark, sf):
         "doc_id", "code", "score", "fold", "predicted")
 
 
+_NESTED = """
+nh AS (SELECT h.doc_id, h.pattern_id, h.code, f.fold, t.doc_id IS NOT NULL AS y FROM train_hits h
+       JOIN splits f ON f.doc_id = h.doc_id LEFT JOIN train_truth t ON t.doc_id = h.doc_id AND t.code = h.code),
+tf AS (SELECT CAST(range AS INT) AS out_fold FROM range(5)),
+nw AS (SELECT out_fold, p.pattern_id, CAST(count(*) FILTER (WHERE h.y) AS DOUBLE) / greatest(count(h.doc_id), 1) AS weight
+       FROM pat p CROSS JOIN tf LEFT JOIN nh h ON h.pattern_id = p.pattern_id AND h.fold <> tf.out_fold GROUP BY out_fold, p.pattern_id),
+ns AS (SELECT * FROM (SELECT w.out_fold, h.fold, h.doc_id, h.code, round(sum(w.weight), 9) AS score, bool_or(h.y) AS y
+       FROM nh h JOIN nw w ON w.pattern_id = h.pattern_id GROUP BY w.out_fold, h.fold, h.doc_id, h.code) x WHERE score > 0),
+nper AS (SELECT out_fold, code, score, count(*) AS n, count(*) FILTER (WHERE y) AS pos FROM ns WHERE fold <> out_fold GROUP BY out_fold, code, score),
+ncum AS (SELECT out_fold, code, score, sum(n) OVER w AS n_cum, sum(pos) OVER w AS pos_cum FROM nper
+         WINDOW w AS (PARTITION BY out_fold, code ORDER BY score DESC)),
+nsup AS (SELECT out_fold, t.code, count(*) AS support FROM train_truth t JOIN splits f ON f.doc_id = t.doc_id, tf
+         WHERE f.fold <> out_fold GROUP BY out_fold, t.code),
+nth AS (SELECT out_fold, code, threshold FROM (SELECT c.out_fold, c.code, c.score AS threshold, row_number() OVER (
+          PARTITION BY c.out_fold, c.code ORDER BY CAST(2 * c.pos_cum AS DOUBLE) / (c.n_cum + s.support) DESC, c.score) AS r
+        FROM ncum c JOIN nsup s ON s.out_fold = c.out_fold AND s.code = c.code WHERE c.pos_cum > 0) x WHERE r = 1)"""
+
+
+@register("cv_nested", with_base(SCORE_CTES + "," + _NESTED, """
+SELECT s.doc_id, s.code, s.score, s.fold, coalesce(s.score >= t.threshold, false) AS predicted
+FROM ns s LEFT JOIN nth t ON t.out_fold = s.out_fold AND t.code = s.code WHERE s.fold = s.out_fold"""))
+def q_cv_nested(spark, sf):
+    f = ScoredFixture(spark, sf)
+    folds = f.splits.where(F.col("split") == "train").select("doc_id", "fold")
+    return thresholds.cv_predict_nested(f.hits_in("train"), f.truth_in("train"), folds)
+
+
 @register("unit_scores", with_base(SCORE_CTES, """
 SELECT doc_id, code, round(least(greatest(score / (SELECT greatest(max(score), 1.0) FROM val_scores), 0.0), 1.0), 9)
        AS score FROM val_scores"""))
