@@ -49,6 +49,8 @@ PERCENT = 80
 #: good one only shortens the lists.
 SLOTS = 1 << 22
 SLOT_BLOCK = 1 << 15
+#: Bytes of text that are shingled together (about 40 bytes of work arrays each).
+CHUNK_BYTES = 2 << 20
 #: Shingles a task gathers before it counts them.
 PENDING = 1 << 20
 #: Bits of the filter that tells keys of several documents (4 MB).
@@ -77,7 +79,7 @@ def prefix_len(n: int, subset: int, percent: int = PERCENT) -> int:
 
 def _each_set(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for b in batches:
-        for lo, hi in text_chunks(b):
+        for lo, hi in text_chunks(b, limit=CHUNK_BYTES):
             part = b.slice(lo, hi - lo)
             yield part, shingle_sets(part.column(part.schema.get_field_index("text")), words)
 

@@ -9,8 +9,6 @@ are only ever compared within a pair.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 
@@ -20,12 +18,14 @@ SEPARATORS = (0x20, *range(0x09, 0x0E))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-@lru_cache(maxsize=4)
-def _powers(log2: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    inverse = pow(int(_BASE), -1, 1 << 64)
-    return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full((1 << log2) - 1, b, np.uint64)]), dtype=np.uint64)
-                 for b in (_BASE, np.uint64(inverse)))
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse modulo 2**64."""
+    out = []
+    for b in (_BASE, np.uint64(pow(int(_BASE), -1, 1 << 64))):
+        p = np.full(n, b, np.uint64)
+        p[:1] = 1
+        out.append(np.cumprod(p, dtype=np.uint64, out=p))
+    return out[0], out[1]
 
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,9 +46,10 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     last = word.copy()
     last[:-1] &= ~word[1:] | first[1:]
     begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    power, inverse = _powers(max(16, int(n).bit_length()))
+    power, inverse = _powers(n)
     run = np.zeros(n + 1, np.uint64)
-    np.cumsum(value[raw] * power[:n], out=run[1:])
+    np.multiply(value[raw], power, out=power)
+    np.cumsum(power, out=run[1:])
     h = mix64((run[end] - run[begin]) * inverse[begin] + (end - begin).astype(np.uint64) * _BASE)
     per_row = np.diff(np.searchsorted(begin, offsets))
     return h, per_row
