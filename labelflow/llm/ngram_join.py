@@ -55,9 +55,13 @@ CHUNK_BYTES = 2 << 20
 PENDING = 1 << 20
 #: Bits of the filter that tells keys of several documents (4 MB).
 KEY_BITS = 1 << 25
+#: Bits of a key by which keys are counted for that filter.
+COUNTED_BITS = 40
 #: Pairs (16 bytes each) up to which they are sent to the texts instead of
 #: shuffling with them; counted before the choice.
 MAX_SENT_PAIRS = 2_000_000
+#: The same for the members of dense groups (about 60 bytes each).
+MAX_SENT_MEMBERS = 500_000
 #: Documents of a dense group compared in one task against as many others, and
 #: bytes of their shingle hashes.
 BLOCK = 256
@@ -224,15 +228,17 @@ class JaccardJoin:
         self.members = staged(sets.join(reps, "digest", "left")
                               .select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "set-members")
         posts = both.select("doc_id", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
-        # keys of one document only link nothing; most are, and go before the posts are shuffled
-        shared = posts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-        bits = spark.sparkContext.broadcast(id_filter(shared, "key", KEY_BITS))
+        # keys of one document only link nothing; most are, and go before the posts are shuffled:
+        # their upper bits are enough to count them, lists are built from whole keys
+        posts = posts.withColumn("upper", F.shiftrightunsigned("key", 64 - COUNTED_BITS))
+        shared = posts.groupBy("upper").agg(F.count("*").alias("c")).where("c > 1").select("upper")
+        bits = spark.sparkContext.broadcast(id_filter(shared, "upper", KEY_BITS))
 
         def among(batches):
             for b in batches:
                 yield b.filter(pa.array(maybe_in(bits.value, np.asarray(b.column(3))))).select([0, 1, 2])
 
-        posts = map_arrow(posts.select("key", "doc_id", "n", filter_slot("key", KEY_BITS).alias("slot")), among,
+        posts = map_arrow(posts.select("key", "doc_id", "n", filter_slot("upper", KEY_BITS).alias("slot")), among,
                           "key long, doc_id long, n long")
         own = self.members.where("rep = doc_id").select("doc_id").distinct()
         posts = staged(posts.join(own, "doc_id"), "posts")
@@ -343,12 +349,14 @@ class JaccardJoin:
         docs = docs.join(group.select("pivot_component", F.ceil(F.col("o") * F.col("finer") / BLOCK).cast("int").alias("bo"),
                                       F.ceil((F.col("m") - F.col("o")) * F.col("finer") / BLOCK).cast("int").alias("bm")), "pivot_component")
         part = F.pmod(F.xxhash64("doc_id"), F.when(F.col("outside"), F.col("bo")).otherwise(F.col("bm"))).cast("int")
-        docs = docs.withColumn("p", part)
+        docs = staged(docs.withColumn("p", part), "dense-members")
+        # where the members are few, they go to the texts and sets are shuffled once, to their blocks
+        sent = F.broadcast if docs.count() <= MAX_SENT_MEMBERS else (lambda df: df)
         tasks = F.expr("""CASE WHEN outside THEN concat(
             transform(sequence(0, bo - 1), j -> struct(0 AS kind, least(p, j) AS i, greatest(p, j) AS j)),
             IF(bm > 0, transform(sequence(0, bm - 1), j -> struct(1 AS kind, p AS i, j AS j)), array()))
             ELSE transform(sequence(0, bo - 1), i -> struct(1 AS kind, i AS i, p AS j)) END""")
-        rows = (docs.join(self._sets_of(docs.select("doc_id").distinct()), "doc_id")
+        rows = (self._sets_of(docs.select("doc_id").distinct()).join(sent(docs), "doc_id")
                 .select("pivot_component", "doc_id", "component", "outside", "s", F.explode(tasks).alias("t"))
                 .select("pivot_component", "t.kind", "t.i", "t.j", "doc_id", "component", "outside", "s"))
 
