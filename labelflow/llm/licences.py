@@ -6,12 +6,14 @@ whole text, and one that holds at least CONFIRM of the different 3-word shingles
 template is a candidate, however long the line or text around it is.  Words that
 tell families and versions apart (REQUIRED) must stand in the window.
 
-The words of a candidate, and no others, are a sparse bag of word 1- and 2-grams,
-hashed into SLOTS columns (those of no template share their weights).  A multinomial logistic regression, trained here, gives
-the probability of each licence family and of the class "unknown"; a temperature
-fitted on held-back rows calibrates it.  A candidate is a notice if its family is
-more probable than unknown, or if its likeness alone is at least SURE.  Of notices
-that overlap, the one with most shingles stays.
+Candidates that lie to half in one of more shingles form a passage with it.  The
+words of a passage, and no others, are a sparse bag of word 1- and 2-grams,
+hashed into SLOTS columns (those of no template share their weights).  A multinomial
+logistic regression, trained here, gives the probability of each licence family and
+of the class "unknown"; a temperature fitted on held-back rows calibrates it.  The
+passage is a notice of its most probable family among those that a candidate
+confirms, if that is more probable than unknown, and none otherwise; likeness only
+decides between candidates of one family.
 
 Training rows: the templates, variants of them (words dropped, other text around
 them), and as unknown the lines of a bounded sample of documents that resemble no
@@ -46,8 +48,6 @@ MAX_FIT_PARAGRAPHS = 8_000
 #: Words of each of them that are trained on, as many as a usual candidate has.
 FIT_WORDS = 48
 CONFIRM = 0.6
-#: Likeness that makes a notice whatever the classifier says.
-SURE = 0.8
 #: A window has at most this many words for each of the template's, and SLACK more.
 STRETCH = 1.5
 SLACK = 8
@@ -297,19 +297,34 @@ def windows(found: list[tuple[int, int]], need: int, span: int) -> Iterator[tupl
         yield best
 
 
-def distinct_notices(found: list[tuple]) -> list[tuple]:
-    """Of the notices of one text, those that do not lie to half in one of more shingles."""
-    kept: list[tuple] = []
+def passages(found: list[tuple]) -> list[list[tuple]]:
+    """The candidates of one text in groups: one that lies to half in a candidate of
+    more shingles belongs to it.  The fullest of a group comes first."""
+    groups: list[list[tuple]] = []
     for x in sorted(found, key=lambda x: (-x[5], -x[4], x[1], x[3])):
-        if all(2 * (min(x[2], y[2]) - max(x[1], y[1])) < x[2] - x[1] for y in kept):
-            kept.append(x)
-    return sorted(kept, key=lambda x: x[1])
+        home = next((g for g in groups if 2 * (min(x[2], g[0][2]) - max(x[1], g[0][1])) >= x[2] - x[1]), None)
+        groups.append([x]) if home is None else home.append(x)
+    return sorted(groups, key=lambda g: g[0][1])
+
+
+def judged(found: list[tuple], raw: np.ndarray, model: "Classifier") -> list[tuple]:
+    """(*candidate, probability) of the notices in one text: the classifier names the
+    family of a passage, one of its candidates must confirm it."""
+    groups = passages(found)
+    if not groups:
+        return []
+    spans = [raw[min(x[1] for x in g):max(x[2] for x in g)].tobytes().decode() for g in groups]
+    out = []
+    for g, q in zip(groups, model.probabilities(*text_buffer(pa.array(spans)))):
+        best = max(g, key=lambda x: (q[x[3]], x[5], x[4]))
+        if q[best[3]] > q[UNKNOWN]:
+            out.append((*best, float(q[best[3]])))
+    return out
 
 
 def grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Columns of the 1- and 2-grams of each row (row numbers, columns)."""
-    h, per_row = word_hashes(raw, offsets)
-    row = np.repeat(np.arange(len(per_row)), per_row)
+    h, _, _, row = word_starts(raw, offsets)
     a, b = odd_numbers(2, 41)
     two = mix64(h[:-1] * a + h[1:] * b)[row[:-1] == row[1:]] if len(h) > 1 else h[:0]
     rows = np.concatenate([row, row[:-1][row[:-1] == row[1:]]]) if len(h) > 1 else row
@@ -423,15 +438,11 @@ def scan(docs: DataFrame, model: Classifier, confirm: float = CONFIRM) -> DataFr
                 raw, offsets = text_buffer(part.column(1))
                 cuts, row = paragraphs(raw, offsets)
                 first = np.searchsorted(row, np.arange(hi - lo))
-                notices = finder.find(raw, offsets)
                 own: list[list] = [[] for _ in range(hi - lo)]
-                if notices:
-                    p = model.probabilities(*text_buffer(pa.array([raw[x[1]:x[2]].tobytes().decode() for x in notices])))
-                    for x, q in zip(notices, p):
-                        if q[x[3]] > q[UNKNOWN] or x[4] >= SURE:
-                            own[x[0]].append((*x, float(q[x[3]])))
+                for x in finder.find(raw, offsets):
+                    own[x[0]].append(x)
                 found = [[{"paragraph": int(np.searchsorted(cuts, x[1], side="right") - 1 - first[x[0]]), "family": FAMILIES[x[3]],
-                           "probability": x[6], "likeness": x[4]} for x in distinct_notices(o)] for o in own]
+                           "probability": x[6], "likeness": x[4]} for x in judged(o, raw, model)] for o in own]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(np.bincount(row, minlength=hi - lo).astype(np.int64)), pa.array(found, kind)],
                     ["doc_id", "n_paragraphs", "licences"])

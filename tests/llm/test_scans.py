@@ -221,6 +221,55 @@ def test_wrapped_diluted_and_versioned_notices(spark):
     assert [got[i] for i in range(len(cases))] == [f for _, f in cases]
 
 
+def test_the_classifier_decides_licences(spark):
+    """A constant classifier finds nothing; one that prefers another family takes
+    the reading that a template confirms, and no other."""
+    fitted = licences.train([f"plain line {i} of text" for i in range(200)])
+    n = licences.UNKNOWN + 1
+    flat = licences.Classifier(np.zeros((licences.SLOTS, n)), np.zeros(n))
+    unsure = licences.Classifier(np.zeros((licences.SLOTS, n)), np.eye(n)[licences.UNKNOWN])
+    sure = {f: licences.Classifier(np.zeros((licences.SLOTS, n)), np.eye(n)[licences.FAMILIES.index(f)]) for f in ("MIT", "BSD-2-Clause")}
+    full = licences.TEMPLATES["MIT"][2]
+    df = spark.createDataFrame([(1, full), (2, f"{full} {full}"), (3, None)], "doc_id long, text string")
+    families = lambda model: [r.families for r in licences.report(df, model).orderBy("doc_id").collect()]
+    assert families(fitted) == ["MIT", "MIT", ""]
+    assert families(flat) == families(unsure) == ["", "", ""]
+    assert families(sure["MIT"]) == ["MIT", "MIT", ""]
+    assert families(sure["BSD-2-Clause"]) == ["", "", ""]
+    # two readings of one passage: the more probable one stays, whatever their shingles
+    a, b = licences.FAMILIES.index("BSD-3-Clause"), licences.FAMILIES.index("BSD-2-Clause")
+    raw = np.frombuffer(b"one two three four five six", np.uint8)
+    both = [(0, 0, 27, a, 0.7, 9), (0, 0, 20, b, 0.9, 6)]
+    pick = licences.judged(both, raw, sure["BSD-2-Clause"])
+    assert [x[:6] for x in pick] == [both[1]]
+    # equally probable ones: the one of more shingles
+    no = np.zeros(n)
+    no[licences.UNKNOWN] = -1
+    assert [x[:6] for x in licences.judged(both, raw, licences.Classifier(np.zeros((licences.SLOTS, n)), no))] == [both[0]]
+
+
+def test_licence_query_equals_brute_force(spark):
+    """Templates against all windows of all documents, by plain sets of words; the
+    fitted classifier agrees with each confirmed family."""
+    docs = table(spark, SF, "documents", "doc_id", "text")
+    got = {r.doc_id: set(r.families.split(",")) - {""} for r in QUERIES["op9_licences"](spark, SF).collect()}
+    want = {}
+    for r in docs.collect():
+        words = licences.plain_words(r.text or "")
+        grams = [tuple(words[i:i + 3]) for i in range(len(words) - 2)]
+        have, want[r.doc_id] = set(grams), set()
+        for t in licences._TEMPLATES:
+            need = -(-600 * len(t.shingles) // 1000)
+            if len(t.shingles & have) < need:
+                continue
+            for i in range(len(grams)):
+                if grams[i] in t.shingles and len(t.shingles & set(grams[i:i + t.window - 2])) >= need:
+                    line = f" {' '.join(words[max(0, i - 2):i + t.window + 2])} "
+                    if all(any(f" {p} " in line for p in g) for g in t.required):
+                        want[r.doc_id].add(licences.FAMILIES[t.family])
+    assert got == want and sum(map(len, want.values())) > 10
+
+
 def test_licence_words_equal_plain_words():
     from labelflow.llm.common import text_buffer
     rng = random.Random(4)
