@@ -13,6 +13,8 @@ Inputs
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +23,19 @@ def _ratio(num, den):
     return F.when(den > 0, num / den).otherwise(F.lit(0.0))
 
 
-def counts(preds: DataFrame, truth: DataFrame, docs: DataFrame, space: DataFrame) -> DataFrame:
-    """(method, code, tp, fp, fn, support) for every method x label-space code."""
+def per_method(rows: DataFrame, preds: DataFrame, methods: Sequence[str] | None = None) -> DataFrame:
+    """``rows`` once for each method: the named ones, which costs no pass over the
+    predictions, or those that have rows in ``preds``."""
+    if methods is not None:
+        return rows.withColumn("method", F.explode(F.array(*[F.lit(m) for m in methods])))
+    return rows.crossJoin(F.broadcast(preds.select("method").distinct()))  # one row per method
+
+
+def counts(preds: DataFrame, truth: DataFrame, docs: DataFrame, space: DataFrame,
+           methods: Sequence[str] | None = None) -> DataFrame:
+    """(method, code, tp, fp, fn, support) for every method x label-space code.
+
+    A named method without any row gets no true or false positives."""
     t = (truth.join(F.broadcast(space.select("code")), "code", "left_semi")
          .join(docs.select("doc_id"), "doc_id", "left_semi")
          .select("doc_id", "code", F.lit(1).alias("_y")))
@@ -34,8 +47,7 @@ def counts(preds: DataFrame, truth: DataFrame, docs: DataFrame, space: DataFrame
           .groupBy("method", "code")
           .agg(F.count(F.lit(1)).alias("n_pred"), F.count("_y").alias("tp")))
     sup = t.groupBy("code").agg(F.count(F.lit(1)).alias("support"))
-    methods = preds.select("method").distinct()
-    grid = F.broadcast(methods).crossJoin(F.broadcast(space.select("code")))  # methods x codes: small
+    grid = per_method(space.select("code"), preds, methods)  # methods x codes: small
     return (grid.join(pc, ["method", "code"], "left").join(F.broadcast(sup), "code", "left")
             .select("method", "code",
                     F.coalesce("tp", F.lit(0)).cast("bigint").alias("tp"),
@@ -55,9 +67,9 @@ def with_prf(c: DataFrame, digits: int | None = 4) -> DataFrame:
     return c.withColumn("precision", p).withColumn("recall", r).withColumn("f1", f)
 
 
-def per_class(preds, truth, docs, space, digits: int = 4) -> DataFrame:
+def per_class(preds, truth, docs, space, digits: int | None = 4, methods: Sequence[str] | None = None) -> DataFrame:
     """O-E3/O-A8: per (method, code) precision, recall, f1, support."""
-    return with_prf(counts(preds, truth, docs, space), digits).select(
+    return with_prf(counts(preds, truth, docs, space, methods), digits).select(
         "method", "code", "precision", "recall", "f1", "support")
 
 
@@ -79,9 +91,9 @@ def summary(c: DataFrame, digits: int = 4, active_only: bool = True) -> DataFram
                       "active_labels")
 
 
-def evaluate(preds, truth, docs, space, digits: int = 4) -> DataFrame:
+def evaluate(preds, truth, docs, space, digits: int = 4, methods: Sequence[str] | None = None) -> DataFrame:
     """O-E4: metrics record per method (all methods in one job)."""
-    return summary(counts(preds, truth, docs, space), digits)
+    return summary(counts(preds, truth, docs, space, methods), digits)
 
 
 def per_class_matrix(pc: DataFrame, methods: list[str]) -> DataFrame:
@@ -130,7 +142,7 @@ def top_bottom(pc: DataFrame, k: int = 10) -> DataFrame:
 
 
 def subset_accuracy(preds: DataFrame, truth: DataFrame, docs: DataFrame,
-                    space: DataFrame, group: DataFrame | None = None) -> DataFrame:
+                    space: DataFrame, group: DataFrame | None = None, methods: Sequence[str] | None = None) -> DataFrame:
     """O-E12: share of documents whose predicted set equals the true set.
 
     ``group`` (doc_id, grp) optionally splits the documents.
@@ -138,8 +150,7 @@ def subset_accuracy(preds: DataFrame, truth: DataFrame, docs: DataFrame,
     """
     t = (truth.join(F.broadcast(space.select("code")), "code", "left_semi")
          .join(docs.select("doc_id"), "doc_id", "left_semi").select("doc_id", "code", F.lit(1).alias("_y")))
-    methods = preds.select("method").distinct()
-    tm = t.crossJoin(F.broadcast(methods))  # truth once per method (few methods)
+    tm = per_method(t, preds, methods)  # truth once per method (few methods)
     p = (preds.where(F.col("predicted")).join(F.broadcast(space.select("code")), "code", "left_semi")
          .join(docs.select("doc_id"), "doc_id", "left_semi").select("method", "doc_id", "code", F.lit(1).alias("_p")))
     bad = (tm.join(p, ["method", "doc_id", "code"], "full")
@@ -150,19 +161,18 @@ def subset_accuracy(preds: DataFrame, truth: DataFrame, docs: DataFrame,
         d = d.join(group.select("doc_id", "grp"), "doc_id")
     else:
         d = d.withColumn("grp", F.lit("all"))
-    dm = d.crossJoin(F.broadcast(methods))
+    dm = per_method(d, preds, methods)
     flagged = dm.join(bad.withColumn("_bad", F.lit(1)), ["method", "doc_id"], "left")
     return flagged.groupBy("method", "grp").agg(
         F.count(F.lit(1)).alias("n_docs"),
         F.round(F.avg(F.when(F.col("_bad").isNull(), 1.0).otherwise(0.0)), 6).alias("exact_match"))
 
 
-def codes_per_doc(preds: DataFrame, docs: DataFrame) -> DataFrame:
+def codes_per_doc(preds: DataFrame, docs: DataFrame, methods: Sequence[str] | None = None) -> DataFrame:
     """O-A13: per method, share of documents with >= 1 code and mean codes per document."""
-    methods = preds.select("method").distinct()
     k = (preds.where(F.col("predicted")).groupBy("method", "doc_id")
          .agg(F.count(F.lit(1)).alias("k")))
-    d = docs.select("doc_id").crossJoin(F.broadcast(methods))
+    d = per_method(docs.select("doc_id"), preds, methods)
     j = d.join(k, ["method", "doc_id"], "left").fillna(0, ["k"])
     return j.groupBy("method").agg(
         F.count(F.lit(1)).alias("n_docs"),

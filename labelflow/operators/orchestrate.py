@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelflow.operators import metrics
+
 MIN_PRECISION = 0.90
 DEFAULT_AUTO = 0.50
 
@@ -41,57 +43,60 @@ def deed_features(preds: DataFrame) -> DataFrame:
         "margin", F.col("top1_score") - F.col("top2_score"))
 
 
-def exact_quantiles(df: DataFrame, group: Sequence[str], value: str,
-                    qs: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
-    """Linear-interpolated quantiles (pandas/NumPy default) per group, exact.
+def _value_ranks(values: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Each different value ``_v`` of a group once: its number ``_c``, its first
+    and last rank, and the group's size and mean.
 
     Equal values are counted first; counts are ranked in two levels (buckets of
-    the value), so neither a group nor a frequent value is gathered into one
-    task; only the values at the interpolation points are kept.
+    the value), so neither a group nor a frequent value is gathered into one task.
     """
     g = list(group)
-    v = df.where(F.col(value).isNotNull()).select(*g, F.col(value).alias("_v"))
-    # equal values first become one row with their number; its ranks are a range
-    counts = v.groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*g, "_b").orderBy("_v")
-    counts = counts.withColumn("_b", F.floor(F.col("_v") * 1024).cast("long"))
-    below = counts.groupBy(*g, "_b").agg(F.sum("_c").alias("_s"))
-    below = below.withColumn("_before", F.sum("_s").over(Window.partitionBy(*g).orderBy("_b")) - F.col("_s")) \
-        .withColumn("_n", F.sum("_s").over(Window.partitionBy(*g)))
-    ranked = (counts.join(below.drop("_s"), [*g, "_b"])
-              .withColumn("_last", F.col("_before") + F.sum("_c").over(w)).withColumn("_first", F.col("_last") - F.col("_c") + 1))
-    outs = []
-    for q in qs:
-        pos = (F.col("_n") - 1) * F.lit(float(q))
-        lo, hi = F.floor(pos) + 1, F.ceil(pos) + 1
-        frac = pos - F.floor(pos)
-        has_lo = (F.col("_first") <= lo) & (lo <= F.col("_last"))
-        has_hi = (F.col("_first") <= hi) & (hi <= F.col("_last"))
-        part = (ranked.where(has_lo | has_hi)
-                .groupBy(*g).agg(
-                    F.max(F.when(has_lo, F.col("_v"))).alias("_lo"),
-                    F.max(F.when(has_hi, F.col("_v"))).alias("_hi"),
-                    F.first(frac).alias("_f"))
-                .select(*g, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f"))
-                        .alias(f"q{int(round(q * 100))}")))
-        outs.append(part)
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.join(o, g)
-    return out
+    counts = (values.where(F.col("_v").isNotNull()).groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_c"))
+              .withColumn("_b", F.floor(F.col("_v") * 1024).cast("long")))
+    whole = Window.partitionBy(*g)
+    below = (counts.groupBy(*g, "_b").agg(F.sum("_c").alias("_s"), F.sum(F.col("_c") * F.col("_v")).alias("_t"))
+             .select(*g, "_b", (F.sum("_s").over(whole.orderBy("_b")) - F.col("_s")).alias("_before"),
+                     F.sum("_s").over(whole).alias("_n"), (F.sum("_t").over(whole) / F.sum("_s").over(whole)).alias("_mean")))
+    inside = Window.partitionBy(*g, "_b").orderBy("_v")
+    return (counts.join(below, [*g, "_b"])
+            .withColumn("_last", F.col("_before") + F.sum("_c").over(inside))
+            .withColumn("_first", F.col("_last") - F.col("_c") + 1))
+
+
+def _quantile(q: float):
+    """Aggregate over the value ranks of a group: the values at the two ranks
+    around position (n - 1) * q, interpolated."""
+    pos = (F.col("_n") - 1) * F.lit(float(q))
+
+    def at(rank):
+        return F.max(F.when((F.col("_first") <= rank) & (rank <= F.col("_last")), F.col("_v")))
+
+    lo, hi = at(F.floor(pos) + 1), at(F.ceil(pos) + 1)
+    return (lo + (hi - lo) * F.max(pos - F.floor(pos))).alias(f"q{int(round(q * 100))}")
+
+
+def exact_quantiles(df: DataFrame, group: Sequence[str], value: str,
+                    qs: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """Linear-interpolated quantiles (pandas/NumPy default) per group, exact, all
+    in one aggregate over the group's value ranks.  Null values do not count."""
+    ranks = _value_ranks(df.select(*group, F.col(value).alias("_v")), group)
+    return ranks.groupBy(*group).agg(*[_quantile(q) for q in qs])
 
 
 def feature_summary(feats: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """O-R2: per method and feature: count, mean, std (sample), min, quartiles, max."""
-    rows = None
-    for c in cols:
-        base = feats.groupBy("method").agg(
-            F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-            F.min(c).alias("min"), F.max(c).alias("max"))
-        qs = exact_quantiles(feats.withColumn(c, F.col(c).cast("double")), ["method"], c)
-        part = base.join(qs, "method").withColumn("feature", F.lit(c))
-        rows = part if rows is None else rows.unionByName(part)
-    return rows
+    """O-R2: per method and feature: count, mean, std (sample), min, quartiles, max.
+
+    The features are melted to (method, feature, value) once; everything is one
+    aggregate over the ranks of their different values.  Nulls do not count; a
+    feature without a value has no row, one with a single value a null std."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("_v")) for c in cols])
+    ranks = _value_ranks(feats.select("method", F.explode(pairs).alias("_f")).select("method", "_f.*"), ["method", "feature"])
+    off = F.col("_v") - F.col("_mean")
+    n = F.sum("_c")
+    return ranks.groupBy("method", "feature").agg(
+        n.alias("count"), F.max("_mean").alias("mean"),
+        F.when(n > 1, F.sqrt(F.sum(F.col("_c") * off * off) / (n - 1))).alias("std"),
+        F.min("_v").alias("min"), F.max("_v").alias("max"), *[_quantile(q) for q in (0.25, 0.5, 0.75)])
 
 
 # ---------------------------------------------------------------- routing
@@ -158,11 +163,10 @@ def escalation_reasons(flags: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- sweeps
-def _cell_counts(preds: DataFrame, truth: DataFrame) -> DataFrame:
+def _cell_counts(preds: DataFrame, truth: DataFrame, methods: Sequence[str] | None = None) -> DataFrame:
     """Per (method, doc, code) flags tp/fp/fn from sparse predicted + truth rows."""
     p = preds.where(F.col("predicted")).select("method", "doc_id", "code", F.lit(1).alias("_p"))
-    methods = preds.select("method").distinct()
-    t = truth.select("doc_id", "code", F.lit(1).alias("_y")).crossJoin(F.broadcast(methods))
+    t = metrics.per_method(truth.select("doc_id", "code", F.lit(1).alias("_y")), preds, methods)
     return (p.join(t, ["method", "doc_id", "code"], "full")
             .select("method", "doc_id", "code",
                     (F.col("_p").isNotNull() & F.col("_y").isNotNull()).cast("int").alias("tp"),
@@ -171,7 +175,7 @@ def _cell_counts(preds: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def _sweep(cells: DataFrame, bucketed: DataFrame, grid: Sequence[float], n_docs: DataFrame,
-           n_codes: DataFrame, value_name: str, methods: DataFrame) -> DataFrame:
+           n_codes: DataFrame, value_name: str, preds: DataFrame, methods: Sequence[str] | None) -> DataFrame:
     """Shared sweep: ``bucketed`` (method, doc_id, b) says a document is auto
     for grid indexes 0..b-1; aggregate tp/fp/fn per (method, b, code) once,
     spread to indexes, then coverage / micro-precision / macro-F1 (all codes)."""
@@ -193,7 +197,7 @@ def _sweep(cells: DataFrame, bucketed: DataFrame, grid: Sequence[float], n_docs:
               .select("method", "n", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("k"))
               .groupBy("method", "k").agg(F.sum("n").alias("n_auto")))
     ks = bucketed.sparkSession.range(len(grid)).select(F.col("id").cast("int").alias("k"))
-    base = methods.crossJoin(F.broadcast(ks))   # methods x grid: small; a method without an auto document keeps its rows
+    base = metrics.per_method(ks, preds, methods)   # methods x grid: small; a method without an auto document keeps its rows
     out = (base.join(docs_k, ["method", "k"], "left").join(by_k, ["method", "k"], "left")
            .crossJoin(F.broadcast(n_docs)).crossJoin(F.broadcast(n_codes)))
     n_auto = F.coalesce("n_auto", F.lit(0))
@@ -206,18 +210,19 @@ def _sweep(cells: DataFrame, bucketed: DataFrame, grid: Sequence[float], n_docs:
 
 
 def precision_coverage(preds: DataFrame, truth: DataFrame, docs: DataFrame, n_codes: DataFrame,
-                       grid: Sequence[float] | None = None) -> DataFrame:
+                       grid: Sequence[float] | None = None, methods: Sequence[str] | None = None) -> DataFrame:
     """O-R6: auto-threshold sweep (80 values 0.05..0.95): documents with a
-    prediction and min_pred >= t are auto-handled."""
+    prediction and min_pred >= t are auto-handled.  ``methods`` names the methods
+    of ``preds``; without it they are looked up there."""
     grid = list(grid or linspace(0.05, 0.95, 80))
     garr = F.array(*[F.lit(float(v)) for v in grid])
     conf = confidence(preds)
     b = conf.where(~F.col("no_pred")).select(
         "method", "doc_id", F.size(F.filter(garr, lambda t: t <= F.col("min_pred"))).alias("b"))
     cells = _cell_counts(preds.join(docs.select("doc_id"), "doc_id", "left_semi"),
-                         truth.join(docs.select("doc_id"), "doc_id", "left_semi"))
+                         truth.join(docs.select("doc_id"), "doc_id", "left_semi"), methods)
     n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    return _sweep(cells, b, grid, n, n_codes, "threshold", preds.select("method").distinct())
+    return _sweep(cells, b, grid, n, n_codes, "threshold", preds, methods)
 
 
 def operating_point(sweep: DataFrame, min_precision: float = MIN_PRECISION,
@@ -234,7 +239,7 @@ def operating_point(sweep: DataFrame, min_precision: float = MIN_PRECISION,
 
 
 def gap_sweep(preds: DataFrame, truth: DataFrame, docs: DataFrame, n_codes: DataFrame,
-              auto: DataFrame, grid: Sequence[float] | None = None) -> DataFrame:
+              auto: DataFrame, grid: Sequence[float] | None = None, methods: Sequence[str] | None = None) -> DataFrame:
     """O-R8: with the auto threshold fixed, sweep min_gap (100 values 0..0.5);
     a document stays auto unless no_pred, min_pred < auto or gap < g
     (gap = +inf when nothing is rejected)."""
@@ -246,9 +251,9 @@ def gap_sweep(preds: DataFrame, truth: DataFrame, docs: DataFrame, n_codes: Data
     b = ok.select("method", "doc_id", F.when(F.col("n_rejected") == 0, big.cast("int")).otherwise(
         F.size(F.filter(garr, lambda g: g <= F.col("gap")))).alias("b"))
     cells = _cell_counts(preds.join(docs.select("doc_id"), "doc_id", "left_semi"),
-                         truth.join(docs.select("doc_id"), "doc_id", "left_semi"))
+                         truth.join(docs.select("doc_id"), "doc_id", "left_semi"), methods)
     n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    return _sweep(cells, b, grid, n, n_codes, "min_gap", auto.select("method").distinct())
+    return _sweep(cells, b, grid, n, n_codes, "min_gap", auto, methods)
 
 
 def nearest(sweep: DataFrame, col: str, target: float) -> DataFrame:

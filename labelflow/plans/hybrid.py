@@ -105,7 +105,7 @@ def run_hybrid(train: DataFrame, eval_docs: DataFrame, truth: DataFrame, space:
     v1, cv1 = _fit(pats[1], of(hits, 1, train), train, t1, space.select("code"), folds, cfg)
     v2, cv2 = _fit(pats[2], of(hits, 2, bucket), bucket, t2, tail, folds, cfg)
     cv = cv1.withColumn("method", F.lit("v1")).unionByName(cv2.withColumn("method", F.lit("v2")))
-    pc = materialize(metrics.per_class(cv, t1, train.select("doc_id"), space, digits=None))
+    pc = materialize(metrics.per_class(cv, t1, train.select("doc_id"), space, digits=None, methods=["v1", "v2"]))
     champ = materialize(scoring.champion(pc.where("method = 'v1'"), pc.where("method = 'v2'"), space))
 
     hits = _hits(eval_docs, pats, cfg)

@@ -15,7 +15,7 @@ from labelflow.plans.oracle_text import TEXT_CTES, bounded, esc
 from labelflow.plans.q_mining import MINING_CTES
 from labelflow.plans.q_text_matching import stripped_docs
 from labelflow.session import materialize
-from labelflow.sources.fixtures import (HEAD_SHARE, MUTEX_PAIRS, PREFIX_RX, PREFIX_WINDOW, TIEBREAK_DEFAULT,
+from labelflow.sources.fixtures import (HEAD_SHARE, METHODS, MUTEX_PAIRS, PREFIX_RX, PREFIX_WINDOW, TIEBREAK_DEFAULT,
                                         TIEBREAK_GROUP, TIEBREAK_RULES, TITLE_LEN, Fixtures)
 
 HYB_CTES = r"""
@@ -53,7 +53,8 @@ def _fx_preds(spark, sf):
 
 def _champion(fx, s):
     train = s.where(F.col("split") == "train").select("doc_id")
-    pc = metrics.per_class(fx.preds.join(train, "doc_id", "left_semi"), fx.truth, train, fx.label_space, digits=None)
+    pc = materialize(metrics.per_class(fx.preds.join(train, "doc_id", "left_semi"), fx.truth, train, fx.label_space,
+                                       digits=None, methods=METHODS))   # methods x codes rows
     return scoring.champion(pc.where(F.col("method") == "m1"), pc.where(F.col("method") == "m2"), fx.label_space)
 
 
@@ -102,7 +103,7 @@ def q_hybrid_scores(spark, sf):
 SELECT doc_id, code, predicted FROM tb WHERE code IN (20, 30, 40)"""))
 def q_tiebreak(spark, sf):
     fx, s = _fx_preds(spark, sf)
-    b = _blended(fx, s)
+    b = materialize(_blended(fx, s))
     t = scoring.tiebreak(b, fx.docs, TIEBREAK_GROUP, TIEBREAK_RULES, TIEBREAK_DEFAULT, fx.label_space)
     return t.where(F.col("code").isin(*TIEBREAK_GROUP)).select("doc_id", "code", "predicted")
 
@@ -132,7 +133,7 @@ _MX_CODES = ", ".join(str(c) for p in MUTEX_PAIRS for c in p)
 SELECT doc_id, code, predicted FROM {_MX_LAST} WHERE code IN ({_MX_CODES})"""))
 def q_mutex(spark, sf):
     fx, s = _fx_preds(spark, sf)
-    b = _blended(fx, s)
+    b = materialize(_blended(fx, s))
     t = scoring.tiebreak(b, fx.docs, TIEBREAK_GROUP, TIEBREAK_RULES, TIEBREAK_DEFAULT, fx.label_space)
     ref = fx.preds.where(F.col("method") == "m1").select("doc_id", "code", "score")
     m = scoring.mutex(t, ref, MUTEX_PAIRS)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from labelflow.operators import labels, metrics
 from labelflow.plans.catalog import register
 from labelflow.plans.oracle_base import with_base
-from labelflow.sources.fixtures import HEAD_SHARE, Fixtures
+from labelflow.sources.fixtures import HEAD_SHARE, METHODS, Fixtures
 
 
 def _fx(spark, sf):
@@ -92,7 +92,7 @@ def q_split_stats(spark, sf):
 
 # ---------------------------------------------------------------- metrics
 def _pc(fx, digits=4):
-    return metrics.per_class(fx.preds, fx.truth, fx.table("documents", "doc_id"), fx.label_space, digits)
+    return metrics.per_class(fx.preds, fx.truth, fx.table("documents", "doc_id"), fx.label_space, digits, METHODS)
 
 
 @register("per_class", with_base("", "SELECT method, code, precision, recall, f1, support FROM per_class"))
@@ -106,7 +106,7 @@ SELECT method, code, tp, fp, fn,
 FROM counts"""))
 def q_per_code_f1(spark, sf):
     fx = _fx(spark, sf)
-    c = metrics.counts(fx.preds, fx.truth, fx.table("documents", "doc_id"), fx.label_space)
+    c = metrics.counts(fx.preds, fx.truth, fx.table("documents", "doc_id"), fx.label_space, METHODS)
     return metrics.with_prf(c, 6).select("method", "code", "tp", "fp", "fn", "f1")
 
 
@@ -122,7 +122,7 @@ FROM counts GROUP BY method"""
 @register("metrics", with_base("", _SUMMARY_SQL))
 def q_metrics(spark, sf):
     fx = _fx(spark, sf)
-    return metrics.evaluate(fx.preds, fx.truth, fx.table("documents", "doc_id"), fx.label_space)
+    return metrics.evaluate(fx.preds, fx.truth, fx.table("documents", "doc_id"), fx.label_space, methods=METHODS)
 
 
 @register("micro_f1", with_base("", """
@@ -131,7 +131,7 @@ SELECT method, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAS
 FROM counts GROUP BY method"""))
 def q_micro(spark, sf):
     fx = _fx(spark, sf)
-    c = metrics.counts(fx.preds, fx.truth, fx.table("documents", "doc_id"), fx.label_space)
+    c = metrics.counts(fx.preds, fx.truth, fx.table("documents", "doc_id"), fx.label_space, METHODS)
     a = c.groupBy("method").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
     return a.withColumn("micro_f1", F.round(2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn")), 6))
 
@@ -144,7 +144,7 @@ SELECT method,
 FROM counts GROUP BY method"""))
 def q_macro(spark, sf):
     fx = _fx(spark, sf)
-    c = metrics.counts(fx.preds, fx.truth, fx.table("documents", "doc_id"), fx.label_space)
+    c = metrics.counts(fx.preds, fx.truth, fx.table("documents", "doc_id"), fx.label_space, METHODS)
     a = metrics.summary(c, 6, active_only=True).select("method", F.col("macro_f1").alias("macro_f1_active"))
     b = metrics.summary(c, 6, active_only=False).select("method", F.col("macro_f1").alias("macro_f1_all"))
     return a.join(b, "method")
@@ -196,7 +196,7 @@ LEFT JOIN bad b ON b.doc_id = d.doc_id AND b.method = m.method
 GROUP BY m.method"""))
 def q_subset_acc(spark, sf):
     fx = _fx(spark, sf)
-    return metrics.subset_accuracy(fx.preds, fx.truth, fx.table("documents", "doc_id"), fx.label_space)
+    return metrics.subset_accuracy(fx.preds, fx.truth, fx.table("documents", "doc_id"), fx.label_space, methods=METHODS)
 
 
 @register("codes_per_doc", with_base("""
@@ -209,7 +209,7 @@ FROM documents d CROSS JOIN (SELECT DISTINCT method FROM preds) m
 LEFT JOIN k ON k.doc_id = d.doc_id AND k.method = m.method GROUP BY m.method"""))
 def q_codes_per_doc(spark, sf):
     fx = _fx(spark, sf)
-    return metrics.codes_per_doc(fx.preds, fx.table("documents", "doc_id"))
+    return metrics.codes_per_doc(fx.preds, fx.table("documents", "doc_id"), METHODS)
 
 
 @register("pos_weights", with_base("""

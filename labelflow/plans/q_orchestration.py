@@ -38,7 +38,7 @@ class Orchestrated:
 
     @cached_property
     def val_per_class(self):
-        return metrics.per_class(self.preds_in("val"), self.truth, self.docs("val"), self.space)
+        return metrics.per_class(self.preds_in("val"), self.truth, self.docs("val"), self.space, methods=(A, B))
 
     @cached_property
     def routing(self):
@@ -49,7 +49,7 @@ class Orchestrated:
 
     @cached_property
     def sweep(self):
-        return orc.precision_coverage(self.routed("val"), self.truth, self.docs("val"), self.n_codes)
+        return orc.precision_coverage(self.routed("val"), self.truth, self.docs("val"), self.n_codes, methods=["routed"])
 
     @cached_property
     def auto(self):
@@ -223,7 +223,8 @@ FROM gs_n n LEFT JOIN gs_k s ON s.k = n.k"""
 
 def _gap_sweep(spark, sf):
     o = Orchestrated(spark, sf)
-    return orc.gap_sweep(o.routed("val"), o.truth, o.docs("val"), o.n_codes, o.auto.withColumn("method", F.lit("routed")))
+    return orc.gap_sweep(o.routed("val"), o.truth, o.docs("val"), o.n_codes, o.auto.withColumn("method", F.lit("routed")),
+                         methods=["routed"])
 
 
 @register("gap_sweep", with_base(ORCH_CTES + _GAP_SQL, _GAP_SELECT))
@@ -332,7 +333,7 @@ def q_dis_err(spark, sf):
     dis = orc.disagreement(o.preds_in("train"), A, B).select("doc_id").distinct()
     grp = o.docs("train").join(dis.withColumn("_d", F.lit(True)), "doc_id", "left").select(
         "doc_id", F.coalesce("_d", F.lit(False)).alias("grp"))
-    acc = metrics.subset_accuracy(o.routed("train"), o.truth, o.docs("train"), o.space, group=grp)
+    acc = metrics.subset_accuracy(o.routed("train"), o.truth, o.docs("train"), o.space, group=grp, methods=["routed"])
     return acc.select(F.col("grp").alias("disagree"), "n_docs", "exact_match")
 
 
@@ -459,4 +460,4 @@ FROM ac"""))
 def q_metrics_auto(spark, sf):
     o = Orchestrated(spark, sf)
     auto_ids = o.flags.where(~F.col("escalated")).select("doc_id")
-    return metrics.evaluate(o.routed("train"), o.truth, auto_ids, o.space)
+    return metrics.evaluate(o.routed("train"), o.truth, auto_ids, o.space, methods=["routed"])

@@ -5,13 +5,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from labelflow.operators import scoring, thresholds
+from labelflow.operators import metrics, scoring, thresholds
 from labelflow.plans.catalog import register
 from labelflow.plans.oracle_base import with_base
 from labelflow.plans.oracle_text import TEXT_CTES
 from labelflow.plans.q_text_matching import fixture_hits
 from labelflow.session import materialize
-from labelflow.sources.fixtures import Fixtures
+from labelflow.sources.fixtures import METHODS, Fixtures
 
 
 class ScoredFixture:
@@ -203,5 +203,5 @@ def q_grid(spark, sf):
     val = fx.splits.where(F.col("split") == "val").select("doc_id")
     p = fx.preds.join(val, "doc_id", "left_semi").select("method", "doc_id", "code", "score")
     t = fx.truth.join(val, "doc_id", "left_semi")
-    codes = fx.label_space.select("code").crossJoin(F.broadcast(fx.preds.select("method").distinct()))
+    codes = metrics.per_method(fx.label_space.select("code"), fx.preds, METHODS)
     return thresholds.tune_grid(p, t, ["method"], min_support=3, codes=codes)

@@ -25,6 +25,7 @@ HEAD_SHARE = 0.3                       # head/tail cutoff as a share of document
 TIEBREAK_GROUP = (20, 30, 40)
 TIEBREAK_RULES = ((r"für", 30), (r"los", 40))
 TIEBREAK_DEFAULT = 20
+METHODS = ("m1", "m2")                 # the two scored methods
 MUTEX_PAIRS = ((10, 20), (30, 40), (1, 3))
 
 # seed phrases: literal, non-ASCII, multi-word, gapped (…), title zone, non-letter edge
@@ -46,11 +47,13 @@ def truth_from(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, code): language code, source code, quality and toxic codes."""
     lang_code = (F.when(F.col("lang") == "en", 10).when(F.col("lang") == "fr", 20)
                  .when(F.col("lang") == "de", 30).otherwise(40))
-    t1 = documents.select("doc_id", lang_code.alias("code"))
-    t2 = documents.select("doc_id", (F.lit(100) + F.expr("CAST(substr(source, 4) AS INT)")).alias("code"))
-    t3 = labels.select("doc_id", F.when(F.col("quality") == 1, 1).otherwise(3).alias("code"))
-    t4 = labels.where(F.col("toxic") == 1).select("doc_id", F.lit(2).alias("code"))
-    return t1.unionAll(t2).unionAll(t3).unionAll(t4)
+    source_code = F.lit(100) + F.expr("CAST(substr(source, 4) AS INT)")
+    quality_code = F.when(F.col("quality") == 1, 1).otherwise(3)
+    # one scan of each table: a row's codes are exploded
+    by_doc = documents.select("doc_id", F.explode(F.array(lang_code, source_code)).alias("code"))
+    by_label = labels.select("doc_id", F.explode(
+        F.when(F.col("toxic") == 1, F.array(quality_code, F.lit(2))).otherwise(F.array(quality_code))).alias("code"))
+    return by_doc.unionAll(by_label)
 
 
 def unit_hash(doc: str, code: str, salt: int) -> F.Column:
@@ -105,13 +108,13 @@ class Fixtures:
         """Two methods of unequal quality in the prediction-contract shape."""
         g = self.grid
         y1 = F.col("y") == 1
-        m1 = g.select(F.lit("m1").alias("method"), "doc_id", "code",
-                      F.when(y1, F.lit(3e-1) + F.lit(7e-1) * F.col("u1"))
-                      .otherwise(F.lit(75e-2) * F.col("u1") * F.col("u1") * F.col("u1")).alias("score"))
-        m2 = g.select(F.lit("m2").alias("method"), "doc_id", "code",
-                      F.when(y1, F.col("u2"))
-                      .otherwise(F.lit(6e-1) * F.col("u2") * F.col("u2")).alias("score"))
-        return m1.unionAll(m2).withColumn("predicted", F.col("score") >= F.lit(5e-1))
+        m1 = (F.when(y1, F.lit(3e-1) + F.lit(7e-1) * F.col("u1"))
+              .otherwise(F.lit(75e-2) * F.col("u1") * F.col("u1") * F.col("u1")))
+        m2 = F.when(y1, F.col("u2")).otherwise(F.lit(6e-1) * F.col("u2") * F.col("u2"))
+        both = F.array(*[F.struct(F.lit(name).alias("method"), score.alias("score")) for name, score in zip(METHODS, (m1, m2))])
+        return (g.select("doc_id", "code", F.explode(both).alias("_m"))
+                .select("_m.method", "doc_id", "code", "_m.score")
+                .withColumn("predicted", F.col("score") >= F.lit(5e-1)))
 
     @property
     def curated(self) -> DataFrame:

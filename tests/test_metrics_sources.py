@@ -92,3 +92,37 @@ def test_config_written_by_spark(spark):
     contract.write_config(spark, {"pooling": "max", "max_chunks": 3, "loss": {"type": "bce", "gamma": 1.0}}, root, "v1")
     r = contract.read_configs(spark, root).first()
     assert (r.run, r.pooling, r.max_chunks, r.loss_type) == ("v1", "max", 3, "bce")
+
+
+def test_feature_summary_equals_pandas(spark):
+    """All statistics of all features, with nulls, ties, one value, and a feature without any."""
+    import pandas as pd
+    rng = np.random.default_rng(4)
+    rows = [(m, i, None if i % 7 == 0 else float(np.round(rng.normal(50, 90), 1)), int(rng.integers(0, 4)), None)
+            for m in ("a", "b") for i in range(200)] + [("c", 0, 2.5, 1, None)]
+    feats = spark.createDataFrame(rows, "method STRING, doc_id INT, x DOUBLE, n INT, nothing DOUBLE")
+    got = {(r.method, r.feature): r.asDict() for r in orchestrate.feature_summary(feats, ["x", "n", "nothing"]).collect()}
+    want = pd.DataFrame(rows, columns=["method", "doc_id", "x", "n", "nothing"])
+    assert set(got) == {(m, f) for m in "abc" for f in ("x", "n")}
+    for (m, f), r in got.items():
+        d = want[want.method == m][f].astype(float).describe()
+        for ours, theirs in [("count", "count"), ("mean", "mean"), ("std", "std"), ("min", "min"), ("q25", "25%"),
+                             ("q50", "50%"), ("q75", "75%"), ("max", "max")]:
+            assert r[ours] is None and np.isnan(d[theirs]) or abs(r[ours] - d[theirs]) < 1e-9, (m, f, ours)
+    assert orchestrate.feature_summary(feats.limit(0), ["x"]).collect() == []
+    q = {r.method: r.q50 for r in orchestrate.exact_quantiles(feats, ["method"], "x").collect()}
+    assert abs(q["a"] - want[want.method == "a"].x.median()) < 1e-9
+
+
+def test_named_methods_equal_looked_up_ones(spark):
+    preds = spark.createDataFrame([("a", 1, 5, True), ("a", 2, 6, True), ("b", 1, 6, False)],
+                                  "method STRING, doc_id INT, code INT, predicted BOOLEAN")
+    truth = spark.createDataFrame([(1, 5), (2, 5)], "doc_id INT, code INT")
+    docs, space = spark.createDataFrame([(1,), (2,)], "doc_id INT"), spark.createDataFrame([(5,), (6,)], "code INT")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    for fn in (lambda **k: metrics.counts(preds, truth, docs, space, **k),
+               lambda **k: metrics.subset_accuracy(preds, truth, docs, space, **k),
+               lambda **k: metrics.codes_per_doc(preds, docs, **k)):
+        assert rows(fn()) == rows(fn(methods=["a", "b"]))
+    extra = {(r.method, r.code): (r.tp, r.fp, r.fn) for r in metrics.counts(preds, truth, docs, space, ["a", "z"]).collect()}
+    assert extra == {("a", 5): (1, 0, 1), ("a", 6): (0, 1, 0), ("z", 5): (0, 0, 2), ("z", 6): (0, 0, 0)}

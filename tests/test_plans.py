@@ -48,3 +48,11 @@ def test_terms_are_counted_where_their_document_is(spark):
     assert p.count("Exchange") == 1 and "lambda" not in p and "hashpartitioning(doc_id" in p
     assert {(r.term, r.tf) for r in dt.collect()} == {("alpha", 2), ("beta", 1), ("alpha beta", 1), ("beta alpha", 1),
                                                       ("alpha beta alpha", 1)}
+
+
+@pytest.mark.parametrize("key", ["feature_summary", "champion", "precision_coverage", "mutex_pairs", "tiebreak_group",
+                                 "metrics", "gap_sweep", "metrics_auto"])
+def test_few_scans(spark, key):
+    """Tables are not read once per quantile, method or pair."""
+    p = plan_of(entry.queries()[key](spark, SF))
+    assert p.count("FileScan parquet") + p.count("Scan ExistingRDD") < 40
