@@ -60,12 +60,20 @@ def winnow_sql(words: str, window: int, k: int) -> str:
 
 
 def whole_sql(words: str, m: int) -> str:
-    """Array of (hash, position) of all m-word grams."""
-    grams = f"transform(sequence(0, size(h) - {m}), i -> shiftleft({_gram('h', 'i', m)}, {POS_BITS}) | i)"
+    """Array of (hash, position) of all m-word grams; the length counts in the hash."""
+    gram = _gram("h", "i", m)[:-1] + f", {m})"
+    grams = f"transform(sequence(0, size(h) - {m}), i -> shiftleft({gram}, {POS_BITS}) | i)"
     return let(f"transform({words}, w -> xxhash64(w))", "h",
                f"IF(size(h) >= {m}, {grams}, CAST(array() AS ARRAY<BIGINT>))")
 
 
+def prints_sql(words: str, lengths: list[int], window: int, k: int) -> str:
+    """Fingerprints for windows of all the lengths, in one array: winnowed grams
+    for ``window`` words, all grams for fewer."""
+    each = [winnow_sql("w", window, k) if m == window else whole_sql("w", m) for m in lengths]
+    return let(words, "w", f"concat({', '.join(each)})")
+
+
 def _exploded(df: DataFrame, prints: str, *cols) -> DataFrame:
     return (df.select(*cols, F.explode(F.expr(prints)).alias("v"))
             .select(*cols, F.expr(f"shiftright(v, {POS_BITS})").alias("fp"),
@@ -84,35 +92,35 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
                                           F.least(F.size("iw"), F.lit(window)).alias("m")).distinct(), "benchmark-words")
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     rows = docs.select("doc_id", key.alias("text_key"), "text").where("text is not null")
-    lengths = [r["m"] for r in items.select("m").distinct().collect()]
-    found = None
-    for m in sorted(lengths):
-        sql = winnow_sql if m == window else whole_sql
-        args = (window, k) if m == window else (m,)
-        own = items.where(F.col("m") == m)
-        marks = staged(_exploded(own, sql("split(iw, ' ')", *args), "item_id", "iw"), "benchmark-prints")
-        near = (_exploded(rows, sql(words_sql(), *args), "doc_id", "text_key")
-                .join(_small(marks.select("item_id", "iw", "fp", F.col("pos").alias("q")),
-                             marks.agg(F.sum(F.length("iw") * 2 + ROW_BYTES)).first()[0] or 0), "fp")
-                .select("doc_id", "text_key", "item_id", "iw", F.lit(m).alias("m"), (F.col("pos") - F.col("q")).alias("d")))
-        found = near if found is None else found.union(near)
-    if found is None:
-        found = rows.where("false").select("doc_id", "text_key", F.lit(0).alias("item_id"),
-                                           F.lit("").alias("iw"), F.lit(1).alias("m"), F.lit(0).alias("d"))
-    found = staged(found.distinct().groupBy("doc_id", "text_key")
-                   .agg(F.collect_list(F.struct("item_id", "iw", "m", "d")).alias("near")), "alignments")
-    size = found.agg(F.sum(F.aggregate("near", F.lit(0), lambda a, x: a + F.length(x["iw"]) * 2 + ROW_BYTES))).first()[0] or 0
+    lengths = sorted(r["m"] for r in items.select("m").distinct().collect())   # at most ``window`` numbers
+    if lengths:
+        marks = items.where("false").select("item_id", "iw", "m", F.lit(0).cast("long").alias("fp"), F.lit(0).alias("q"))
+        for m in lengths:   # an item has the marks of its own length
+            own = _exploded(items.where(F.col("m") == m), prints_sql("split(iw, ' ')", [m], window, k), "item_id", "iw", "m")
+            marks = marks.union(own)
+        marks = staged(marks, "benchmark-prints")
+        near = (_exploded(rows, prints_sql(words_sql(), lengths, window, k), "doc_id", "text_key")
+                .join(_small(marks, marks.agg(F.sum(F.length("iw") * 2 + ROW_BYTES)).first()[0] or 0), "fp")
+                .select("doc_id", "text_key", "item_id", "iw", "m", (F.col("pos") - F.col("q")).alias("d")))
+    else:
+        near = rows.where("false").select("doc_id", "text_key", F.lit(0).alias("item_id"),
+                                          F.lit("").alias("iw"), F.lit(1).alias("m"), F.lit(0).alias("d"))
+    # a document's row holds an item's text once, however often passages of it are repeated
+    found = staged(near.groupBy("doc_id", "text_key", "item_id", "iw", "m").agg(F.sort_array(F.collect_set("d")).alias("ds"))
+                   .groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("item_id", "iw", "m", "ds")).alias("near")), "alignments")
+    size = found.agg(F.sum(F.aggregate("near", F.lit(0), lambda a, x: a + F.length(x["iw"]) * 2 + F.size(x["ds"]) * 4 + ROW_BYTES))
+                     ).first()[0] or 0
     names = docs.columns
     wide = (docs.select(F.struct(*names).alias("doc"), F.col("doc_id").alias("l_id"), key.alias("l_key"),
                         F.expr(words_sql()).alias("words"))
             .join(_small(found, size), F.col("l_id").eqNullSafe(F.col("doc_id")) & (F.col("l_key") == F.col("text_key")),
                   "left").select("doc", "words", "near"))
-    wide = wide.withColumn("near", F.expr("transform(near, x -> struct(x.item_id, split(x.iw, ' ') AS iw, x.m, x.d))"))
-    starts = """filter(IF(least(size(x.iw), size(words) - x.d) - x.m >= greatest(0, -x.d),
-                  sequence(greatest(0, -x.d), least(size(x.iw), size(words) - x.d) - x.m), CAST(array() AS ARRAY<INT>)),
-                  j -> NOT exists(sequence(0, x.m - 1), t -> x.iw[j + t] <> words[x.d + j + t]))"""
-    hits = f"""IF(near IS NULL, NULL, array_distinct(flatten(transform(near, x -> transform({starts},
-               j -> struct(x.d + j AS start, x.d + j + x.m AS end, CAST(x.item_id AS STRING) AS item_id))))))"""
+    wide = wide.withColumn("near", F.expr("transform(near, x -> struct(x.item_id, split(x.iw, ' ') AS iw, x.m, x.ds))"))
+    starts = """filter(IF(least(size(x.iw), size(words) - d) - x.m >= greatest(0, -d),
+                  sequence(greatest(0, -d), least(size(x.iw), size(words) - d) - x.m), CAST(array() AS ARRAY<INT>)),
+                  j -> NOT exists(sequence(0, x.m - 1), t -> x.iw[j + t] <> words[d + j + t]))"""
+    hits = f"""IF(near IS NULL, NULL, array_distinct(flatten(transform(near, x -> flatten(transform(x.ds, d -> transform({starts},
+               j -> struct(d + j AS start, d + j + x.m AS end, CAST(x.item_id AS STRING) AS item_id))))))))"""
     wide = wide.select("doc", F.size("words").cast("long").alias("n_words"), F.expr(hits).alias("hits"))
     covered = """CAST(coalesce(aggregate(array_sort(transform(hits, h -> struct(h.start, h.end))),
                  struct(0 AS total, 0 AS upto),

@@ -28,7 +28,7 @@ ASSIGN = (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 ASSIGN_MIN = 6
-TOKEN = r"[A-Za-z0-9_-]{24,}"
+TOKEN = r"[A-Za-z0-9_-]{24,}"   # every hexadecimal match holds one, too
 KINDS = ("assign", "access", "hex", "token")
 
 #: A value that more owners hold is a widely copied example.
@@ -137,11 +137,15 @@ def report(docs: DataFrame, owner: str = "source", repo: str = "doc_id", max_own
 def redact(docs: DataFrame, owner: str = "source", repo: str = "doc_id", max_owners: int = MAX_OWNERS,
            max_repos: int = MAX_REPOS) -> DataFrame:
     """``docs`` with every live span replaced by MARK; widely copied examples
-    stay."""
-    wide = _with_spans(docs, secret_spans(docs, owner, repo, max_owners, max_repos))
+    stay.  Only texts that match a pattern meet the spans; the others, null ones
+    too, are passed on where they are."""
+    spans = secret_spans(docs, owner, repo, max_owners, max_repos).where("exists(spans, x -> x.live)")
+    may = F.expr("coalesce(" + " OR ".join(f"text RLIKE {_quote(p)}" for p in (ASSIGN, ACCESS, TOKEN)) + ", false)")
+    wide = _with_spans(docs.where(may), spans)
     out = f"""aggregate(filter(spans, x -> x.live), struct('' AS s, 0 AS upto),
         (a, x) -> IF(x.end <= a.upto, a, struct(
             concat(a.s, IF(x.start >= a.upto, concat(substring(doc.text, a.upto + 1, x.start - a.upto), '{MARK}'), '')) AS s,
             x.end AS upto)), a -> concat(a.s, substring(doc.text, a.upto + 1)))"""
     text = F.when(F.expr("exists(spans, x -> x.live)"), F.expr(out)).otherwise(F.col("doc.text"))
-    return wide.select(*(text.alias(c) if c == "text" else F.col(f"doc.{c}").alias(c) for c in docs.columns))
+    return (wide.select(*(text.alias(c) if c == "text" else F.col(f"doc.{c}").alias(c) for c in docs.columns))
+            .union(docs.where(~may)))

@@ -71,6 +71,16 @@ def test_ownership_separates_copied_from_live(spark, odd_docs):
     assert secrets.report(odd_docs).count() == odd_docs.count() and secrets.report(odd_docs.limit(0)).count() == 0
 
 
+def test_redaction_keeps_rows_without_candidates_as_they_are(spark):
+    rows = [(1, None, "a", 5), (1, None, "a", 5), (2, "", "a", 6), (3, "plain words", None, 7), (3, "plain words", None, 7),
+            (4, "key aB3dE5gH7jK9mN1pQ3sT5vX7 end", "b", 8), (4, "key aB3dE5gH7jK9mN1pQ3sT5vX7 end", "b", 8), (None, "x", "b", 9)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, source STRING, spans INT")
+    got = secrets.redact(docs)
+    assert got.columns == docs.columns
+    want = [(r[0], r[1] and r[1].replace("aB3dE5gH7jK9mN1pQ3sT5vX7", secrets.MARK), *r[2:]) for r in rows]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
 def test_value_in_many_documents_of_one_source_is_copied(spark):
     copied, live = "sAmPlE1234567890", "aB3dE6gH9kLmN0pQ"
     rows = [(i, f"token = {copied} in {i}", "s1") for i in range(secrets.MAX_REPOS + 1)]
@@ -131,6 +141,28 @@ def test_decontamination_small_alphabet(spark, monkeypatch, broadcast):
     assert sorted(map(tuple, decontam.report(d, b).collect()), key=str) == hit_rows(docs, bench)
 
 
+def test_decontamination_long_document_of_repeats_and_all_short_lengths(spark):
+    """Items of 1 to 12 words in one text pass; a passage repeated 400 times in one text."""
+    words = [f"w{i}" for i in range(40)]
+    items = [(f"i{m}", " ".join(words[m:2 * m])) for m in range(1, 13)] + [("i10", " ".join(words[20:34])), ("none", "?!")]
+    texts = [" ".join([*words[5:33], "zz"] * 400), " ".join(words), "w3 w4 w5 zz w24", None, "", "w1"]
+    bench = spark.createDataFrame(items, "item_id STRING, text STRING")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.items) for r in decontam.decontaminate(docs, bench).select("doc.doc_id", "n_words", "n_hit", "items").collect()}
+    for i, t in enumerate(texts):
+        w = (t or "").split()
+        hit, held = set(), set()
+        for name, text in items:
+            v = text.split() if text != "?!" else []
+            m = min(len(v), 10)
+            grams = {tuple(v[j:j + m]) for j in range(len(v) - m + 1)} if m else set()
+            for j in range(len(w) - m + 1):
+                if tuple(w[j:j + m]) in grams:
+                    hit |= set(range(j, j + m))
+                    held.add(name)
+        assert got[i] == (len(w), len(hit), sorted(held)), i
+
+
 def test_decontamination_odd_rows(spark, odd_docs):
     bench = spark.createDataFrame([(1, "lost row with five words")], "item_id long, text string")
     assert {r.doc_id for r in decontam.report(odd_docs, bench).collect() if r.contaminated} == {None}
