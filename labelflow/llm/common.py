@@ -19,10 +19,15 @@ from labelflow.session import scratch_path
 
 HELD_OUT_REMAINDER = 2
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of an Arrow batch: a batch bounded by rows alone grows with the texts.
+BATCH_BYTES = 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package's code to the executors, once per Spark context."""
+    """Send this package's code to the executors, once per Spark context, and
+    bound the bytes of an Arrow batch where the session does not."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     sc = spark.sparkContext
     if getattr(sc, "_labelflow_shipped", False):
         return
