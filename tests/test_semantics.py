@@ -149,3 +149,39 @@ def test_jobs_do_not_grow_with_the_codes(spark):
 def test_cls_takes_the_largest_of_the_first_vectors(spark):
     v = spark.createDataFrame([(1, 0, [1.0, 5.0], 3), (1, 1, [2.0, 4.0], 3)], "doc_id BIGINT, chunk_no INT, embedding ARRAY<DOUBLE>, n_tokens INT")
     assert sorted((r.dim, r.value) for r in learn.pool(v, "cls").collect()) == [(0, 2.0), (1, 5.0)]
+
+
+def _mining_rows(spark):
+    texts = [(1, "alpha beta alpha"), (2, "beta gamma ... alpha beta"), (3, "delta"), (3, "alpha beta"), (None, "alpha beta"), (4, None), (5, "")]
+    docs = spark.createDataFrame(texts, "doc_id BIGINT, text STRING")
+    truth = spark.createDataFrame([(1, 7), (1, 8), (2, 7), (3, 8), (9, 8), (None, 7)], "doc_id BIGINT, code INT")
+    return docs, truth, spark.createDataFrame([(7,), (8,)], "code INT")
+
+
+def test_term_counts_by_hand(spark):
+    """A repeated id is one document, no n-gram runs from one of its texts into the next."""
+    docs, truth, codes = _mining_rows(spark)
+    got = {r.term: (r.df, r.tf_sum, sorted((tuple(x.codes), x.value) for x in r.by)) for r in mining.term_counts(docs, truth, codes, ()).collect()}
+    assert got["alpha beta"] == (4, 4, [((), 1.0), ((7,), 1.0), ((7, 8), 1.0), ((8,), 1.0)])
+    assert got["alpha"][:2] == (4, 5) and got["delta"] == (1, 1, [((8,), 1.0)]) and "delta alpha" not in got
+    assert set(got) == {"alpha", "beta", "gamma", "delta", "alpha beta", "beta alpha", "beta gamma", "gamma alpha",
+                        "alpha beta alpha", "beta gamma alpha", "gamma alpha beta"}
+
+
+def test_best_terms_keep_the_order_of_ties(spark):
+    """A task's choice keeps, of equal scores, the first terms."""
+    docs = spark.createDataFrame([(i, " ".join(f"wor{c}" for c in "zyxwvu") if i < 3 else "other") for i in range(6)], "doc_id BIGINT, text STRING")
+    truth = spark.createDataFrame([(0, 7), (1, 7), (2, 7)], "doc_id BIGINT, code INT")
+    codes, n = spark.createDataFrame([(7,)], "code INT"), mining.corpus_size(docs)
+    vocab = mining.vocabulary(mining.term_counts(docs, truth, codes, ()), n)
+    chi2 = mining.mine_chi2(docs, vocab, truth, codes, n, k=2)
+    assert sorted((r["rank"], r.term) for r in chi2.collect()) == [(1, "woru"), (2, "worv")]
+    tfidf = mining.mine_tfidf(docs, vocab, truth, codes, n, k=2, stopwords=())
+    assert sorted((r["rank"], r.term) for r in tfidf.collect()) == [(1, "woru"), (2, "worv")]
+
+
+def test_mining_shuffles_packed_terms(spark):
+    """Terms cross the network packed, and best terms are chosen before any shuffle of scores."""
+    docs, truth, codes = _mining_rows(spark)
+    plan = mining.term_counts(docs, truth, codes, ())._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(part" in plan and "hashpartitioning(term" not in plan
