@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelflow.operators import metrics, thresholds
+from labelflow.operators import labels, metrics, thresholds
 from labelflow.plans.catalog import register
 from labelflow.plans.oracle_base import with_base
 from labelflow.plans.q_thresholds import SCORE_CTES, ScoredFixture
@@ -20,7 +20,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = ScoredFixture(spark, sf_dir)
     val_pred = thresholds.apply_thresholds(f.scores_in("val"), f.thresholds, inclusive=True)
     preds = val_pred.withColumn("method", F.lit("seed"))
-    pc = metrics.per_class(preds, f.fx.truth, f.ids("val"), f.fx.label_space, methods=["seed"])
+    pc = metrics.per_class(preds, f.truth, f.ids("val"), labels.label_space(f.truth), methods=["seed"])
     return pc.select("code", "precision", "recall", "f1", "support")
 
 

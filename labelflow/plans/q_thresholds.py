@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from labelflow.operators import metrics, scoring, thresholds
+from labelflow.operators import labels, metrics, scoring, thresholds
 from labelflow.plans.catalog import register
 from labelflow.plans.oracle_base import with_base
 from labelflow.plans.oracle_text import TEXT_CTES
@@ -19,7 +19,10 @@ class ScoredFixture:
 
     def __init__(self, spark, sf):
         self.fx = Fixtures(spark, sf)
-        self.splits = materialize(self.fx.splits)
+        # cut here: a union whose halves are joined by doc_id claims their partitioning
+        # but has twice their partitions, and a sort-merge join with it fails
+        self.truth = materialize(self.fx.truth)
+        self.splits = materialize(labels.stratified_split(self.truth))
         self.hits = materialize(fixture_hits(self.fx).select("doc_id", "pattern_id", "code"))
 
     def ids(self, split):
@@ -29,7 +32,7 @@ class ScoredFixture:
         return self.hits.join(self.ids(split), "doc_id", "left_semi")
 
     def truth_in(self, split):
-        return self.fx.truth.join(self.ids(split), "doc_id", "left_semi")
+        return self.truth.join(self.ids(split), "doc_id", "left_semi")
 
     @property
     def weights(self):

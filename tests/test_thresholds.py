@@ -62,3 +62,21 @@ def test_grid_tie_takes_lowest(spark):
     assert abs(th.threshold - 0.1) < 1e-12
     assert len(thresholds.grid_values()) == 13
     assert np.isclose(thresholds.grid_values()[-1], 0.7)
+
+
+def test_cv_predictions_survive_sort_merge_joins(spark, tmp_path):
+    """Without a broadcast both sides of the join with the truth are shuffled."""
+    from labelflow.plans import catalog
+    catalog.load_all()
+    langs = [("en", "the and that"), ("fr", "les dans une"), ("de", "und nicht"), ("es", "los para del")]
+    docs = [(i, f"Prefix. {langs[i % 4][1]} {langs[i * 7 % 3][1]}", langs[i % 4][0], f"src{i % 3}") for i in range(60)]
+    spark.createDataFrame(docs, "doc_id BIGINT, text STRING, lang STRING, source STRING").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, i % 5 // 4) for i in range(0, 60, 2)], "doc_id BIGINT, quality INT, toxic INT") \
+        .write.parquet(f"{tmp_path}/labels.parquet")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(key, "-1")
+    try:
+        pairs = [{(r.doc_id, r.code) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()} for name in ("cv_predict", "cv_nested")]
+    finally:
+        spark.conf.unset(key)
+    assert pairs[0] == pairs[1] and len(pairs[0]) > 50
