@@ -20,8 +20,7 @@ from dataclasses import asdict, dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import HashingTF, IDF, IDFModel
-from pyspark.ml.functions import predict_batch_udf, vector_to_array
-from pyspark.ml.stat import Summarizer
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
@@ -31,6 +30,15 @@ from labelflow.session import stage
 #: Groups in which the partitions' gradients are added up first.
 ADD_PARTS = 64
 
+#: Chunks that are pooled together.
+POOL_ROWS = 2_000
+#: Vectors that become one dense block.
+HEAD_ROWS = 512
+#: Columns of the packed training rows.
+PACKED = ["n", "size", "lengths", "dims", "x", "y"]
+#: Type of a vector with its non-zero dimensions only.
+SPARSE = "struct<size: int, dims: array<int>, values: array<double>>"
+
 TOKEN = r"\S+"
 
 
@@ -105,17 +113,68 @@ def fit_idf(tf: DataFrame) -> IDFModel:
 
 
 def chunk_features(chunks: DataFrame, idf: IDFModel, num_features: int = 1 << 14, how: str = "mean") -> DataFrame:
-    """IDF-weighted hashed counts pooled per document: (doc_id, x).  ``mean``
-    weighs chunks by their length; ``max`` and ``cls`` take the largest value of
-    each dimension (a hashed chunk is one vector, there is no first token)."""
-    vec = idf.transform(chunk_tf(chunks, num_features))
-    if how in ("max", "cls"):
-        pooled = Summarizer.max(F.col("vec"))
-    elif how == "mean":
-        pooled = Summarizer.mean(F.col("vec"), F.col("n_tokens").cast("double"))
-    else:
+    """``pooled_tf`` of chunks that have not been hashed yet."""
+    return pooled_tf(chunk_tf(chunks, num_features), idf, num_features, how)
+
+
+def pooled_tf(tf: DataFrame, idf: IDFModel, num_features: int = 1 << 14, how: str = "mean") -> DataFrame:
+    """IDF-weighted hashed counts pooled per document: (doc_id, x), ``x`` with its
+    non-zero dimensions only (SPARSE).  ``mean`` weighs chunks by their length;
+    ``max`` and ``cls`` take the largest value of each dimension (a hashed chunk
+    is one vector, there is no first token)."""
+    if how not in ("mean", "max", "cls"):
         raise ValueError(f"unknown pooling {how!r}")
-    return vec.groupBy("doc_id").agg(pooled.alias("_v")).select("doc_id", vector_to_array("_v").alias("x"))
+    vec = idf.transform(tf).select("doc_id", F.col("n_tokens").cast("double").alias("_w"), "vec")
+    placed = vec.repartition("doc_id").sortWithinPartitions("doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None     # id, weight, dimensions and values of the document that a slice ends with
+        for b in batches:
+            for lo in range(0, len(b), POOL_ROWS):
+                part = b.slice(lo, POOL_ROWS)
+                ids, w = part.column(0).to_pylist(), np.asarray(part.column(1))
+                lengths, dims, values = _cells(part.column(2))
+                if how == "mean":
+                    values = values * np.repeat(w, lengths)
+                doc = np.cumsum([0] + [i != j for i, j in zip(ids, ids[1:])])
+                cell, weight = np.repeat(doc, lengths) * num_features + dims, np.bincount(doc, w)
+                if held is not None and held[0] == ids[0]:
+                    weight[0] += held[1]
+                    cell, values = np.concatenate([held[2], cell]), np.concatenate([held[3], values])
+                elif held is not None:
+                    yield _pooled([held[0]], *held[1:], num_features, how)
+                cell, at = np.unique(cell, return_inverse=True)
+                if how == "mean":
+                    values = np.bincount(at, values, len(cell))
+                else:
+                    most = np.full(len(cell), -np.inf)
+                    np.maximum.at(most, at, values)
+                    values = most
+                last = doc[-1]
+                cut = int(np.searchsorted(cell, last * num_features))
+                if last:
+                    first = np.flatnonzero(np.diff(doc, prepend=-1))[:-1]
+                    yield _pooled([ids[i] for i in first], weight[:-1], cell[:cut], values[:cut], num_features, how)
+                held = ids[-1], weight[-1:], cell[cut:] - last * num_features, values[cut:]
+        if held is not None:
+            yield _pooled([held[0]], *held[1:], num_features, how)
+
+    return placed.mapInArrow(run, f"doc_id {dict(vec.dtypes)['doc_id']}, x {SPARSE}")
+
+
+def _cells(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sparse vectors: how many cells each has, and the dimension and value of all."""
+    dims, values = column.flatten()[-2:]
+    return np.asarray(dims.value_lengths()).astype(np.int64), np.asarray(dims.flatten()).astype(np.int64), np.asarray(values.flatten())
+
+
+def _pooled(ids: list, weight: np.ndarray, cell: np.ndarray, values: np.ndarray, size: int, how: str) -> pa.RecordBatch:
+    """Rows (doc_id, x) of documents 0, 1, ... whose cells are document * size + dimension."""
+    doc = cell // size
+    ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(ids)))]), pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, v) for v in (pa.array(cell % size, pa.int32()), pa.array(values / weight[doc] if how == "mean" else values, pa.float64()))]
+    x = pa.StructArray.from_arrays([pa.array([size] * len(ids), pa.int32()), *lists], ["size", "dims", "values"])
+    return pa.RecordBatch.from_arrays([pa.array(ids), x], ["doc_id", "x"])
 
 
 # ---------------------------------------------------------------------------
@@ -155,6 +214,26 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
+def _dense(size: int, lengths: np.ndarray, dims: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """(rows, 1 + size): ones for the bias, then the vectors."""
+    x = np.zeros((len(lengths), size + 1))
+    x[:, 0] = 1
+    x[np.repeat(np.arange(len(lengths)), lengths), dims + 1] = values
+    return x
+
+
+def _blocks(column: pa.Array) -> Iterator[tuple[slice, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """HEAD_ROWS vectors at a time: their place, size and cells."""
+    for lo in range(0, len(column), HEAD_ROWS):
+        part = column.slice(lo, HEAD_ROWS)
+        if pa.types.is_struct(part.type):
+            size, cells = part.flatten()[0][0].as_py(), _cells(part)
+        else:
+            x = _matrix(part)
+            size, cells = x.shape[1], (np.full(len(x), x.shape[1]), np.tile(np.arange(x.shape[1]), len(x)), x.ravel())
+        yield slice(lo, lo + len(part)), size, *cells
+
+
 def loss_slope(z: np.ndarray, y: np.ndarray, weight: np.ndarray, loss: str, gamma: float) -> np.ndarray:
     """Derivative of the loss by the decision z, for each cell."""
     p = 1 / (1 + np.exp(-z))
@@ -169,15 +248,27 @@ def loss_slope(z: np.ndarray, y: np.ndarray, weight: np.ndarray, loss: str, gamm
 
 
 def fit_head(features: DataFrame, truth: DataFrame, weights: DataFrame, codes: Sequence[int], cfg: TrainConfig = TrainConfig()) -> LinearHead:
-    """O-K4: the head of all ``codes`` on (doc_id, x); ``weights`` (code,
-    pos_weight) weighs a code's positives in the bce loss."""
+    """O-K4: the head of all ``codes`` on (doc_id, x), ``x`` an array or SPARSE;
+    ``weights`` (code, pos_weight) weighs a code's positives in the bce loss."""
     codes = sorted(int(c) for c in codes)
     y = truth.where(F.col("code").isin(*codes)).groupBy("doc_id").agg(F.collect_set(F.col("code").cast("int")).alias("codes"))
-    rows = stage(features.join(y, "doc_id", "left").select("x", F.coalesce("codes", F.array().cast("array<int>")).alias("codes")), "head-rows")
-    first = rows.select(F.size("x").alias("d")).first()
-    if first is None or not codes:
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own, at = b.column(1), np.array(codes)
+            y = np.zeros((len(b), len(codes)), bool)
+            y[np.repeat(np.arange(len(b)), np.asarray(own.value_lengths())), np.searchsorted(at, np.asarray(own.flatten()))] = True
+            for where, size, lengths, dims, values in _blocks(b.column(0)):
+                cells = [v.tobytes() for v in (lengths.astype(np.int32), dims.astype(np.int32), values, y[where])]
+                yield pa.RecordBatch.from_arrays([pa.array([len(lengths)]), pa.array([size]), *[pa.array([c], pa.binary()) for c in cells]], PACKED)
+
+    labelled = features.join(y, "doc_id", "left").select("x", F.coalesce("codes", F.array().cast("array<int>")).alias("codes"))
+    # the steps read blocks of rows as they stand in memory
+    rows = stage(labelled.mapInArrow(pack, "n long, size long, lengths binary, dims binary, x binary, y binary"), "head-rows")
+    first = rows.agg(F.sum("n").alias("n"), F.max("size").alias("d")).first()
+    if first["n"] is None or not codes:
         return LinearHead(codes, np.zeros((len(codes), 0)), np.zeros(len(codes)))
-    n, dim, k = rows.count(), first["d"], len(codes)
+    n, dim, k = first["n"], first["d"], len(codes)
     by = {r["code"]: r["pos_weight"] for r in weights.where(F.col("code").isin(*codes)).collect()}    # a row per code
     pos_weight = np.array([by.get(c, 1.0) for c in codes])
     w = np.zeros((k, dim + 1))
@@ -200,15 +291,12 @@ def _gradient(rows: DataFrame, shared, cfg: TrainConfig) -> np.ndarray:
     """(codes, 1 + dimensions) sum of the gradients over all rows: one job."""
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, codes, pos_weight = shared.value
-        total, at = np.zeros_like(w), np.array(codes)
+        total = np.zeros_like(w)
         for b in batches:
-            if not len(b):
-                continue
-            x = np.column_stack([np.ones(len(b)), _matrix(b.column(0))])
-            own = b.column(1)
-            y = np.zeros((len(b), len(codes)), bool)
-            y[np.repeat(np.arange(len(b)), np.asarray(own.value_lengths())), np.searchsorted(at, np.asarray(own.flatten()))] = True
-            total += loss_slope(x @ w.T, y, pos_weight, cfg.loss, cfg.gamma).T @ x
+            for size, lengths, dims, values, y in zip(*[b.column(c).to_pylist() for c in PACKED[1:]]):
+                x = _dense(size, np.frombuffer(lengths, np.int32), np.frombuffer(dims, np.int32), np.frombuffer(values))
+                slope = loss_slope(x @ w.T, np.frombuffer(y, bool).reshape(len(x), -1), pos_weight, cfg.loss, cfg.gamma)
+                total += slope.T @ x
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(codes))), pa.array([g.tobytes() for g in total], pa.binary())], ["code_no", "g"])
 
     def add(table):
@@ -229,7 +317,8 @@ def score(features: DataFrame, head: LinearHead) -> DataFrame:
         h = shared.value
         for b in batches:
             if len(b):
-                z = _matrix(b.column(1)) @ h.weights.T + h.bias
+                w = np.column_stack([h.bias, h.weights])
+                z = np.concatenate([_dense(*cells) @ w.T for _, *cells in _blocks(b.column(1))])
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(1 / (1 + np.exp(-z))), pa.list_(pa.float64()))], ["doc_id", "_s"])
 
     kind = dict(features.dtypes)["doc_id"]

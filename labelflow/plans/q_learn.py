@@ -155,9 +155,10 @@ class Learned:
         if sample is not None:
             self.train = materialize(self.train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
         docs = self.fx.docs.join(self.train, "doc_id", "left_semi")
-        chunks = materialize(learn.chunk_docs(docs, cfg))
-        idf = learn.fit_idf(learn.chunk_tf(chunks, num_features))
-        features = learn.chunk_features(chunks, idf, num_features, pooling)
+        # the hashed counts are kept, not the tokens: the weights and the features are made of them
+        tf = materialize(learn.chunk_tf(learn.chunk_docs(docs, cfg), num_features).select("doc_id", "n_tokens", "tf"))
+        idf = learn.fit_idf(tf)
+        features = learn.pooled_tf(tf, idf, num_features, pooling)
         t_train = materialize(self.fx.truth.join(self.train, "doc_id", "left_semi"))
         codes = [r["code"] for r in t_train.select("code").distinct().orderBy("code").collect()]   # the label space
         w = metrics.pos_weights(t_train, self.train, self.fx.label_space, cap=cap, digits=None)

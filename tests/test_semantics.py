@@ -120,6 +120,24 @@ def test_reloaded_scorer_scores_new_documents(spark):
     assert a[100, 2] > 0.5 > a[100, 1] and a[101, 1] > 0.5 > a[101, 2]
 
 
+@pytest.mark.parametrize("how", ["mean", "max"])
+def test_features_hold_no_zeros(spark, how):
+    """A document's vector has its own dimensions only, over chunks, repeated and null ids."""
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, ""), (3, "a a"), (3, "f"), (None, "b"), (None, "c")], "doc_id BIGINT, text STRING")
+    chunks = learn.chunk_docs(docs, learn.ChunkConfig(2, 2))
+    idf = learn.fit_idf(learn.chunk_tf(chunks, 64))
+    want = {}
+    for r in idf.transform(learn.chunk_tf(chunks, 64)).collect():
+        want.setdefault(r.doc_id, []).append((r.n_tokens, r.vec.toArray()))
+    got = {r.doc_id: r.x for r in learn.chunk_features(chunks, idf, 64, how).collect()}
+    assert set(got) == set(want) == {1, 2, 3, None} and len(got[1].dims) <= 5 and len(got[2].dims) == 0
+    for k, rows in want.items():
+        full = np.average([v for _, v in rows], 0, [w for w, _ in rows]) if how == "mean" else np.max([v for _, v in rows], 0)
+        x = np.zeros(64)
+        x[got[k].dims] = got[k]["values"]
+        assert np.allclose(x, full) and got[k].size == 64
+
+
 @pytest.mark.parametrize("loss", ["bce", "focal"])
 def test_loss_slope_is_the_derivative(loss):
     z, y, w, h = np.linspace(-6, 6, 25), np.arange(25) % 2 == 1, 3.0, 1e-5
