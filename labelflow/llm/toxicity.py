@@ -46,7 +46,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelflow.llm.common import map_arrow, text_buffer, text_chunks
+from labelflow.llm.common import map_arrow, release_memory, text_buffer, text_chunks
 from labelflow.llm.quality import labelled_sample
 
 #: Labelled rows the fit may use at most (a deterministic sample by id hash).
@@ -81,6 +81,8 @@ CHUNK_BYTES = 8 << 20
 PAIRS = 12_000
 #: Training words whose kernels are computed together.
 ROWS = 5_000
+#: Rows whose kernels are changed to another base together.
+BLOCK = 6_144
 _DROP = re.compile(r"[\W_]+")
 _REPEAT = re.compile(r"(.)\1{2,}")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[^\W_]{3})")
@@ -362,22 +364,39 @@ def _logistic(d: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, fl
     return float(max(w[0], 0.0)), float(w[1])
 
 
-def _kernels(words: list[str], landmarks: list[str]) -> np.ndarray:
-    """``kernel`` of many words, by the triple table of the landmarks."""
-    out = np.zeros((len(words), len(landmarks)), np.float32)
-    for c in range(0, len(landmarks), COLUMNS):
-        table = Triples(landmarks[c:c + COLUMNS], np.eye(len(landmarks[c:c + COLUMNS])))
+class Kernels:
+    """``kernel`` of many words with the landmarks, by their triple tables."""
+
+    def __init__(self, landmarks: list[str]):
+        self.n = len(landmarks)
+        parts = [landmarks[c:c + COLUMNS] for c in range(0, self.n, COLUMNS)]
+        self.tables = [Triples(p, np.eye(len(p))) for p in parts]
+
+    def of(self, words: list[str]) -> np.ndarray:
+        out = np.zeros((len(words), self.n), np.float32)
         for k in range(0, len(words), ROWS):
-            out[k:k + ROWS, c:c + COLUMNS] = table.decide(words[k:k + ROWS])
-    return out
+            for c, table in enumerate(self.tables):
+                out[k:k + ROWS, c * COLUMNS:(c + 1) * COLUMNS] = table.decide(words[k:k + ROWS])
+        return out
+
+    def changed(self, words: list[str], change: np.ndarray) -> np.ndarray:
+        """``of(words) @ change`` and a row of zeros, block by block, so that the
+        kernels of all words never stand beside it."""
+        out = np.zeros((len(words) + 1, change.shape[1]), np.float32)
+        for k in range(0, len(out), BLOCK):
+            part = self.of(words[k:k + BLOCK])
+            if k + BLOCK >= len(out):
+                part = np.vstack([part, np.zeros((1, self.n), np.float32)])
+            out[k:k + BLOCK] = part @ change
+        return out
 
 
 def _near(words: list[str], landmarks: list[str]) -> list[tuple[float, str]]:
     """(kernel, word) of the words that come near one of the landmarks."""
-    out = []
+    out, kernels = [], Kernels(landmarks)
     for k in range(0, len(words), ROWS):
         part = words[k:k + ROWS]
-        most = _kernels(part, landmarks).max(1, initial=0)
+        most = kernels.of(part).max(1, initial=0)
         out += [(float(v), w) for v, w in zip(most, part) if v >= NEAR]
     return out
 
@@ -418,7 +437,7 @@ class Sentences:
         docs = docs.combine_chunks() if isinstance(docs, pa.ChunkedArray) else docs
         each = docs.flatten()
         words = each.flatten().dictionary_encode()
-        place = words.indices.to_numpy().astype(np.int64)
+        place = words.indices.to_numpy()
         size = np.asarray(pc.list_value_length(each)).astype(np.int64)
         per = np.asarray(pc.list_value_length(docs)).astype(np.int64)
         end = np.concatenate([[0], np.cumsum(size)])
@@ -426,17 +445,20 @@ class Sentences:
         first: dict[tuple, int] = {}
         for i in range(len(docs)):
             a, b = last[i], last[i + 1]
-            first.setdefault((size[a:b].tobytes(), place[end[a]:end[b]].tobytes(), int(y[i])), i)
+            same = hashlib.sha256(size[a:b].tobytes())
+            same.update(place[end[a]:end[b]].tobytes())
+            first.setdefault((b - a, same.digest(), int(y[i])), i)
         keep = np.zeros(len(docs), bool)
         keep[list(first.values())] = True
         some = np.repeat(keep, per)
         place, size, per = place[np.repeat(some, size)], size[some], per[keep]
-        return cls(words.dictionary.to_pylist(), place, np.repeat(np.arange(len(size)), size), np.repeat(np.arange(len(per)), per), y[keep])
+        return cls(words.dictionary.to_pylist(), place, np.repeat(np.arange(len(size), dtype=np.int32), size),
+                   np.repeat(np.arange(len(per), dtype=np.int32), per), y[keep])
 
     def counts(self) -> np.ndarray:
         """(2, words): clean and toxic documents of each word."""
         n = len(self.vocabulary)
-        pair = np.unique(self.doc[self.sentence] * n + self.word)
+        pair = np.unique(self.doc[self.sentence].astype(np.int64) * n + self.word)
         return np.stack([np.bincount(pair[self.y[pair // n] == c] % n, minlength=n) for c in (0, 1)])
 
     def witnesses(self, value: np.ndarray) -> np.ndarray:
@@ -468,6 +490,8 @@ def fit_sentences(docs: pa.Array, y: np.ndarray, landmarks: int = LANDMARKS, max
     if len(y) == 0 or y.min() == y.max():
         return flat
     data = Sentences.of(docs, y)
+    del docs
+    release_memory()
     words = data.vocabulary
     clean, toxic = data.counts()
     gain = _evidence(clean, toxic, float(data.y.mean()))
@@ -483,14 +507,17 @@ def fit_sentences(docs: pa.Array, y: np.ndarray, landmarks: int = LANDMARKS, max
     marks = marks + [w for _, w in most[:max(landmarks - n_toxic, n_toxic)]]
     # rows by place: the words near a landmark, then one row like none of them
     place = {w: i for i, w in enumerate(w for _, w in near)}
-    x = np.vstack([_kernels(list(place), marks), np.zeros((1, len(marks)), np.float32)])
-    row = np.array([place.get(w, len(place)) for w in words], np.int64)
+    del near, most
+    row = np.array([place.get(w, len(place)) for w in words], np.int32)
     gram = kernel(marks, marks)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     keep = values > 1e-3
     whiten = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
-    x = x @ whiten
+    kernels, near = Kernels(marks), list(place)
+    x = kernels.changed(near, whiten)
+    del near, place
     known = set(words)
+    release_memory()
     spelled: dict[str, np.ndarray] = {}
     value = np.where(gain > 0, gain, -1.0) / gain.max()
     value[np.setdiff1d(np.arange(len(words)), seeds)] -= 1.0
@@ -507,7 +534,7 @@ def fit_sentences(docs: pa.Array, y: np.ndarray, landmarks: int = LANDMARKS, max
         neg, n_neg = np.unique(row[witness[~bad]], return_counts=True)
         changed = [v for i in pos for v in _respelled(words[i]) if v not in known]
         fresh = [v for v in dict.fromkeys(changed) if v not in spelled]
-        spelled.update(zip(fresh, _kernels(fresh, marks) @ whiten))
+        spelled.update(zip(fresh, kernels.of(fresh) @ whiten))
         other = np.array([spelled[v] for v in dict.fromkeys(changed)], np.float32).reshape(-1, x.shape[1])
         rows = np.vstack([x[row[pos]], other, x[neg]])
         label = np.concatenate([np.ones(len(pos) + len(other)), -np.ones(len(neg))])
@@ -516,6 +543,9 @@ def fit_sentences(docs: pa.Array, y: np.ndarray, landmarks: int = LANDMARKS, max
         w, b = _svm(rows, label, np.concatenate([n_pos, copies, n_neg]).astype(np.float64))
         value = (x @ w.astype(np.float32) + b)[row]
         machine = Machine(marks, n_toxic, whiten @ w, b)
+        del rows, other
+        release_memory()
+    del x, spelled, known
     exact = machine.decisions(words)
     per = np.full(len(data.y), machine.bias)
     np.maximum.at(per, data.doc[data.sentence], exact[data.word])
@@ -546,7 +576,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
     sample = labelled_sample(docs, labels, label, max_rows).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes)
     rows = map_arrow(sample, cut, "doc_id long, y int, sentences array<array<string>>")
     rows = rows.groupBy("doc_id", "y").agg(F.min("sentences").alias("sentences")).toArrow().sort_by("doc_id")
-    return fit_sentences(rows["sentences"], np.asarray(rows["y"]).astype(np.int64))
+    y = np.asarray(rows["y"]).astype(np.int64)
+    docs = [rows["sentences"].combine_chunks()]
+    del rows
+    release_memory()
+    return fit_sentences(docs.pop(), y)     # popped, so that the fit can let go of them
 
 
 class Scorer:
