@@ -131,9 +131,29 @@ def run_spans(text, lengths: Iterable[int], letter: str = r"\p{L}") -> Column:
     return F.array_distinct(let(runs, lambda r: let(gaps, lambda g: spans(r, g))))
 
 
-def spans_if(text, lengths: Iterable[int], test) -> Column:
+def spans_among(text, keys: Iterable[tuple[int, str, str]]) -> Column:
+    """The distinct ``letter_spans`` among few ``keys`` (number of runs, first run,
+    key): hash lookups in one expression, no test of each run."""
+    keys = sorted(set(keys))
+    single, many = [k for n, _, k in keys if n == 1], [k for n, _, k in keys if n > 1]
+    if not many:
+        return F.array_intersect(letter_runs(text), _constants(single))
+    firsts = sorted(set(first for n, first, _ in keys if n > 1))
+
+    def test(x, opens=False):
+        return x.isin(firsts) if opens else x.isin(many)
+    return spans_if(text, [n for n, _, _ in keys], test, lambda r: F.array_intersect(r, _constants(single)), lambda r: F.arrays_overlap(r, _constants(firsts)))
+
+
+def _constants(words: list[str]) -> Column:
+    return F.array(*[F.lit(w) for w in words]).cast("array<string>")
+
+
+def spans_if(text, lengths: Iterable[int], test, single=None, opens=None) -> Column:
     """The distinct ``letter_spans`` that pass ``test(span)``.  Spans of several
-    runs are built only where the first run passes ``test(run, True)``."""
+    runs are built only where the first run passes ``test(run, True)``.  ``single``
+    gives the runs that pass, ``opens`` whether any opens a span, where there is a
+    cheaper way than to test each."""
     ks = sorted(set(int(k) for k in lengths))
     t = _c(text)
     none = F.array().cast("array<string>")
@@ -157,8 +177,9 @@ def spans_if(text, lengths: Iterable[int], test) -> Column:
         return let(starts, lambda s: F.when(F.size(s) > 0, let(F.split(t, r"\p{L}+", -1), lambda g: spans(s, g))).otherwise(none))
 
     def all_spans(r):
-        one = F.filter(r, lambda x: test(x)) if 1 in ks else none
-        return F.concat(one, several(r)) if ks[-1] > 1 else one
+        one = none if 1 not in ks else single(r) if single else F.filter(F.array_distinct(r), lambda x: test(x))
+        more = F.when(opens(r), several(r)).otherwise(none) if opens else several(r)
+        return F.concat(one, more) if ks[-1] > 1 else one
 
     return F.array_distinct(let(F.regexp_extract_all(t, F.lit(r"\p{L}+"), 0), all_spans))
 
@@ -186,6 +207,21 @@ def required_runs(regex) -> Column:
     return F.when(x.contains("|") | x.rlike(r"[()\[\]]"), F.array().cast("array<string>")).otherwise(F.transform(runs, lambda r: F.lower(r)))
 
 
+def required_letters(regex) -> Column:
+    """The lower-cased sequences of letters a-z that every match of a regex holds,
+    matched in either case, within runs or as whole ones, the longest first: literal
+    letters outside of groups, classes and quantified atoms.  Empty where none is sure."""
+    x = F.regexp_replace(_c(regex), r"\[(?:\\.|[^\]\\])*\]", _OPEN)
+    for _ in range(6):
+        x = F.regexp_replace(x, _GROUP, _OPEN)
+    x = F.regexp_replace(x, r"(?:\\.|[^\\])(?:[*?+]|\{[^}]*\})[?+]?", _OPEN)
+    x = F.regexp_replace(x, r"\\.", _OPEN)
+    runs = F.transform(F.regexp_extract_all(x, F.lit("[a-zA-Z]+"), 0), lambda r: F.lower(r))
+    longest = F.array_sort(F.array_distinct(runs), lambda a, b: F.length(b) - F.length(a))
+    unsure = x.rlike(r"[|()\[\]]") | _c(regex).rlike(r"\(\?[^:]|\\[a-zA-Z0-9]" + r"(?<!\\[bsdwBSDW])")
+    return F.coalesce(F.when(~unsure, longest), F.array().cast("array<string>"))
+
+
 def letter_spans(text, lengths: Iterable[int]) -> Column:
     """``run_spans`` over runs of Unicode letters."""
     return run_spans(text, lengths, r"\p{L}")

@@ -27,11 +27,18 @@ Plan (one pass over the texts, no document x pattern product):
    regex on the text, which stands in the same row: up to MAX_SENT_KEYS keys are
    sent to the texts, so no text is shuffled.  Beyond, key hits are shuffled
    without the text and only candidates are joined back to it.
-4. Patterns without any key are few and travel as one broadcast row.
+   Few keys are looked up as a constant set instead of the bitmap.
+4. Patterns without any key travel as one broadcast row.
+5. Up to MAX_CONSTANT_TESTS patterns that a regex must settle are constants of the
+   plan instead: a regex is compiled once, no text is repeated for it, and it is
+   tried only where its keys and the letters that it requires stand.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +49,10 @@ from labelflow.session import stage
 MAX_SENT_KEYS = 100_000
 #: Bits of the key bitmap: 16 for each key, within these bounds.
 MIN_BITS, MAX_BITS = 1 << 14, 1 << 20
+#: Keys, and patterns with a regex, up to which they are constants of the plan.
+MAX_CONSTANT_KEYS, MAX_CONSTANT_TESTS = 400, 256
+#: Letters other than a-z that match one of them in a regex that ignores case.
+ODD_LETTERS = ("\u017f", "\u0131")
 
 def zone_texts(docs: DataFrame, prefix_rx: str | None = None, window: int = 500,
                title_len: int = 600, zones=("full", "title")) -> DataFrame:
@@ -100,10 +111,33 @@ def pattern_keys(compiled: DataFrame) -> DataFrame:
     return c.select("pattern_id", "code", "zone", F.array_distinct(F.filter(need, lambda k: k != "")).alias("need"), odd.alias("prx"), rx.alias("rx"))
 
 
+def _own(rx: str):
+    """The regex of a pattern without the flags that stand before each."""
+    return F.regexp_replace(rx, r"^\(\?[a-z]+\)", "")
+
+
 def _passes(ztext, prx, rx):
     return F.forall(prx, lambda q: F.regexp_like(ztext, q)) & (rx.isNull() | F.regexp_like(ztext, F.coalesce(rx, F.lit(""))))
 
 
+def _constant_hits(rows, schema):
+    """The (pattern_id, code) of the given patterns that a text holds, from ``ztext``,
+    ``found`` and ``odd`` (whether it has ODD_LETTERS).  Regexes are compiled once, and tried on texts that hold the
+    pattern's keys and the letters that its regex requires."""
+    ztext, hits = F.col("ztext"), []
+    for p in rows:
+        test = F.col("zone") == p["zone"]
+        for k in p["need"]:
+            test = test & F.array_contains("found", k)
+        within = [x for x in p["letters"] or [] if x not in p["need"]]
+        if within:
+            test = test & (functools.reduce(operator.and_, [F.contains(ztext, F.lit(x)) for x in within]) | F.col("odd"))
+        for rx in [*p["prx"], *([p["rx"]] if p["rx"] is not None else [])]:
+            test = test & F.regexp_like(ztext, F.lit(rx))
+        hits.append(F.when(test, F.struct(*[F.lit(p[c]).cast(schema[c].dataType).alias(c) for c in ("pattern_id", "code")])))
+    return F.array_compact(F.array(*hits))
+
+
 def _bitmap(keys: DataFrame, n_keys: int):
     """A test (column, opens) -> bool for "may be a key" and, with ``opens``, "may
     open a key of several runs".  At most MAX_BITS / 64 words reach the driver."""
@@ -130,25 +164,49 @@ def _bitmap(keys: DataFrame, n_keys: int):
     return test
 
 
+def _run_counts(keys: DataFrame) -> dict[int, int]:
+    """Number of letter runs -> number of keys."""
+    return {r["k"]: r["n"] for r in keys.groupBy(F.size(tx.letter_runs(F.col("key"))).alias("k")).agg(F.count("*").alias("n")).collect()}
+
+
+def _held(keys: DataFrame, counts: dict[int, int]):
+    """The keys (or what may be one) that a text holds."""
+    n_keys = sum(counts.values())
+    if n_keys > MAX_CONSTANT_KEYS:
+        return tx.spans_if(F.col("ztext"), counts, _bitmap(keys, n_keys))
+    few = keys.select(F.size(tx.letter_runs(F.col("key"))), F.regexp_extract("key", r"\p{L}+", 0), "key").collect()
+    return tx.spans_among(F.col("ztext"), map(tuple, few))
+
+
 def match(zones: DataFrame, compiled: DataFrame) -> DataFrame:
     """Hits (doc_id, zone, pattern_id, code), one per (document, pattern)."""
     patterns = stage(pattern_keys(compiled), "patterns")
+    out = []
+    # small actions on the pattern table: its size and the run counts of its keys
+    plain = "rx IS NULL AND size(prx) = 0"
+    tested = patterns.where(f"NOT ({plain})")
+    every = tested.select(F.explode("need").alias("key"))
+    n_tested, counts = tested.count(), _run_counts(every)
+    if 0 < n_tested <= MAX_CONSTANT_TESTS and sum(counts.values()) <= MAX_CONSTANT_KEYS:
+        rows = tested.withColumn("letters", tx.required_letters(_own("rx"))).collect()
+        z = zones.withColumn("found", _held(every, counts) if counts else F.array().cast("array<string>"))
+        z = z.withColumn("odd", functools.reduce(operator.or_, [F.contains("ztext", F.lit(x)) for x in ODD_LETTERS]))
+        out.append(z.select("doc_id", "zone", F.explode(_constant_hits(rows, patterns.schema)).alias("p")).select("doc_id", "zone", "p.pattern_id", "p.code"))
+        patterns = patterns.where(plain)
     keyed = patterns.where("size(need) > 0")
     longest = F.array_sort("need", lambda x, y: F.length(y) - F.length(x))
     table = stage(keyed.withColumn("key", F.get(longest, F.lit(0))), "pattern-keys")
     every = keyed.select(F.explode("need").alias("key"))
-    # two small actions on the pattern table: its size and the run counts of its keys
-    lengths = {r["k"]: r["n"] for r in every.groupBy(F.size(tx.letter_runs(F.col("key"))).alias("k")).agg(F.count("*").alias("n")).collect()}
-    n_keys, out = sum(lengths.values()), []
-    if lengths:
-        held = tx.spans_if(F.col("ztext"), lengths, _bitmap(every, n_keys))
-        found = zones.withColumn("found", held).where("size(found) > 0")
+    counts = _run_counts(every)
+    if counts:
+        found = zones.withColumn("found", _held(every, counts)).where("size(found) > 0")
         whole = F.forall("need", lambda k: F.array_contains("found", k))
-        if n_keys <= MAX_SENT_KEYS:
-            rows = found.withColumn("key", F.explode("found")).join(F.broadcast(table), ["zone", "key"])
-            out.append(rows.where(whole).where(_passes(F.col("ztext"), F.col("prx"), F.col("rx"))).select("doc_id", "zone", "pattern_id", "code"))
+        if sum(counts.values()) <= MAX_SENT_KEYS:
+            found = found.drop("ztext") if out else found       # what is left needs no text
+            rows = found.withColumn("key", F.explode("found")).join(F.broadcast(table), ["zone", "key"]).where(whole)
+            rows = rows if out else rows.where(_passes(F.col("ztext"), F.col("prx"), F.col("rx")))
+            out.append(rows.select("doc_id", "zone", "pattern_id", "code"))
         else:
-            plain = "rx IS NULL AND size(prx) = 0"
             rows = found.drop("ztext").withColumn("key", F.explode("found")).join(table, ["zone", "key"]).where(whole)
             rows = stage(rows.select("doc_id", "zone", "pattern_id", "code", "prx", "rx"), "key-hits")
             out.append(rows.where(plain).select("doc_id", "zone", "pattern_id", "code"))
