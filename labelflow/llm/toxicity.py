@@ -83,7 +83,11 @@ PAIRS = 12_000
 ROWS = 5_000
 #: Rows whose kernels are changed to another base together.
 BLOCK = 6_144
+#: Kinds of pieces: without letters, of one or two.
+BLANK, SHORT = 1, 2
 _DROP = re.compile(r"[\W_]+")
+#: The same in many pieces at once, one in a line.
+_DROP_IN_LINES = re.compile(r"(?:[^\w\n]|_)+")
 _REPEAT = re.compile(r"(.)\1{2,}")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[^\W_]{3})")
 
@@ -246,6 +250,8 @@ class Triples:
         for n, ((i, j, k), v) in enumerate(total.items()):
             self.third[self.pair[i, j], k] = n + 1
             self.value[n + 1] = v
+        # one column: the values themselves stand by pair and third letter
+        self.by_pair = self.value[self.third, 0].ravel() if self.flat else None
 
     def index(self, codes: np.ndarray) -> np.ndarray:
         if not len(self.alphabet):
@@ -253,6 +259,27 @@ class Triples:
         at = np.minimum(np.searchsorted(self.alphabet, codes), len(self.alphabet) - 1)
         return np.where(self.alphabet[at] == codes, at, len(self.alphabet))
 
+    def _sums(self, c: np.ndarray) -> np.ndarray:
+        """(words, columns) sum over the triples of letter indices (n, words)."""
+        n, size = c.shape[0], len(self.alphabet) + 1
+        dot = np.zeros((c.shape[1], self.value.shape[1]))
+        for i, j in itertools.combinations(range(n - 1), 2):
+            p = self.pair[c[i], c[j]]
+            if self.flat:   # a letter or pair without a value adds zero
+                p = p * size
+                for q in range(j + 1, n):
+                    dot[:, 0] += self.by_pair.take(p + c[q]) * self.decay ** (q - i + 1)
+                continue
+            some = np.flatnonzero(p)
+            if not len(some):
+                continue
+            p = p[some]
+            for q in range(j + 1, n):
+                t = self.third[p, c[q, some]]
+                hit = np.flatnonzero(t)
+                dot[some[hit]] += self.value[t[hit]] * self.decay ** (q - i + 1)
+        return dot
+
     def decide(self, words: list[str]) -> np.ndarray:
         """Sum of weight * kernel over the landmarks, for each word."""
         out = np.zeros((len(words), self.value.shape[1]))
@@ -267,17 +294,7 @@ class Triples:
                 g, codes, c = (x[..., keep] if x is c else x[keep] for keep in [(c < len(self.alphabet)).sum(0) >= ORDER] for x in (g, codes, c))
                 if not len(g):
                     continue
-                dot = np.zeros((len(g), out.shape[1]))
-                for i, j in itertools.combinations(range(n - 1), 2):
-                    p = self.pair[c[i], c[j]]
-                    some = np.flatnonzero(p)
-                    if not len(some):
-                        continue
-                    p = p[some]
-                    for q in range(j + 1, n):
-                        t = self.third[p, c[q, some]]
-                        hit = np.flatnonzero(t)
-                        dot[some[hit]] += self.value[t[hit]] * self.decay ** (q - i + 1)
+                dot = self._sums(c)
                 some = np.flatnonzero(dot.any(1))
                 if len(some):
                     own = codes[some]
@@ -588,18 +605,36 @@ class Scorer:
 
     def __init__(self, machine: Machine):
         self.machine = machine
-        self.known: dict[str, tuple[float, bool]] = {}
+        #: Place of each known piece in ``value`` (its decision) and ``kind``.
+        self.known: dict[str, int] = {}
+        self.value, self.kind = np.zeros(0), np.zeros(0, np.uint8)
         self.space = np.arange(256, dtype=np.uint8)
         self.space[[9, 10, 11, 12, 13, 28, 29, 30, 31]] = 32
 
     def _learn(self, pieces: list[str]) -> None:
-        plain = [[_DROP.sub("", q) for q in p.lower().split()] for p in pieces]
-        seen = {w: views(w) for p in plain for w in p if w}
-        words = list(dict.fromkeys(v for x in seen.values() for v in x))
-        value = dict(zip(words, self.machine.decisions(words)))
-        for p, parts in zip(pieces, plain):
-            self.known[p] = (max((value[v] for w in parts if w for v in seen[w]), default=-np.inf),
-                             len(parts) == 1 and 0 < len(parts[0]) <= 2)
+        """All pieces are lower-cased and stripped as one text, a line for each."""
+        if not pieces:
+            return
+        plain = _DROP_IN_LINES.sub("", "\n".join(pieces).lower()).split("\n")
+        size = np.fromiter(map(len, plain), np.int64, len(plain))
+        # several words, letters to be cut or repeated: the general way
+        other = _repeats(plain, size) | (size > LONG)
+        other[[i for i, p in enumerate(pieces) if not p.isascii() and len(p.split()) > 1]] = True
+        parts = {i: [_DROP.sub("", q) for q in pieces[i].lower().split()] for i in np.flatnonzero(other).tolist()}
+        seen = {i: [v for w in x if w for v in views(w)] for i, x in parts.items()}
+        one = np.flatnonzero(~other & (size > 0))
+        single = pa.array([BEGIN + plain[i] for i in one.tolist()], pa.string()).dictionary_encode()
+        words = list(dict.fromkeys(itertools.chain(single.dictionary.to_pylist(), *seen.values())))
+        decision = self.machine.decisions(words)
+        value = np.full(len(pieces), -np.inf)
+        value[one] = decision[single.indices.to_numpy()]    # these words come first
+        place = dict(zip(words, decision)) if seen else {}
+        for i, x in seen.items():
+            value[i] = max((place[v] for v in x), default=-np.inf)
+        kind = np.where(size == 0, BLANK, np.where(size <= 2, SHORT, 0)).astype(np.uint8)
+        kind[[i for i, x in parts.items() if len(x) != 1 and size[i] > 0]] = 0
+        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces))))
+        self.value, self.kind = np.concatenate([self.value, value]), np.concatenate([self.kind, kind])
 
     def decisions(self, texts: pa.Array) -> np.ndarray:
         raw, offsets = text_buffer(texts)
@@ -610,33 +645,45 @@ class Scorer:
         new = [v for v in values if v not in self.known]
         if len(self.known) + len(new) > CACHE_ENTRIES:
             self.known, new = {}, values
+            self.value, self.kind = np.zeros(0), np.zeros(0, np.uint8)
         self._learn(new)
-        table = [self.known[v] for v in values]
+        at = np.fromiter(map(self.known.__getitem__, values), np.int64, len(values))
         index = words.indices.to_numpy()
-        value = np.array([t[0] for t in table], np.float64)[index]
+        value = self.value[at][index]
         ends = np.asarray(split.offsets)
         out = np.maximum.reduceat(np.append(value, -np.inf), ends[:-1]) if len(ends) > 1 else np.zeros(0)
-        self._joined(np.array([t[1] for t in table], bool)[index], values, index, ends, out)
+        self._joined(self.kind[at][index], values, index, ends, out)
         return np.where(np.isfinite(out), out, self.machine.bias)
 
-    def _joined(self, short, values, index, ends, out) -> None:
+    def _joined(self, kind, values, index, ends, out) -> None:
         """Runs of three or more short pieces count joined as well; pieces
         without letters in between do not break a run."""
-        bare = [_DROP.sub("", v.lower()) for v in values]
-        at = np.flatnonzero(~np.array([not b for b in bare], bool)[index])
-        one = short[at]
+        at = np.flatnonzero(kind != BLANK)
+        one = kind[at] == SHORT
         row = np.searchsorted(ends, at, side="right") - 1
         start = one & ~np.concatenate([[False], one[:-1] & (row[1:] == row[:-1])])
         stop = one & ~np.concatenate([one[1:] & (row[1:] == row[:-1]), [False]])
         runs = [(a, b) for a, b in zip(np.flatnonzero(start), np.flatnonzero(stop)) if b - a > 1]
         if runs:
-            words = [joined([bare[index[at[k]]] for k in range(a, b + 1)], self.machine.join) for a, b in runs]
+            bare = {k: _DROP.sub("", values[k].lower()) for k in np.unique(index[at[one]]).tolist()}
+            words = [joined([bare[k] for k in index[at[a:b + 1]].tolist()], self.machine.join) for a, b in runs]
             every = list(dict.fromkeys(w for x in words for w in x))
             value = dict(zip(every, self.machine.decisions(every)))
             for (a, _), x in zip(runs, words):
                 out[row[a]] = max(out[row[a]], max((value[w] for w in x), default=-np.inf))
 
 
+def _repeats(words: list[str], size: np.ndarray) -> np.ndarray:
+    """Which words have three or more equal letters in a row."""
+    c = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+    at = np.flatnonzero((c[2:] == c[1:-1]) & (c[1:-1] == c[:-2]))
+    end = np.cumsum(size)
+    of = np.searchsorted(end, at, side="right")
+    out = np.zeros(len(words), bool)
+    out[of[at + 2 < end[of]]] = True
+    return out
+
+
 _SCORERS: dict[bytes, Scorer] = {}
 
 

@@ -157,3 +157,18 @@ def test_scorer_equals_words_of():
     for t, g in zip(texts, got):
         words = toxicity.words_of(re.sub(r"[\t\n\x0b\x0c\r]", " ", t), m.join)
         assert g == pytest.approx(max(m.decisions(words), default=m.bias)), t
+
+
+def test_plain_pieces_are_learned_together(monkeypatch):
+    """Only pieces with repeated letters, many letters or several words go one by one."""
+    seen, views = [], toxicity.views
+    monkeypatch.setattr(toxicity, "views", lambda w: seen.append(w) or views(w))
+    m = toxicity.Machine(["^dimwit", "^σοςσ"], 2, np.array([2.0, 1.0]), -1.0, 1.0, 0.0)
+    odd = ["diiimwit", "dim\u00a0wit", "\u00a0-dimwit", "dimwit\u2003xy", "dimwit" * 9, "a\u2003-", "\u2003\u2003"]
+    plain = ["Dimwit", "dim-wit!", "__", "", "di", "\u03a3\u039f\u03a3\u03a3", "\u03a3\u039f\u03a3", "\u0130dimwit", "d\u200bimwit", "aa", "ab"]
+    s = toxicity.Scorer(m)
+    got = s.decisions(pa.array([f"{p} x{i}" for i, p in enumerate(odd + plain)]))
+    assert len(seen) <= 2 * len(odd)
+    for i, p in enumerate(odd + plain):
+        assert got[i] == pytest.approx(max(m.decisions(toxicity.words_of(f"{p} x{i}", m.join)), default=m.bias)), p
+    assert s.decisions(pa.array(odd + plain))[0] == max(m.decisions(views("diiimwit")))
