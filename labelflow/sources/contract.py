@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 # The column names of the prediction file.
 CONTRACT_COLUMNS = ("doc_id", "code", "score", "predicted", "method")
+#: Cells of one method's grid that a task sorts or aggregates, about.
+CELLS_PER_TASK = 250_000
 
 DEED_SCHEMA = T.StructType([
     T.StructField("doc_id", T.StringType()),
@@ -94,13 +96,29 @@ def key_grid(docs: DataFrame, space: DataFrame) -> DataFrame:
             .select("doc_id", F.explode("_classes").alias("code")))
 
 
+def _tasks(docs: DataFrame, space: DataFrame) -> int:
+    """Partitions that leave CELLS_PER_TASK cells of a method's grid to a task; 0
+    if the session's own parallelism does."""
+    spark = docs.sparkSession
+    n = -(-docs.count() * space.count() // CELLS_PER_TASK)
+    # as many as the session's shuffles have at least, else joins deal the rows anew
+    return max(n, int(spark.conf.get("spark.sql.shuffle.partitions"))) if n > spark.sparkContext.defaultParallelism else 0
+
+
+def dealt_grid(docs: DataFrame, space: DataFrame) -> DataFrame:
+    """``key_grid`` for a join by (doc_id, code): a large one is dealt to tasks of
+    bounded size, so that their sorts do not grow with the table."""
+    grid, n = key_grid(docs, space), _tasks(docs, space)
+    return grid.repartition(n, "doc_id", "code") if n else grid
+
+
 def dense_contract(scores: DataFrame, docs: DataFrame, space: DataFrame, method: str) -> DataFrame:
     """Sparse (doc_id, code, score, predicted) -> dense contract rows of ``method``.
 
     Missing cells mean score 0 and not predicted.
     """
     s = scores.select("doc_id", "code", "score", "predicted")
-    return (key_grid(docs, space).join(s, ["doc_id", "code"], "left")
+    return (dealt_grid(docs, space).join(s, ["doc_id", "code"], "left")
             .select("doc_id", "code",
                     F.coalesce(F.col("score"), F.lit(0.0)).cast("float").alias("score"),
                     F.coalesce(F.col("predicted"), F.lit(False)).alias("predicted"),
@@ -132,22 +150,29 @@ def freeze(df: DataFrame, path: str) -> None:
 def contract_violations(contract: DataFrame, docs: DataFrame, space: DataFrame) -> DataFrame:
     """O-Q1/O-P12: per method, counts of each kind of contract violation.
 
-    One aggregation by (method, doc, code) counts rows, duplicates and distinct
-    valid keys; missing cells are documents x codes minus the latter, so no grid
-    is built."""
+    Rows are dealt by document to tasks of bounded size.  One aggregation by
+    (method, doc, code) counts rows, duplicates and distinct valid keys, and one
+    by (method, doc) adds them up before documents are looked up; missing cells
+    are documents x codes minus the valid keys, so no grid is built."""
+    n = _tasks(docs, space)
+    if n:
+        contract = contract.repartition(n, "doc_id")
     null = F.col("score").isNull() | F.col("predicted").isNull() | F.col("doc_id").isNull() | F.col("code").isNull()
     keys = contract.groupBy("method", "doc_id", "code").agg(
         F.count(F.lit(1)).alias("k"),
         F.sum(F.when((F.col("score") < 0) | (F.col("score") > 1), 1).otherwise(0)).alias("out_of_range"),
         F.sum(F.when(null, 1).otherwise(0)).alias("null_cells"))
-    known = (keys.join(space.select("code", F.lit(1).alias("_c")), "code", "left")
-             .join(docs.select("doc_id", F.lit(1).alias("_d")), "doc_id", "left"))
-    size = docs.agg(F.count(F.lit(1)).alias("_nd")).crossJoin(space.agg(F.count(F.lit(1)).alias("_nc")))   # one row
-    per = known.groupBy("method").agg(
-        F.sum("k").alias("n_rows"), F.sum("out_of_range").alias("out_of_range"), F.sum("null_cells").alias("null_cells"),
+    known = keys.join(F.broadcast(space.select("code", F.lit(1).alias("_c"))), "code", "left")
+    sums = known.groupBy("method", "doc_id").agg(
+        F.sum("k").alias("k"), F.sum("out_of_range").alias("out_of_range"), F.sum("null_cells").alias("null_cells"),
         F.sum(F.when(F.col("k") > 1, 1).otherwise(0)).alias("duplicate_keys"),
-        F.sum(F.when(F.col("_c").isNotNull() & F.col("_d").isNotNull(), 1).otherwise(0)).alias("_valid"),
+        F.sum(F.when(F.col("_c").isNotNull(), 1).otherwise(0)).alias("valid"),
         F.sum(F.when(F.col("_c").isNull(), F.col("k")).otherwise(0)).alias("unknown_code_rows"))
+    by_doc = sums.join(docs.select("doc_id", F.lit(1).alias("_d")), "doc_id", "left")
+    size = docs.agg(F.count(F.lit(1)).alias("_nd")).crossJoin(space.agg(F.count(F.lit(1)).alias("_nc")))   # one row
+    per = by_doc.groupBy("method").agg(
+        F.sum("k").alias("n_rows"), *[F.sum(c).alias(c) for c in ("out_of_range", "null_cells", "duplicate_keys", "unknown_code_rows")],
+        F.sum(F.when(F.col("_d").isNotNull(), F.col("valid")).otherwise(0)).alias("_valid"))
     return per.crossJoin(F.broadcast(size)).select(
         "method", "n_rows", "out_of_range", "null_cells", "duplicate_keys",
         (F.col("_nd") * F.col("_nc") - F.col("_valid")).alias("missing_cells"), "unknown_code_rows")

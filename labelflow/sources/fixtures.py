@@ -96,7 +96,7 @@ class Fixtures:
     def grid(self) -> DataFrame:
         """Dense (doc_id, code, y, u1, u2) over documents x label space."""
         from labelflow.sources import contract
-        keys = contract.key_grid(self.table("documents", "doc_id"), self.label_space)
+        keys = contract.dealt_grid(self.table("documents", "doc_id"), self.label_space)
         t = self.truth.select("doc_id", "code", F.lit(1).alias("y"))
         return (keys.join(t, ["doc_id", "code"], "left")
                 .select("doc_id", "code", F.coalesce("y", F.lit(0)).alias("y"),

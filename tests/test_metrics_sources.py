@@ -126,3 +126,25 @@ def test_named_methods_equal_looked_up_ones(spark):
         assert rows(fn()) == rows(fn(methods=["a", "b"]))
     extra = {(r.method, r.code): (r.tp, r.fp, r.fn) for r in metrics.counts(preds, truth, docs, space, ["a", "z"]).collect()}
     assert extra == {("a", 5): (1, 0, 1), ("a", 6): (0, 1, 0), ("z", 5): (0, 0, 2), ("z", 6): (0, 0, 0)}
+
+
+def test_contract_tasks_do_not_grow_with_the_documents(spark, monkeypatch):
+    """Grid and checks are dealt by size; repeated documents, null ids and unknown
+    codes count as before."""
+    from labelflow.sources import contract
+    monkeypatch.setattr(contract, "CELLS_PER_TASK", 2, raising=False)
+    docs = spark.createDataFrame([(i,) for i in [*range(60), 7]], "doc_id long")
+    space = spark.createDataFrame([(1,), (2,)], "code int")
+    scores = spark.createDataFrame([(1, 1, 0.5, True), (1, 1, 0.25, False), (2, 9, 0.5, True)],
+                                   "doc_id long, code int, score double, predicted boolean")
+    dense = contract.dense_contract(scores, docs, space, "m")
+    n = max(61, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    assert f", {n})" in (plan := dense._jdf.queryExecution().toString()) and "REPARTITION_BY_NUM" in plan
+    rows = sorted((r.doc_id, r.code, r.score) for r in dense.collect())
+    assert len(rows) == 123 and [r for r in rows if r[2]] == [(1, 1, 0.25), (1, 1, 0.5)]
+    odd = spark.createDataFrame([(None, 1, 0.5, True, "m"), (3, 8, 0.5, True, "m"), (99, 1, 2.0, True, "m"), (4, 1, None, True, "m"),
+                                 (5, None, 0.5, True, "m")], "doc_id long, code int, score float, predicted boolean, method string")
+    got = contract.contract_violations(dense.unionByName(odd), docs, space)
+    assert "hashpartitioning(doc_id" in got._jdf.queryExecution().toString() and "REPARTITION_BY_NUM" in got._jdf.queryExecution().toString()
+    # document 7 stands twice, so its rows count for each of the two
+    assert [tuple(r) for r in got.collect()] == [("m", 132, 1, 3, 6, 0, 2)]
