@@ -2,27 +2,32 @@
 hit checks, candidate validation and the merged pattern table.
 
 Tokens are cut once per document and placed by doc_id, in as many partitions as
-the texts need, so that nothing spills.  The n-grams of a batch of documents are
-counted as numbers in an Arrow batch, which leaves one row for each term and set
-of codes of the batch; these are shuffled once, by term.  ``term_counts(term, df,
-tf_sum, by)`` has one row per term, with the documents of each set of codes in the
-array ``by``, so the vocabulary is a filter of it and chi-squared needs no join.
-Best terms are first chosen within a task.  TF-IDF takes a second pass, whose norms
-are sums in a document's own partition.  The vocabulary has no cap unless
-``max_features`` is given.
+the texts need, so that nothing spills.  The n-grams of a batch of documents, a
+piece, are counted as numbers in Arrow and travel once, packed: to each part of the
+hash range one row of the piece's terms there, each with the documents that hold it
+as small numbers.  ``term_counts(term, df, tf_sum, by)`` has one row per term, with
+the documents of each set of codes in the array ``by``, so the vocabulary is a
+filter of it and chi-squared needs no join.  ``term_index`` keeps from the same pass
+which documents hold a term, with a term's number in place of its text.  TF-IDF needs
+no second look at the texts: those numbers are restricted to the vocabulary in their
+part and go back to their piece, where documents are whole and have their norms; sums
+by term and set of codes travel packed, too.  Best terms are first chosen within a
+task.  The vocabulary has no cap unless ``max_features`` is given.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pandas.util import hash_array
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from labelflow.functions import text as tx
 from labelflow.functions.stopwords import DUTCH_STOPWORDS
@@ -54,9 +59,14 @@ def text_parts(docs: DataFrame) -> int:
 
 
 def doc_tokens(docs: DataFrame, stopwords: Sequence[str] = DUTCH_STOPWORDS) -> DataFrame:
-    """The columns of ``docs`` with the tokens in place of the text, by doc_id."""
+    """The columns of ``docs`` with the tokens, joined by spaces, in place of the text, by doc_id."""
     keep = [c for c in docs.columns if c != "text"]
-    return docs.select(*keep, tx.mining_tokens(F.col("text"), stopwords).alias("_tokens")).repartition(text_parts(docs), "doc_id")
+    return docs.select(*keep, _joined_tokens(stopwords).alias("_tokens")).repartition(text_parts(docs), "doc_id")
+
+
+def _joined_tokens(stopwords: Sequence[str]):
+    """Tokens, which hold no space, as one string: an array of them takes twice the bytes."""
+    return F.array_join(tx.mining_tokens(F.col("text"), stopwords), " ")
 
 
 def token_grams(tokens: DataFrame, n_max: int = 3) -> DataFrame:
@@ -76,22 +86,26 @@ def _ints(column) -> np.ndarray:
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches cut between rows after about PIECE_TOKENS tokens."""
     for b in batches:
-        lists = b.column("_tokens")
-        row = np.repeat(np.arange(len(b)), _ints(lists.value_lengths()))
-        size = np.bincount(row, weights=_ints(lists.flatten().value_lengths()), minlength=len(b))
+        texts = b.column("_tokens")
+        row = np.repeat(np.arange(len(b)), _ints(texts.value_lengths()))
+        size = np.bincount(row, weights=_ints(pc.count_substring(texts.flatten(), " ")) + 1, minlength=len(b))
         cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(size) // PIECE_TOKENS)) + 1), len(b)]
         yield from (b.slice(x, y - x) for x, y in zip(cuts, cuts[1:]) if y > x)
 
 
 def _gram_counts(tokens: pa.ListArray, n_max: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each n the texts of the n-grams in ``tokens`` (rows of token lists), their
-    hashes, and (number of the text, row, count) of those that a row holds."""
-    lists = tokens.flatten()
+    """For each n the texts of the n-grams in ``tokens`` (rows of texts of joined tokens),
+    word by word in order, their hashes, and (number of the text, row, count) of those
+    that a row holds, in this order."""
+    lists = pc.split_pattern(tokens.flatten(), " ")
     lengths = _ints(lists.value_lengths())
     row = np.repeat(np.repeat(np.arange(len(tokens)), _ints(tokens.value_lengths())), lengths)
     part = np.repeat(np.arange(len(lists)), lengths)    # no n-gram runs from one list into the next
-    coded = lists.flatten().dictionary_encode()
-    word, words = _ints(coded.indices), coded.dictionary
+    held = _ints(pc.binary_length(lists.flatten())) > 0     # a text without tokens is split into one empty string
+    row, part = row[held], part[held]
+    coded = lists.flatten().filter(pa.array(held)).dictionary_encode()
+    order = _ints(pc.sort_indices(coded.dictionary))
+    word, words = np.argsort(order)[_ints(coded.indices)], coded.dictionary.take(pa.array(order))
     hashes = word_hashes = hash_array(np.array(words.to_pylist(), object), categorize=False)
     gram, texts, start = word, words, np.arange(len(word))
     for n in range(1, n_max + 1):
@@ -139,85 +153,195 @@ def corpus_size(docs: DataFrame) -> DataFrame:
 
 def coded_tokens(docs: DataFrame, truth: DataFrame, codes: DataFrame, stopwords: Sequence[str]) -> DataFrame:
     """(doc_id, codes, _tokens), one row per document: the array of its codes (of
-    ``codes``) and the token lists of its texts, from one shuffle."""
-    t = docs.select("doc_id", tx.mining_tokens(F.col("text"), stopwords).alias("_t"), F.lit(None).cast("int").alias("_c"))
+    ``codes``) and the joined tokens of its texts, from one shuffle; in an order that
+    a task run again repeats."""
+    t = docs.select("doc_id", _joined_tokens(stopwords).alias("_t"), F.lit(None).cast("int").alias("_c"))
     y = (restrict_to_space(truth, codes.select("code").distinct()).where("doc_id IS NOT NULL")
-         .select("doc_id", F.lit(None).cast("array<string>").alias("_t"), F.col("code").cast("int").alias("_c")))
+         .select("doc_id", F.lit(None).cast("string").alias("_t"), F.col("code").cast("int").alias("_c")))
     return (t.unionByName(y).repartition(text_parts(docs), "doc_id")
-            .groupBy("doc_id").agg(F.array_sort(F.collect_set("_c")).alias("codes"), F.collect_list("_t").alias("_tokens"))
-            .where("size(_tokens) > 0"))
+            .groupBy("doc_id").agg(F.array_sort(F.collect_set("_c")).alias("codes"), F.array_sort(F.collect_list("_t")).alias("_tokens"))
+            .where("size(_tokens) > 0").sortWithinPartitions("doc_id"))
+
+
+TERM = "term string, df bigint, tf_sum bigint, by array<struct<codes: array<int>, value: double>>"
+PIECE = "docs {}, sets array<string>, starts array<int>"
+CELLS = "part int, piece bigint, n_terms bigint, n_pairs bigint, nums binary"
 
 
 def term_counts(docs: DataFrame, truth: DataFrame, codes: DataFrame, stopwords: Sequence[str] = DUTCH_STOPWORDS,
-                n_max: int = 3) -> DataFrame:
+                n_max: int = 3, min_df: int | None = None) -> DataFrame:
     """(term, df, tf_sum, by): documents and occurrences of each term, and in the
     array ``by`` its documents by their set of codes, from one pass over the texts.
+    With ``min_df`` only the terms of so many documents, and the other rows of
+    ``term_index``.
 
-    The terms of a batch of documents travel packed, one row for each part of the
-    hash range, and a part is added up where its rows meet."""
+    The terms of a piece travel packed, one row for each part of the hash range, and
+    a part is added up where its rows meet."""
     parts = text_parts(docs)
+    ids = docs.schema["doc_id"].dataType
+    piece = PIECE.format(ArrayType(ids).simpleString())
+    packed = f"part int, piece bigint, n_sets bigint, n_terms bigint, n_pairs bigint, n_bytes bigint, terms binary, nums binary, {piece}"
+    out = TERM if min_df is None else f"{TERM}, term_id bigint, {CELLS}, {piece}"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _pieces(batches):
-            sets: dict[str, int] = {}
-            own = np.array([sets.setdefault(",".join(map(str, c)), len(sets)) for c in b.column("codes").to_pylist()], np.int64)
-            for texts, hashes, gram, row, tf in _gram_counts(b.column("_tokens"), n_max):
-                cell, at = np.unique(gram * len(sets) + own[row], return_inverse=True)
-                gram, of = cell // len(sets), cell % len(sets)
-                cells = np.stack([of, np.bincount(at), np.bincount(at, weights=tf).astype(np.int64)])
-                part = ((hashes >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)[gram]
-                order = np.argsort(part, kind="stable")
-                ends = np.searchsorted(part[order], np.arange(parts + 1))
-                for p in np.flatnonzero(np.diff(ends)):
-                    some = order[ends[p]:ends[p + 1]]
-                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([list(sets)], pa.list_(pa.string())),
-                                                      *_packed(texts.take(pa.array(gram[some])), cells[:, some])], PACKED)
+        for i, b in enumerate(_pieces(batches)):
+            number = (TaskContext.get().partitionId() << 32) + i
+            keys = np.array([",".join(map(str, c)) for c in b.column("codes").to_pylist()])
+            sets, own = np.unique(keys, return_inverse=True)
+            by_set = np.argsort(own, kind="stable")     # documents are numbered set by set
+            starts = np.searchsorted(own[by_set], np.arange(len(sets)))
+            if min_df is not None:
+                yield pa.RecordBatch.from_pydict({"part": [number % parts], "piece": [number], "docs": pa.ListArray.from_arrays(
+                    pa.array([0, len(b)], pa.int32()), b.column("doc_id").take(pa.array(by_set))),
+                    "sets": [sets.tolist()], "starts": [starts.tolist()]})
+            found = [*_gram_counts(b.column("_tokens"), n_max)]
+            if not found:
+                continue
+            first = np.cumsum([0, *(len(x[0]) for x in found)])
+            texts = pa.concat_arrays([x[0] for x in found])
+            part = ((np.concatenate([x[1] for x in found]) >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+            gram = np.concatenate([x[2] + f for x, f in zip(found, first)])
+            row, tf = np.argsort(by_set)[np.concatenate([x[3] for x in found])], np.concatenate([x[4] for x in found])
+            del found
+            held, order, pairs = np.bincount(gram), np.argsort(part, kind="stable"), np.argsort(part[gram], kind="stable")
+            ends = np.searchsorted(part[order], np.arange(parts + 1))
+            pair_ends = np.append(0, np.cumsum(held[order]))[ends]
+            rows = []
+            for p in np.flatnonzero(np.diff(ends)):
+                some, of = order[ends[p]:ends[p + 1]], pairs[pair_ends[p]:pair_ends[p + 1]]
+                text = "\n".join([*sets, *texts.take(pa.array(some)).to_pylist()]).encode()
+                rows.append((p, number, len(sets), len(some), len(of), len(text), _zip(text), _numbers(starts, held[some], row[of], tf[of])))
+            yield pa.RecordBatch.from_pydict(dict(zip(("part", "piece", "n_sets", "n_terms", "n_pairs", "n_bytes", "terms", "nums"), zip(*rows))))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_part: dict[int, list[dict]] = {}
         for b in batches:
-            for r in b.to_pylist():
+            if len(own := b.filter(pc.is_valid(b["docs"]))):
+                yield pa.RecordBatch.from_pydict({"piece": own["piece"], "docs": own["docs"], "sets": own["sets"], "starts": own["starts"]})
+            for r in b.filter(pc.is_valid(b["terms"])).select(PACKED).to_pylist():
                 by_part.setdefault(r["part"], []).append(r)
         while by_part:
-            for b in _added(by_part.popitem()[1]).to_batches(max_chunksize=1 << 15):
-                yield b
+            yield from _added(*by_part.popitem(), min_df)
+
+    def whole(make: Callable, names: list[str]) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            id_type = []
+
+            def seen():
+                for b in batches:
+                    id_type[:] = [b.schema.field("doc_id").type if "doc_id" in b.schema.names else b.schema.field("docs").type.value_type]
+                    yield b
+
+            for x in make(seen()):
+                kinds = TYPES | {"docs": pa.list_(id_type[0])}
+                yield pa.RecordBatch.from_arrays([x[c].cast(kinds[c]) if c in x.schema.names else pa.nulls(len(x), kinds[c]) for c in names], names)
+        return run
+
+    rows = coded_tokens(docs, truth, codes, stopwords).mapInArrow(whole(count, [*PACKED, *PIECE_COLUMNS]), packed)
+    names = ["term", "df", "tf_sum", "by"] + ([] if min_df is None else ["term_id", *CELL_COLUMNS, *PIECE_COLUMNS])
+    return rows.repartition(parts, "part").mapInArrow(whole(add, names), out)
+
+
+PACKED = ["part", "piece", "n_sets", "n_terms", "n_pairs", "n_bytes", "terms", "nums"]
+CELL_COLUMNS = ["part", "piece", "n_terms", "n_pairs", "nums"]
+PIECE_COLUMNS = ["docs", "sets", "starts"]
+TYPES = {"part": pa.int32(), "terms": pa.binary(), "nums": pa.binary(), "sets": pa.list_(pa.string()), "starts": pa.list_(pa.int32()), "term": pa.string(),
+         "by": pa.list_(pa.struct([("codes", pa.list_(pa.int32())), ("value", pa.float64())])),
+         **dict.fromkeys(["piece", "n_sets", "n_terms", "n_pairs", "n_bytes", "df", "tf_sum", "term_id"], pa.int64())}
+#: A term's id is the number of its part, then in so many bits its number there.
+TERM_BITS = 32
+
+
+def _zip(data: bytes) -> bytes:
+    return pa.compress(data, "zstd", asbytes=True)
 
-    rows = coded_tokens(docs, truth, codes, stopwords).mapInArrow(
-        count, "part int, sets array<string>, n_terms bigint, n_bytes bigint, terms binary, cells binary")
-    return rows.repartition(parts, "part").mapInArrow(
-        add, "term string, df bigint, tf_sum bigint, by array<struct<codes: array<int>, value: double>>")
 
+def _numbers(*columns: np.ndarray) -> bytes:
+    """Columns of small numbers, compressed byte by byte."""
+    return _zip(b"".join(c.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes() for c in columns))
 
-PACKED = ["part", "sets", "n_terms", "n_bytes", "terms", "cells"]
+
+def _columns(data: bytes, *lengths: int) -> list[np.ndarray]:
+    """The columns that ``_numbers`` packed."""
+    raw, out, at = np.frombuffer(pa.decompress(data, 4 * sum(lengths), "zstd", asbytes=True), np.uint8), [], 0
+    for n in lengths:
+        out.append(raw[at:at + 4 * n].reshape(4, n).T.copy().view("<i4").reshape(n).astype(np.int64))
+        at += 4 * n
+    return out
 
 
-def _packed(terms: pa.Array, cells: np.ndarray) -> list[pa.Array]:
-    """Terms, which hold no line feed, and their columns of small numbers, compressed."""
-    text = "\n".join(terms.to_pylist()).encode()
-    pack = lambda x: pa.array([pa.compress(x, "zstd", asbytes=True)], pa.binary())
-    return [pa.array([len(terms)]), pa.array([len(text)]), pack(text), pack(cells.astype(np.int32).tobytes())]
+def _ranges(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers from each ``first`` on, ``length`` of them."""
+    return np.repeat(first - np.cumsum(length) + length, length) + np.arange(length.sum())
 
 
-def _added(rows: list[dict]) -> pa.Table:
-    """``term_counts`` of the packed rows of one part."""
+def _added(part: int, rows: list[dict], min_df: int | None) -> Iterator[pa.RecordBatch]:
+    """``term_counts`` of the packed rows of one part; with ``min_df`` those of the terms
+    kept, and the rows again, with the numbers of these terms."""
     sets: dict[str, int] = {}
-    terms, cells = [], []
+    terms, held, cells, tfs = [], [], [], []
+    rows.sort(key=lambda r: r["piece"])     # so that a task run again gives the same numbers
     for r in rows:
-        text = pa.decompress(r["terms"], r["n_bytes"], "zstd", asbytes=True).decode()
-        terms.append(pa.array(text.split("\n"), pa.large_string()))
-        c = np.frombuffer(pa.decompress(r["cells"], 12 * r["n_terms"], "zstd", asbytes=True), np.int32).reshape(3, -1).astype(np.int64)
-        c[0] = np.array([sets.setdefault(x, len(sets)) for x in r["sets"]], np.int64)[c[0]]
-        cells.append(c)
+        text = pa.decompress(r["terms"], r["n_bytes"], "zstd", asbytes=True).decode().split("\n")
+        terms.append(pa.array(text[r["n_sets"]:], pa.large_string()))
+        starts, n, row, tf = _columns(r["nums"], r["n_sets"], r["n_terms"], r["n_pairs"], r["n_pairs"])
+        own = np.array([sets.setdefault(x, len(sets)) for x in text[:r["n_sets"]]], np.int64)
+        held.append(n)
+        cells.append(own[np.searchsorted(starts, row, "right") - 1])
+        tfs.append(tf)
+        r["terms"] = None
     coded = pa.chunked_array(terms).combine_chunks().dictionary_encode()
-    of, df, tf = np.concatenate(cells, axis=1)
+    del terms
     term = _ints(coded.indices)
-    cell, at = np.unique(term * len(sets) + of, return_inverse=True)
-    df_cell, term_cell = np.bincount(at, weights=df), cell // len(sets)
+    pair_term = np.repeat(term, np.concatenate(held))
+    tf_sum = np.bincount(pair_term, weights=np.concatenate(tfs)).astype(np.int64)
+    cell, df_cell = np.unique(pair_term * len(sets) + np.concatenate(cells), return_counts=True)
+    del cells, tfs, pair_term
+    term_cell = cell // len(sets)
+    df = np.bincount(term_cell, weights=df_cell).astype(np.int64)
+    kept = np.full(len(df), True) if min_df is None else df >= min_df
+    mine = kept[term_cell]
     kinds = pa.array([[int(x) for x in k.split(",") if x] for k in sets], pa.list_(pa.int32()))
-    of_set = pa.StructArray.from_arrays([kinds.take(pa.array(cell % len(sets))), pa.array(df_cell)], ["codes", "value"])
-    ends = np.searchsorted(term_cell, np.arange(len(coded.dictionary) + 1)).astype(np.int32)
-    return pa.table({"term": coded.dictionary.cast(pa.string()), "df": np.bincount(term_cell, weights=df_cell).astype(np.int64),
-                     "tf_sum": np.bincount(term, weights=tf).astype(np.int64), "by": pa.ListArray.from_arrays(pa.array(ends), of_set)})
+    of_set = pa.StructArray.from_arrays([kinds.take(pa.array(cell[mine] % len(sets))), pa.array(df_cell[mine].astype(np.float64))], ["codes", "value"])
+    ends = np.searchsorted(term_cell[mine], np.append(np.flatnonzero(kept), len(kept))).astype(np.int32)
+    if min_df is not None:
+        number = np.cumsum(kept) - 1
+        at = np.cumsum([0, *map(len, held)])
+        seen = []
+        for r, n, a, z in zip(rows, held, at, at[1:]):
+            of = np.flatnonzero(kept[term[a:z]])
+            if len(of):
+                of = of[np.argsort(number[term[a:z][of]])]
+                _, _, row, tf = _columns(r["nums"], r["n_sets"], r["n_terms"], r["n_pairs"], r["n_pairs"])
+                pairs = _ranges(np.cumsum(n)[of] - n[of], n[of])
+                seen.append((part, r["piece"], len(of), len(pairs), _numbers(np.diff(number[term[a:z][of]], prepend=0), n[of], row[pairs], tf[pairs])))
+        if seen:
+            yield pa.RecordBatch.from_pydict(dict(zip(CELL_COLUMNS, zip(*seen))))
+    table = {"term": coded.dictionary.filter(pa.array(kept)).cast(pa.string()), "df": df[kept], "tf_sum": tf_sum[kept], "by": pa.ListArray.from_arrays(pa.array(ends), of_set)}
+    if min_df is not None:
+        table["term_id"] = (part << TERM_BITS) + np.arange(kept.sum())
+    yield from pa.table(table).to_batches(max_chunksize=1 << 15)
+
+
+@dataclass
+class TermIndex:
+    """``terms``: (term_id, term, df, tf_sum, by); ``seen``: packed (part, piece) rows of the
+    terms' numbers, documents and tf; ``pieces``: the documents of a piece."""
+    terms: DataFrame
+    seen: DataFrame
+    pieces: DataFrame
+    parts: int
+
+
+def term_index(docs: DataFrame, truth: DataFrame, codes: DataFrame, stopwords: Sequence[str] = DUTCH_STOPWORDS,
+               n_max: int = 3, min_df: int = MIN_DF) -> TermIndex:
+    """O-N1 and ``term_counts`` from one pass over the texts, staged: the terms of at least
+    ``min_df`` documents with their counts, and the (doc_id, term, tf) of these, packed by
+    piece and part with numbers for terms and documents."""
+    rows = stage(term_counts(docs, truth, codes, stopwords, n_max, min_df), "terms")
+    return TermIndex(rows.where("term_id IS NOT NULL").select("term_id", "term", "df", "tf_sum", "by"),
+                     rows.where("nums IS NOT NULL").select("part", "piece", "n_terms", "n_pairs", "nums"),
+                     rows.where("docs IS NOT NULL").select("piece", "docs", "sets", "starts"), text_parts(docs))
 
 
 def vocabulary(counts: DataFrame, n_docs: DataFrame, min_df: int = MIN_DF, max_df: float = MAX_DF,
@@ -231,25 +355,129 @@ def vocabulary(counts: DataFrame, n_docs: DataFrame, min_df: int = MIN_DF, max_d
             .drop("n_docs"))
     if max_features is not None:
         kept = kept.orderBy(F.col("tf_sum").desc(), F.col("term").asc()).limit(max_features)
+    if "term_id" in counts.columns:     # a ``term_index`` has them on disk
+        return kept if max_features is None else stage(kept, "vocabulary")
     return stage(kept.withColumn("term_id", F.monotonically_increasing_id()), "vocabulary")
 
 
-def restrict_to_vocab(dt: DataFrame, vocab: DataFrame, parts: int | None = None) -> DataFrame:
-    """Keep (doc, term) rows of vocabulary terms, with their id and df; shuffled
-    into ``parts`` partitions by term if given."""
-    v = vocab.select("term", "term_id", "df")
-    return dt.join(v, "term") if parts is None else dt.repartition(parts, "term").join(v.repartition(parts, "term"), "term")
+def restrict_to_vocab(index: TermIndex, vocab: DataFrame) -> DataFrame:
+    """Keep the (doc_id, term, tf) of vocabulary terms, with their id and df: one row
+    (piece, docs, sets, starts, cells) per piece, whose cells are packed by part.
+    ``vocab``: any of the terms of the index, with their ``term_id``."""
+    parts = index.parts
+    low = np.int64((1 << TERM_BITS) - 1)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            number, df = _ints(b["term_id"]), _ints(b["df"])
+            order = np.argsort(number)
+            number, df = number[order], df[order]
+            part, first = np.unique(number >> TERM_BITS, return_index=True)
+            rows = [(p, z - a, _numbers(number[a:z] & low, df[a:z])) for p, a, z in zip(part, first, [*first[1:], len(number)])]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary()))], ["part", "n", "nums"])
+
+    def look_up(seen: pa.Table, known: pa.Table) -> pa.Table:
+        rows = []
+        got = [_columns(r["nums"], r["n"], r["n"]) for r in known.to_pylist()]
+        if got and len(seen):
+            number, df = (np.concatenate(x) for x in zip(*got))
+            order = np.argsort(number)
+            number, df = number[order], df[order]
+            for r in seen.to_pylist():
+                step, held, row, tf = _columns(r["nums"], r["n_terms"], r["n_terms"], r["n_pairs"], r["n_pairs"])
+                mine = np.cumsum(step)
+                at = np.minimum(np.searchsorted(number, mine), len(number) - 1)
+                of = np.flatnonzero(number[at] == mine)
+                if len(of):
+                    pairs = _ranges(np.cumsum(held)[of] - held[of], held[of])
+                    rows.append((r["part"], r["piece"], len(of), len(pairs), _numbers(
+                        np.diff(mine[of], prepend=0), df[at[of]], held[of], row[pairs], tf[pairs])))
+        return pa.table([pa.array([r[i] for r in rows], TYPES[c]) for i, c in enumerate(CELL_COLUMNS)], CELL_COLUMNS)
+
+    known = vocab.select("term_id", "df").mapInArrow(pack, "part int, n bigint, nums binary").repartition(parts, "part")
+    cells = (index.seen.repartition(parts, "part").groupBy("part").cogroup(known.groupBy("part")).applyInArrow(look_up, CELLS)
+             .select("piece", F.struct("part", "n_terms", "n_pairs", "nums").alias("_cells")))
+    pieces = index.pieces.select("*", F.lit(None).cast(cells.schema["_cells"].dataType).alias("_cells"))
+    own = [F.first(c, ignorenulls=True).alias(c) for c in PIECE_COLUMNS]
+    return (pieces.unionByName(cells, allowMissingColumns=True).repartition(parts, "piece").groupBy("piece")
+            .agg(*own, F.collect_list("_cells").alias("cells")))
+
+
+def _weights(piece: dict) -> tuple[list[tuple], np.ndarray]:
+    """Of a piece of ``restrict_to_vocab`` (part, numbers of the terms, number of the
+    document, w before the norm) by part, and the norms of its documents."""
+    found, norm = [], np.zeros(len(piece["docs"]))
+    for c in piece["cells"]:
+        step, df, held, row, tf = _columns(c["nums"], *[c["n_terms"]] * 3, *[c["n_pairs"]] * 2)
+        w = tf * np.repeat(np.log((1 + piece["n_docs"]) / (1 + df)) + 1, held)
+        norm += np.bincount(row, w * w, minlength=len(norm))
+        found.append((c["part"], np.repeat(np.cumsum(step), held), row, w))
+    return found, np.sqrt(norm)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for b in batches:
+        for i in range(len(b)):
+            yield {c: x[i].as_py() if c != "docs" else x[i].values for c, x in zip(b.schema.names, b.columns)}
+
+
+def tfidf(dt_vocab: DataFrame, n_docs: DataFrame) -> DataFrame:
+    """O-N3: (doc_id, term_id, w) with w = tf * (ln((1+N)/(1+df)) + 1), L2-normalised
+    per document; a document's terms are in its piece, and so is the norm."""
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in _rows(batches):
+            found, norm = _weights(piece)
+            for part, number, row, w in found:
+                yield pa.RecordBatch.from_arrays([piece["docs"].take(pa.array(row)), pa.array((part << TERM_BITS) + number),
+                                                  pa.array(w / norm[row])], ["doc_id", "term_id", "w"])
+
+    id_type = dt_vocab.schema["docs"].dataType.elementType.simpleString()
+    return dt_vocab.crossJoin(F.broadcast(n_docs)).mapInArrow(weigh, f"doc_id {id_type}, term_id bigint, w double")   # one row
 
 
-def tfidf(dt_vocab: DataFrame, n_docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """O-N3: w = tf * (ln((1+N)/(1+df)) + 1), L2-normalised per document; the
-    norm is a sum over the document's rows, where they are (in ``parts``
-    partitions if given)."""
-    w = F.col("tf") * (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1)
-    x = dt_vocab.crossJoin(F.broadcast(n_docs)).withColumn("_w", w).drop("n_docs", "tf", "df")   # one row
-    x = x if parts is None else x.repartition(parts, "doc_id")
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("doc_id")))
-    return x.withColumn("w", F.col("_w") / norm).drop("_w")
+def _set_sums(dt_vocab: DataFrame, n_docs: DataFrame, parts: int) -> DataFrame:
+    """(term_id, s_tot, by): the sums of ``tfidf`` over all documents and, in ``by``, over
+    those of each set of codes; a piece's sums travel packed to the part of the terms."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in _rows(batches):
+            found, norm = _weights(piece)
+            sets, starts, rows = piece["sets"], np.array(piece["starts"]), []
+            for part, number, row, w in found:
+                cell, at = np.unique(number * len(sets) + np.searchsorted(starts, row, "right") - 1, return_inverse=True)
+                own, of = np.unique(cell % len(sets), return_inverse=True)
+                rows.append((part, piece["piece"], [sets[i] for i in own], len(cell), _numbers(np.diff(cell // len(sets), prepend=0), of),
+                             np.bincount(at, w / norm[row]).tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_part: dict[int, list[dict]] = {}
+        for b in batches:
+            for r in b.to_pylist():
+                by_part.setdefault(r["part"], []).append(r)
+        while by_part:
+            part, rows = by_part.popitem()
+            sets: dict[str, int] = {}
+            cells, values = [], []
+            for r in sorted(rows, key=lambda r: r["piece"]):
+                step, of = _columns(r["nums"], r["n"], r["n"])
+                cells.append((np.cumsum(step), np.array([sets.setdefault(x, len(sets)) for x in r["sets"]], np.int64)[of]))
+                values.append(np.frombuffer(r["sums"]))
+            number, of = (np.concatenate(x) for x in zip(*cells))
+            cell, at = np.unique(number * len(sets) + of, return_inverse=True)
+            value = np.bincount(at, np.concatenate(values))
+            term, first = np.unique(cell // len(sets), return_index=True)
+            kinds = pa.array([[int(x) for x in k.split(",") if x] for k in sets], pa.list_(pa.int32()))
+            by = pa.StructArray.from_arrays([kinds.take(pa.array(cell % len(sets))), pa.array(value)], ["codes", "value"])
+            table = pa.table({"term_id": (part << TERM_BITS) + term, "s_tot": np.add.reduceat(value, first),
+                              "by": pa.ListArray.from_arrays(pa.array(np.append(first, len(cell)).astype(np.int32)), by)})
+            yield from table.to_batches(max_chunksize=1 << 15)
+
+    names, kinds = ["part", "piece", "sets", "n", "nums", "sums"], [pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int64(), pa.binary(), pa.binary()]
+    packed = dt_vocab.crossJoin(F.broadcast(n_docs)).mapInArrow(   # one row
+        add, "part int, piece bigint, sets array<string>, n bigint, nums binary, sums binary")
+    return packed.repartition(parts, "part").mapInArrow(merge, "term_id bigint, s_tot double, by array<struct<codes: array<int>, value: double>>")
 
 
 def _code_sizes(truth: DataFrame, docs: DataFrame, codes: DataFrame, n_docs: DataFrame) -> DataFrame:
@@ -319,14 +547,14 @@ def _near_top(rows: DataFrame, key: str, total: str, sizes: DataFrame, score: Ca
 
 
 def mine_tfidf(docs: DataFrame, vocab: DataFrame, truth: DataFrame, codes: DataFrame, n_docs: DataFrame,
-               k: int = TOP_K, stopwords: Sequence[str] = DUTCH_STOPWORDS, n_max: int = 3) -> DataFrame:
+               k: int = TOP_K, stopwords: Sequence[str] = DUTCH_STOPWORDS, n_max: int = 3, index: TermIndex | None = None) -> DataFrame:
     """O-N4: per code the top-k terms by mean TF-IDF over positive documents
-    minus mean over negative documents, keeping differences > 0."""
-    parts = text_parts(docs)
-    dt = restrict_to_vocab(_count_terms(coded_tokens(docs, truth, codes, stopwords), n_max), vocab, parts).drop("term")
-    w = tfidf(dt, n_docs, parts).select("term_id", "codes", "w").repartition(parts, "term_id")
-    sums = (w.groupBy("term_id", "codes").agg(F.sum("w").alias("value"))
-            .groupBy("term_id").agg(F.sum("value").alias("s_tot"), F.collect_list(F.struct("codes", "value")).alias("by")))
+    minus mean over negative documents, keeping differences > 0.  ``index`` is the
+    one of ``docs`` and ``truth`` that ``vocab`` was taken from, if there is one."""
+    if index is None:
+        index = term_index(docs, truth, codes, stopwords, n_max, min_df=1)
+        vocab = index.terms.select("term_id", "term").join(vocab.select("term", "df"), "term")
+    sums = _set_sums(restrict_to_vocab(index, vocab), n_docs, index.parts)
     sizes = materialize(_code_sizes(truth, docs, codes, n_docs).where(
         (F.col("n_pos") >= MIN_POSITIVES) & (F.col("n_docs") - F.col("n_pos") > 0)))
     near = _near_top(sums, "term_id", "s_tot", sizes, lambda s, tot, n1, n: s / n1 - (tot - s) / (n - n1), k)

@@ -26,29 +26,28 @@ class MinedFixture:
         self.docs = materialize(stripped_docs(self.fx).join(train, "doc_id", "left_semi"))
         self.dt = mining.doc_terms(self.docs)
         self.n = mining.corpus_size(self.docs)
-        self.parts = mining.text_parts(self.docs)
         self.truth = materialize(self.fx.truth)
         self.codes = materialize(self.fx.label_space.select("code"))
 
     @cached_property
-    def counts(self):
-        return mining.term_counts(self.docs, self.truth, self.codes)
+    def index(self):
+        return mining.term_index(self.docs, self.truth, self.codes)
 
     @cached_property
     def vocab(self):
-        return mining.vocabulary(self.counts, self.n)
+        return mining.vocabulary(self.index.terms, self.n)
 
     @property
     def dtv(self):
-        return mining.restrict_to_vocab(self.dt, self.vocab, self.parts)
+        return mining.restrict_to_vocab(self.index, self.vocab)
 
     @property
     def weights(self):
-        return mining.tfidf(self.dtv, self.n, self.parts)
+        return mining.tfidf(self.dtv, self.n)
 
     @cached_property
     def tfidf_top(self):
-        return materialize(mining.mine_tfidf(self.docs, self.vocab, self.truth, self.codes, self.n))
+        return materialize(mining.mine_tfidf(self.docs, self.vocab, self.truth, self.codes, self.n, index=self.index))
 
     @cached_property
     def chi2_top(self):
