@@ -121,3 +121,16 @@ def test_numbers_are_packed_and_back():
     x, y = np.array([0, 1, 255, 256, 1 << 30]), np.array([], np.int64)
     assert [c.tolist() for c in mining._columns(mining._numbers(x, y, x[:2]), 5, 0, 2)] == [x.tolist(), [], [0, 1]]
     assert mining._ranges(np.array([4, 0]), np.array([2, 3])).tolist() == [4, 5, 0, 1, 2]
+
+
+def test_texts_are_cut_once(spark, monkeypatch):
+    """The vocabulary, chi-squared and TF-IDF share one pass over the texts, in the hybrid's variants, too."""
+    from labelflow.plans import q_hybrid, q_mining
+    from labelflow.session import materialize
+    calls, cut = [], mining.coded_tokens
+    monkeypatch.setattr(mining, "coded_tokens", lambda *a: calls.append(1) or cut(*a))
+    m = q_mining.MinedFixture(spark, "/root/testdata/sf0.001")
+    assert m.merged.count() > 0 and len(calls) == 1
+    calls.clear()
+    patterns = q_hybrid._fixture_patterns(m.fx, m.truth)(m.codes, materialize(m.docs.limit(40)))
+    assert patterns.where("source LIKE 'data-derived%'").count() > 0 and len(calls) == 1
