@@ -210,7 +210,7 @@ def term_counts(docs: DataFrame, truth: DataFrame, codes: DataFrame, stopwords:
             for p in np.flatnonzero(np.diff(ends)):
                 some, of = order[ends[p]:ends[p + 1]], pairs[pair_ends[p]:pair_ends[p + 1]]
                 text = "\n".join([*sets, *texts.take(pa.array(some)).to_pylist()]).encode()
-                rows.append((p, number, len(sets), len(some), len(of), len(text), _zip(text), _numbers(starts, held[some], row[of], tf[of])))
+                rows.append((p, number, len(sets), len(some), len(of), len(text), _zip(text, TEXT_LEVEL), _numbers(starts, held[some], row[of], tf[of])))
             yield pa.RecordBatch.from_pydict(dict(zip(("part", "piece", "n_sets", "n_terms", "n_pairs", "n_bytes", "terms", "nums"), zip(*rows))))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,12 +248,14 @@ PIECE_COLUMNS = ["docs", "sets", "starts"]
 TYPES = {"part": pa.int32(), "terms": pa.binary(), "nums": pa.binary(), "sets": pa.list_(pa.string()), "starts": pa.list_(pa.int32()), "term": pa.string(),
          "by": pa.list_(pa.struct([("codes", pa.list_(pa.int32())), ("value", pa.float64())])),
          **dict.fromkeys(["piece", "n_sets", "n_terms", "n_pairs", "n_bytes", "df", "tf_sum", "term_id"], pa.int64())}
+#: How hard terms are compressed.
+TEXT_LEVEL = 3
 #: A term's id is the number of its part, then in so many bits its number there.
 TERM_BITS = 32
 
 
-def _zip(data: bytes) -> bytes:
-    return pa.compress(data, "zstd", asbytes=True)
+def _zip(data: bytes, level: int = 1) -> bytes:
+    return pa.Codec("zstd", level).compress(data, asbytes=True)
 
 
 def _numbers(*columns: np.ndarray) -> bytes:
@@ -338,7 +340,7 @@ def term_index(docs: DataFrame, truth: DataFrame, codes: DataFrame, stopwords: S
     """O-N1 and ``term_counts`` from one pass over the texts, staged: the terms of at least
     ``min_df`` documents with their counts, and the (doc_id, term, tf) of these, packed by
     piece and part with numbers for terms and documents."""
-    rows = stage(term_counts(docs, truth, codes, stopwords, n_max, min_df), "terms")
+    rows = stage(term_counts(docs, truth, codes, stopwords, n_max, min_df), "terms", "zstd")
     return TermIndex(rows.where("term_id IS NOT NULL").select("term_id", "term", "df", "tf_sum", "by"),
                      rows.where("nums IS NOT NULL").select("part", "piece", "n_terms", "n_pairs", "nums"),
                      rows.where("docs IS NOT NULL").select("piece", "docs", "sets", "starts"), text_parts(docs))
